@@ -5,7 +5,6 @@ All of them are built-in expressions; under ANSI mode only the ``try_`` forms to
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,7 +29,7 @@ BOOLEAN_PAIRS = (("true", "false"), ("yes", "no"), ("y", "n"), ("1", "0"), ("t",
 
 # Characters that may decorate a number without making it invalid.
 NUMBER_DECORATION = "$€£¥%,"
-NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+NUMBER = r"^[+-]?+(?:(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+|(?i:inf|infinity))$"
 
 
 def quote(name: str) -> str:
@@ -39,7 +38,52 @@ def quote(name: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Text without leading and trailing whitespace. Trimming a set of characters is slow, so it is left
+    to values whose first or last character can be one of them."""
+    last = F.ascii(F.substring(c, -1, 1))
+    edge = (c < "!") | (c >= "\x80") | (last <= 32) | (last >= 128)
+    return F.when(edge, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
+
+
+# --- pattern tests ---------------------------------------------------------------------------
+# Each takes stripped text and puts a byte-level test before the regular expression, which almost every
+# value of a column that is not of the kind fails.
+
+
+def _starts_like_number(text: Column) -> Column:
+    first = F.ascii(text)
+    return first.between(ord("0"), ord("9")) | first.isin(*[ord(ch) for ch in "+-.iI"])
+
+
+def is_email(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) & text.rlike(EMAIL)
+
+
+def is_url(text: Column) -> Column:
+    return F.contains(text, F.lit("://")) & text.rlike(URL)
+
+
+def is_phone(text: Column) -> Column:
+    return F.char_length(text).between(10, 19) & text.rlike(PHONE)
+
+
+def is_currency(text: Column) -> Column:
+    first = F.ascii(text)
+    money = first.between(ord("0"), ord("9")) | first.isin(*[ord(ch) for ch in "$€£¥"])
+    return money & text.rlike(CURRENCY)
+
+
+def is_percent(text: Column) -> Column:
+    return F.ascii(text).between(ord("0"), ord("9")) & F.rtrim(text, F.lit("%")).rlike(PERCENT)
+
+
+def boolean_pair(text: Column) -> Column:
+    """Bit of the boolean pair a text belongs to, 0 for none."""
+    word = F.lower(text)
+    bit = F.lit(0)
+    for i, words in enumerate(BOOLEAN_PAIRS):
+        bit = F.when(word.isin(*words), 1 << i).otherwise(bit)
+    return F.when(F.char_length(text) <= 5, bit).otherwise(0)
 
 
 # --- storage classes -------------------------------------------------------------------------
@@ -88,14 +132,18 @@ def is_integral(dtype: T.DataType) -> bool:
 # --- numbers ---------------------------------------------------------------------------------
 
 
+def text_number(text: Column) -> Column:
+    """Number in a stripped text. The pattern is needed because a bare cast also takes ``1d``."""
+    return F.when(_starts_like_number(text) & text.rlike(NUMBER), text.try_cast("double"))
+
+
 def to_number(c: Column, dtype: T.DataType) -> Column:
-    """Number held by a cell, NULL when there is none. Text is guarded by a pattern because a bare
-    cast also takes forms such as ``1d``."""
+    """Number held by a cell, NULL when there is none."""
     kind = storage_class(dtype)
     if kind in ("number", "flag"):
         return c.cast("double")
     if kind == "text":
-        return F.when(c.rlike(NUMBER), strip(c).try_cast("double"))
+        return text_number(strip(c))
     if kind == "time":
         return F.unix_micros(c.cast("timestamp")).cast("double") * 1000
     return F.lit(None).cast("double")
@@ -104,94 +152,97 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
 def is_lenient_number(c: Column) -> Column:
     """True for text that is a number once currency, percent and thousands marks are removed."""
     bare = strip(F.translate(strip(c), NUMBER_DECORATION, ""))
-    return bare.rlike(NUMBER) | F.lower(bare).isin("nan", "+nan", "-nan")
+    is_nan = (F.char_length(bare) <= 4) & F.lower(bare).isin("nan", "+nan", "-nan")
+    return _starts_like_number(bare) & bare.rlike(NUMBER) | is_nan
 
 
 # --- dates -----------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class DateFormat:
-    """One date layout: an anchored shape that only its values have, and the pattern that reads them."""
-
-    shape: str
-    pattern: str
-
-
-def _dates() -> tuple[DateFormat, ...]:
-    # Date layouts, month first where a value allows both readings.
-    month, day, year = r"(0?[1-9]|1[0-2])", r"\d{1,2}", r"\d{4}"
-    numeric = [
-        (rf"{year}-{day}-{day}", "yyyy-M-d"),
-        (rf"{year}/{day}/{day}", "yyyy/M/d"),
-        (rf"{year}\.{day}\.{day}", "yyyy.M.d"),
-        (rf"{month}/{day}/{year}", "M/d/yyyy"),
-        (rf"{day}/{day}/{year}", "d/M/yyyy"),
-        (rf"{month}-{day}-{year}", "M-d-yyyy"),
-        (rf"{day}-{day}-{year}", "d-M-yyyy"),
-        (rf"{month}\.{day}\.{year}", "M.d.yyyy"),
-        (rf"{day}\.{day}\.{year}", "d.M.yyyy"),
-    ]
-    named = [
-        (rf"[A-Za-z]{{3}} {day}, {year}", "MMM d, yyyy"),
-        (rf"[A-Za-z]{{4,9}} {day}, {year}", "MMMM d, yyyy"),
-        (rf"{day} [A-Za-z]{{3}} {year}", "d MMM yyyy"),
-        (rf"{day} [A-Za-z]{{4,9}} {year}", "d MMMM yyyy"),
-        (rf"{day}-[A-Za-z]{{3}}-{year}", "d-MMM-yyyy"),
-    ]
-    coarse = [(r"\d{8}", "yyyyMMdd"), (rf"{year}-\d{{2}}", "yyyy-MM"), (year, "yyyy")]
-    fraction = "[SSSSSS][SSSSS][SSSS][SSS][SS][S]"
-    clocks = [
-        (r"\d{1,2}:\d{2}", "H:mm"),
-        (r"\d{1,2}:\d{2}:\d{2}", "H:mm:ss"),
-        (r"\d{1,2}:\d{2}:\d{2}\.\d{1,6}", f"H:mm:ss.{fraction}"),
-    ]
-    zone = r"(Z|[+-]\d{2}:\d{2})"
-    out = [DateFormat(f"^{s}$", p) for s, p in numeric + named + coarse]
-    for s, p in numeric:
-        out += [DateFormat(f"^{s} {cs}$", f"{p} {cp}") for cs, cp in clocks]
-        out.append(DateFormat(rf"^{s} \d{{1,2}}:\d{{2}} (AM|PM)$", f"{p} h:mm a"))
-    iso_shape, iso = numeric[0]
-    for cs, cp in clocks:
-        out.append(DateFormat(f"^{iso_shape}T{cs}$", f"{iso}'T'{cp}"))
-        out.append(DateFormat(f"^{iso_shape}T{cs}{zone}$", f"{iso}'T'{cp}XXX"))
-    return tuple(out)
-
-
-DATE_FORMATS = _dates()
-
-
-def _maybe_date(c: Column) -> Column:
-    """Cheap gate that keeps prose and codes away from the layout list."""
-    return (F.char_length(c) <= 40) & c.rlike(r"^(\d{1,8}|[A-Za-z]{3,9} \d)")
-
-
-def date_pattern(c: Column) -> Column:
-    """Pattern of the first layout whose shape and content fit the value, NULL if none does."""
-    fits = [
-        F.when(c.rlike(f.shape) & F.try_to_timestamp(c, F.lit(f.pattern)).isNotNull(), F.lit(f.pattern))
-        for f in DATE_FORMATS
-    ]
-    return F.when(_maybe_date(c), F.coalesce(*fits))
-
-
-def to_timestamp(c: Column, dtype: T.DataType, pattern: str | None) -> Column:
+# Day layouts as (shape, pattern), month first where a value allows both readings, and the
+# clock layouts that may follow a numeric day; a T may stand between them in the first day layout.
+_MONTH, _DAY, _YEAR = "(0?[1-9]|1[0-2])", "[0-9]{1,2}", "[0-9]{4}"
+NUMERIC_DAYS = (
+    (f"{_YEAR}-{_DAY}-{_DAY}", "yyyy-M-d"),
+    (f"{_YEAR}/{_DAY}/{_DAY}", "yyyy/M/d"),
+    (f"{_YEAR}[.]{_DAY}[.]{_DAY}", "yyyy.M.d"),
+    (f"{_MONTH}/{_DAY}/{_YEAR}", "M/d/yyyy"),
+    (f"{_DAY}/{_DAY}/{_YEAR}", "d/M/yyyy"),
+    (f"{_MONTH}-{_DAY}-{_YEAR}", "M-d-yyyy"),
+    (f"{_DAY}-{_DAY}-{_YEAR}", "d-M-yyyy"),
+    (f"{_MONTH}[.]{_DAY}[.]{_YEAR}", "M.d.yyyy"),
+    (f"{_DAY}[.]{_DAY}[.]{_YEAR}", "d.M.yyyy"),
+)
+OTHER_DAYS = (
+    (f"[A-Za-z]{{3}} {_DAY}, {_YEAR}", "MMM d, yyyy"),
+    (f"[A-Za-z]{{4,9}} {_DAY}, {_YEAR}", "MMMM d, yyyy"),
+    (f"{_DAY} [A-Za-z]{{3}} {_YEAR}", "d MMM yyyy"),
+    (f"{_DAY} [A-Za-z]{{4,9}} {_YEAR}", "d MMMM yyyy"),
+    (f"{_DAY}-[A-Za-z]{{3}}-{_YEAR}", "d-MMM-yyyy"),
+    ("[0-9]{8}", "yyyyMMdd"),
+    (f"{_YEAR}-[0-9]{{2}}", "yyyy-MM"),
+    (_YEAR, "yyyy"),
+)
+_FRACTION = "[SSSSSS][SSSSS][SSSS][SSS][SS][S]"
+_ZONE = "(Z|[+-][0-9]{2}:[0-9]{2})"
+CLOCKS = (
+    ("[0-9]{1,2}:[0-9]{2}", "H:mm"),
+    ("[0-9]{1,2}:[0-9]{2}:[0-9]{2}", "H:mm:ss"),
+    ("[0-9]{1,2}:[0-9]{2}:[0-9]{2}[.][0-9]{1,6}", f"H:mm:ss.{_FRACTION}"),
+    ("[0-9]{1,2}:[0-9]{2} (AM|PM)", "h:mm a"),
+)
+
+
+def _choose(ref: str, cases: list[tuple[str, str]]) -> str:
+    """SQL text: the pattern of the first shape the value matches."""
+    quoted = [(shape, pattern.replace("'", "''")) for shape, pattern in cases]
+    return "CASE " + " ".join(f"WHEN {ref} RLIKE '{s}' THEN '{p}'" for s, p in quoted) + " END"
+
+
+def date_pattern(ref: str) -> Column:
+    """Date pattern that fits the shape of a text column's value, NULL if none does. A cheap gate keeps
+    prose and codes away from the list of shapes."""
+    days = _choose(ref, [(f"^{s}([ T]|$)", p) for s, p in NUMERIC_DAYS] + [(f"^{s}$", p) for s, p in OTHER_DAYS])
+    clocks = [(f"^[^ T]+$", "")] + [(f"^[^ T]+ {s}$", f" {p}") for s, p in CLOCKS]
+    for s, p in CLOCKS[:3]:
+        clocks += [(f"^[0-9-]+T{s}$", f"'T'{p}"), (f"^[0-9-]+T{s}{_ZONE}$", f"'T'{p}XXX")]
+    named = f"WHEN {ref} RLIKE '[A-Za-z]{{3,}}' THEN '' "
+    clock = _choose(ref, clocks).replace("CASE ", "CASE " + named, 1)
+    gate = f"char_length({ref}) <= 40 AND {ref} RLIKE '^([0-9]{{1,8}}|[A-Za-z]{{3,9}} [0-9])'"
+    return F.expr(f"CASE WHEN {gate} THEN concat({days}, {clock}) END")
+
+
+def _shapes() -> dict[str, str]:
+    """Shape of each pattern, with month and day as any two digits: once a first value has fixed the
+    pattern, the parser and not the shape tells month from day."""
+    out = {p: s for s, p in NUMERIC_DAYS + OTHER_DAYS}
+    for s, p in NUMERIC_DAYS:
+        out |= {f"{p} {cp}": f"{s} {cs}" for cs, cp in CLOCKS}
+        for cs, cp in CLOCKS[:3]:
+            out |= {f"{p}'T'{cp}": f"{s}T{cs}", f"{p}'T'{cp}XXX": f"{s}T{cs}{_ZONE}"}
+    return {p: "^" + s.replace(_MONTH, _DAY) + "$" for p, s in out.items()}
+
+
+SHAPES = _shapes()
+
+
+def to_timestamp(ref: str, dtype: T.DataType, pattern: str | None) -> Column:
     """Timestamp held by a cell. A text column is read with the pattern its first value fixed; when that
-    value fits no layout, each value is read with the layout of its own shape."""
-    kind = storage_class(dtype)
+    value fits none, each value is read with the pattern of its own shape. Only values of a fitting shape
+    reach the parser."""
+    kind, c = storage_class(dtype), F.col(ref)
     if kind == "time":
         return c.cast("timestamp")
     if kind == "number":
         return F.timestamp_micros((c / 1000).try_cast("bigint"))
     if kind != "text":
         return F.lit(None).cast("timestamp")
-    if pattern is not None:
-        shape = next((f.shape for f in DATE_FORMATS if f.pattern == pattern), None)
-        # Month-first and day-first layouts accept each other's shapes; the parser decides.
-        loose = shape.replace(r"(0?[1-9]|1[0-2])", r"\d{1,2}")
-        return F.when(c.rlike(loose), F.try_to_timestamp(c, F.lit(pattern)))
-    layout = F.coalesce(*[F.when(c.rlike(f.shape), F.lit(f.pattern)) for f in DATE_FORMATS])
-    return F.when(_maybe_date(c), F.try_to_timestamp(c, layout))
+    if pattern is None:
+        return F.try_to_timestamp(c, date_pattern(ref))
+    # Year-first dates are what a plain cast reads, several times faster than a pattern.
+    plain = pattern.startswith("yyyy-M-d") and not pattern.endswith("a")
+    parsed = c.try_cast("timestamp") if plain else F.try_to_timestamp(c, F.lit(pattern))
+    return F.when(c.rlike(SHAPES[pattern]), parsed)
 
 
 def is_midnight(ts: Column) -> Column:

@@ -12,9 +12,11 @@ and joins nothing back, and is all that scoring and KPI review need.
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +29,9 @@ from plumbline.sources.tables import ROW, ColumnInfo, Table
 
 log = logging.getLogger(__name__)
 
-# Checks compiled into one scan; more are split so that generated code stays within its limits.
-CHECKS_PER_SCAN = 64
+# Checks compiled into one scan. Each scan reads its own columns only, and its generated code stays small
+# enough for the JVM to compile.
+CHECKS_PER_SCAN = 16
 
 QUALITY, RULE = "quality_check", "business_rule"
 
@@ -101,6 +104,7 @@ class Check:
     hit: Column | None = None
     actual: Column | None = None
     info: ColumnInfo | None = None
+    other: ColumnInfo | None = None
     parent: DataFrame | None = None
     key_type: str | None = None
 
@@ -108,9 +112,9 @@ class Check:
     def advice(self) -> str:
         return QUALITY_ADVICE[self.issue_type] if self.source == QUALITY else RULE_ADVICE
 
-    def texts(self) -> Column:
+    def texts(self) -> dict[str, str | None]:
         """The constant part of an issue row."""
-        named = {
+        return {
             "column": self.column,
             "source": self.source,
             "issue_type": self.issue_type,
@@ -120,7 +124,6 @@ class Check:
             "message": self.message,
             "recommendation": self.advice,
         }
-        return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in named.items()])
 
 
 @dataclass(frozen=True)
@@ -138,6 +141,38 @@ class Settings:
 # --- predicates ------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Values:
+    """Derived values of cells that several checks use: stripped text, number, timestamp. Each is named by
+    the column it derives from and computed once per row, in a projection below the checks."""
+
+    patterns: Mapping[str, str | None]
+    derived: dict[str, Column] = field(default_factory=dict)
+
+    def _named(self, name: str, value: Column) -> Column:
+        self.derived.setdefault(name, value)
+        return F.col(name)
+
+    def stripped(self, c: ColumnInfo) -> Column:
+        return self._named(f"{c.ref}_stripped", S.strip(_text(c)))
+
+    def number(self, c: ColumnInfo) -> Column:
+        if c.kind == "text":
+            return self._named(f"{c.ref}_number", S.text_number(S.strip(c.cell)))
+        return S.to_number(c.cell, c.dtype)
+
+    def timestamp(self, c: ColumnInfo) -> Column:
+        if c.kind == "text":
+            pattern = self.patterns.get(c.name)
+            return self._named(f"{c.ref}_timestamp", S.to_timestamp(c.ref, c.dtype, pattern))
+        return S.to_timestamp(c.ref, c.dtype, None)
+
+    def under(self, table: Table, refs: set[str]) -> DataFrame:
+        """The table with the derived values of the given columns."""
+        chosen = [v.alias(n) for n, v in self.derived.items() if n.split("_")[0] in refs]
+        return table.df.select(ROW, *[c.cell for c in table.columns if c.ref in refs], *chosen)
+
+
 def _quality(issue_type: str, name: str, column: str | None, expected: str, message: str, **kw) -> Check:
     return Check(QUALITY, issue_type, name, column, QUALITY_SEVERITY[issue_type], expected, message, **kw)
 
@@ -161,8 +196,8 @@ def _is_value_of(values: Iterable[Any], c: ColumnInfo) -> Column:
     return F.coalesce(cell.isin(*same), F.lit(False))
 
 
-def _outside(c: ColumnInfo, low: float | None, high: float | None) -> Column:
-    n = S.to_number(c.cell, c.dtype)
+def _outside(values: Values, c: ColumnInfo, low: float | None, high: float | None) -> Column:
+    n = values.number(c)
     tests = ([n < low] if low is not None else []) + ([n > high] if high is not None else [])
     return S.any_of(tests) if tests else F.lit(False)
 
@@ -180,16 +215,11 @@ def _shown(c: ColumnInfo) -> Column:
 
 
 def _pair(a: ColumnInfo, b: ColumnInfo) -> dict[str, Any]:
-    return {"actual": F.concat(_shown(a), F.lit(", "), _shown(b))}
+    return {"actual": F.concat(_shown(a), F.lit(", "), _shown(b)), "info": a, "other": b}
 
 
-def _broken(
-    a: ColumnInfo, b: ColumnInfo, operator: str, as_dates: bool, patterns: Mapping[str, str | None]
-) -> Column:
-    left, right = (
-        S.to_timestamp(c.cell, c.dtype, patterns.get(c.name)) if as_dates else S.to_number(c.cell, c.dtype)
-        for c in (a, b)
-    )
+def _broken(values: Values, a: ColumnInfo, b: ColumnInfo, operator: str, as_dates: bool) -> Column:
+    left, right = (values.timestamp(c) if as_dates else values.number(c) for c in (a, b))
     return left.isNotNull() & right.isNotNull() & ~COMPARE[operator](left, right)
 
 
@@ -197,13 +227,10 @@ def _broken(
 
 
 def quality_checks(
-    table: Table,
-    types: Mapping[str, str],
-    patterns: Mapping[str, str | None],
-    settings: Settings = Settings(),
+    table: Table, types: Mapping[str, str], values: Values, settings: Settings = Settings()
 ) -> list[Check]:
     """Checks that need no configuration, then the configured ones. ``types`` maps column to semantic
-    type, ``patterns`` maps text columns to their date pattern."""
+    type."""
     out: list[Check] = []
     for c in table.columns:
         out.append(
@@ -219,7 +246,7 @@ def quality_checks(
                 _quality(
                     "BLANK_VALUE", "blank_value_check", c.name, "Non-blank text value expected",
                     f"Column '{c.name}' contains a blank or whitespace-only value.",
-                    hit=S.strip(c.cell) == "", actual=_text(c), info=c,
+                    hit=values.stripped(c) == "", actual=_text(c), info=c,
                 )
             )
     if table.columns:
@@ -246,16 +273,15 @@ def quality_checks(
                     "INVALID_EMAIL", "invalid_email_check", c.name,
                     "Value should match a valid email address pattern",
                     f"Value in '{c.name}' does not look like a valid email address.",
-                    hit=~S.strip(_text(c)).rlike(S.EMAIL), actual=_text(c), info=c,
+                    hit=~S.is_email(values.stripped(c)), actual=_text(c), info=c,
                 )
             )
         elif semantic in ("Date", "DateTime") and c.kind == "text":
-            parsed = S.to_timestamp(c.cell, c.dtype, patterns.get(c.name))
             out.append(
                 _quality(
                     "INVALID_DATE", "invalid_date_check", c.name, "Value should be a parseable date",
                     f"Value in '{c.name}' could not be parsed as a date.",
-                    hit=c.cell.isNotNull() & parsed.isNull(), actual=_text(c), info=c,
+                    hit=c.cell.isNotNull() & values.timestamp(c).isNull(), actual=_text(c), info=c,
                 )
             )
         elif semantic in ("Integer", "Decimal", "Currency", "Percentage") and c.kind == "text":
@@ -282,7 +308,7 @@ def quality_checks(
                 _quality(
                     "OUT_OF_RANGE", "range_check", name, _bounds(low, high),
                     f"Value in '{name}' is outside the configured allowed range.",
-                    hit=_outside(c, low, high), actual=_text(c), info=c,
+                    hit=_outside(values, c, low, high), actual=_text(c), info=c,
                 )
             )
     for rule in settings.consistency_rules:
@@ -296,7 +322,7 @@ def quality_checks(
             _quality(
                 "CONSISTENCY_VIOLATION", rule.get("name", "consistency_check"), f"{a.name} / {b.name}",
                 expected, f"Row violates consistency rule: {expected}.",
-                hit=_broken(a, b, operator, as_dates, patterns), **_pair(a, b),
+                hit=_broken(values, a, b, operator, as_dates), **_pair(a, b),
             )
         )
     return out
@@ -305,12 +331,10 @@ def quality_checks(
 # --- business rules --------------------------------------------------------------------------
 
 
-def _compare_as_dates(
-    table: Table, rules: list[Mapping[str, Any]], patterns: Mapping[str, str | None]
-) -> dict[str, bool]:
+def _compare_as_dates(table: Table, rules: list[Mapping[str, Any]], values: Values) -> dict[str, bool]:
     """For comparison rules that leave it open: dates or numbers, whichever makes more rows comparable.
     One aggregate answers for all of them."""
-    out, counts = {}, []
+    out, counts, refs = {}, [], set()
     for rule in rules:
         a, b = table.find(rule["column_a"]), table.find(rule["column_b"])
         if rule.get("value_type"):
@@ -318,19 +342,18 @@ def _compare_as_dates(
         elif a.kind == b.kind and a.kind in ("number", "time"):
             out[rule["name"]] = a.kind == "time"
         else:
-            dates = [S.to_timestamp(c.cell, c.dtype, patterns.get(c.name)).isNotNull() for c in (a, b)]
-            numbers = [S.to_number(c.cell, c.dtype).isNotNull() for c in (a, b)]
-            counts.append((rule["name"], F.count_if(dates[0] & dates[1]), F.count_if(numbers[0] & numbers[1])))
+            dates = values.timestamp(a).isNotNull() & values.timestamp(b).isNotNull()
+            numbers = values.number(a).isNotNull() & values.number(b).isNotNull()
+            counts.append((rule["name"], F.count_if(dates), F.count_if(numbers)))
+            refs |= {a.ref, b.ref}
     if counts:
-        row = table.df.agg(*[c for _, d, n in counts for c in (d, n)]).first()
+        row = values.under(table, refs).agg(*[c for _, d, n in counts for c in (d, n)]).first()
         for i, (name, _, _) in enumerate(counts):
             out[name] = row[2 * i] >= row[2 * i + 1]
     return out
 
 
-def rule_checks(
-    table: Table, settings: Settings, patterns: Mapping[str, str | None]
-) -> list[Check]:
+def rule_checks(table: Table, values: Values, settings: Settings) -> list[Check]:
     """Checks for the configured rules. A rule naming an absent column or parent is skipped."""
     rules = list(settings.rules)
     validate_rules(rules)
@@ -343,7 +366,7 @@ def rule_checks(
             continue
         usable.append(rule)
     comparisons = [r for r in usable if r["type"] == "comparison"]
-    as_dates = _compare_as_dates(table, comparisons, patterns)
+    as_dates = _compare_as_dates(table, comparisons, values)
 
     out: list[Check] = []
     for rule in usable:
@@ -364,7 +387,7 @@ def rule_checks(
             out.append(
                 _rule(
                     rule, c.name, expected, f"Value in '{c.name}' is outside the allowed range ({expected}).",
-                    hit=_outside(c, low, high), actual=_text(c), info=c,
+                    hit=_outside(values, c, low, high), actual=_text(c), info=c,
                 )
             )
         elif kind == "allowed_values":
@@ -391,7 +414,7 @@ def rule_checks(
             out.append(
                 _rule(
                     rule, f"{a.name} / {b.name}", expected, f"Row violates comparison rule: {expected}.",
-                    hit=_broken(a, b, rule["operator"], as_dates[rule["name"]], patterns), **_pair(a, b),
+                    hit=_broken(values, a, b, rule["operator"], as_dates[rule["name"]]), **_pair(a, b),
                 )
             )
         else:
@@ -433,18 +456,23 @@ def _scans(checks: list[Check]) -> list[list[tuple[int, Check]]]:
     return [cells[i : i + CHECKS_PER_SCAN] for i in range(0, len(cells), CHECKS_PER_SCAN)]
 
 
-def _cell_hits(table: Table, entries: list[tuple[int, Check]]) -> DataFrame:
-    """(check, row_index, actual_value) of row-local hits. Clean rows are dropped by one predicate
-    before the per-row array of hits is built."""
-    dirty = S.any_of([F.coalesce(c.hit, F.lit(False)) for _, c in entries])
+def _under(table: Table, values: Values, entries: list[tuple[int, Check]]) -> DataFrame:
+    infos = [c for _, e in entries for c in (e.info, e.other) if c]
+    return values.under(table, {c.ref for c in infos})
+
+
+def _cell_hits(table: Table, values: Values, entries: list[tuple[int, Check]]) -> DataFrame:
+    """(check, row_index, actual_value) of row-local hits: one struct or NULL per check and row, NULLs
+    dropped after the explode. A filter on the predicates ahead of it would be pushed below the
+    projection of derived values and evaluate everything twice."""
     hits = [
         F.when(c.hit, F.struct(F.lit(i).alias("check"), c.actual.alias("actual_value")))
         for i, c in entries
     ]
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return table.df.where(dirty).select(table.row_label.alias("row_index"), F.inline(found)).select(
-        "check", "row_index", "actual_value"
+    exploded = _under(table, values, entries).select(
+        table.row_label.alias("row_index"), F.explode(F.array(*hits)).alias("hit")
     )
+    return exploded.where(F.col("hit").isNotNull()).select("hit.check", "row_index", "hit.actual_value")
 
 
 def _group_hits(table: Table, check: Check, numbers: list[int], part_rows: int) -> DataFrame:
@@ -486,32 +514,34 @@ def _issue_id() -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p), F.lit("DATASET")) for p in parts]), 256)
 
 
-def issues(table: Table, checks: list[Check], part_rows: int = G.PART_ROWS) -> DataFrame:
+def issues(table: Table, values: Values, checks: list[Check], part_rows: int = G.PART_ROWS) -> DataFrame:
     """One row per offending cell, row or schema fact, with a deterministic id."""
-    hits = [_cell_hits(table, entries) for entries in _scans(checks)]
+    hits = [_cell_hits(table, values, entries) for entries in _scans(checks)]
     hits += [_group_hits(table, c, numbers, part_rows) for c, numbers in _shared_groups(checks)]
     facts = [(i, None, None) for i, c in enumerate(checks) if c.kind == "dataset"]
     if facts or not hits:
         hits.append(table.spark.createDataFrame(facts, "check int, row_index string, actual_value string"))
-    all_hits = hits[0]
-    for h in hits[1:]:
-        all_hits = all_hits.unionByName(h)
+    all_hits = reduce(DataFrame.unionByName, hits)
     if not checks:
         return table.spark.createDataFrame([], ISSUE_SCHEMA)
-    texts = F.element_at(F.array(*[c.texts() for c in checks]), F.col("check") + 1)
+    # The texts travel as one literal that the optimizer parses once.
+    fields = ", ".join(f"`{k}` string" for k in checks[0].texts())
+    catalogue = F.from_json(F.lit(json.dumps([c.texts() for c in checks])), f"array<struct<{fields.replace(' string', ': string')}>>")
+    texts = F.element_at(catalogue, F.col("check") + 1)
     described = all_hits.select("row_index", "actual_value", texts.alias("t")).select(
         "row_index", "actual_value", "t.*"
     )
     return described.withColumn("issue_id", _issue_id()).select(*ISSUE_COLUMNS)
 
 
-def counts(table: Table, checks: list[Check]) -> list[int]:
-    """Hits of each check, counted without listing them."""
-    out = [0] * len(checks)
+def counts(table: Table, values: Values, checks: list[Check]) -> list[int]:
+    """Hits of each check, counted without listing them. All counts are branches of one plan, so their
+    stages run side by side."""
+    parts = []
     for entries in _scans(checks):
-        row = table.df.agg(*[F.count_if(c.hit).alias(f"n{i}") for i, c in entries]).first()
-        for i, _ in entries:
-            out[i] = row[f"n{i}"]
+        counted = [F.count_if(c.hit).alias(f"n{i}") for i, c in entries]
+        pairs = [F.struct(F.lit(i).alias("check"), F.col(f"n{i}").alias("n")) for i, _ in entries]
+        parts.append(_under(table, values, entries).agg(*counted).select(F.inline(F.array(*pairs))))
     for c, numbers in _shared_groups(checks):
         if c.kind == "copies":
             total = G.later_copies_count(table)
@@ -519,12 +549,12 @@ def counts(table: Table, checks: list[Check]) -> list[int]:
             total = G.repeated_values_count(table, c.info)
         else:
             total = G.orphans_count(table, c.info, c.parent, c.key_type)
-        n = total.first()[0]
-        for i in numbers:
-            out[i] = n
-    for i, c in enumerate(checks):
-        if c.kind == "dataset":
-            out[i] = 1
+        served = F.explode(F.array(*[F.lit(i) for i in numbers])).alias("check")
+        parts.append(total.select(served, F.col("n").cast("bigint")))
+    out = [1 if c.kind == "dataset" else 0 for c in checks]
+    if parts:
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            out[r.check] += r.n
     return out
 
 
@@ -538,8 +568,8 @@ def tally_frame(spark: SparkSession, checks: list[Check], counted: list[int]) ->
     return spark.createDataFrame(rows, TALLY_SCHEMA)
 
 
-def tally(table: Table, checks: list[Check]) -> DataFrame:
-    return tally_frame(table.spark, checks, counts(table, checks))
+def tally(table: Table, values: Values, checks: list[Check]) -> DataFrame:
+    return tally_frame(table.spark, checks, counts(table, values, checks))
 
 
 def tally_of(issue_rows: DataFrame) -> DataFrame:

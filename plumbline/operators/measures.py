@@ -101,7 +101,7 @@ def measure_by_time(
 ) -> DataFrame:
     """A measure per period of the date column ``m.group_by``."""
     c = table.find(m.group_by)
-    period = F.date_trunc(grain, to_timestamp(c.cell, c.dtype, pattern)).cast("timestamp_ntz")
+    period = F.date_trunc(grain, to_timestamp(c.ref, c.dtype, pattern)).cast("timestamp_ntz")
     return table.df.groupBy(period.alias(c.name)).agg(_ratio(table, m).alias(value_name))
 
 

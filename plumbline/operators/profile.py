@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import scalars as S
-from plumbline.operators.groups import distinct_counts
+from plumbline.functions.jobs import together
+from plumbline.operators.groups import distinct_counts, hashable
 from plumbline.sources.tables import ROW, ColumnInfo, Table
 
-# A whole-stage-codegen aggregate holds about a hundred fields, so columns are scanned in chunks.
-SCAN_FIELDS = 90
+# Aggregates per scan. Generated methods beyond 8000 bytes of bytecode are not compiled by the JVM, which
+# a scan of many columns at once would reach; each chunk reads its own columns only.
+SCAN_FIELDS = 45
 # Rows up to which a column's median may be held by one task.
 MEDIAN_ROWS = 1_000_000
 HEAD_ROWS = 64
@@ -127,7 +129,8 @@ def date_patterns(table: Table, samples: dict[str, list[str]]) -> dict[str, str
         return {}
     first = [(c.ref, samples[c.ref][0]) for c in texts]
     rows = table.spark.createDataFrame(first, "ref string, v string")
-    return {r.ref: r.p for r in rows.select("ref", S.date_pattern(F.col("v")).alias("p")).collect()}
+    rows = rows.withColumn("p", S.date_pattern("v"))
+    return {r.ref: r.p for r in rows.where(F.try_to_timestamp("v", F.col("p")).isNotNull()).collect()}
 
 
 # --- scan ------------------------------------------------------------------------------------
@@ -155,39 +158,50 @@ def _patterns(c: ColumnInfo, pattern: str | None) -> tuple[dict[str, Column], di
     v, r = c.cell, c.ref
     if c.kind == "time":
         return {}, {"ts": F.count(v), "midnight": F.count_if(S.is_midnight(v.cast("timestamp")))}
-    prepared = {"text": S.strip(v.cast("string"))}
-    text = F.col(f"{r}_text")
-    pair = F.lit(0)
-    for i, words in enumerate(S.BOOLEAN_PAIRS):
-        pair = F.when(F.lower(text).isin(*words), 1 << i).otherwise(pair)
-    counts = {"phone": F.count_if(text.rlike(S.PHONE)), "pairs": F.bit_and(pair)}
     if S.is_integral(c.dtype):
-        return prepared, counts
-    prepared["num"] = S.to_number(v, c.dtype)
-    num = F.col(f"{r}_num")
-    counts |= {
-        "num": F.count(num),
-        "whole": F.count_if(num % 1 == 0),
-        "cents": F.count_if((num * 100) % 1 == 0),
-        "currency": F.count_if(text.rlike(S.CURRENCY)),
-    }
+        # Only long positive numbers read as phone numbers, and only 0 and 1 as booleans.
+        phone = (v >= 10**9) & S.is_phone(v.cast("string"))
+        pair = F.when(v.isin(0, 1), 1 << S.BOOLEAN_PAIRS.index(("1", "0"))).otherwise(0)
+        return {}, {"phone": F.count_if(phone), "pairs": F.bit_and(F.when(v.isNotNull(), pair))}
     if c.kind == "number":
-        counts |= {"pnum": F.count(num), "pin": F.count_if(num.between(0, 100))}
-        return prepared, counts
-    prepared["ts"] = S.to_timestamp(v, c.dtype, pattern)
-    prepared["pnum"] = S.to_number(F.rtrim(v, F.lit("%")), c.dtype)
-    ts, pnum = F.col(f"{r}_ts"), F.col(f"{r}_pnum")
-    counts |= {
-        "email": F.count_if(text.rlike(S.EMAIL)),
-        "url": F.count_if(text.rlike(S.URL)),
+        text, num = v.cast("string"), F.col(f"{r}_num")
+        pair = S.boolean_pair(text) if isinstance(c.dtype, T.DecimalType) else F.lit(0)
+        return {"num": v.cast("double")}, {
+            "phone": F.count_if(S.is_phone(text)),
+            "pairs": F.bit_and(F.when(v.isNotNull(), pair)),
+            "num": F.count(num),
+            "whole": F.count_if(num % 1 == 0),
+            "cents": F.count_if((num * 100) % 1 == 0),
+            "currency": F.count_if(num.between(0, 1000) & S.is_currency(text)),
+            "pnum": F.count(num),
+            "pin": F.count_if(num.between(0, 100)),
+        }
+    text, num, ts, pnum = (F.col(f"{r}_{k}") for k in ("text", "num", "ts", "pnum"))
+    marked = F.contains(v, F.lit("%"))
+    stripped = S.strip(v)
+    number = S.text_number(stripped)
+    prepared = {
+        "text": stripped,
+        "num": number,
+        "ts": S.to_timestamp(r, c.dtype, pattern),
+        "pnum": F.when(F.endswith(v, F.lit("%")), S.to_number(F.rtrim(v, F.lit("%")), c.dtype)).otherwise(number),
+    }
+    return prepared, {
+        "email": F.count_if(S.is_email(text)),
+        "url": F.count_if(S.is_url(text)),
+        "phone": F.count_if(S.is_phone(text)),
+        "pairs": F.bit_and(F.when(v.isNotNull(), S.boolean_pair(text))),
         "ts": F.count(ts),
         "midnight": F.count_if(S.is_midnight(ts)),
-        "marked": F.count_if(F.contains(v, F.lit("%"))),
-        "percent": F.count_if(F.rtrim(text, F.lit("%")).rlike(S.PERCENT)),
+        "num": F.count(num),
+        "whole": F.count_if(num % 1 == 0),
+        "cents": F.count_if((num * 100) % 1 == 0),
+        "currency": F.count_if(S.is_currency(text)),
+        "marked": F.count_if(marked),
+        "percent": F.count_if(S.is_percent(text)),
         "pnum": F.count(pnum),
         "pin": F.count_if(pnum.between(0, 100)),
     }
-    return prepared, counts
 
 
 def _chunks(columns: list[ColumnInfo], width) -> list[list[ColumnInfo]]:
@@ -209,15 +223,17 @@ def scan(table: Table, patterns: dict[str, str | None] | None, columns=None) ->
     for c in columns:
         prepared, counts = ({}, {}) if patterns is None else _patterns(c, patterns.get(c.ref))
         plans[c.ref] = (prepared, _statistics(c) | counts)
-    out: dict[str, dict[str, Any]] = {}
-    for chunk in _chunks(columns, lambda c: len(plans[c.ref][1]) + 2):
-        prepared = [
-            e.alias(f"{c.ref}_{k}") for c in chunk for k, e in plans[c.ref][0].items()
-        ]
+
+    def run(chunk: list[ColumnInfo]):
+        prepared = [e.alias(f"{c.ref}_{k}") for c in chunk for k, e in plans[c.ref][0].items()]
         counts = [e.alias(f"{c.ref}_{k}") for c in chunk for k, e in plans[c.ref][1].items()]
         row = table.df.select(*[c.cell for c in chunk], *prepared).agg(*counts).first()
-        for c in chunk:
-            out[c.ref] = {k: row[f"{c.ref}_{k}"] for k in plans[c.ref][1]}
+        return {c.ref: {k: row[f"{c.ref}_{k}"] for k in plans[c.ref][1]} for c in chunk}
+
+    chunks = _chunks(columns, lambda c: len(plans[c.ref][1]) + 2)
+    out: dict[str, dict[str, Any]] = {}
+    for part in together(table.spark, *[lambda chunk=chunk: run(chunk) for chunk in chunks]):
+        out |= part
     return out
 
 
@@ -288,6 +304,14 @@ def _kth(values: DataFrame, rank: int, n: int, limit: int) -> float:
 # --- profile ---------------------------------------------------------------------------------
 
 
+def _unique(table: Table, exact: bool) -> dict[int, int]:
+    if exact or not table.columns:
+        return {r.ordinal: r.unique_count for r in distinct_counts(table).collect()} if table.columns else {}
+    sketches = [F.approx_count_distinct(hashable(c)).alias(c.ref) for c in table.columns]
+    row = table.df.agg(*sketches).first()
+    return {i: row[c.ref] for i, c in enumerate(table.columns)}
+
+
 def profile(
     table: Table,
     *,
@@ -302,14 +326,19 @@ def profile(
     n = table.n_rows
     samples = first_values(table)
     patterns = date_patterns(table, samples) if detect else None
-    stats = scan(table, patterns)
-    if exact_distinct:
-        unique = {r.ordinal: r.unique_count for r in distinct_counts(table).collect()}
+    numeric = {c.ref: n for c in table.columns if c.kind == "number"}
+    if n <= median_limit:
+        stats, unique, middle = together(
+            table.spark,
+            lambda: scan(table, patterns),
+            lambda: _unique(table, exact_distinct),
+            lambda: medians(table, numeric, median_limit),
+        )
     else:
-        sketches = [F.approx_count_distinct(c.ref).alias(c.ref) for c in table.columns]
-        row = table.df.agg(*sketches).first() if sketches else {}
-        unique = {i: row[c.ref] for i, c in enumerate(table.columns)}
-    middle = medians(table, {c.ref: stats[c.ref]["nn"] for c in table.columns}, median_limit)
+        stats, unique = together(
+            table.spark, lambda: scan(table, patterns), lambda: _unique(table, exact_distinct)
+        )
+        middle = medians(table, {r: stats[r]["nn"] for r in numeric}, median_limit)
 
     columns, evidence = [], {}
     for i, c in enumerate(table.columns):

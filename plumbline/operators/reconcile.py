@@ -89,7 +89,7 @@ def actual_metrics(
 def compare_values(claimed: Column, actual: Column) -> tuple[Column, Column]:
     """(match, difference). Two NULLs match; numbers match within 1e-5, relative or absolute; anything
     else must be the same text."""
-    a, b = (F.when(F.lower(c.cast("string")) == "nan", F.lit(float("nan"))).otherwise(_number(c)) for c in (claimed, actual))
+    a, b = _number(claimed), _number(actual)
     numeric = a.isNotNull() & b.isNotNull()
     both_nan = F.isnan(a) & F.isnan(b)
     gap = F.when(a == b, 0.0).otherwise(F.abs(a - b))
@@ -108,7 +108,7 @@ def compare_values(claimed: Column, actual: Column) -> tuple[Column, Column]:
 
 def _number(c: Column) -> Column:
     text = c.cast("string")
-    return F.when(text.rlike(S.NUMBER), S.strip(text).try_cast("double"))
+    return F.when(text.rlike(f"(?i)^[+-]?nan$|{S.NUMBER}"), text.try_cast("double"))
 
 
 def _status(frame: DataFrame, keys: list[str], available: Column) -> DataFrame:

@@ -38,6 +38,10 @@ class Report:
     kpis: DataFrame
     measures: DataFrame
 
+    def close(self) -> None:
+        """Free the table kept in memory; the result tables stay usable."""
+        self.table.release()
+
     def default_metrics(self) -> list[Metric]:
         copies = self.tally.where("issue_type = 'DUPLICATE_ROW'").agg({"n": "sum"}).first()[0] or 0
         return default_metrics(self.profiled, copies, self.kpi_list)
@@ -47,9 +51,12 @@ class Report:
         return actual_metrics(self.table, self.default_metrics() if metrics is None else metrics, distinct)
 
 
-def compiled_checks(table: Table, profiled: Profile, types: Mapping[str, str], settings: C.Settings) -> list[C.Check]:
-    patterns = profiled.date_patterns
-    return C.quality_checks(table, types, patterns, settings) + C.rule_checks(table, settings, patterns)
+def compiled_checks(
+    table: Table, profiled: Profile, types: Mapping[str, str], settings: C.Settings
+) -> tuple[C.Values, list[C.Check]]:
+    values = C.Values(profiled.date_patterns)
+    checks = C.quality_checks(table, types, values, settings)
+    return values, checks + C.rule_checks(table, values, settings)
 
 
 def analyze(
@@ -66,9 +73,12 @@ def analyze(
     review_threshold: float = 0.10,
     min_parse_rate: float = 0.0,
     exact_distinct: bool = True,
+    keep: bool = True,
 ) -> Report:
-    """Profile a table, find its issues, score it and recommend and compute KPIs."""
+    """Profile a table, find its issues, score it and recommend and compute KPIs. With ``keep`` a small
+    table stays in memory between the passes until the report is closed."""
     table = data if isinstance(data, Table) else as_table(data, row_key)
+    table = table.kept() if keep else table
     settings = C.Settings(
         tuple(id_columns), dict(allowed_categories or {}), dict(column_ranges or {}),
         tuple(consistency_rules), list(rules or []), dict(parents or {}),
@@ -77,10 +87,10 @@ def analyze(
     profiled = profile(table, exact_distinct=exact_distinct)
     detections = detect_types(table, profiled, min_parse_rate)
     types = {d.column_name: d.detected_type for d in detections}
-    checks = compiled_checks(table, profiled, types, settings)
+    values, checks = compiled_checks(table, profiled, types, settings)
 
     spark, n, width = table.spark, table.n_rows, len(table.columns)
-    counted = C.counts(table, checks)
+    counted = C.counts(table, values, checks)
     tally = C.tally_frame(spark, checks, counted)
     dimensions = score_dimensions(tally, n, width, weights, rules is not None)
     rates = {r["column"]: r["defect_rate"] for r in defect_rates(tally, n).collect()} if n else {}
@@ -95,7 +105,7 @@ def analyze(
         dataset=dataset_profile(table),
         profile=profiled.df,
         types=detections_frame(spark, detections),
-        issues=C.issues(table, checks),
+        issues=C.issues(table, values, checks),
         tally=tally,
         dimensions=dimensions,
         overall=score_overall(dimensions, n, width),

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import NUMBER, strip
+from plumbline.functions.scalars import strip, text_number
 from plumbline.sources.tables import ROW, Table, as_table
 
 # Texts read as missing.
@@ -145,10 +145,11 @@ def infer_types(frame: DataFrame, cells: Sequence[str]) -> tuple[dict[str, str],
     for c in cells:
         v = F.col(c)
         present = v.isNotNull()
-        whole = v.rlike(INTEGER) & strip(v).try_cast("bigint").isNotNull()
+        text = strip(v)
+        whole = v.rlike(INTEGER) & text.try_cast("bigint").isNotNull()
         tests += [
             F.count_if(present & ~whole).alias(f"{c}_int"),
-            F.count_if(present & ~v.rlike(NUMBER)).alias(f"{c}_num"),
+            F.count_if(present & text_number(text).isNull()).alias(f"{c}_num"),
             F.count_if(present & ~v.isin(*BOOLEANS)).alias(f"{c}_bool"),
             F.count(v).alias(f"{c}_n"),
         ]

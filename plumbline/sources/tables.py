@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import quote, storage_class, storage_type
 
 ROW = "__row"
+# Estimated size up to which an analysis keeps a table in memory.
+KEEP_BYTES = 256 << 20
 
 
 class DuplicateColumnError(ValueError):
@@ -77,6 +80,19 @@ class Table:
         dtype = self.df.schema[ROW].dataType
         return not isinstance(dtype, (T.StructType, T.StringType, T.BinaryType, T.ArrayType))
 
+    def kept(self, limit: int = KEEP_BYTES) -> Table:
+        """This table spread over the cores and held in memory (or on disk) if the optimizer's size
+        estimate is small, so that the passes of an analysis do not read and derive it again. A larger
+        table is returned as it is: each pass reads just the columns it needs from the source."""
+        size = self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if size > limit:
+            return self
+        spread = self.df.repartition(self.spark.sparkContext.defaultParallelism, ROW)
+        return Table(spread.persist(StorageLevel.MEMORY_AND_DISK), self.columns)
+
+    def release(self) -> None:
+        self.df.unpersist()
+
     def original(self) -> DataFrame:
         """The data columns under their own names."""
         return self.df.select(*[c.cell.alias(c.name) for c in self.columns])
