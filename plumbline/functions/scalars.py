@@ -1,14 +1,12 @@
-"""Column helpers every operator rests on: trimming, number and date parsing, storage classes.
+"""SQL expressions every operator rests on: trimming, pattern tests, number and date parsing.
 
-All of them are built-in expressions; under ANSI mode only the ``try_`` forms touch user data.
+Each helper takes an expression as SQL text and returns SQL text; a wide table needs hundreds of them, and
+one parsed text is far cheaper to build from Python than a tree of column objects. Only built-in functions
+are used, and under ANSI mode only the ``try_`` forms touch user data.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The characters Python's str.strip() removes.
@@ -37,12 +35,20 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def strip(c: Column) -> Column:
+def literal(value: str | None) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_TRIMMED = literal(WHITESPACE)
+
+
+def strip(x: str) -> str:
     """Text without leading and trailing whitespace. Trimming a set of characters is slow, so it is left
     to values whose first or last character can be one of them."""
-    last = F.ascii(F.substring(c, -1, 1))
-    edge = (c < "!") | (c >= "\x80") | (last <= 32) | (last >= 128)
-    return F.when(edge, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
+    plain_end = f"ascii(substring({x}, -1, 1)) BETWEEN 33 AND 127"
+    return f"CASE WHEN {x} >= '!' AND {x} < '\\u0080' AND {plain_end} THEN {x} ELSE btrim({x}, {_TRIMMED}) END"
 
 
 # --- pattern tests ---------------------------------------------------------------------------
@@ -50,40 +56,37 @@ def strip(c: Column) -> Column:
 # value of a column that is not of the kind fails.
 
 
-def _starts_like_number(text: Column) -> Column:
-    first = F.ascii(text)
-    return first.between(ord("0"), ord("9")) | first.isin(*[ord(ch) for ch in "+-.iI"])
+def _starts_with(t: str, others: str) -> str:
+    codes = ", ".join(str(ord(ch)) for ch in others)
+    return f"(ascii({t}) BETWEEN 48 AND 57 OR ascii({t}) IN ({codes}))"
 
 
-def is_email(text: Column) -> Column:
-    return F.contains(text, F.lit("@")) & text.rlike(EMAIL)
+def is_email(t: str) -> str:
+    return f"(contains({t}, '@') AND {t} RLIKE r'{EMAIL}')"
 
 
-def is_url(text: Column) -> Column:
-    return F.contains(text, F.lit("://")) & text.rlike(URL)
+def is_url(t: str) -> str:
+    return f"(contains({t}, '://') AND {t} RLIKE r'{URL}')"
 
 
-def is_phone(text: Column) -> Column:
-    return F.char_length(text).between(10, 19) & text.rlike(PHONE)
+def is_phone(t: str) -> str:
+    return f"(char_length({t}) BETWEEN 10 AND 19 AND {t} RLIKE r'{PHONE}')"
 
 
-def is_currency(text: Column) -> Column:
-    first = F.ascii(text)
-    money = first.between(ord("0"), ord("9")) | first.isin(*[ord(ch) for ch in "$€£¥"])
-    return money & text.rlike(CURRENCY)
+def is_currency(t: str) -> str:
+    return f"({_starts_with(t, '$€£¥')} AND {t} RLIKE r'{CURRENCY}')"
 
 
-def is_percent(text: Column) -> Column:
-    return F.ascii(text).between(ord("0"), ord("9")) & F.rtrim(text, F.lit("%")).rlike(PERCENT)
+def is_percent(t: str) -> str:
+    return f"(ascii({t}) BETWEEN 48 AND 57 AND rtrim('%', {t}) RLIKE r'{PERCENT}')"
 
 
-def boolean_pair(text: Column) -> Column:
+def boolean_pair(t: str) -> str:
     """Bit of the boolean pair a text belongs to, 0 for none."""
-    word = F.lower(text)
-    bit = F.lit(0)
-    for i, words in enumerate(BOOLEAN_PAIRS):
-        bit = F.when(word.isin(*words), 1 << i).otherwise(bit)
-    return F.when(F.char_length(text) <= 5, bit).otherwise(0)
+    bits = " ".join(
+        f"WHEN lower({t}) IN ('{a}', '{b}') THEN {1 << i}" for i, (a, b) in enumerate(BOOLEAN_PAIRS)
+    )
+    return f"CASE WHEN char_length({t}) > 5 THEN 0 {bits} ELSE 0 END"
 
 
 # --- storage classes -------------------------------------------------------------------------
@@ -132,28 +135,28 @@ def is_integral(dtype: T.DataType) -> bool:
 # --- numbers ---------------------------------------------------------------------------------
 
 
-def text_number(text: Column) -> Column:
+def text_number(t: str) -> str:
     """Number in a stripped text. The pattern is needed because a bare cast also takes ``1d``."""
-    return F.when(_starts_like_number(text) & text.rlike(NUMBER), text.try_cast("double"))
+    return f"CASE WHEN {_starts_with(t, '+-.iI')} AND {t} RLIKE r'{NUMBER}' THEN try_cast({t} AS DOUBLE) END"
 
 
-def to_number(c: Column, dtype: T.DataType) -> Column:
+def to_number(x: str, dtype: T.DataType) -> str:
     """Number held by a cell, NULL when there is none."""
     kind = storage_class(dtype)
     if kind in ("number", "flag"):
-        return c.cast("double")
+        return f"CAST({x} AS DOUBLE)"
     if kind == "text":
-        return text_number(strip(c))
+        return text_number(f"btrim({x}, {_TRIMMED})")
     if kind == "time":
-        return F.unix_micros(c.cast("timestamp")).cast("double") * 1000
-    return F.lit(None).cast("double")
+        return f"CAST(unix_micros(CAST({x} AS TIMESTAMP)) AS DOUBLE) * 1000"
+    return "CAST(NULL AS DOUBLE)"
 
 
-def is_lenient_number(c: Column) -> Column:
-    """True for text that is a number once currency, percent and thousands marks are removed."""
-    bare = strip(F.translate(strip(c), NUMBER_DECORATION, ""))
-    is_nan = (F.char_length(bare) <= 4) & F.lower(bare).isin("nan", "+nan", "-nan")
-    return _starts_like_number(bare) & bare.rlike(NUMBER) | is_nan
+def is_lenient_number(t: str) -> str:
+    """True for stripped text that is a number once currency, percent and thousands marks are removed."""
+    bare = f"trim(translate({t}, '{NUMBER_DECORATION}', ''))"
+    number = f"{_starts_with(bare, '+-.iI')} AND {bare} RLIKE r'{NUMBER}'"
+    return f"({number} OR char_length({bare}) <= 4 AND lower({bare}) IN ('nan', '+nan', '-nan'))"
 
 
 # --- dates -----------------------------------------------------------------------------------
@@ -199,7 +202,7 @@ def _choose(ref: str, cases: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {ref} RLIKE '{s}' THEN '{p}'" for s, p in quoted) + " END"
 
 
-def date_pattern(ref: str) -> Column:
+def date_pattern(ref: str) -> str:
     """Date pattern that fits the shape of a text column's value, NULL if none does. A cheap gate keeps
     prose and codes away from the list of shapes."""
     days = _choose(ref, [(f"^{s}([ T]|$)", p) for s, p in NUMERIC_DAYS] + [(f"^{s}$", p) for s, p in OTHER_DAYS])
@@ -209,7 +212,7 @@ def date_pattern(ref: str) -> Column:
     named = f"WHEN {ref} RLIKE '[A-Za-z]{{3,}}' THEN '' "
     clock = _choose(ref, clocks).replace("CASE ", "CASE " + named, 1)
     gate = f"char_length({ref}) <= 40 AND {ref} RLIKE '^([0-9]{{1,8}}|[A-Za-z]{{3,9}} [0-9])'"
-    return F.expr(f"CASE WHEN {gate} THEN concat({days}, {clock}) END")
+    return f"CASE WHEN {gate} THEN concat({days}, {clock}) END"
 
 
 def _shapes() -> dict[str, str]:
@@ -226,28 +229,24 @@ def _shapes() -> dict[str, str]:
 SHAPES = _shapes()
 
 
-def to_timestamp(ref: str, dtype: T.DataType, pattern: str | None) -> Column:
+def to_timestamp(x: str, dtype: T.DataType, pattern: str | None) -> str:
     """Timestamp held by a cell. A text column is read with the pattern its first value fixed; when that
     value fits none, each value is read with the pattern of its own shape. Only values of a fitting shape
     reach the parser."""
-    kind, c = storage_class(dtype), F.col(ref)
+    kind = storage_class(dtype)
     if kind == "time":
-        return c.cast("timestamp")
+        return f"CAST({x} AS TIMESTAMP)"
     if kind == "number":
-        return F.timestamp_micros((c / 1000).try_cast("bigint"))
+        return f"timestamp_micros(try_cast({x} / 1000 AS BIGINT))"
     if kind != "text":
-        return F.lit(None).cast("timestamp")
+        return "CAST(NULL AS TIMESTAMP)"
     if pattern is None:
-        return F.try_to_timestamp(c, date_pattern(ref))
+        return f"try_to_timestamp({x}, {date_pattern(x)})"
     # Year-first dates are what a plain cast reads, several times faster than a pattern.
     plain = pattern.startswith("yyyy-M-d") and not pattern.endswith("a")
-    parsed = c.try_cast("timestamp") if plain else F.try_to_timestamp(c, F.lit(pattern))
-    return F.when(c.rlike(SHAPES[pattern]), parsed)
-
-
-def is_midnight(ts: Column) -> Column:
-    return ts == F.date_trunc("day", ts)
+    parsed = f"try_cast({x} AS TIMESTAMP)" if plain else f"try_to_timestamp({x}, {literal(pattern)})"
+    return f"CASE WHEN {x} RLIKE '{SHAPES[pattern]}' THEN {parsed} END"
 
 
-def any_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, predicates)
+def is_midnight(ts: str) -> str:
+    return f"{ts} = date_trunc('day', {ts})"

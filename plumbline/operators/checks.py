@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import groups as G
-from plumbline.rules import validate_rules
+from plumbline.rules import OPERATORS, validate_rules
 from plumbline.sources.tables import ROW, ColumnInfo, Table
 
 log = logging.getLogger(__name__)
@@ -81,16 +81,6 @@ TALLY_SCHEMA = (
     "recommendation string, row_level boolean, n bigint"
 )
 
-COMPARE: dict[str, Callable[[Column, Column], Column]] = {
-    "<=": lambda a, b: a <= b,
-    "<": lambda a, b: a < b,
-    ">=": lambda a, b: a >= b,
-    ">": lambda a, b: a > b,
-    "==": lambda a, b: a == b,
-    "!=": lambda a, b: a != b,
-}
-
-
 @dataclass(frozen=True)
 class Check:
     source: str
@@ -101,8 +91,8 @@ class Check:
     expected: str
     message: str
     kind: str = "cell"
-    hit: Column | None = None
-    actual: Column | None = None
+    hit: str | None = None
+    actual: str | None = None
     info: ColumnInfo | None = None
     other: ColumnInfo | None = None
     parent: DataFrame | None = None
@@ -147,21 +137,21 @@ class Values:
     the column it derives from and computed once per row, in a projection below the checks."""
 
     patterns: Mapping[str, str | None]
-    derived: dict[str, Column] = field(default_factory=dict)
+    derived: dict[str, str] = field(default_factory=dict)
 
-    def _named(self, name: str, value: Column) -> Column:
+    def _named(self, name: str, value: str) -> str:
         self.derived.setdefault(name, value)
-        return F.col(name)
+        return name
 
-    def stripped(self, c: ColumnInfo) -> Column:
-        return self._named(f"{c.ref}_stripped", S.strip(_text(c)))
+    def stripped(self, c: ColumnInfo) -> str:
+        return self._named(f"{c.ref}_stripped", S.strip(c.ref if c.kind == "text" else _text(c)))
 
-    def number(self, c: ColumnInfo) -> Column:
+    def number(self, c: ColumnInfo) -> str:
         if c.kind == "text":
-            return self._named(f"{c.ref}_number", S.text_number(S.strip(c.cell)))
-        return S.to_number(c.cell, c.dtype)
+            return self._named(f"{c.ref}_number", S.to_number(c.ref, c.dtype))
+        return S.to_number(c.ref, c.dtype)
 
-    def timestamp(self, c: ColumnInfo) -> Column:
+    def timestamp(self, c: ColumnInfo) -> str:
         if c.kind == "text":
             pattern = self.patterns.get(c.name)
             return self._named(f"{c.ref}_timestamp", S.to_timestamp(c.ref, c.dtype, pattern))
@@ -169,8 +159,8 @@ class Values:
 
     def under(self, table: Table, refs: set[str]) -> DataFrame:
         """The table with the derived values of the given columns."""
-        chosen = [v.alias(n) for n, v in self.derived.items() if n.split("_")[0] in refs]
-        return table.df.select(ROW, *[c.cell for c in table.columns if c.ref in refs], *chosen)
+        chosen = [f"{v} AS {n}" for n, v in self.derived.items() if n.split("_")[0] in refs]
+        return table.df.selectExpr(ROW, *[c.ref for c in table.columns if c.ref in refs], *chosen)
 
 
 def _quality(issue_type: str, name: str, column: str | None, expected: str, message: str, **kw) -> Check:
@@ -182,24 +172,33 @@ def _rule(rule: Mapping[str, Any], column: str | None, expected: str, message: s
     return Check(RULE, rule["type"], rule["name"], column, severity, expected, message, **kw)
 
 
-def _text(c: ColumnInfo) -> Column:
-    return c.cell.cast("string")
+def _text(c: ColumnInfo) -> str:
+    return f"CAST({c.ref} AS STRING)"
+
 
+def _number(value: float) -> str:
+    return f"CAST('{value}' AS DOUBLE)"
 
-def _is_value_of(values: Iterable[Any], c: ColumnInfo) -> Column:
+
+def _is_value_of(values: Iterable[Any], c: ColumnInfo) -> str:
     """Membership without any type coercion: only members of the column's own class can match."""
     classes = {"number": (int, float), "text": (str,), "flag": (bool,)}.get(c.kind, ())
     same = [v for v in values if isinstance(v, classes) and (c.kind == "flag" or not isinstance(v, bool))]
     if not same:
-        return F.lit(False)
-    cell = c.cell.cast("double") if any(isinstance(v, float) for v in same) else c.cell
-    return F.coalesce(cell.isin(*same), F.lit(False))
+        return "false"
+    if c.kind == "text":
+        members = [S.literal(v) for v in same]
+    elif c.kind == "flag":
+        members = [str(v).lower() for v in same]
+    else:
+        members = [_number(v) if isinstance(v, float) else str(v) for v in same]
+    return f"coalesce({c.ref} IN ({', '.join(members)}), false)"
 
 
-def _outside(values: Values, c: ColumnInfo, low: float | None, high: float | None) -> Column:
+def _outside(values: Values, c: ColumnInfo, low: float | None, high: float | None) -> str:
     n = values.number(c)
-    tests = ([n < low] if low is not None else []) + ([n > high] if high is not None else [])
-    return S.any_of(tests) if tests else F.lit(False)
+    tests = ([f"{n} < {_number(low)}"] if low is not None else []) + ([f"{n} > {_number(high)}"] if high is not None else [])
+    return f"({' OR '.join(tests)})" if tests else "false"
 
 
 def _bounds(low: float | None, high: float | None) -> str:
@@ -207,20 +206,18 @@ def _bounds(low: float | None, high: float | None) -> str:
     return " and ".join(parts)
 
 
-def _shown(c: ColumnInfo) -> Column:
-    text = _text(c)
-    if c.kind == "text":
-        text = F.concat(F.lit("'"), text, F.lit("'"))
-    return F.concat(F.lit(f"{c.name}="), F.coalesce(text, F.lit("None")))
+def _shown(c: ColumnInfo) -> str:
+    text = f"concat('\\'', {c.ref}, '\\'')" if c.kind == "text" else _text(c)
+    return f"{S.literal(c.name + '=')}, coalesce({text}, 'None')"
 
 
 def _pair(a: ColumnInfo, b: ColumnInfo) -> dict[str, Any]:
-    return {"actual": F.concat(_shown(a), F.lit(", "), _shown(b)), "info": a, "other": b}
+    return {"actual": f"concat({_shown(a)}, ', ', {_shown(b)})", "info": a, "other": b}
 
 
-def _broken(values: Values, a: ColumnInfo, b: ColumnInfo, operator: str, as_dates: bool) -> Column:
+def _broken(values: Values, a: ColumnInfo, b: ColumnInfo, operator: str, as_dates: bool) -> str:
     left, right = (values.timestamp(c) if as_dates else values.number(c) for c in (a, b))
-    return left.isNotNull() & right.isNotNull() & ~COMPARE[operator](left, right)
+    return f"({left} IS NOT NULL AND {right} IS NOT NULL AND NOT ({left} {operator} {right}))"
 
 
 # --- quality checks --------------------------------------------------------------------------
@@ -237,7 +234,7 @@ def quality_checks(
             _quality(
                 "MISSING_VALUE", "missing_value_check", c.name, "Non-null value expected",
                 f"Column '{c.name}' is missing a value in this row.",
-                hit=c.cell.isNull(), actual=F.lit(None).cast("string"), info=c,
+                hit=f"{c.ref} IS NULL", actual="CAST(NULL AS STRING)", info=c,
             )
         )
     for c in table.columns:
@@ -246,7 +243,7 @@ def quality_checks(
                 _quality(
                     "BLANK_VALUE", "blank_value_check", c.name, "Non-blank text value expected",
                     f"Column '{c.name}' contains a blank or whitespace-only value.",
-                    hit=values.stripped(c) == "", actual=_text(c), info=c,
+                    hit=f"{values.stripped(c)} = ''", actual=_text(c), info=c,
                 )
             )
     if table.columns:
@@ -273,7 +270,7 @@ def quality_checks(
                     "INVALID_EMAIL", "invalid_email_check", c.name,
                     "Value should match a valid email address pattern",
                     f"Value in '{c.name}' does not look like a valid email address.",
-                    hit=~S.is_email(values.stripped(c)), actual=_text(c), info=c,
+                    hit=f"NOT {S.is_email(values.stripped(c))}", actual=_text(c), info=c,
                 )
             )
         elif semantic in ("Date", "DateTime") and c.kind == "text":
@@ -281,7 +278,7 @@ def quality_checks(
                 _quality(
                     "INVALID_DATE", "invalid_date_check", c.name, "Value should be a parseable date",
                     f"Value in '{c.name}' could not be parsed as a date.",
-                    hit=c.cell.isNotNull() & values.timestamp(c).isNull(), actual=_text(c), info=c,
+                    hit=f"({c.ref} IS NOT NULL AND {values.timestamp(c)} IS NULL)", actual=_text(c), info=c,
                 )
             )
         elif semantic in ("Integer", "Decimal", "Currency", "Percentage") and c.kind == "text":
@@ -289,7 +286,7 @@ def quality_checks(
                 _quality(
                     "INVALID_NUMERIC", "invalid_numeric_check", c.name, "Value should be numeric",
                     f"Value in '{c.name}' could not be interpreted as a numeric value.",
-                    hit=~S.is_lenient_number(c.cell), actual=_text(c), info=c,
+                    hit=f"NOT {S.is_lenient_number(values.stripped(c))}", actual=_text(c), info=c,
                 )
             )
     for name, allowed in settings.allowed_categories.items():
@@ -299,7 +296,7 @@ def quality_checks(
                 _quality(
                     "INVALID_CATEGORY", "invalid_category_check", name, f"Value should be one of: {listed}",
                     f"Value in '{name}' is not one of the allowed categories.",
-                    hit=c.cell.isNotNull() & ~_is_value_of(allowed, c), actual=_text(c), info=c,
+                    hit=f"({c.ref} IS NOT NULL AND NOT {_is_value_of(allowed, c)})", actual=_text(c), info=c,
                 )
             )
     for name, (low, high) in settings.column_ranges.items():
@@ -314,7 +311,7 @@ def quality_checks(
     for rule in settings.consistency_rules:
         a, b = table.find(rule.get("column_a")), table.find(rule.get("column_b"))
         operator = rule.get("operator", "<=")
-        if not a or not b or operator not in COMPARE:
+        if not a or not b or operator not in OPERATORS:
             continue
         as_dates = any(types.get(c.name) in ("Date", "DateTime") for c in (a, b))
         expected = f"{a.name} {operator} {b.name}"
@@ -342,12 +339,12 @@ def _compare_as_dates(table: Table, rules: list[Mapping[str, Any]], values: Valu
         elif a.kind == b.kind and a.kind in ("number", "time"):
             out[rule["name"]] = a.kind == "time"
         else:
-            dates = values.timestamp(a).isNotNull() & values.timestamp(b).isNotNull()
-            numbers = values.number(a).isNotNull() & values.number(b).isNotNull()
-            counts.append((rule["name"], F.count_if(dates), F.count_if(numbers)))
+            kinds = (values.timestamp, values.number)
+            both = [f"count_if({v(a)} IS NOT NULL AND {v(b)} IS NOT NULL)" for v in kinds]
+            counts.append((rule["name"], *both))
             refs |= {a.ref, b.ref}
     if counts:
-        row = values.under(table, refs).agg(*[c for _, d, n in counts for c in (d, n)]).first()
+        row = values.under(table, refs).selectExpr(*[c for _, d, n in counts for c in (d, n)]).first()
         for i, (name, _, _) in enumerate(counts):
             out[name] = row[2 * i] >= row[2 * i + 1]
     return out
@@ -391,9 +388,9 @@ def rule_checks(table: Table, values: Values, settings: Settings) -> list[Check]
                 )
             )
         elif kind == "allowed_values":
-            wrong = ~_is_value_of(rule["values"], c)
+            wrong = f"NOT {_is_value_of(rule['values'], c)}"
             if not rule.get("treat_null_as_invalid"):
-                wrong = c.cell.isNotNull() & wrong
+                wrong = f"({c.ref} IS NOT NULL AND {wrong})"
             listed = sorted(str(v) for v in set(rule["values"]))
             out.append(
                 _rule(
@@ -438,11 +435,11 @@ def _reference_checks(rule: Mapping[str, Any], c: ColumnInfo, parents: Mapping[s
     key_type = G.shared_key_type(c.dtype, values.schema.fields[0].dataType)
     nulls_count = bool(rule.get("treat_null_as_invalid"))
     if key_type is None:
-        hit = F.lit(True) if nulls_count else c.cell.isNotNull()
+        hit = "true" if nulls_count else f"{c.ref} IS NOT NULL"
         return [_rule(*texts, hit=hit, actual=_text(c), info=c)]
     out = [_rule(*texts, kind="orphans", info=c, parent=values, key_type=key_type)]
     if nulls_count:
-        out.append(_rule(*texts, hit=c.cell.isNull(), actual=_text(c), info=c))
+        out.append(_rule(*texts, hit=f"{c.ref} IS NULL", actual=_text(c), info=c))
     return out
 
 
@@ -466,13 +463,12 @@ def _cell_hits(table: Table, values: Values, entries: list[tuple[int, Check]]) -
     dropped after the explode. A filter on the predicates ahead of it would be pushed below the
     projection of derived values and evaluate everything twice."""
     hits = [
-        F.when(c.hit, F.struct(F.lit(i).alias("check"), c.actual.alias("actual_value")))
-        for i, c in entries
+        f"CASE WHEN {c.hit} THEN named_struct('check', {i}, 'actual_value', {c.actual}) END" for i, c in entries
     ]
     exploded = _under(table, values, entries).select(
-        table.row_label.alias("row_index"), F.explode(F.array(*hits)).alias("hit")
+        table.row_label.alias("row_index"), F.expr(f"explode(array({', '.join(hits)}))").alias("hit")
     )
-    return exploded.where(F.col("hit").isNotNull()).select("hit.check", "row_index", "hit.actual_value")
+    return exploded.where("hit IS NOT NULL").select("hit.check", "row_index", "hit.actual_value")
 
 
 def _group_hits(table: Table, check: Check, numbers: list[int], part_rows: int) -> DataFrame:
@@ -539,9 +535,9 @@ def counts(table: Table, values: Values, checks: list[Check]) -> list[int]:
     stages run side by side."""
     parts = []
     for entries in _scans(checks):
-        counted = [F.count_if(c.hit).alias(f"n{i}") for i, c in entries]
-        pairs = [F.struct(F.lit(i).alias("check"), F.col(f"n{i}").alias("n")) for i, _ in entries]
-        parts.append(_under(table, values, entries).agg(*counted).select(F.inline(F.array(*pairs))))
+        counted = [f"count_if({c.hit}) AS n{i}" for i, c in entries]
+        pairs = ", ".join(f"named_struct('check', {i}, 'n', n{i})" for i, _ in entries)
+        parts.append(_under(table, values, entries).selectExpr(*counted).selectExpr(f"inline(array({pairs}))"))
     for c, numbers in _shared_groups(checks):
         if c.kind == "copies":
             total = G.later_copies_count(table)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import any_of, quote
+from plumbline.functions.scalars import quote
 from plumbline.rules import SEVERITIES
 
 SUMMARY_GROUPS = ("severity", "issue_type", "source", "column")
@@ -19,9 +21,8 @@ def search(frame: DataFrame, term: str) -> DataFrame:
     if not term:
         return frame
     needle = F.lit(term.lower())
-    return frame.where(
-        any_of([F.coalesce(F.lower(F.col(quote(c)).cast("string")).contains(needle), F.lit(False)) for c in frame.columns])
-    )
+    hits = [F.coalesce(F.lower(F.col(quote(c)).cast("string")).contains(needle), F.lit(False)) for c in frame.columns]
+    return frame.where(reduce(operator.or_, hits))
 
 
 def select_rows(frame: DataFrame, chosen: Mapping[str, Iterable[Any]]) -> DataFrame:

@@ -44,7 +44,7 @@ class Measure:
 
 def _number(c: ColumnInfo) -> Column:
     """Decimals are summed as decimals, which is exact whatever the order of partitions."""
-    return c.cell if isinstance(c.dtype, (T.DecimalType, T.IntegralType)) else to_number(c.cell, c.dtype)
+    return c.cell if isinstance(c.dtype, (T.DecimalType, T.IntegralType)) else F.expr(to_number(c.ref, c.dtype))
 
 
 def aggregate(table: Table, a: Aggregate) -> Column:
@@ -101,7 +101,7 @@ def measure_by_time(
 ) -> DataFrame:
     """A measure per period of the date column ``m.group_by``."""
     c = table.find(m.group_by)
-    period = F.date_trunc(grain, to_timestamp(c.ref, c.dtype, pattern)).cast("timestamp_ntz")
+    period = F.date_trunc(grain, F.expr(to_timestamp(c.ref, c.dtype, pattern))).cast("timestamp_ntz")
     return table.df.groupBy(period.alias(c.name)).agg(_ratio(table, m).alias(value_name))
 
 

@@ -129,78 +129,80 @@ def date_patterns(table: Table, samples: dict[str, list[str]]) -> dict[str, str
         return {}
     first = [(c.ref, samples[c.ref][0]) for c in texts]
     rows = table.spark.createDataFrame(first, "ref string, v string")
-    rows = rows.withColumn("p", S.date_pattern("v"))
+    rows = rows.withColumn("p", F.expr(S.date_pattern("v")))
     return {r.ref: r.p for r in rows.where(F.try_to_timestamp("v", F.col("p")).isNotNull()).collect()}
 
 
 # --- scan ------------------------------------------------------------------------------------
 
 
-def _statistics(c: ColumnInfo) -> dict[str, Column]:
-    v = c.cell
-    out = {"nn": F.count(v)}
+def _statistics(c: ColumnInfo) -> dict[str, str]:
+    v = c.ref
+    out = {"nn": f"count({v})"}
     if c.kind == "number":
-        n = v.cast("double")
-        out |= {"min": F.min(n), "max": F.max(n), "mean": F.avg(n), "std": F.stddev_samp(n)}
+        n = f"CAST({v} AS DOUBLE)"
+        out |= {"min": f"min({n})", "max": f"max({n})", "mean": f"avg({n})", "std": f"stddev_samp({n})"}
     elif c.kind == "text":
-        size = F.char_length(v)
-        out |= {"minlen": F.min(size), "maxlen": F.max(size), "chars": F.sum(size)}
+        size = f"char_length({v})"
+        out |= {"minlen": f"min({size})", "maxlen": f"max({size})", "chars": f"sum({size})"}
     elif c.kind == "time":
-        t = v.cast("timestamp_ntz")
-        out |= {"mindate": F.min(t), "maxdate": F.max(t)}
+        t = f"CAST({v} AS TIMESTAMP_NTZ)"
+        out |= {"mindate": f"min({t})", "maxdate": f"max({t})"}
     return out
 
 
-def _patterns(c: ColumnInfo, pattern: str | None) -> tuple[dict[str, Column], dict[str, Column]]:
-    """(values prepared once per row, counts over them) for the type detectors of one column."""
+def _patterns(c: ColumnInfo, pattern: str | None) -> tuple[dict[str, str], ...]:
+    """(values prepared once per row, values prepared from those, counts over both) for the type detectors
+    of one column."""
     if c.kind in ("other", "flag"):
-        return {}, {}
-    v, r = c.cell, c.ref
+        return {}, {}, {}
+    v = c.ref
     if c.kind == "time":
-        return {}, {"ts": F.count(v), "midnight": F.count_if(S.is_midnight(v.cast("timestamp")))}
+        midnight = S.is_midnight(f"CAST({v} AS TIMESTAMP)")
+        return {}, {}, {"ts": f"count({v})", "midnight": f"count_if({midnight})"}
     if S.is_integral(c.dtype):
         # Only long positive numbers read as phone numbers, and only 0 and 1 as booleans.
-        phone = (v >= 10**9) & S.is_phone(v.cast("string"))
-        pair = F.when(v.isin(0, 1), 1 << S.BOOLEAN_PAIRS.index(("1", "0"))).otherwise(0)
-        return {}, {"phone": F.count_if(phone), "pairs": F.bit_and(F.when(v.isNotNull(), pair))}
+        phone = f"{v} >= 1000000000 AND {S.is_phone(f'CAST({v} AS STRING)')}"
+        bit = 1 << S.BOOLEAN_PAIRS.index(("1", "0"))
+        pair = f"CASE WHEN {v} IN (0, 1) THEN {bit} WHEN {v} IS NOT NULL THEN 0 END"
+        return {}, {}, {"phone": f"count_if({phone})", "pairs": f"bit_and({pair})"}
+    text, num, ts, pnum = (f"{v}_{k}" for k in ("text", "num", "ts", "pnum"))
     if c.kind == "number":
-        text, num = v.cast("string"), F.col(f"{r}_num")
-        pair = S.boolean_pair(text) if isinstance(c.dtype, T.DecimalType) else F.lit(0)
-        return {"num": v.cast("double")}, {
-            "phone": F.count_if(S.is_phone(text)),
-            "pairs": F.bit_and(F.when(v.isNotNull(), pair)),
-            "num": F.count(num),
-            "whole": F.count_if(num % 1 == 0),
-            "cents": F.count_if((num * 100) % 1 == 0),
-            "currency": F.count_if(num.between(0, 1000) & S.is_currency(text)),
-            "pnum": F.count(num),
-            "pin": F.count_if(num.between(0, 100)),
+        pair = S.boolean_pair(text) if isinstance(c.dtype, T.DecimalType) else "0"
+        return {"text": f"CAST({v} AS STRING)", "num": f"CAST({v} AS DOUBLE)"}, {}, {
+            "phone": f"count_if({S.is_phone(text)})",
+            "pairs": f"bit_and(CASE WHEN {v} IS NOT NULL THEN {pair} END)",
+            "num": f"count({num})",
+            "whole": f"count_if({num} % 1 = 0)",
+            "cents": f"count_if(({num} * 100) % 1 = 0)",
+            "currency": f"count_if({num} BETWEEN 0 AND 1000 AND {S.is_currency(text)})",
+            "pnum": f"count({num})",
+            "pin": f"count_if({num} BETWEEN 0 AND 100)",
         }
-    text, num, ts, pnum = (F.col(f"{r}_{k}") for k in ("text", "num", "ts", "pnum"))
-    marked = F.contains(v, F.lit("%"))
-    stripped = S.strip(v)
-    number = S.text_number(stripped)
+    unmarked = S.to_number(f"rtrim('%', {v})", c.dtype)
     prepared = {
-        "text": stripped,
-        "num": number,
-        "ts": S.to_timestamp(r, c.dtype, pattern),
-        "pnum": F.when(F.endswith(v, F.lit("%")), S.to_number(F.rtrim(v, F.lit("%")), c.dtype)).otherwise(number),
+        "text": S.strip(v),
+        "ts": S.to_timestamp(v, c.dtype, pattern),
     }
-    return prepared, {
-        "email": F.count_if(S.is_email(text)),
-        "url": F.count_if(S.is_url(text)),
-        "phone": F.count_if(S.is_phone(text)),
-        "pairs": F.bit_and(F.when(v.isNotNull(), S.boolean_pair(text))),
-        "ts": F.count(ts),
-        "midnight": F.count_if(S.is_midnight(ts)),
-        "num": F.count(num),
-        "whole": F.count_if(num % 1 == 0),
-        "cents": F.count_if((num * 100) % 1 == 0),
-        "currency": F.count_if(S.is_currency(text)),
-        "marked": F.count_if(marked),
-        "percent": F.count_if(S.is_percent(text)),
-        "pnum": F.count(pnum),
-        "pin": F.count_if(pnum.between(0, 100)),
+    numbers = {
+        "num": S.text_number(text),
+        "pnum": f"CASE WHEN endswith({v}, '%') THEN {unmarked} ELSE {S.text_number(text)} END",
+    }
+    return prepared, numbers, {
+        "email": f"count_if({S.is_email(text)})",
+        "url": f"count_if({S.is_url(text)})",
+        "phone": f"count_if({S.is_phone(text)})",
+        "pairs": f"bit_and(CASE WHEN {v} IS NOT NULL THEN {S.boolean_pair(text)} END)",
+        "ts": f"count({ts})",
+        "midnight": f"count_if({S.is_midnight(ts)})",
+        "num": f"count({num})",
+        "whole": f"count_if({num} % 1 = 0)",
+        "cents": f"count_if(({num} * 100) % 1 = 0)",
+        "currency": f"count_if({S.is_currency(text)})",
+        "marked": f"count_if(contains({v}, '%'))",
+        "percent": f"count_if({S.is_percent(text)})",
+        "pnum": f"count({pnum})",
+        "pin": f"count_if({pnum} BETWEEN 0 AND 100)",
     }
 
 
@@ -221,16 +223,18 @@ def scan(table: Table, patterns: dict[str, str | None] | None, columns=None) ->
     columns = list(table.columns) if columns is None else columns
     plans = {}
     for c in columns:
-        prepared, counts = ({}, {}) if patterns is None else _patterns(c, patterns.get(c.ref))
-        plans[c.ref] = (prepared, _statistics(c) | counts)
+        *prepared, counts = ({}, {}, {}) if patterns is None else _patterns(c, patterns.get(c.ref))
+        plans[c.ref] = (*prepared, _statistics(c) | counts)
+
+    def named(chunk: list[ColumnInfo], part: int) -> list[str]:
+        return [f"{e} AS {c.ref}_{k}" for c in chunk for k, e in plans[c.ref][part].items()]
 
     def run(chunk: list[ColumnInfo]):
-        prepared = [e.alias(f"{c.ref}_{k}") for c in chunk for k, e in plans[c.ref][0].items()]
-        counts = [e.alias(f"{c.ref}_{k}") for c in chunk for k, e in plans[c.ref][1].items()]
-        row = table.df.select(*[c.cell for c in chunk], *prepared).agg(*counts).first()
-        return {c.ref: {k: row[f"{c.ref}_{k}"] for k in plans[c.ref][1]} for c in chunk}
+        prepared = table.df.selectExpr(*[c.ref for c in chunk], *named(chunk, 0))
+        row = prepared.selectExpr("*", *named(chunk, 1)).selectExpr(*named(chunk, 2)).first()
+        return {c.ref: {k: row[f"{c.ref}_{k}"] for k in plans[c.ref][2]} for c in chunk}
 
-    chunks = _chunks(columns, lambda c: len(plans[c.ref][1]) + 2)
+    chunks = _chunks(columns, lambda c: len(plans[c.ref][2]) + 2)
     out: dict[str, dict[str, Any]] = {}
     for part in together(table.spark, *[lambda chunk=chunk: run(chunk) for chunk in chunks]):
         out |= part

@@ -54,8 +54,8 @@ def _counted(table: Table, m: Metric) -> Column:
     if m.kind == "missing":
         return F.count_if(c.cell.isNull())
     if m.kind == "blank":
-        return F.count_if(S.strip(c.cell.cast("string")) == "")
-    n = S.to_number(c.cell, c.dtype)
+        return F.expr(f"count_if({S.strip(f'CAST({c.ref} AS STRING)')} = '')")
+    n = F.expr(S.to_number(c.ref, c.dtype))
     return F.count_if((n < m.low) | (n > m.high))
 
 

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.scalars import strip, text_number
+from plumbline.functions.scalars import literal, strip, to_number
 from plumbline.sources.tables import ROW, Table, as_table
 
 # Texts read as missing.
@@ -138,22 +139,18 @@ def _is_too_long(width: int) -> Column:
 def infer_types(frame: DataFrame, cells: Sequence[str]) -> tuple[dict[str, str], int, bool]:
     """bigint, double, boolean or string for each text column: the narrowest type all its values have.
     The same pass counts the rows and looks for records with more fields than the header."""
-    tests = [
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.bool_or(_is_too_long(len(cells))), F.lit(False)).alias("long"),
-    ]
+    long = F.coalesce(F.bool_or(_is_too_long(len(cells))), F.lit(False)).alias("long")
+    words = ", ".join(literal(b) for b in BOOLEANS)
+    tests = []
     for c in cells:
-        v = F.col(c)
-        present = v.isNotNull()
-        text = strip(v)
-        whole = v.rlike(INTEGER) & text.try_cast("bigint").isNotNull()
+        whole = f"{c} RLIKE r'{INTEGER}' AND try_cast({strip(c)} AS BIGINT) IS NOT NULL"
         tests += [
-            F.count_if(present & ~whole).alias(f"{c}_int"),
-            F.count_if(present & text_number(text).isNull()).alias(f"{c}_num"),
-            F.count_if(present & ~v.isin(*BOOLEANS)).alias(f"{c}_bool"),
-            F.count(v).alias(f"{c}_n"),
+            f"count_if({c} IS NOT NULL AND NOT ({whole})) AS {c}_int",
+            f"count_if({c} IS NOT NULL AND ({to_number(c, T.StringType())}) IS NULL) AS {c}_num",
+            f"count_if({c} NOT IN ({words})) AS {c}_bool",
+            f"count({c}) AS {c}_n",
         ]
-    row = frame.agg(*tests).first()
+    row = frame.agg(F.count(F.lit(1)).alias("n"), long, *[F.expr(t) for t in tests]).first()
     out = {}
     for c in cells:
         if row[f"{c}_n"] == 0:
@@ -199,7 +196,7 @@ def load_csv(
     typed = []
     for c, name in zip(cells, names):
         v = F.col(c)
-        value = v if kinds[c] == "string" else strip(v).try_cast(kinds[c])
+        value = v if kinds[c] == "string" else F.expr(f"try_cast({strip(c)} AS {kinds[c]})")
         typed.append(value.alias(name))
     if row_key is not None:
         return as_table(frame.select(*typed), row_key)
