@@ -18,8 +18,8 @@ from workload.queries import QUERIES
 
 HEADLINE = [
     "profile_dates", "detect_pattern_counts", "q_missing", "q_duplicate_rows", "q_duplicate_ids", "q_emails", "q_dates",
-    "q_numeric", "r_comparison", "r_referential", "r_late_orders", "r_known_parts", "issue_tally", "score_dimensions",
-    "kpi_values", "kpi_by_month", "kpi_by_dimension", "reconcile_grouped", "eval_precision_recall",
+    "q_numeric", "r_comparison", "r_referential", "r_known_parts", "score_dimensions", "kpi_values", "kpi_by_month",
+    "kpi_by_dimension", "eval_precision_recall",
 ]
 REPEATS = 3
 

@@ -104,6 +104,18 @@ def part_limit(n_rows: int, part_rows: int = PART_ROWS) -> int:
     return max(part_rows, -(-n_rows // LARGE_GROUPS))
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame written once to the folder the cluster names in spark.checkpoint.dir, for a result that
+    is used several times and costly to derive. Without such a folder it is derived at each use."""
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return frame
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return frame.checkpoint()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, n_rows: int, part_rows: int = PART_ROWS) -> DataFrame:
     """Rows joined to the groups they belong to (``groups`` carries its size ``n``); no task receives
     more than about ``part_limit`` rows of one group."""
@@ -111,6 +123,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, n_rows: int, part_rows: int
     limit = part_limit(n_rows, part_rows)
     if n_rows <= limit:
         return rows.join(groups, keys)
+    groups = settled(groups)
     # Hashing the keys bounds what is broadcast. Both sides use the same hash, so keys that share one
     # are merely split alike.
     key_hash = F.xxhash64(*keys).alias("key_hash")

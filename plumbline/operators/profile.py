@@ -109,10 +109,13 @@ def first_values(table: Table, n: int = SAMPLES, head_rows: int = HEAD_ROWS) ->
     found = {c.ref: [r[c.ref] for r in head if r[c.ref] is not None][:n] for c in table.columns}
     if len(head) < head_rows:
         return found
-    for c in table.columns:
-        if len(found[c.ref]) < n:
-            top = table.df.select(ROW, _as_text(c).alias("v")).where("v IS NOT NULL").orderBy(ROW).limit(n)
-            found[c.ref] = [r.v for r in top.collect()]
+
+    def top(c: ColumnInfo) -> list[str]:
+        present = table.df.select(ROW, _as_text(c).alias("v")).where("v IS NOT NULL")
+        return [r.v for r in present.orderBy(ROW).limit(n).collect()]
+
+    sparse = [c for c in table.columns if len(found[c.ref]) < n]
+    found |= zip([c.ref for c in sparse], together(table.spark, *[lambda c=c: top(c) for c in sparse]))
     return found
 
 
@@ -252,10 +255,12 @@ def medians(table: Table, counts: dict[str, int], limit: int = MEDIAN_ROWS) -> d
     if small:
         row = table.df.agg(*[F.median(c.cell.cast("double")).alias(c.ref) for c in small]).first()
         out |= {c.ref: row[c.ref] for c in small}
-    for c in numeric:
-        if counts[c.ref] > limit:
-            out[c.ref] = _large_median(table.df.select(c.cell.cast("double").alias("v")), counts[c.ref], limit)
-    return out
+    large = [c for c in numeric if counts[c.ref] > limit]
+
+    def middle(c: ColumnInfo) -> float:
+        return _large_median(table.df.select(c.cell.cast("double").alias("v")), counts[c.ref], limit)
+
+    return out | dict(zip([c.ref for c in large], together(table.spark, *[lambda c=c: middle(c) for c in large])))
 
 
 def _large_median(values: DataFrame, n: int, limit: int) -> float:
@@ -327,6 +332,11 @@ def profile(
 
     ``exact_distinct=False`` swaps the distinct shuffle for a HyperLogLog sketch of each column.
     """
+    with table.held() as held:
+        return _profile(held, detect, exact_distinct, median_limit)
+
+
+def _profile(table: Table, detect: bool, exact_distinct: bool, median_limit: int) -> Profile:
     n = table.n_rows
     samples = first_values(table)
     patterns = date_patterns(table, samples) if detect else None

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -84,6 +85,8 @@ class Table:
         """This table spread over the cores and held in memory (or on disk) if the optimizer's size
         estimate is small, so that the passes of an analysis do not read and derive it again. A larger
         table is returned as it is: each pass reads just the columns it needs from the source."""
+        if self.df.is_cached:
+            return self
         size = self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         if size > limit:
             return self
@@ -93,6 +96,16 @@ class Table:
     def release(self) -> None:
         self.df.unpersist()
 
+    @contextmanager
+    def held(self) -> Iterator[Table]:
+        """This table, kept in memory for the duration if it is small and not kept already."""
+        table = self.kept()
+        try:
+            yield table
+        finally:
+            if table is not self:
+                table.release()
+
     def original(self) -> DataFrame:
         """The data columns under their own names."""
         return self.df.select(*[c.cell.alias(c.name) for c in self.columns])

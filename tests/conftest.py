@@ -9,8 +9,9 @@ from plumbline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "4g", spark__sql__shuffle__partitions="4")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(4, "4g", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=folder)
     yield session
     session.stop()
 

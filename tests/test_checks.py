@@ -224,16 +224,29 @@ def test_copies_with_a_text_key(spark, part_rows):
     assert sorted(r["__row"] for r in G.later_copies(t, part_rows).collect()) == sorted(later)
 
 
-def test_no_part_of_a_hot_group_exceeds_the_limit(spark):
+def test_parts_of_a_hot_group_stay_under_the_limit(spark):
     t, rows = skewed(spark)
     values = G.value_rows(t.columns[0], t)
     joined = G.join_groups(values, G.sizes(values).where("n > 1"), t.n_rows, 50)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "part#" in plan and "key_hash" in plan
     assert joined.count() == len(brute_force(rows)[1])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in plan and "LogicalRDD" in plan  # split by part, group sizes computed once
     assert G.part_limit(10**12) == 10**7 and 10**12 // G.part_limit(10**12) <= G.LARGE_GROUPS
 
 
+def test_reference_check_aggregates_before_a_large_join(spark):
+    """With a parent too large to broadcast, child rows are reduced to distinct values first."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t, _ = skewed(spark)
+        rows, parents = G._reference_sides(t, t.columns[0], spark.range(10).toDF("id"), "bigint")
+        plan = G._orphan_groups(rows, parents)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lstrip().startswith("Join LeftAnti")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["a", " ", "", None, "7", "a@b.co"]), st.sampled_from([None, 0.0, 1.5, -3.0, float("nan")])), max_size=14))
 def test_counts_equal_listed_issues_whatever_the_data(spark, rows):
