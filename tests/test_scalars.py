@@ -22,7 +22,8 @@ def evaluate(spark):
 
 
 def test_strip_removes_what_python_removes(evaluate):
-    values = ["a", " a ", "\ta\n", " a ", "\x1ca\x1f", "", "   ", "a b", "　", "é", "á", None]
+    values = ["a", " a ", "\ta\n", "\u2003a\xa0", "\x1ca\x1f", "", "   ", "a b", "\u3000", "\xe9", "\xe1 ", None]
+    values += [f"{ch}x{ch}" for ch in S.WHITESPACE]
     assert evaluate(S.strip("v"), values) == [None if v is None else v.strip() for v in values]
 
 
@@ -34,7 +35,7 @@ def test_numbers(evaluate):
 
 
 def test_lenient_numbers(evaluate):
-    good = ["$100.00", "$2,500.50", "45%", "€ 3", "nan", " 7 ", "-1"]
+    good = ["$100.00", "$2,500.50", "45%", "\u20ac 3", "nan", " 7 ", "-1"]
     bad = ["abc", "", "-", ".", "-.", "$", "12x"]
     assert evaluate(S.is_lenient_number(f"({S.strip('v')})"), good + bad) == [True] * len(good) + [False] * len(bad)
 
