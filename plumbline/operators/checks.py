@@ -521,8 +521,9 @@ def issues(table: Table, values: Values, checks: list[Check], part_rows: int = G
     if not checks:
         return table.spark.createDataFrame([], ISSUE_SCHEMA)
     # The texts travel as one literal that the optimizer parses once.
-    fields = ", ".join(f"`{k}` string" for k in checks[0].texts())
-    catalogue = F.from_json(F.lit(json.dumps([c.texts() for c in checks])), f"array<struct<{fields.replace(' string', ': string')}>>")
+    fields = ", ".join(f"`{k}`: string" for k in checks[0].texts())
+    rows = json.dumps([c.texts() for c in checks])
+    catalogue = F.from_json(F.lit(rows), f"array<struct<{fields}>>")
     texts = F.element_at(catalogue, F.col("check") + 1)
     described = all_hits.select("row_index", "actual_value", texts.alias("t")).select(
         "row_index", "actual_value", "t.*"

@@ -50,7 +50,8 @@ def count_by(frame: DataFrame, column: str) -> DataFrame:
 def severity_counts(tally: DataFrame) -> DataFrame:
     """Issues per severity, zeros included, most severe first."""
     found = tally.groupBy("severity").agg(F.sum("n").alias("n"))
-    levels = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(s).alias("severity")) for i, s in enumerate(reversed(SEVERITIES))])
+    ranked = enumerate(reversed(SEVERITIES))
+    levels = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(s).alias("severity")) for i, s in ranked])
     return (
         tally.sparkSession.range(1, numPartitions=1)
         .select(F.inline(levels))

@@ -135,7 +135,8 @@ def reconcile(claimed: DataFrame, actual: DataFrame) -> DataFrame:
 def reconcile_grouped(claimed: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Per-group values against claimed ones; both frames are ``keys`` plus claimed / actual. Groups are
     brought together by one shuffle of already aggregated rows, so NULL keys meet as well."""
-    left = claimed.select(*keys, F.col("claimed").cast("string").alias("claimed"), F.lit(None).cast("string").alias("actual"))
-    right = actual.select(*keys, F.lit(None).cast("string").alias("claimed"), F.col("actual").cast("string").alias("actual"))
-    both = left.unionByName(right).groupBy(*keys).agg(F.max("claimed").alias("claimed"), F.max("actual").alias("actual"))
+    left = claimed.select(*keys, F.col("claimed").cast("string"))
+    right = actual.select(*keys, F.col("actual").cast("string"))
+    both = left.unionByName(right, allowMissingColumns=True).groupBy(*keys)
+    both = both.agg(F.max("claimed").alias("claimed"), F.max("actual").alias("actual"))
     return _status(both, keys, F.lit(True))

@@ -186,7 +186,8 @@ def score_recommendations(
     )
     # Types may share one advice and count; such a line is given once, in the place of the first.
     lines = top.groupBy("recommendation").agg(F.max("n").alias("n"), F.min("issue_type").alias("issue_type"))
-    clean = F.array(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit("").alias("issue_type"), F.lit(remark).alias("recommendation")))
+    line = {"n": F.lit(0).cast("bigint"), "issue_type": F.lit(""), "recommendation": F.lit(remark)}
+    clean = F.array(F.struct(*[v.alias(k) for k, v in line.items()]))
     gathered = lines.agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "issue_type", "recommendation"))).alias("found")
     )
