@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, text_slices, unused
+from plumbline.llm.common import cut, ship, text_slices, unused
 from plumbline.llm.textnum import U, distinct, shingles
 
 WIDTH = 5
@@ -144,6 +144,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
     repeated items count once. Other columns are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint"
     found = [source.mapInArrow(_search(spark.sparkContext.broadcast(b), width), schema) for b in _blocks(items, width)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, text_of, words_of
+from plumbline.llm.common import cut, ship, text_of, words_of
 from plumbline.llm.textnum import U, mix
 
 SHARE = 1.5  # of all sizes
@@ -105,6 +105,7 @@ def _round(level: int, last: bool):
 
 def _decisions(docs: DataFrame) -> DataFrame:
     """Copies of every distinct (doc_id, source, size): columns doc_id, source, size, times, source_size, target, copies."""
+    ship(docs.sparkSession)
     words = F.size(words_of(text_of("text"))).cast("bigint")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
     units = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, text_slices, unused
+from plumbline.llm.common import cut, ship, text_slices, unused
 from plumbline.llm.textnum import U, distinct, mix, randoms, shingles
 
 WIDTH = 5
@@ -149,6 +149,7 @@ def near_duplicates(
     and are all returned. A row without doc_id can't be named: it is linked with nothing, its component_id is null and
     it is kept. Other columns of ``docs`` are not read.
     """
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(
         source.mapInArrow(

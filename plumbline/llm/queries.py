@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, mixing, near_dup, quality, shards
+from plumbline.llm import chat, decontaminate, html_blocks, mixing, near_dup, quality, secrets, shards, suffix_tree, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +19,30 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.with_hostile(read(spark, sf_dir, "conversations")))
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(read(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(read(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"))
+
+
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
@@ -32,9 +52,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_minmax_dedup": op1_minmax_dedup,
-    "op2_decontaminate": op2_decontaminate,
-    "op4_histogram_shards": op4_histogram_shards,
-    "op9_pivotal_mix": op9_pivotal_mix,
-    "op10_quality_rules": op10_quality_rules,
-}
+    f.__name__: f
+    for f in (
+        op1_minmax_dedup, op2_decontaminate, op3_chat_format, op4_histogram_shards, op5_html_blocks, op6_secret_scan, op7_suffix_tree, op8_warc,
+        op9_pivotal_mix, op10_quality_rules,
+    )
+}
