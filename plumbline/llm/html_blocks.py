@@ -153,7 +153,7 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
     sign = np.where(hashes >> U(63), 1.0, -1.0)
     bag = np.bincount(block * WORD_DIM + (hashes % U(WORD_DIM)).astype(np.int64), weights=sign, minlength=len(blocks) * WORD_DIM)
     counts = np.maximum(np.diff(at), 1)
-    bag = bag.reshape(len(blocks), WORD_DIM) / np.sqrt(counts)[:, None] * 0.3
+    bag = np.clip(bag.reshape(len(blocks), WORD_DIM) / np.sqrt(counts)[:, None] * 0.3, -1, 1)
     size = np.array([len(b[0]) for b in blocks], float)
     share = np.array([b[2] for b in blocks]) / np.maximum(size, 1)
     place = np.arange(len(blocks)) / max(len(blocks) - 1, 1)
