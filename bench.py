@@ -26,7 +26,7 @@ REPEATS = 3
 
 def full_pipeline(spark, sf):
     """Everything the analysis of dirty_orders yields, issue rows included."""
-    report = analyze(V.dirty_orders(spark, sf), "row_key", rules=V.RULES, parents={"customer": V.read(spark, sf, "customer")})
+    report = analyze(V.dirty_orders(spark, sf), "row_key", rules=V.RULES, parents={"customer": V.read(spark, sf, "customer")}, keep=True, key_is_data=False)
     report.overall.collect()
     report.issues.write.format("noop").mode("overwrite").save()
     report.close()
@@ -39,7 +39,7 @@ def small_table(spark, sf):
         "CAST(date_add(DATE'2023-01-01', CAST(id AS INT)) AS TIMESTAMP_NTZ) AS date",
         "IF(id % 100 = 0, 'invalid', concat('user', id, '@example.com')) AS email",
     )
-    report = analyze(frame, "rid")
+    report = analyze(frame, "rid", keep=True, key_is_data=False)
     report.overall.collect()
     report.issues.write.format("noop").mode("overwrite").save()
     report.close()

@@ -14,13 +14,17 @@ from __future__ import annotations
 
 import json
 import logging
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import scalars as S
 from plumbline.operators import groups as G
@@ -180,8 +184,22 @@ def _number(value: float) -> str:
     return f"CAST('{value}' AS DOUBLE)"
 
 
+def _is_time_of(values: Iterable[Any], c: ColumnInfo) -> str:
+    """Membership of a date or timestamp column: members are dates, datetimes or ISO texts; a date means its midnight."""
+    members = []
+    for v in values:
+        try:
+            moment = datetime.fromisoformat(v) if isinstance(v, str) else v if isinstance(v, datetime) else datetime(v.year, v.month, v.day)
+        except (ValueError, AttributeError):
+            continue
+        members.append(f"TIMESTAMP_NTZ'{moment.isoformat(sep=' ')}'")
+    return f"coalesce(CAST({c.ref} AS TIMESTAMP_NTZ) IN ({', '.join(members)}), false)" if members else "false"
+
+
 def _is_value_of(values: Iterable[Any], c: ColumnInfo) -> str:
     """Membership without any type coercion: only members of the column's own class can match."""
+    if c.kind == "time":
+        return _is_time_of(values, c)
     classes = {"number": (int, float), "text": (str,), "flag": (bool,)}.get(c.kind, ())
     same = [v for v in values if isinstance(v, classes) and (c.kind == "flag" or not isinstance(v, bool))]
     if not same:
@@ -195,9 +213,20 @@ def _is_value_of(values: Iterable[Any], c: ColumnInfo) -> str:
     return f"coalesce({c.ref} IN ({', '.join(members)}), false)"
 
 
+def _is_exact(c: ColumnInfo) -> bool:
+    return isinstance(c.dtype, (T.IntegralType, T.DecimalType))
+
+
+def _exact(value: float) -> str:
+    """A bound as a decimal literal; its digits are those that Python shows."""
+    return f"{Decimal(repr(value)):f}BD"
+
+
 def _outside(values: Values, c: ColumnInfo, low: float | None, high: float | None) -> str:
-    n = values.number(c)
-    tests = ([f"{n} < {_number(low)}"] if low is not None else []) + ([f"{n} > {_number(high)}"] if high is not None else [])
+    """Whole and decimal columns are compared in their own type: a double can't tell 2^53 from 2^53 + 1."""
+    finite = all(b is None or math.isfinite(b) for b in (low, high))
+    n, bound = (c.ref, _exact) if _is_exact(c) and finite else (values.number(c), _number)
+    tests = ([f"{n} < {bound(low)}"] if low is not None else []) + ([f"{n} > {bound(high)}"] if high is not None else [])
     return f"({' OR '.join(tests)})" if tests else "false"
 
 
@@ -216,7 +245,8 @@ def _pair(a: ColumnInfo, b: ColumnInfo) -> dict[str, Any]:
 
 
 def _broken(values: Values, a: ColumnInfo, b: ColumnInfo, operator: str, as_dates: bool) -> str:
-    left, right = (values.timestamp(c) if as_dates else values.number(c) for c in (a, b))
+    exact = not as_dates and G.exact_type(a.dtype, b.dtype)
+    left, right = (values.timestamp(c) if as_dates else f"CAST({c.ref} AS {exact})" if exact else values.number(c) for c in (a, b))
     return f"({left} IS NOT NULL AND {right} IS NOT NULL AND NOT ({left} {operator} {right}))"
 
 

@@ -21,7 +21,11 @@ LARGE_GROUPS = 100_000
 
 
 def hashable(info: ColumnInfo) -> Column:
-    """A cell in a form the hash functions take (they refuse maps)."""
+    """A cell in a form the hash functions take. They refuse maps, skip NULLs inside nested cells and do not tell where an
+    inner array ends, so nested cells are hashed as JSON text, in which all of this shows."""
+
+    def written(cell: Column) -> Column:
+        return F.when(info.cell.isNotNull(), F.to_json(F.struct(cell.alias("v")), {"ignoreNullFields": "false"}))
 
     def has_map(t: T.DataType) -> bool:
         if isinstance(t, T.MapType):
@@ -31,9 +35,9 @@ def hashable(info: ColumnInfo) -> Column:
         return isinstance(t, T.StructType) and any(has_map(f.dataType) for f in t.fields)
 
     if isinstance(info.dtype, T.MapType):
-        entries = F.array_sort(F.map_entries(info.cell))
-        return F.to_json(entries) if has_map(info.dtype.valueType) else entries
-    return F.to_json(info.cell) if has_map(info.dtype) else info.cell
+        cell = F.map_entries(info.cell)
+        return written(cell if has_map(info.dtype.valueType) else F.array_sort(cell))
+    return written(info.cell) if isinstance(info.dtype, (T.ArrayType, T.StructType)) else info.cell
 
 
 def _row_fingerprint(columns: list[ColumnInfo]) -> list[Column]:
@@ -88,8 +92,10 @@ def row_copies(table: Table) -> DataFrame:
 
 
 def value_rows(info: ColumnInfo, table: Table) -> DataFrame:
-    """(k0, __row): every non-null value of a column."""
-    return table.df.select(hashable(info).alias("k0"), ROW).where(F.col("k0").isNotNull())
+    """(k0, k1, __row): two hashes of every non-null value of a column, 16 bytes however long the value."""
+    value = hashable(info)
+    keys = [F.xxhash64(value).alias("k0"), F.xxhash64(F.lit(1), value).alias("k1")]
+    return table.df.where(info.cell.isNotNull()).select(*keys, ROW)
 
 
 def sizes(rows: DataFrame, first_row: bool = False) -> DataFrame:
@@ -173,24 +179,39 @@ def later_copies_count(table: Table) -> DataFrame:
 
 
 def repeated_values(table: Table, info: ColumnInfo, part_rows: int = PART_ROWS) -> DataFrame:
-    """(__row, k0) of every row whose value occurs more than once."""
+    """(__row, k0) of every row whose value occurs more than once. Rows are found by hashes; only then are the values of
+    the flagged rows fetched, so that a column of long texts is not shuffled to find its few repeats."""
     rows = value_rows(info, table)
-    return join_groups(rows, sizes(rows).where("n > 1"), table.n_rows, part_rows).select(ROW, "k0")
+    if _is_fixed_width(info.dtype):
+        rows = table.df.where(info.cell.isNotNull()).select(info.cell.alias("k0"), ROW)
+        return join_groups(rows, sizes(rows).where("n > 1"), table.n_rows, part_rows).select(ROW, "k0")
+    flagged = join_groups(rows, sizes(rows).where("n > 1"), table.n_rows, part_rows).select(ROW).distinct()
+    return table.df.select(ROW, hashable(info).alias("k0")).where("k0 IS NOT NULL").join(flagged, ROW, "left_semi").select(ROW, "k0")
 
 
 def repeated_values_count(table: Table, info: ColumnInfo) -> DataFrame:
-    groups = sizes(value_rows(info, table)).where("n > 1")
+    groups = sizes(value_rows(info, table).drop(ROW)).where("n > 1")
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def exact_type(*dtypes: T.DataType) -> str | None:
+    """A type that holds all values of whole and decimal types exactly; None if a type is floating or none is wide enough."""
+    if all(isinstance(d, T.IntegralType) for d in dtypes):
+        return "bigint"
+    if not all(isinstance(d, (T.IntegralType, T.DecimalType)) for d in dtypes):
+        return None
+    scale = max(d.scale for d in dtypes if isinstance(d, T.DecimalType))
+    whole = max(d.precision - d.scale if isinstance(d, T.DecimalType) else 19 for d in dtypes)
+    return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else None
+
+
 def shared_key_type(child_dtype: T.DataType, parent_dtype: T.DataType) -> str | None:
     """Type both sides of a reference compare in; None when their classes differ and nothing can match."""
     a, b = storage_class(child_dtype), storage_class(parent_dtype)
     if a != b or a == "other":
         return None
     if a == "number":
-        both_whole = isinstance(child_dtype, T.IntegralType) and isinstance(parent_dtype, T.IntegralType)
-        return "bigint" if both_whole else "double"
+        return exact_type(child_dtype, parent_dtype) or "double"
     return {"text": "string", "time": "timestamp", "flag": "boolean"}[a]
 
 

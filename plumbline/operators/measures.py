@@ -5,6 +5,7 @@ A measure is a small description compiled straight to an aggregate; its text for
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,23 +86,30 @@ def measure_values(
     return out
 
 
-def _ratio(table: Table, m: Measure) -> Column:
+def ratio(table: Table, m: Measure) -> Column:
     top = aggregate(table, m.top)
     return F.try_divide(top, aggregate(table, m.bottom)) if m.bottom else top
 
 
+def measures_by_column(table: Table, measures: dict[str, Measure], column: str) -> DataFrame:
+    """Several measures per value of a column, one output column each, from one aggregation; partial aggregation keeps a
+    hot value from one task."""
+    c = table.find(column)
+    return table.df.groupBy(c.cell.alias(c.name)).agg(*[ratio(table, m).alias(name) for name, m in measures.items()])
+
+
 def measure_by_column(table: Table, m: Measure, value_name: str = "value") -> DataFrame:
-    """A measure per value of ``m.group_by``; partial aggregation keeps a hot value from one task."""
-    c = table.find(m.group_by)
-    return table.df.groupBy(c.cell.alias(c.name)).agg(_ratio(table, m).alias(value_name))
+    """A measure per value of ``m.group_by``."""
+    return measures_by_column(table, {value_name: m}, m.group_by)
 
 
 def measure_by_time(
-    table: Table, m: Measure, grain: str = "month", pattern: str | None = None, value_name: str = "value"
+    table: Table, m: Measure, grain: str = "month", patterns: Mapping[str, str | None] | None = None, value_name: str = "value"
 ) -> DataFrame:
-    """A measure per period of the date column ``m.group_by``."""
+    """A measure per period of the date column ``m.group_by``. A text column is read with the layout that its profile
+    fixed (``patterns``, by column); it is asked for, because without it 1/2 and 13/2 would fall into different layouts."""
     c = table.find(m.group_by)
-    period = F.date_trunc(grain, F.expr(to_timestamp(c.ref, c.dtype, pattern))).cast("timestamp_ntz")
-    return table.df.groupBy(period.alias(c.name)).agg(_ratio(table, m).alias(value_name))
-
-
+    if c.kind == "text" and c.name not in (patterns or {}):
+        raise ValueError(f"the date layout of text column '{c.name}' is needed: pass a profile's date_patterns")
+    period = F.date_trunc(grain, F.expr(to_timestamp(c.ref, c.dtype, (patterns or {}).get(c.name)))).cast("timestamp_ntz")
+    return table.df.groupBy(period.alias(c.name)).agg(ratio(table, m).alias(value_name))

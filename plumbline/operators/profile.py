@@ -10,6 +10,7 @@ Only one row per column reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -29,6 +30,7 @@ SCAN_FIELDS = 45
 MEDIAN_ROWS = 1_000_000
 HEAD_ROWS = 64
 SAMPLES = 5
+PASSES = ("samples", "distinct", "median")
 
 PROFILE_SCHEMA = (
     "name string, ordinal int, storage_type string, total_rows bigint, non_null_count bigint, "
@@ -48,8 +50,8 @@ class ColumnProfile:
     non_null_count: int
     null_count: int
     null_percentage: float
-    unique_count: int
-    unique_percentage: float
+    unique_count: int | None
+    unique_percentage: float | None
     sample_values: list[str] = field(default_factory=list)
     min_value: float | None = None
     max_value: float | None = None
@@ -107,7 +109,7 @@ def first_values(table: Table, n: int = SAMPLES, head_rows: int = HEAD_ROWS) ->
         .collect()
     )
     found = {c.ref: [r[c.ref] for r in head if r[c.ref] is not None][:n] for c in table.columns}
-    if len(head) < head_rows:
+    if len(head) == table.n_rows:
         return found
 
     def top(c: ColumnInfo) -> list[str]:
@@ -249,13 +251,16 @@ def scan(table: Table, patterns: dict[str, str | None] | None, columns=None) ->
 
 def medians(table: Table, counts: dict[str, int], limit: int = MEDIAN_ROWS) -> dict[str, float | None]:
     """Exact median of each numeric column. ``counts`` gives non-null counts by column reference."""
-    numeric = [c for c in table.columns if c.kind == "number" and counts[c.ref]]
+    numeric = [c for c in table.columns if c.kind == "number" and counts.get(c.ref)]
     out: dict[str, float | None] = {}
-    small = [c for c in numeric if counts[c.ref] <= limit]
+    small: list[ColumnInfo] = []
+    for c in sorted(numeric, key=lambda c: counts[c.ref]):  # the bound is on what one task holds of all of them
+        if sum(counts[x.ref] for x in small) + counts[c.ref] <= limit:
+            small.append(c)
     if small:
         row = table.df.agg(*[F.median(c.cell.cast("double")).alias(c.ref) for c in small]).first()
         out |= {c.ref: row[c.ref] for c in small}
-    large = [c for c in numeric if counts[c.ref] > limit]
+    large = [c for c in numeric if c not in small]
 
     def middle(c: ColumnInfo) -> float:
         return _large_median(table.df.select(c.cell.cast("double").alias("v")), counts[c.ref], limit)
@@ -327,37 +332,46 @@ def profile(
     detect: bool = True,
     exact_distinct: bool = True,
     median_limit: int = MEDIAN_ROWS,
+    columns: Sequence[str] | None = None,
+    passes: Collection[str] = PASSES,
 ) -> Profile:
-    """Profile every column; with ``detect`` also gather the evidence for semantic types.
+    """Profile every column, or those named; with ``detect`` also gather the evidence for semantic types.
+
+    ``passes`` leaves out what is not needed: without "samples" there are no sample values (and no detection), without
+    "distinct" and "median" the fields they fill are NULL. Counts, ranges, lengths and dates come from the scan.
 
     ``exact_distinct=False`` swaps the distinct shuffle for a HyperLogLog sketch of each column.
     """
-    with table.held() as held:
-        return _profile(held, detect, exact_distinct, median_limit)
+    if unknown := set(passes) - set(PASSES):
+        raise ValueError(f"unknown passes: {sorted(unknown)}")
+    if columns is not None:
+        table = Table(table.df, tuple(c for c in table.columns if c.name in set(columns)))
+    return _profile(table, detect and "samples" in passes, exact_distinct, median_limit, passes)
 
 
-def _profile(table: Table, detect: bool, exact_distinct: bool, median_limit: int) -> Profile:
+def _profile(table: Table, detect: bool, exact_distinct: bool, median_limit: int, passes: Collection[str]) -> Profile:
     n = table.n_rows
-    samples = first_values(table)
+    samples = first_values(table) if "samples" in passes else {c.ref: [] for c in table.columns}
     patterns = date_patterns(table, samples) if detect else None
-    numeric = {c.ref: n for c in table.columns if c.kind == "number"}
-    if n <= median_limit:
+    numeric = {c.ref: n for c in table.columns if c.kind == "number"} if "median" in passes else {}
+    count_distinct = (lambda: _unique(table, exact_distinct)) if "distinct" in passes else dict
+    if n * max(len(numeric), 1) <= median_limit:  # the values of all columns meet in one task
         stats, unique, middle = together(
             table.spark,
             lambda: scan(table, patterns),
-            lambda: _unique(table, exact_distinct),
+            count_distinct,
             lambda: medians(table, numeric, median_limit),
         )
     else:
         stats, unique = together(
-            table.spark, lambda: scan(table, patterns), lambda: _unique(table, exact_distinct)
+            table.spark, lambda: scan(table, patterns), count_distinct
         )
         middle = medians(table, {r: stats[r]["nn"] for r in numeric}, median_limit)
 
     columns, evidence = [], {}
     for i, c in enumerate(table.columns):
         s = stats[c.ref]
-        nn, u = s["nn"], unique.get(i, 0)
+        nn, u = s["nn"], unique.get(i, 0) if "distinct" in passes else None
         p = ColumnProfile(
             name=c.name,
             ordinal=i,
@@ -367,12 +381,12 @@ def _profile(table: Table, detect: bool, exact_distinct: bool, median_limit: int
             null_count=n - nn,
             null_percentage=(n - nn) / n * 100 if n else 0.0,
             unique_count=u,
-            unique_percentage=u / nn * 100 if nn else 0.0,
+            unique_percentage=None if u is None else u / nn * 100 if nn else 0.0,
             sample_values=samples[c.ref],
         )
         if nn and c.kind == "number":
             p.min_value, p.max_value, p.mean_value = s["min"], s["max"], s["mean"]
-            p.median_value = middle[c.ref]
+            p.median_value = middle.get(c.ref)
             p.std_value = 0.0 if s["std"] is None or s["std"] != s["std"] else s["std"]
         elif nn and c.kind == "text":
             p.min_length, p.max_length, p.avg_length = s["minlen"], s["maxlen"], s["chars"] / nn

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import scalars as S
 from plumbline.operators import groups as G
@@ -55,10 +57,19 @@ def _counted(table: Table, m: Metric) -> Column:
         return F.count_if(c.cell.isNull())
     if m.kind == "blank":
         return F.expr(f"count_if({S.strip(f'CAST({c.ref} AS STRING)')} = '')")
+    if isinstance(c.dtype, (T.IntegralType, T.DecimalType)):
+        return F.expr(f"count_if({c.ref} < {Decimal(repr(m.low)):f}BD OR {c.ref} > {Decimal(repr(m.high)):f}BD)")
     n = F.expr(S.to_number(c.ref, c.dtype))
     return F.count_if((n < m.low) | (n > m.high))
 
 
+def _exact_copies(table: Table) -> int:
+    """Later copies counted over the cells themselves, where the issue rows go by hashes of them."""
+    cells = [G.hashable(c).alias(c.ref) for c in table.columns]
+    groups = table.df.select(*cells).groupBy(*[c.ref for c in table.columns]).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+
+
 def actual_metrics(
     table: Table, metrics: Sequence[Metric], known_distinct: dict[str, int] | None = None
 ) -> DataFrame:
@@ -71,7 +82,7 @@ def actual_metrics(
         found |= dict(zip([m.name for m in local], table.df.agg(*[_counted(table, m) for m in local]).first()))
     for m in metrics:
         if m.kind == "duplicate_rows":
-            found[m.name] = G.later_copies_count(table).first()[0]
+            found[m.name] = _exact_copies(table)
         elif m.kind == "duplicate_ids":
             found[m.name] = G.repeated_values_count(table, table.find(m.column)).first()[0]
     scalar = {

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 
 from plumbline.operators import checks as C
 from plumbline.operators.detect import TypeDetection, detect_types, detections_frame
-from plumbline.operators.kpi import Kpi, defect_rates, kpis_frame, measure_table, recommend_kpis
+from plumbline.operators.kpi import Kpi, defect_rates, grouped_measures, kpis_frame, measure_table, recommend_kpis
 from plumbline.operators.profile import Profile, profile
 from plumbline.operators.reconcile import Metric, actual_metrics, default_metrics
 from plumbline.operators.score import score_dimensions, score_overall, score_recommendations
-from plumbline.sources.tables import Table, as_table, dataset_profile
+from plumbline.sources.tables import Table, as_table, dataset_profile, key_faults
 
 
 @dataclass
@@ -37,6 +37,8 @@ class Report:
     recommendations: DataFrame
     kpis: DataFrame
     measures: DataFrame
+    key_faults: DataFrame
+    grouped: DataFrame
 
     def close(self) -> None:
         """Free the table kept in memory; the result tables stay usable."""
@@ -73,11 +75,12 @@ def analyze(
     review_threshold: float = 0.10,
     min_parse_rate: float = 0.0,
     exact_distinct: bool = True,
-    keep: bool = True,
+    keep: bool = False,
+    key_is_data: bool = True,
 ) -> Report:
-    """Profile a table, find its issues, score it and recommend and compute KPIs. With ``keep`` a small
-    table stays in memory between the passes until the report is closed."""
-    table = data if isinstance(data, Table) else as_table(data, row_key)
+    """Profile a table, find its issues, score it and recommend and compute KPIs. With ``keep`` the
+    table stays in memory between the passes until the report is closed; ``key_is_data`` as for ``as_table``."""
+    table = data if isinstance(data, Table) else as_table(data, row_key, key_is_data)
     table = table.kept() if keep else table
     settings = C.Settings(
         tuple(id_columns), dict(allowed_categories or {}), dict(column_ranges or {}),
@@ -112,4 +115,6 @@ def analyze(
         recommendations=score_recommendations(tally, n, width, rules is not None),
         kpis=kpis_frame(spark, kpi_list),
         measures=measure_table(table, kpi_list, distinct),
+        key_faults=key_faults(table),
+        grouped=grouped_measures(table, kpi_list, profiled.date_patterns),
     )

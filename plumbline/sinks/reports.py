@@ -14,7 +14,6 @@ from plumbline.functions.scalars import quote
 from plumbline.operators.checks import ISSUE_COLUMNS
 from plumbline.operators.explore import summary_wide
 
-ONE_FILE_ROWS = 1_000_000
 METADATA_COLUMNS = [
     "column_name", "storage_type", "null_count", "null_percentage", "unique_count", "unique_percentage",
     "min", "max", "mean", "median", "semantic_type", "recommended_action", "confidence", "status", "evidence",
@@ -91,8 +90,11 @@ def write_csv(frame: DataFrame, path: str, one_file: bool = True) -> None:
     ).csv(path)
 
 
-def export(report, directory: str, name: str = "dataset", file_format: str = "csv") -> list[str]:
-    """Write the seven tables of a report; returns their paths."""
+def export(
+    report, directory: str, name: str = "dataset", file_format: str = "csv", one_file: bool = False, grouped: bool = False
+) -> list[str]:
+    """Write the seven tables of a report, and with ``grouped`` the values of its grouped measures; returns their paths. With ``one_file`` the issues, whose number grows with the
+    table, go into a single CSV file like the other tables."""
     tables = {
         "dataset_profile": report.dataset.select(F.lit(name).alias("dataset_name"), "row_count", "column_count"),
         "column_metadata": column_metadata(report.profile, report.types).orderBy("column_name"),
@@ -102,15 +104,17 @@ def export(report, directory: str, name: str = "dataset", file_format: str = "cs
         "kpi_recommendations": report.kpis.orderBy("kpi_name"),
         "measures": report.measures.orderBy("measure_name"),
     }
+    if grouped:
+        tables["grouped_measures"] = report.grouped
     paths = []
     for table, frame in tables.items():
         path = f"{directory.rstrip('/')}/{table}"
         paths.append(path)
-        large = table == "quality_issues"
+        large = table in ("quality_issues", "grouped_measures")
         if file_format == "csv":
-            frame = sorted_issues(frame) if large else frame
-            write_csv(frame, path, one_file=not large or report.issue_count <= ONE_FILE_ROWS)
-        elif large:
+            frame = sorted_issues(frame) if table == "quality_issues" else frame
+            write_csv(frame, path, one_file=one_file or not large)
+        elif table == "quality_issues":
             frame.write.mode("overwrite").partitionBy("issue_type").parquet(path)
         else:
             frame.coalesce(1).write.mode("overwrite").parquet(path)

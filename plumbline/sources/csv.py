@@ -7,12 +7,14 @@ lines), so that files without such fields stay splittable; one aggregate infers
 from __future__ import annotations
 
 import csv as python_csv
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import literal, strip, to_number
 from plumbline.sources.tables import ROW, Table, as_table
@@ -22,12 +24,8 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-# A line whose every quoted field is closed on the line.
-CLOSED_LINE = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,"]*+|[^",][^,]*+)?(?:,|$))*+$'
 INTEGER = r"^\s*[+-]?\d+\s*$"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
-# File blocks up to which 0-based row numbers are assigned through a broadcast table of block offsets.
-NUMBERED_BLOCKS = 100_000
 CORRUPT = "__corrupt"
 
 
@@ -35,6 +33,12 @@ class IngestionError(Exception):
     """The file cannot be loaded."""
 
 
+def closed_line(separator: str) -> str:
+    """Pattern of a line whose every quoted field is closed on the line."""
+    s = re.escape(separator)
+    return rf'^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^{s}"]*+|[^"{s}][^{s}]*+)?(?:{s}|$))*+$'
+
+
 def detect_format(path: str) -> str:
     dot = path.rfind(".")
     suffix = path[dot:].lower() if dot > path.rfind("/") else ""
@@ -59,14 +63,14 @@ def _check_files(spark: SparkSession, path: str) -> None:
         raise IngestionError(f"File is empty: {path}")
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
+def _header(spark: SparkSession, path: str, encoding: str, separator: str) -> list[str]:
     """Column names; an empty name and a repeated name get a distinguishing suffix."""
     text = F.decode(F.col("value").cast("binary"), encoding)
     line = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(text.alias("line")).first()
     if line is None:
         raise IngestionError("File contains no data")
     names: list[str] = []
-    for i, raw in enumerate(next(python_csv.reader([line[0].lstrip("\ufeff").rstrip("\r")]))):
+    for i, raw in enumerate(next(python_csv.reader([line[0].lstrip("\ufeff").rstrip("\r")], delimiter=separator))):
         name = base = raw or f"Unnamed: {i}"
         k = 0
         while name in names:
@@ -76,37 +80,48 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
     return names
 
 
-def _line_facts(spark: SparkSession, path: str):
-    """(any line not UTF-8, any field open at a line end, any file with an odd number of quotes)."""
+def _line_facts(spark: SparkSession, path: str, separator: str):
+    """(any line not UTF-8, any field open at a line end, any file with an odd number of quotes, all headers equal)."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
     line = F.rtrim("value", F.lit("\r"))
     per_file = lines.groupBy("file").agg(
         F.bool_or(~F.is_valid_utf8("value")).alias("bad_utf8"),
-        F.bool_or(F.contains("value", F.lit('"')) & ~line.rlike(CLOSED_LINE)).alias("open"),
+        F.bool_or(F.contains("value", F.lit('"')) & ~line.rlike(closed_line(separator))).alias("open"),
         F.sum(quotes).alias("quotes"),
+        F.min_by(F.ltrim(line, F.lit("\ufeff")), F.when(F.length(F.trim("value")) > 0, F.struct("block", "id"))).alias("header"),
     )
     return per_file.agg(
         F.bool_or("bad_utf8").alias("bad_utf8"),
         F.bool_or("open").alias("open"),
         F.bool_or(F.col("open") & (F.col("quotes") % 2 == 1)).alias("unclosed"),
+        (F.min("header").eqNullSafe(F.max("header"))).alias("one_header"),
     ).first()
 
 
 def read_csv_text(
-    spark: SparkSession, path: str, *, multi_line: bool | None = None, encoding: str | None = None
+    spark: SparkSession,
+    path: str,
+    *,
+    multi_line: bool | None = None,
+    encoding: str | None = None,
+    separator: str = ",",
+    na_tokens: Sequence[str] = NA_TOKENS,
 ) -> tuple[DataFrame, list[str]]:
     """All cells as text, missing tokens as NULL, columns ``s0..`` plus file position columns.
 
-    ``multi_line`` and ``encoding`` skip the scan of raw lines when both are given.
+    ``multi_line`` and ``encoding`` skip the scan of raw lines, and with it the comparison of headers, when both are given.
     """
     if multi_line is None or encoding is None:
-        facts = _line_facts(spark, path)
+        facts = _line_facts(spark, path, separator)
+        if not facts.one_header:
+            raise IngestionError("Failed to parse file: the files of the folder have different headers")
         if facts.unclosed and multi_line is None:
             raise IngestionError("Failed to parse file: a quoted field is never closed")
         encoding = encoding or ("ISO-8859-1" if facts.bad_utf8 else "UTF-8")
         multi_line = bool(facts.open) if multi_line is None else multi_line
-    names = _header(spark, path, encoding)
+    names = _header(spark, path, encoding, separator)
     cells = [f"s{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} string" for c in [*cells, CORRUPT])
     frame = (
@@ -118,6 +133,7 @@ def read_csv_text(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("escape", '"')
         .option("nullValue", "")
+        .option("sep", separator)
         .option("enforceSchema", True)
         .csv(path)
     )
@@ -126,20 +142,20 @@ def read_csv_text(
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
     ]
-    values = [F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in cells]
+    values = [F.when(~F.col(c).isin(*na_tokens), F.col(c)).alias(c) for c in cells]
     return frame.select(*values, CORRUPT, *meta), names
 
 
-def _is_too_long(width: int) -> Column:
+def _is_too_long(width: int, separator: str) -> Column:
     """The raw record has more fields than the header. Short records are padded and fine."""
     unquoted = F.regexp_replace(F.col(CORRUPT), r'"[^"]*+(?:""[^"]*+)*+"', "")
-    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) >= width
+    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) >= width
 
 
-def infer_types(frame: DataFrame, cells: Sequence[str]) -> tuple[dict[str, str], int, bool]:
+def infer_types(frame: DataFrame, cells: Sequence[str], separator: str = ",") -> tuple[dict[str, str], int, bool]:
     """bigint, double, boolean or string for each text column: the narrowest type all its values have.
     The same pass counts the rows and looks for records with more fields than the header."""
-    long = F.coalesce(F.bool_or(_is_too_long(len(cells))), F.lit(False)).alias("long")
+    long = F.coalesce(F.bool_or(_is_too_long(len(cells), separator)), F.lit(False)).alias("long")
     words = ", ".join(literal(b) for b in BOOLEANS)
     tests = []
     for c in cells:
@@ -172,23 +188,27 @@ def load_csv(
     *,
     multi_line: bool | None = None,
     encoding: str | None = None,
+    separator: str = ",",
+    na_tokens: Sequence[str] = NA_TOKENS,
 ) -> Table:
     """Load a CSV file, or a directory of them that share one header, as a typed table.
 
     Rows are numbered from 0 in file order unless ``row_key`` names key columns. ``sample_size`` keeps
-    the first rows. Raises IngestionError when there is nothing to load or a record has too many fields.
+    the first rows. ``separator`` and ``na_tokens`` (texts read as missing) are as given. Raises IngestionError when there is nothing to load or a record has too many fields.
     """
     _check_files(spark, path)
     try:
-        frame, names = read_csv_text(spark, path, multi_line=multi_line, encoding=encoding)
+        frame, names = read_csv_text(spark, path, multi_line=multi_line, encoding=encoding, separator=separator, na_tokens=na_tokens)
     except AnalysisException as e:
         raise IngestionError(f"Failed to parse file: {e}") from e
     cells = [f"s{i}" for i in range(len(names))]
-    if row_key is None or sample_size is not None:
+    if sample_size is not None:
+        frame = frame.orderBy("__file", "__block", "__id").limit(sample_size)
+        order = Window.orderBy("__file", "__block", "__id")  # of sample_size rows
+        frame = frame.withColumn("__number", (F.row_number().over(order) - 1).cast("bigint"))
+    elif row_key is None:
         frame = _with_row_numbers(frame)
-        if sample_size is not None:
-            frame = frame.where(F.col("__number") < sample_size)
-    kinds, rows, too_long = infer_types(frame, cells)
+    kinds, rows, too_long = infer_types(frame, cells, separator)
     if too_long:
         raise IngestionError(f"Failed to parse file: a record has more than {len(names)} fields")
     if rows == 0:
@@ -200,24 +220,19 @@ def load_csv(
         typed.append(value.alias(name))
     if row_key is not None:
         return as_table(frame.select(*typed), row_key)
-    return as_table(frame.select(*typed, F.col("__number").alias(ROW)), ROW)
+    return as_table(frame.select(*typed, F.col("__number").alias(ROW)), ROW, key_is_data=False)
 
 
 def _with_row_numbers(frame: DataFrame) -> DataFrame:
-    """Adds ``__number``, 0-based over the files in path order. Rows of one file block are consecutive in
-    a task, so a number is the offset of its block plus the distance from the block's first row. The
-    offsets have one row per block and are broadcast while there are few enough blocks; beyond that the
-    number orders rows but has gaps."""
-    blocks = frame.groupBy("__file", "__block").agg(
-        F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__size")
-    )
-    sizes = blocks.limit(NUMBERED_BLOCKS + 1).collect()
-    if len(sizes) > NUMBERED_BLOCKS:
-        return frame.withColumn("__number", F.col("__id"))
-    offsets, total = [], 0
-    for b in sorted(sizes, key=lambda r: (r["__file"], r["__block"])):
-        offsets.append((b["__file"], b["__block"], total - b["__first"]))
-        total += b["__size"]
-    shifts = frame.sparkSession.createDataFrame(offsets, "__file string, __block bigint, __shift bigint")
-    joined = frame.join(F.broadcast(shifts), ["__file", "__block"])
-    return joined.withColumn("__number", F.col("__id") + F.col("__shift"))
+    """Adds ``__number``, 0-based over the files in path order: the rows of all blocks before, and the place in the block.
+
+    Block sizes do not depend on how a scan is cut into tasks, and places are ranked where the ids were made, so no id is
+    compared with one of another scan. Rows are dealt by block once; give ``row_key`` to avoid that.
+    """
+    block = ["__file", "__block"]
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # a row per file block
+    sizes = frame.groupBy(*block).agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.select(*block, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("__id")) - 1
+    ranked = frame.withColumn("__place", place)
+    return ranked.join(offsets, block).withColumn("__number", F.col("__offset") + F.col("__place")).drop("__place", "__offset")

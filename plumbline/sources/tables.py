@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import quote, storage_class, storage_type
 
 ROW = "__row"
-# Estimated size up to which an analysis keeps a table in memory.
-KEEP_BYTES = 256 << 20
 
 
 class DuplicateColumnError(ValueError):
@@ -72,8 +70,9 @@ class Table:
     def row_label(self) -> Column:
         """The row key as text."""
         dtype = self.df.schema[ROW].dataType
-        if isinstance(dtype, T.StructType):
-            return F.concat_ws("#", *[F.col(ROW)[f.name].cast("string") for f in dtype.fields])
+        if isinstance(dtype, T.StructType):  # a # inside a part is escaped and a NULL part is marked
+            safe = [F.regexp_replace(F.col(ROW)[f.name].cast("string"), r"([\\#])", r"\\$1") for f in dtype.fields]
+            return F.concat_ws("#", *[F.coalesce(part, F.lit("\\N")) for part in safe])
         return F.col(ROW).cast("string")
 
     @property
@@ -81,31 +80,17 @@ class Table:
         dtype = self.df.schema[ROW].dataType
         return not isinstance(dtype, (T.StructType, T.StringType, T.BinaryType, T.ArrayType))
 
-    def kept(self, limit: int = KEEP_BYTES) -> Table:
-        """This table spread over the cores and held in memory (or on disk) if the optimizer's size
-        estimate is small, so that the passes of an analysis do not read and derive it again. A larger
-        table is returned as it is: each pass reads just the columns it needs from the source."""
+    def kept(self) -> Table:
+        """This table spread evenly over the cores and held in memory (or on disk), so that the passes of an analysis do
+        not read and derive it again. For the caller to choose; else each pass reads just the columns it needs."""
         if self.df.is_cached:
             return self
-        size = self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        if size > limit:
-            return self
-        spread = self.df.repartition(self.spark.sparkContext.defaultParallelism, ROW)
+        spread = self.df.repartition(self.spark.sparkContext.defaultParallelism)
         return Table(spread.persist(StorageLevel.MEMORY_AND_DISK), self.columns)
 
     def release(self) -> None:
         self.df.unpersist()
 
-    @contextmanager
-    def held(self) -> Iterator[Table]:
-        """This table, kept in memory for the duration if it is small and not kept already."""
-        table = self.kept()
-        try:
-            yield table
-        finally:
-            if table is not self:
-                table.release()
-
     def original(self) -> DataFrame:
         """The data columns under their own names."""
         return self.df.select(*[c.cell.alias(c.name) for c in self.columns])
@@ -125,11 +110,12 @@ def _file_row_key(df: DataFrame) -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), index.alias("row"))
 
 
-def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None) -> Table:
+def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_data: bool = True) -> Table:
     """Prepare a DataFrame for analysis.
 
-    ``row_key`` names the column(s) that identify a row; they are left out of the analysis. Without it
-    the position in the source file is used. NaN becomes NULL here, once, so that both mean missing.
+    ``row_key`` names the column(s) that identify a row; they are analysed like any other unless ``key_is_data`` is
+    false, as for a number that was added to tell rows apart. Without it the position in the source file is used.
+    Uniqueness of a key is not assumed silently: ``key_faults`` counts NULL and repeated keys. NaN becomes NULL here, once, so that both mean missing.
     """
     names = list(df.columns)
     repeated = sorted({n for n in names if names.count(n) > 1})
@@ -150,7 +136,7 @@ def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None) -> Table
     flat = df.select("*", key.alias(ROW)).toDF(*positional, ROW)
     infos, cells = [], []
     for ref, field in zip(positional, df.schema.fields):
-        if field.name in keys:
+        if field.name in keys and not key_is_data:
             continue
         info = ColumnInfo(field.name, f"c{len(infos)}", field.dataType)
         cell = F.col(ref)
@@ -179,3 +165,18 @@ def dataset_profile(table: Table, name: str = "dataset") -> DataFrame:
         names.alias("column_names"),
         types.alias("storage_types"),
     )
+
+
+def key_faults(table: Table) -> DataFrame:
+    """One row: rows whose key is NULL (or has a NULL part), keys that several rows share, and the rows that share one."""
+    dtype = table.df.schema[ROW].dataType
+    parts = [F.col(ROW)[f.name] for f in dtype.fields] if isinstance(dtype, T.StructType) else [F.col(ROW)]
+    bare = reduce(or_, [p.isNull() for p in parts])
+    keys = table.df.select(table.row_label.alias("k"), bare.alias("bare"))
+    groups = keys.groupBy(F.xxhash64("k").alias("h0"), F.xxhash64(F.lit(1), "k").alias("h1"), "bare").agg(F.count("*").alias("n"))
+    shared = ~F.col("bare") & (F.col("n") > 1)
+    return groups.agg(
+        F.coalesce(F.sum(F.when(F.col("bare"), F.col("n"))), F.lit(0)).alias("null_keys"),
+        F.count_if(shared).alias("repeated_keys"),
+        F.coalesce(F.sum(F.when(shared, F.col("n"))), F.lit(0)).alias("rows_with_repeated_key"),
+    )

@@ -24,6 +24,6 @@ def table(spark):
     def build(schema: str, **columns):
         width = len(next(iter(columns.values()))) if columns else 0
         rows = [(i, *[columns[c][i] for c in columns]) for i in range(width)]
-        return as_table(spark.createDataFrame(rows, f"rid bigint, {schema}"), "rid")
+        return as_table(spark.createDataFrame(rows, f"rid bigint, {schema}"), "rid", key_is_data=False)
 
     return build

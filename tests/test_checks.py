@@ -193,7 +193,7 @@ def skewed(spark, n=3000, key="bigint"):
     rng = random.Random(7)
     rows = [(i, 0 if i % 3 == 0 else rng.randrange(1, 1500)) for i in range(n)]
     frame = spark.createDataFrame(rows, "rid bigint, v bigint").repartition(6)
-    return as_table(frame.selectExpr(f"CAST(rid AS {key}) AS rid", "v"), "rid"), rows
+    return as_table(frame.selectExpr(f"CAST(rid AS {key}) AS rid", "v"), "rid", key_is_data=False), rows
 
 
 def brute_force(rows):
@@ -251,7 +251,7 @@ def test_reference_check_aggregates_before_a_large_join(spark):
 @given(st.lists(st.tuples(st.sampled_from(["a", " ", "", None, "7", "a@b.co"]), st.sampled_from([None, 0.0, 1.5, -3.0, float("nan")])), max_size=14))
 def test_counts_equal_listed_issues_whatever_the_data(spark, rows):
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rid bigint, s string, x double")
-    one, many = as_table(frame.coalesce(1), "rid"), as_table(frame.repartition(3, "rid"), "rid")
+    one, many = as_table(frame.coalesce(1), "rid", key_is_data=False), as_table(frame.repartition(3, "rid"), "rid", key_is_data=False)
     options = dict(id_columns=["s", "x"], column_ranges={"x": (0, 1)}, allowed_categories={"s": ["a"]})
     left, right = found(one, {"s": "Email"}, **options)[1], found(many, {"s": "Email"}, **options)[1]
     assert sorted(r.issue_id for r in left) == sorted(r.issue_id for r in right)
@@ -269,14 +269,14 @@ def test_same_issues_on_every_run_and_a_known_id(spark):
         "sin(id) AS amount", "date_add(DATE'2023-01-01', CAST(id AS INT)) AS date",
         "IF(id % 100 = 0, 'invalid', concat('user', id, '@example.com')) AS email",
     )
-    first, second = (sorted(r.issue_id for r in analyze(frame, "rid").issues.collect()) for _ in range(2))
+    first, second = (sorted(r.issue_id for r in analyze(frame, "rid", key_is_data=False).issues.collect()) for _ in range(2))
     assert first == second and len(first) == n // 4 + n // 100
     assert hashlib.sha256(b"quality_check|INVALID_EMAIL|invalid_email_check|100|email").hexdigest() in first
 
 
 def test_single_row_empty_and_all_null_tables(spark, table):
     assert analyze(table("a bigint, b string", a=[1], b=["x"])).overall.first().overall_score == 100
-    empty = analyze(spark.createDataFrame([], "rid bigint, a string, b double"), "rid")
+    empty = analyze(spark.createDataFrame([], "rid bigint, a string, b double"), "rid", key_is_data=False)
     assert empty.issue_count == 0 and empty.overall.first().overall_score == 100
     assert empty.recommendations.first().recommendation.startswith("Dataset is empty")
     assert analyze(table("c string, d double", c=[None, None], d=[float("nan"), None])).issue_count == 5

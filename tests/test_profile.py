@@ -73,7 +73,8 @@ def test_duplicate_columns_are_refused(spark):
 
 def test_odd_column_names(spark):
     frame = spark.createDataFrame([(1, "x", None), (2, "", 3)], "id int, `a.b``c` string, `Order Date!` int")
-    t = as_table(frame, "id")
+    t = as_table(frame, "id", key_is_data=False)
+    assert as_table(frame, "id").names == ["id", *t.names]
     assert [c.null_count for c in profile(t).columns] == [0, 1]
     assert dataset_profile(t).first().column_names == "a.b`c, Order Date!"
 

@@ -147,7 +147,7 @@ def test_grouped_measures(table):
     t = table("region string, day string, sales double", region=["N", "S", "N", None], day=["2024-01-05", "2024-01-20", "2024-02-01", "x"], sales=[1.0, 2.0, 3.0, 4.0])
     m = M.Aggregate("SUM", "sales")
     assert {r.region: r.value for r in M.measure_by_column(t, M.Measure(m, group_by="region")).collect()} == {"N": 4, "S": 2, None: 4}
-    months = M.measure_by_time(t, M.Measure(m, group_by="day"), pattern="yyyy-M-d")
+    months = M.measure_by_time(t, M.Measure(m, group_by="day"), patterns={"day": "yyyy-M-d"})
     assert {str(r.day)[:7]: r.value for r in months.collect()} == {"2024-01": 3, "2024-02": 3, "None": 4}
 
 

@@ -8,6 +8,8 @@ from workload.views import DIRTY_ORDERS_DUCKDB, SALES_LINES, TABLES
 D = f"d AS ({DIRTY_ORDERS_DUCKDB})"
 SALES = f"s AS ({SALES_LINES})"
 
+LINE = "l_orderkey || '#' || l_linenumber || '#' || l_partkey || '#' || l_suppkey"
+# Patterns of semantic types.
 NUM = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)\s*$"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL = r"^https?://[^\s/$.?#].[^\s]*$"
@@ -430,14 +432,45 @@ ORACLES = {
     "r_unique": f"WITH {D} {_issues('uniqueness')}",
     "r_comparison": f"WITH {D} {_issues('comparison')}",
     "r_referential": f"WITH {D} {_issues('referential_integrity')}",
-    "r_late_orders": """SELECT CAST(l_orderkey AS VARCHAR) AS row_index, 'l_shipdate / o_orderdate' AS "column",
+    "r_late_orders": f"""SELECT {LINE} AS row_index, 'l_shipdate / o_orderdate' AS "column",
   'l_shipdate=' || CAST(l_shipdate AS VARCHAR) || ', o_orderdate=' || CAST(o_orderdate AS VARCHAR) AS actual_value,
   'l_shipdate >= o_orderdate' AS expected_condition,
-  sha256('business_rule|comparison|ship_after_order|' || CAST(l_orderkey AS VARCHAR) || '|l_shipdate / o_orderdate') AS issue_id
+  sha256('business_rule|comparison|ship_after_order|' || {LINE} || '|l_shipdate / o_orderdate') AS issue_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate""",
-    "r_known_parts": """SELECT l_orderkey || '#' || l_linenumber AS row_index, CAST(l_partkey AS VARCHAR) AS actual_value,
-  sha256('business_rule|referential_integrity|small_part|' || l_orderkey || '#' || l_linenumber || '|l_partkey') AS issue_id
-FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)""",
+    "r_known_parts": f"""SELECT {LINE} AS row_index, CAST(l_partkey + 1000000000 AS VARCHAR) AS actual_value,
+  sha256('business_rule|referential_integrity|known_part|' || {LINE} || '|part') AS issue_id
+FROM lineitem WHERE l_orderkey % 97 = 0""",
+    "q_planted_copies": """SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/1' AS row_index, 'DUPLICATE_ROW' AS issue_type,
+  sha256('quality_check|DUPLICATE_ROW|duplicate_row_check|' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/1|DATASET') AS issue_id
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 100 = 7)""",
+    "q_repeated_keys": """WITH t AS (SELECT CASE WHEN doc_id % 90 = 1 THEN NULL ELSE doc_id END AS k FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 50 = 0)),
+g AS (SELECT k, count(*) AS n FROM t WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1)
+SELECT 'DUPLICATE_ID doc_id' AS fact, CAST(sum(n) AS BIGINT) AS n FROM g UNION ALL SELECT 'MISSING_VALUE doc_id', count(*) FROM t WHERE k IS NULL
+UNION ALL SELECT 'null_keys', count(*) FROM t WHERE k IS NULL UNION ALL SELECT 'repeated_keys', count(*) FROM g
+UNION ALL SELECT 'rows_with_repeated_key', CAST(coalesce(sum(n), 0) AS BIGINT) FROM g""",
+    "q_nested_values": """WITH v AS (SELECT embedding,
+  CASE vec_id % 4 WHEN 0 THEN [label, NULL] WHEN 1 THEN [label] WHEN 2 THEN [NULL, label] ELSE [NULL, NULL, label] END AS gaps,
+  CASE vec_id % 3 WHEN 0 THEN {'a': NULL::INT, 'b': label} WHEN 1 THEN {'a': label, 'b': NULL::INT} END AS pair FROM embeddings)
+SELECT 'embeddings copies' AS fact, (SELECT count(*) FROM v) - (SELECT count(*) FROM (SELECT DISTINCT embedding FROM v)) AS n
+UNION ALL SELECT 'gaps copies', (SELECT count(*) FROM v) - (SELECT count(*) FROM (SELECT DISTINCT gaps FROM v))
+UNION ALL SELECT 'pairs copies', (SELECT count(*) FROM v) - (SELECT count(*) FROM (SELECT DISTINCT pair FROM v))
+UNION ALL SELECT 'both copies', (SELECT count(*) FROM v) - (SELECT count(*) FROM (SELECT DISTINCT gaps, pair FROM v))
+UNION ALL SELECT 'embeddings unique 0', (SELECT count(*) FROM (SELECT DISTINCT embedding FROM v WHERE embedding IS NOT NULL))
+UNION ALL SELECT 'gaps unique 0', (SELECT count(*) FROM (SELECT DISTINCT gaps FROM v WHERE gaps IS NOT NULL))
+UNION ALL SELECT 'pairs unique 0', (SELECT count(*) FROM (SELECT DISTINCT pair FROM v WHERE pair IS NOT NULL))
+UNION ALL SELECT 'both unique 0', (SELECT count(*) FROM (SELECT DISTINCT gaps FROM v WHERE gaps IS NOT NULL))
+UNION ALL SELECT 'both unique 1', (SELECT count(*) FROM (SELECT DISTINCT pair FROM v WHERE pair IS NOT NULL))""",
+    "q_conversations": """WITH t AS (SELECT conv_id || '#' || turn AS k, CASE WHEN conv_id % 41 = 0 THEN 'bot' ELSE role END AS role,
+  CASE WHEN (conv_id + turn) % 53 = 0 THEN NULL WHEN (conv_id + turn) % 59 = 0 THEN '  ' ELSE text END AS text FROM conversations),
+i AS (SELECT k, 'text' AS c, 'MISSING_VALUE' AS y, 'missing_value_check' AS n FROM t WHERE text IS NULL
+UNION ALL SELECT k, 'text', 'BLANK_VALUE', 'blank_value_check' FROM t WHERE trim(text) = ''
+UNION ALL SELECT k, 'role', 'INVALID_CATEGORY', 'invalid_category_check' FROM t WHERE role NOT IN ('user', 'assistant', 'system'))
+SELECT k AS row_index, c AS "column", y AS issue_type, sha256('quality_check|' || y || '|' || n || '|' || k || '|' || c) AS issue_id FROM i""",
+    "r_exact_values": """WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders),
+i AS (SELECT k, 'range' AS y, 'top' AS n, 'big' AS c FROM t WHERE k > 500 UNION ALL SELECT k, 'comparison', 'order', 'big / other' FROM t WHERE k % 7 = 0
+UNION ALL SELECT k, 'allowed_values', 'days', 'day' FROM t WHERE d NOT IN (DATE '1995-01-01', DATE '1995-01-02', DATE '1996-07-04')
+UNION ALL SELECT k, 'referential_integrity', 'known', 'money' FROM t WHERE k % 5 = 0)
+SELECT CAST(k AS VARCHAR) AS row_index, n AS rule_or_check_name, c AS "column", sha256('business_rule|' || y || '|' || n || '|' || k || '|' || c) AS issue_id FROM i""",
     "issues_all": f"WITH {D} {_issues(*DEFAULT_KINDS)}",
     "issue_tally": f"WITH {TALLY} SELECT * FROM t",
     "score_dimensions": f"""WITH {DIMENSIONS} SELECT dimension, weight, true AS is_applicable, issue_count, row_issue_count,

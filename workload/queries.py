@@ -15,11 +15,12 @@ from plumbline.operators import measures as M
 from plumbline.operators import reconcile as R
 from plumbline.operators import score as S
 from plumbline.operators.detect import detect_types, detections_frame
+from plumbline.operators.groups import distinct_counts, later_copies_count
 from plumbline.operators.evaluate import issue_set, precision_recall
 from plumbline.operators.profile import Profile
 from plumbline.plans.analyze import compiled_checks
 from plumbline.sinks import reports as W
-from plumbline.sources.tables import Table, dataset_profile
+from plumbline.sources.tables import Table, dataset_profile, key_faults
 from workload import views as V
 
 # Tables profiled by the profile queries, with their keys. ``lineitem`` has no key of its own and is
@@ -33,16 +34,18 @@ TYPES = {
     "Delivery_Date": "Date", "Quantity": "Integer", "Sales": "Currency", "Discount": "Percentage",
     "Amount_Text": "Currency", "Status": "Category",
 }
+#: What identifies an order line.
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 PATTERNS = {"Order_Date": "yyyy-M-d", "Delivery_Date": "yyyy-M-d"}
 CONSISTENCY = {"name": "delivery_after_order", "column_a": "Delivery_Date", "column_b": "Order_Date", "operator": ">="}
 
 
 def _dirty(spark: SparkSession, sf: str) -> Table:
-    return as_table(V.dirty_orders(spark, sf), "row_key")
+    return as_table(V.dirty_orders(spark, sf), "row_key", key_is_data=False)
 
 
 def _table(spark: SparkSession, sf: str, name: str, key: str | None) -> Table:
-    return as_table(V.read(spark, sf, name), key)
+    return as_table(V.read(spark, sf, name), key, key_is_data=False)
 
 
 def _parents(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -75,45 +78,47 @@ def _business(kind: str):
 # --- profile and types -----------------------------------------------------------------------
 
 
-def _profiles(spark: SparkSession, sf: str, names=("dirty_orders", *PROFILED), detect=False) -> dict[str, Profile]:
+def _profiles(spark: SparkSession, sf: str, names, passes, kind) -> dict[str, Profile]:
     out = {}
     for n in names:
         table = _dirty(spark, sf) if n == "dirty_orders" else _table(spark, sf, n, PROFILED[n])
-        out[n] = profile(table, detect=detect)
+        columns = [c.name for c in table.columns if kind in (None, c.kind)]
+        out[n] = profile(table, detect=False, columns=columns, passes=passes)
     return out
 
 
-def _profile_rows(spark, sf, *columns: str, names=("dirty_orders", *PROFILED)) -> DataFrame:
-    frames = [p.df.withColumn("table_name", F.lit(n)) for n, p in _profiles(spark, sf, names).items()]
+def _profile_rows(spark, sf, *columns: str, names=("dirty_orders", *PROFILED), passes=(), kind=None) -> DataFrame:
+    """Rows of the profiles of some tables, from the passes that the wanted columns need."""
+    frames = [p.df.withColumn("table_name", F.lit(n)) for n, p in _profiles(spark, sf, names, passes, kind).items()]
     chosen = reduce(DataFrame.unionByName, frames)
     return chosen.select("table_name", F.col("name").alias("column_name"), *columns)
 
 
 def profile_counts(spark, sf):
     rounded = [F.round(c, 6).alias(c) for c in ("null_percentage", "unique_percentage")]
-    return _profile_rows(spark, sf, "storage_type", "total_rows", "non_null_count", "null_count", "unique_count", *rounded)
+    return _profile_rows(spark, sf, "storage_type", "total_rows", "non_null_count", "null_count", "unique_count", *rounded, passes=("distinct",))
 
 
 def profile_numeric(spark, sf):
     stats = [F.round(c, 4).alias(c) for c in ("min_value", "max_value", "mean_value", "median_value")]
     names = ("dirty_orders", "orders", "customer", "part", "lineitem")
-    rows = _profile_rows(spark, sf, *stats, F.round("std_value", 3).alias("std_value"), names=names)
+    rows = _profile_rows(spark, sf, *stats, F.round("std_value", 3).alias("std_value"), names=names, passes=("median",), kind="number")
     return rows.where("min_value IS NOT NULL")
 
 
 def profile_text(spark, sf):
     names = ("dirty_orders", "documents", "pages", "part")
-    rows = _profile_rows(spark, sf, "min_length", "max_length", F.round("avg_length", 6).alias("avg_length"), names=names)
+    rows = _profile_rows(spark, sf, "min_length", "max_length", F.round("avg_length", 6).alias("avg_length"), names=names, kind="text")
     return rows.where("min_length IS NOT NULL")
 
 
 def profile_dates(spark, sf):
-    rows = _profile_rows(spark, sf, "min_date", "max_date", names=("orders", "events", "lineitem"))
+    rows = _profile_rows(spark, sf, "min_date", "max_date", names=("orders", "events", "lineitem"), kind="time")
     return rows.where("min_date IS NOT NULL")
 
 
 def profile_samples(spark, sf):
-    rows = _profile_rows(spark, sf, F.posexplode("sample_values").alias("position", "value"), names=("dirty_orders",))
+    rows = _profile_rows(spark, sf, F.posexplode("sample_values").alias("position", "value"), names=("dirty_orders",), passes=("samples",))
     return rows.drop("table_name")
 
 
@@ -154,10 +159,10 @@ def duplicate_texts(spark, sf):
 def late_orders(spark, sf):
     """Lines shipped before their order date, as a comparison rule over a join."""
     lines, orders = V.read(spark, sf, "lineitem"), V.read(spark, sf, "orders")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("l_orderkey", "l_shipdate", "o_orderdate")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(*LINE_KEY, "l_shipdate", "o_orderdate")
     rule = {"name": "ship_after_order", "type": "comparison", "column_a": "l_shipdate", "operator": ">=",
             "column_b": "o_orderdate", "severity": "HIGH"}
-    table = as_table(joined, "l_orderkey")
+    table = as_table(joined, LINE_KEY)
     issues = _issues(table, C.Settings(rules=[rule]), "comparison", types={}, patterns={})
     return issues.select("row_index", "column", "actual_value", "expected_condition", "issue_id")
 
@@ -169,21 +174,92 @@ def account_ranges(spark, sf):
 
 
 def known_parts(spark, sf):
-    """Order lines whose part is not among the parts of size 25 or less."""
-    rule = {"name": "small_part", "type": "referential_integrity", "child_column": "l_partkey",
+    """Order lines whose part is unknown: a part number far above all others is put into some orders."""
+    rule = {"name": "known_part", "type": "referential_integrity", "child_column": "part",
             "parent_dataset": "part", "parent_column": "p_partkey", "severity": "LOW"}
-    parts = V.read(spark, sf, "part").where("p_size <= 25")
-    lines = V.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    table = as_table(lines, ["l_orderkey", "l_linenumber"])
+    parts = V.read(spark, sf, "part")
+    moved = F.when(F.col("l_orderkey") % 97 == 0, F.col("l_partkey") + 1_000_000_000).otherwise(F.col("l_partkey"))
+    lines = V.read(spark, sf, "lineitem").select(*LINE_KEY, moved.alias("part"))
+    table = as_table(lines, LINE_KEY)
     issues = _issues(table, C.Settings(rules=[rule], parents={"part": parts}), "referential_integrity", types={}, patterns={})
     return issues.select("row_index", "actual_value", "issue_id")
 
 
+def planted_copies(spark, sf):
+    """Order lines with copies of every hundredth order's lines behind them."""
+    lines = V.read(spark, sf, "lineitem").drop("l_shipdate")
+    names = [*lines.columns, "copy"]
+    first = lines.groupBy(*LINE_KEY).agg(*[F.min(c).alias(c) for c in lines.columns if c not in LINE_KEY]).withColumn("copy", F.lit(0))
+    both = first.select(names).union(first.where("l_orderkey % 100 = 7").withColumn("copy", F.lit(1)).select(names))
+    keyed = both.withColumn("line", F.concat_ws("/", *LINE_KEY, "copy")).drop("copy")
+    table = as_table(keyed, "line", key_is_data=False)
+    return _issues(table, C.Settings(), "DUPLICATE_ROW", types={}, patterns={}).select("row_index", "issue_type", "issue_id")
+
+
+def repeated_keys(spark, sf):
+    """Labels with some rows twice: the row key is checked like any column, and key faults are counted."""
+    labels = V.read(spark, sf, "labels")
+    twice = labels.unionByName(labels.where("doc_id % 50 = 0")).withColumn("doc_id", F.expr("CASE WHEN doc_id % 90 = 1 THEN NULL ELSE doc_id END"))
+    table = as_table(twice, "doc_id")
+    issues = _issues(table, C.Settings(id_columns=["doc_id"]), "DUPLICATE_ID", "MISSING_VALUE", types={}, patterns={})
+    found = issues.groupBy(F.concat_ws(" ", "issue_type", "column").alias("fact")).agg(F.count("*").alias("n"))
+    faults = key_faults(table)
+    return found.union(faults.unpivot([], faults.columns, "fact", "n"))
+
+
+def nested_values(spark, sf):
+    """Distinct values and repeated rows of arrays and structs that hold NULLs."""
+    rows = V.read(spark, sf, "embeddings").selectExpr(
+        "vec_id", "embedding",
+        "CASE vec_id % 4 WHEN 0 THEN array(label, NULL) WHEN 1 THEN array(label) WHEN 2 THEN array(NULL, label) ELSE array(NULL, NULL, label) END AS gaps",
+        "CASE vec_id % 3 WHEN 0 THEN named_struct('a', CAST(NULL AS INT), 'b', label) WHEN 1 THEN named_struct('a', label, 'b', CAST(NULL AS INT)) END AS pair",
+    )
+    frames = []
+    for name, columns in {"embeddings": ["embedding"], "gaps": ["gaps"], "pairs": ["pair"], "both": ["gaps", "pair"]}.items():
+        table = as_table(rows.select("vec_id", *columns), "vec_id", key_is_data=False)
+        copies = later_copies_count(table).select(F.lit(f"{name} copies").alias("fact"), F.col("n").cast("bigint").alias("n"))
+        unique = distinct_counts(table).select(F.concat(F.lit(f"{name} unique "), F.col("ordinal")).alias("fact"), F.col("unique_count").alias("n"))
+        frames += [copies, unique]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def exact_values(spark, sf):
+    """Rules on whole numbers beyond 2^53, decimals and dates, which doubles can't hold."""
+    big = 9007199254740992
+    rows = V.read(spark, sf, "orders").selectExpr(
+        "o_orderkey", f"o_orderkey + {big} AS big", f"o_orderkey + {big} + CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END AS other",
+        f"CAST(o_orderkey + {big} AS DECIMAL(20, 0)) AS money", "CAST(o_orderdate AS DATE) AS day",
+    )
+    known = rows.where("o_orderkey % 5 <> 0").selectExpr("CAST(money AS DECIMAL(24, 2)) AS money")
+    rules = [
+        {"name": "top", "type": "range", "column": "big", "max": big + 500},
+        {"name": "order", "type": "comparison", "column_a": "big", "operator": "<", "column_b": "other", "value_type": "numeric"},
+        {"name": "days", "type": "allowed_values", "column": "day", "values": ["1995-01-01", "1995-01-02", "1996-07-04"]},
+        {"name": "known", "type": "referential_integrity", "child_column": "money", "parent_dataset": "known", "parent_column": "money"},
+    ]
+    table = as_table(rows, "o_orderkey")
+    settings = C.Settings(rules=rules, parents={"known": known})
+    issues = _issues(table, settings, *[r["type"] for r in rules], types={}, patterns={})
+    return issues.select("row_index", "rule_or_check_name", "column", "issue_id")
+
+
+def conversation_checks(spark, sf):
+    """Turns with faulty roles and texts: missing and blank texts, roles outside the list."""
+    turns = V.read(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "CASE WHEN conv_id % 41 = 0 THEN 'bot' ELSE role END AS role",
+        "CASE WHEN (conv_id + turn) % 53 = 0 THEN NULL WHEN (conv_id + turn) % 59 = 0 THEN '  ' ELSE text END AS text",
+    )
+    table = as_table(turns, ["conv_id", "turn"])
+    settings = C.Settings(allowed_categories={"role": ["user", "assistant", "system"]})
+    issues = _issues(table, settings, "MISSING_VALUE", "BLANK_VALUE", "INVALID_CATEGORY", types={}, patterns={})
+    return issues.select("row_index", "column", "issue_type", "issue_id")
+
+
 # --- whole analysis --------------------------------------------------------------------------
 
 
 def _report(spark, sf):
-    return analyze(V.dirty_orders(spark, sf), "row_key", rules=V.RULES, parents=_parents(spark, sf), keep=False)
+    return analyze(V.dirty_orders(spark, sf), "row_key", rules=V.RULES, parents=_parents(spark, sf), key_is_data=False)
 
 
 def _all_checks(spark, sf):
@@ -286,7 +362,7 @@ def kpi_recommendations(spark, sf):
 
 def _sales(spark, sf) -> Table:
     # No key identifies a line here and measures need none.
-    return as_table(V.sales_lines(spark, sf).withColumn("line", F.lit(0)), "line")
+    return as_table(V.sales_lines(spark, sf).withColumn("line", F.lit(0)), "line", key_is_data=False)
 
 
 def kpi_values(spark, sf):
@@ -313,17 +389,15 @@ def kpi_by_month(spark, sf):
 
 
 def kpi_by_dimension(spark, sf):
-    table = _sales(spark, sf)
+    """Three measures per region from one aggregation over one join."""
     sums = {
         "sales": M.Measure(M.Aggregate("SUM", "Sales"), group_by="Region"),
         "orders": M.Measure(M.Aggregate("DISTINCTCOUNT", "Order_ID"), group_by="Region"),
         "order_value": M.Measure(M.Aggregate("SUM", "Sales"), M.Aggregate("DISTINCTCOUNT", "Order_ID"), "Region"),
     }
-    frames = [
-        M.measure_by_column(table, m).select(F.lit(n).alias("measure"), "Region", F.round("value", 4).alias("value"))
-        for n, m in sums.items()
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    wide = M.measures_by_column(_sales(spark, sf), sums, "Region")
+    wide = wide.select("Region", *[F.col(n).cast("double").alias(n) for n in sums])
+    return wide.unpivot("Region", list(sums), "measure", "value").withColumn("value", F.round("value", 4))
 
 
 def reconcile_metrics(spark, sf):
@@ -391,6 +465,11 @@ QUERIES = {
     "q_duplicate_lineitems": duplicate_lineitems,
     "q_duplicate_texts": duplicate_texts,
     "q_account_ranges": account_ranges,
+    "q_planted_copies": planted_copies,
+    "q_repeated_keys": repeated_keys,
+    "q_nested_values": nested_values,
+    "q_conversations": conversation_checks,
+    "r_exact_values": exact_values,
     "r_required": _business("required_column"),
     "r_range": _business("range"),
     "r_allowed": _business("allowed_values"),
