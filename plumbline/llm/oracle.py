@@ -1,3 +1,72 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others have none: components of a similarity graph over all pairs (op1), splitters and random draws that hang on a hash
+function (op4, op9), a trained labeller (op5), windows of characters (op6) and a trained tree (op7). Tests compare these
+with brute force, round trips or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from plumbline.llm.quality import CURRENT, POLICIES, RULES
+
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '{SPACES}'), lambda x: x <> '')"
+
+
+def _lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE [w[i:i + 4] FOR i IN range(1, len(w) - 3)] END) AS g
+  FROM (SELECT {key}, {_words(_lower("text"))} AS w FROM {table})"""
+
+
+DECONTAMINATE = f"""WITH d AS ({_shingles("documents", "doc_id")}), i AS ({_shingles("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item FROM i JOIN d USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n_item)"""
+
+CHAT = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, role = 'assistant' AS loss FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN loss THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN loss THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(regexp_replace(text, '[\\<#]', '\0\\', 'g'))
+    + CASE WHEN before = role THEN 7 ELSE 14 + length(regexp_replace(role, '[\\<#:]', '\0\\', 'g')) END) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id"""
+
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, h, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f"""
+
+
+def _quality() -> str:
+    bits = " + ".join(f"CASE WHEN {condition} THEN {1 << bit} ELSE 0 END" for bit, condition in enumerate(RULES.values()))
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {_words("text")} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper,
+  length(regexp_replace(x, '[^A-Za-z]', '', 'g')) AS n_letters, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM t LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, failed & {POLICIES[CURRENT].mask} = 0 AS kept, failed FROM f"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": DECONTAMINATE,
+    "op3_chat_format": CHAT,
+    "op8_warc": WARC,
+    "op10_quality_rules": _quality(),
+}
