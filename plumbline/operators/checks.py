@@ -33,6 +33,26 @@ from plumbline.sources.tables import ROW, ColumnInfo, Table
 
 log = logging.getLogger(__name__)
 
+# Expected condition and message of each issue type; {wanted} is what the check was configured with.
+TEXTS = {
+    "MISSING_VALUE": ("Non-null value expected", "Column '{column}' is missing a value in this row."),
+    "BLANK_VALUE": ("Non-blank text value expected", "Column '{column}' contains a blank or whitespace-only value."),
+    "DUPLICATE_ROW": ("Row should be unique across all columns", "This row is an exact duplicate of an earlier row in the dataset."),
+    "DUPLICATE_ID": ("Values in '{column}' should be unique", "The value in '{column}' is shared by more than one row."),
+    "INVALID_EMAIL": ("Value should match a valid email address pattern", "Value in '{column}' does not look like a valid email address."),
+    "INVALID_DATE": ("Value should be a parseable date", "Value in '{column}' could not be parsed as a date."),
+    "INVALID_NUMERIC": ("Value should be numeric", "Value in '{column}' could not be interpreted as a numeric value."),
+    "INVALID_CATEGORY": ("Value should be one of: {wanted}", "Value in '{column}' is not one of the allowed categories."),
+    "OUT_OF_RANGE": ("{wanted}", "Value in '{column}' is outside the configured allowed range."),
+    "CONSISTENCY_VIOLATION": ("{wanted}", "Row violates consistency rule: {wanted}."),
+    "required_column": ("Column '{column}' must be present in the dataset", "Required column '{column}' is missing from the dataset."),
+    "range": ("{wanted}", "Value in '{column}' is outside the allowed range ({wanted})."),
+    "allowed_values": ("Value should be one of: {wanted}", "Value in '{column}' is not an allowed value."),
+    "uniqueness": ("Values in '{column}' should be unique", "The value in '{column}' is shared by more than one row."),
+    "comparison": ("{wanted}", "Row violates comparison rule: {wanted}."),
+    "referential_integrity": ("'{column}' must exist in {wanted}", "Value in '{column}' has no matching record in {wanted}."),
+}
+
 # Checks compiled into one scan. Each scan reads its own columns only, and its generated code stays small
 # enough for the JVM to compile.
 CHECKS_PER_SCAN = 16
@@ -167,13 +187,17 @@ class Values:
         return table.df.selectExpr(ROW, *[c.ref for c in table.columns if c.ref in refs], *chosen)
 
 
-def _quality(issue_type: str, name: str, column: str | None, expected: str, message: str, **kw) -> Check:
-    return Check(QUALITY, issue_type, name, column, QUALITY_SEVERITY[issue_type], expected, message, **kw)
+def _said(issue_type: str, column: str | None, wanted: Any) -> list[str]:
+    return [text.format(column=column, wanted=wanted) for text in TEXTS[issue_type]]
+
 
+def _quality(issue_type: str, name: str, column: str | None, wanted: Any = "", **kw) -> Check:
+    return Check(QUALITY, issue_type, name, column, QUALITY_SEVERITY[issue_type], *_said(issue_type, column, wanted), **kw)
 
-def _rule(rule: Mapping[str, Any], column: str | None, expected: str, message: str, **kw) -> Check:
+
+def _rule(rule: Mapping[str, Any], column: str | None, wanted: Any = "", **kw) -> Check:
     severity = rule.get("severity", "MEDIUM")
-    return Check(RULE, rule["type"], rule["name"], column, severity, expected, message, **kw)
+    return Check(RULE, rule["type"], rule["name"], column, severity, *_said(rule["type"], column, wanted), **kw)
 
 
 def _text(c: ColumnInfo) -> str:
@@ -262,8 +286,7 @@ def quality_checks(
     for c in table.columns:
         out.append(
             _quality(
-                "MISSING_VALUE", "missing_value_check", c.name, "Non-null value expected",
-                f"Column '{c.name}' is missing a value in this row.",
+                "MISSING_VALUE", "missing_value_check", c.name,
                 hit=f"{c.ref} IS NULL", actual="CAST(NULL AS STRING)", info=c,
             )
         )
@@ -271,16 +294,14 @@ def quality_checks(
         if c.kind == "text":
             out.append(
                 _quality(
-                    "BLANK_VALUE", "blank_value_check", c.name, "Non-blank text value expected",
-                    f"Column '{c.name}' contains a blank or whitespace-only value.",
+                    "BLANK_VALUE", "blank_value_check", c.name,
                     hit=f"{values.stripped(c)} = ''", actual=_text(c), info=c,
                 )
             )
     if table.columns:
         out.append(
             _quality(
-                "DUPLICATE_ROW", "duplicate_row_check", None, "Row should be unique across all columns",
-                "This row is an exact duplicate of an earlier row in the dataset.", kind="copies",
+                "DUPLICATE_ROW", "duplicate_row_check", None, kind="copies",
             )
         )
     ids = {c.name for c in table.columns if types.get(c.name) == "ID"} | set(settings.id_columns)
@@ -288,8 +309,7 @@ def quality_checks(
         if c.name in ids and c.kind != "other":
             out.append(
                 _quality(
-                    "DUPLICATE_ID", "duplicate_id_check", c.name, f"Values in '{c.name}' should be unique",
-                    f"The value in '{c.name}' is shared by more than one row.", kind="repeats", info=c,
+                    "DUPLICATE_ID", "duplicate_id_check", c.name, kind="repeats", info=c,
                 )
             )
     for c in table.columns:
@@ -298,24 +318,20 @@ def quality_checks(
             out.append(
                 _quality(
                     "INVALID_EMAIL", "invalid_email_check", c.name,
-                    "Value should match a valid email address pattern",
-                    f"Value in '{c.name}' does not look like a valid email address.",
                     hit=f"NOT {S.is_email(values.stripped(c))}", actual=_text(c), info=c,
                 )
             )
         elif semantic in ("Date", "DateTime") and c.kind == "text":
             out.append(
                 _quality(
-                    "INVALID_DATE", "invalid_date_check", c.name, "Value should be a parseable date",
-                    f"Value in '{c.name}' could not be parsed as a date.",
+                    "INVALID_DATE", "invalid_date_check", c.name,
                     hit=f"({c.ref} IS NOT NULL AND {values.timestamp(c)} IS NULL)", actual=_text(c), info=c,
                 )
             )
         elif semantic in ("Integer", "Decimal", "Currency", "Percentage") and c.kind == "text":
             out.append(
                 _quality(
-                    "INVALID_NUMERIC", "invalid_numeric_check", c.name, "Value should be numeric",
-                    f"Value in '{c.name}' could not be interpreted as a numeric value.",
+                    "INVALID_NUMERIC", "invalid_numeric_check", c.name,
                     hit=f"NOT {S.is_lenient_number(values.stripped(c))}", actual=_text(c), info=c,
                 )
             )
@@ -324,8 +340,7 @@ def quality_checks(
             listed = sorted(str(v) for v in set(allowed))
             out.append(
                 _quality(
-                    "INVALID_CATEGORY", "invalid_category_check", name, f"Value should be one of: {listed}",
-                    f"Value in '{name}' is not one of the allowed categories.",
+                    "INVALID_CATEGORY", "invalid_category_check", name, listed,
                     hit=f"({c.ref} IS NOT NULL AND NOT {_is_value_of(allowed, c)})", actual=_text(c), info=c,
                 )
             )
@@ -334,7 +349,6 @@ def quality_checks(
             out.append(
                 _quality(
                     "OUT_OF_RANGE", "range_check", name, _bounds(low, high),
-                    f"Value in '{name}' is outside the configured allowed range.",
                     hit=_outside(values, c, low, high), actual=_text(c), info=c,
                 )
             )
@@ -348,7 +362,7 @@ def quality_checks(
         out.append(
             _quality(
                 "CONSISTENCY_VIOLATION", rule.get("name", "consistency_check"), f"{a.name} / {b.name}",
-                expected, f"Row violates consistency rule: {expected}.",
+                expected,
                 hit=_broken(values, a, b, operator, as_dates), **_pair(a, b),
             )
         )
@@ -404,8 +418,7 @@ def rule_checks(table: Table, values: Values, settings: Settings) -> list[Check]
                 name = rule["column"]
                 out.append(
                     _rule(
-                        rule, name, f"Column '{name}' must be present in the dataset",
-                        f"Required column '{name}' is missing from the dataset.", kind="dataset",
+                        rule, name, kind="dataset",
                     )
                 )
         elif kind == "range":
@@ -413,7 +426,7 @@ def rule_checks(table: Table, values: Values, settings: Settings) -> list[Check]
             expected = f"{c.name} {_bounds(low, high)}"
             out.append(
                 _rule(
-                    rule, c.name, expected, f"Value in '{c.name}' is outside the allowed range ({expected}).",
+                    rule, c.name, expected,
                     hit=_outside(values, c, low, high), actual=_text(c), info=c,
                 )
             )
@@ -424,15 +437,13 @@ def rule_checks(table: Table, values: Values, settings: Settings) -> list[Check]
             listed = sorted(str(v) for v in set(rule["values"]))
             out.append(
                 _rule(
-                    rule, c.name, f"Value should be one of: {listed}",
-                    f"Value in '{c.name}' is not an allowed value.", hit=wrong, actual=_text(c), info=c,
+                    rule, c.name, listed, hit=wrong, actual=_text(c), info=c,
                 )
             )
         elif kind == "uniqueness":
             out.append(
                 _rule(
-                    rule, c.name, f"Values in '{c.name}' should be unique",
-                    f"The value in '{c.name}' is shared by more than one row.", kind="repeats", info=c,
+                    rule, c.name, kind="repeats", info=c,
                 )
             )
         elif kind == "comparison":
@@ -440,7 +451,7 @@ def rule_checks(table: Table, values: Values, settings: Settings) -> list[Check]
             expected = f"{a.name} {rule['operator']} {b.name}"
             out.append(
                 _rule(
-                    rule, f"{a.name} / {b.name}", expected, f"Row violates comparison rule: {expected}.",
+                    rule, f"{a.name} / {b.name}", expected,
                     hit=_broken(values, a, b, rule["operator"], as_dates[rule["name"]]), **_pair(a, b),
                 )
             )
@@ -457,10 +468,7 @@ def _reference_checks(rule: Mapping[str, Any], c: ColumnInfo, parents: Mapping[s
     if parent is None or column not in parent.columns:
         log.warning("Rule '%s' (referential_integrity): %s is not available; skipping.", rule["name"], source)
         return []
-    texts = (
-        rule, c.name, f"'{c.name}' must exist in {source}",
-        f"Value in '{c.name}' has no matching record in {source}.",
-    )
+    texts = (rule, c.name, source)
     values = parent.select(F.col(S.quote(column)))
     key_type = G.shared_key_type(c.dtype, values.schema.fields[0].dataType)
     nulls_count = bool(rule.get("treat_null_as_invalid"))
