@@ -3,15 +3,18 @@
 Every text becomes the set of its distinct five-word shingles. Under each of ``permutations`` hash permutations both the
 smallest and the largest shingle are kept: each equals the other text's with a probability of the Jaccard similarity, so
 one evaluation gives two signature values. Two permutations (four values) make a band; texts that agree in a band become
-candidates; every link is confirmed on the full sets.
+candidates; every link is confirmed on the full sets. All permutations together give a sketch of one bit per value, from
+which a pair's similarity is estimated before its sets are fetched.
 
-With 80 permutations there are 40 bands: a pair of similarity 0.75 shares none with a probability of
+With 40 bands a pair of similarity 0.75 shares none with a probability of
 (1 - 0.75**4) ** 40 = 3e-7, less above it.
 
-How groups are kept linear: texts with equal sets are one node. A band's nodes are never paired with each other; a node
-is tried against the smallest node of the bands it is in (the one it shares most bands with first), and confirmed links
-merge components. After ``rounds`` of this, only pairs of nodes in one band whose components still differ are left;
-these are all tried, so that no link between components is lost.
+How groups are kept linear: texts with equal sets are one node. Nodes with so
+many shingles of their own that no link is possible leave first. A band's nodes are not paired with each other; a node
+is tried against the one of each band that has the smallest share of own shingles (the one it meets in most bands
+first), and confirmed links merge components. After ``rounds`` of this, only pairs of nodes in one band whose components
+still differ are left; these are all tried if their counts allow a link and their sketches differ by no more than SLACK standard deviations
+above what a pair at the limit differs (5e-7 of such pairs do).
 """
 
 from __future__ import annotations
@@ -28,9 +31,13 @@ from plumbline.llm.common import cut, ship, text_slices, unused
 from plumbline.llm.textnum import U, distinct, mix, randoms, shingles
 
 WIDTH = 5
-PERMUTATIONS = 80
+PERMUTATIONS = 512
+BANDS = 40
 PER_BAND = 2
 SIMILARITY = 75  # percent
+PRUNINGS = 2
+#: Differing sketch bits of a pair that is still tried, in standard deviations above the mean of a pair at the limit.
+SLACK = 4.9
 
 
 def minmax(values: np.ndarray, starts: np.ndarray, permutations: int) -> np.ndarray:
@@ -58,31 +65,45 @@ def band_keys(signature: np.ndarray, per_band: int) -> np.ndarray:
     return keys
 
 
-def _signatures(width: int, permutations: int, per_band: int):
+def sketch_bits(signature: np.ndarray) -> np.ndarray:
+    """texts x longs: one bit of every signature value; two sets agree in a bit with a probability of (1 + J) / 2."""
+    bits = (mix(signature + U(303)) & U(1)).astype(np.uint8).T
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
+
+
+def sketch_limit(bits: int) -> int:
+    """Most differing bits of a pair worth trying."""
+    p = (1 - SIMILARITY / 100) / 2
+    return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
+
+
+def _signatures(width: int, permutations: int, bands: int, per_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = permutations // per_band
+        longs = permutations * 2 // 64
         for batch in batches:
             for first, end, data, offsets in text_slices(batch):
                 values, starts = distinct(*shingles(data, offsets, width))
                 sizes = np.diff(starts)
                 full = np.flatnonzero(sizes)
                 keys = np.zeros((end - first, 2), U)
-                lists = np.zeros(0, U)
+                lists = sketches = np.zeros(0, U)
                 if len(full):
                     at = starts[full]
                     keys[full, 0] = np.add.reduceat(mix(values + U(101)), at)
                     keys[full, 1] = np.add.reduceat(mix(values + U(202)), at)
-                    lists = band_keys(minmax(values, at, permutations), per_band).ravel()
-                ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+                    signature = minmax(values, at, permutations)
+                    lists, sketches = band_keys(signature[: 2 * per_band * bands], per_band).ravel(), sketch_bits(signature).ravel()
+                ends = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, end - first),
                         pa.array(sizes),
                         pa.array(keys[:, 0].view(np.int64)),
                         pa.array(keys[:, 1].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends * bands), pa.array(lists.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends * longs), pa.array(sketches.view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
@@ -140,8 +161,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _can_link(n_a: str, s_a: str, n_b: str, s_b: str) -> str:
+    """SQL: may two sets of n shingles, of which s occur elsewhere as well, reach the similarity?
+
+    They share min(s) at most, and J >= t asks for (n_a + n_b) * t / (1 + t).
+    """
+    return f"(100 + {SIMILARITY}) * least({s_a}, {s_b}) >= {SIMILARITY} * ({n_a} + {n_b}) AND 100 * least({n_a}, {n_b}) >= {SIMILARITY} * greatest({n_a}, {n_b})"
+
+
+def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` without nodes that can't have a link, with s (shingles that another candidate has too) and own (share
+    of the others).
+
+    All that two texts share is in both. A copy with many edits has so many shingles of its own that no other text can
+    be similar enough to it; such nodes would be tried against all others of a large group in vain. Shingles of one node
+    are counted without joining back: of a shingle counted once, the smallest node is the only one.
+    """
+    left = cut(members.select("node", "n").distinct())
+    for again in range(PRUNINGS):  # nodes that have left don't count as others any more
+        own = sets if not again else sets.join(left, "node", "left_semi")
+        seen = own.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        alone = cut(seen.filter("node = other").groupBy("node").agg(F.count("*").alias("alone")))
+        shared = left.select("node", "n").join(alone, "node", "left").withColumn("s", F.col("n") - F.least("n", F.coalesce("alone", F.lit(0))))
+        left = cut(shared.filter(f"100 * s >= {SIMILARITY} * n").select("node", "n", "s"))
+    kept = members.join(left, ["node", "n"]).withColumn("own", 1 - F.col("s") / F.col("n"))
+    return kept.select("node", "n", "s", "own", "band", F.col("node").alias("component"))
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, per_band: int = PER_BAND, rounds: int = 2
+    docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, bands: int = BANDS, per_band: int = PER_BAND, rounds: int = 2
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -153,8 +201,8 @@ def near_duplicates(
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(
         source.mapInArrow(
-            _signatures(width, permutations, per_band),
-            "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>",
+            _signatures(width, permutations, bands, per_band),
+            "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>",
         )
     )
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -163,30 +211,40 @@ def near_duplicates(
     nodes = usable.withColumnRenamed("doc_id", "node").join(classes, [*key, "node"])
     rows = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = cut(rows.join(cut(shared.select("band", "low")), "band").dropDuplicates(["band", "node", "n"])).withColumn("component", F.col("node"))
+    members = cut(rows.join(cut(shared.select("band")), "band").dropDuplicates(["band", "node", "n"]))
     ids = cut(members.select(F.col("node").alias("doc_id")).distinct())
     sets = cut(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
+    members = _linkable(members, sets)
 
     labels = tried = links = None
     for turn in range(rounds + 1):
         if labels is not None:  # bands whose nodes are not all connected yet
-            labelled = members.drop("component").join(labels, "node", "left")
-            labelled = cut(labelled.withColumn("component", F.coalesce("component", "node")))
-            ends = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            members = cut(labelled.join(cut(ends.filter("x < y").select("band")), "band", "left_semi"))
-        if turn < rounds:  # each node against one smallest node of its bands
-            pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("bands"))
-        else:  # all pairs of a band that are still apart
-            one = members.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            two = members.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            near = f"a < b AND ca <> cb AND 100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)"
-            pairs = one.join(two, "band").filter(near).select("a", "b").distinct()
+            members = members.drop("component").join(labels, "node", "left")
+            members = members.withColumn("component", F.coalesce("component", "node"))
+        members = cut(members)
+        ends = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("own", "node")).alias("best"))
+        ends = cut(ends.filter("x < y").select("band", F.col("best.node").alias("center")))
+        members = cut(members.join(ends, "band"))
+        if turn < rounds:  # each node against the nodes of its bands that have the smallest share of own shingles
+            pairs = members.filter("node <> center").select(F.col("center").alias("c"), "node")
+            pairs = pairs.groupBy(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").agg(F.count("*").alias("bands"))
+        else:  # all pairs of a band that are still apart and can share enough
+            own = usable.select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "bands").dropDuplicates(["node", "n_shingles"])
+            drawn = members.join(own.withColumnRenamed("n_shingles", "n"), ["node", "n"])
+            longs = range(permutations * 2 // 64)
+            columns = [F.col(c) for c in ("node", "n", "s", "component")] + [F.col("sketch")[i].alias(f"x{i}") for i in longs]
+            drawn = cut(drawn.select("band", "bands", *columns))
+            one, two = (drawn.select("band", *[F.col(c).alias(f"{c}_{side}") for c in drawn.columns if c != "band"]) for side in "ab")
+            near = "node_a < node_b AND component_a <> component_b AND " + _can_link("n_a", "s_a", "n_b", "s_b")
+            near += " AND " + " + ".join(f"bit_count(x{i}_a ^ x{i}_b)" for i in longs) + f" <= {sketch_limit(permutations * 2)}"
+            near += " AND array_min(array_intersect(bands_a, bands_b)) = band"  # a pair comes from the first of its bands only
+            pairs = one.join(two, "band").filter(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        members = members.drop("center")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < rounds:
-            best = Window.partitionBy("b").orderBy(F.col("bands").desc(), "a")
-            pairs = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+            best = Window.partitionBy("node").orderBy(F.col("bands").desc(), "a", "b")
+            pairs = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("a", "b").distinct()
         pairs = cut(pairs.select("a", "b"))
         if pairs.isEmpty():
             continue
@@ -198,7 +256,7 @@ def near_duplicates(
     named = cut(named.select(*key, F.col("node" if labels is None else "component").alias("component"), "node"))
     named = named.select(*key, F.coalesce("component", "node").alias("component"))
     return (
-        signed.drop("bands")
+        signed.drop("bands", "sketch")
         .join(named, key, "left")
         .select(
             "doc_id",
