@@ -354,6 +354,16 @@ def _extract(weights):
     return run
 
 
+def _sample(source: DataFrame) -> list[str]:
+    """Up to SAMPLE_PAGES pages, those with the smallest page_id hashes. Ids alone are compared; only the chosen pages come
+    to the driver, cut at 200,000 characters each, which bounds the sample."""
+    mark = F.xxhash64("page_id")
+    ids = source.filter("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").distinct().orderBy(mark, "page_id").limit(SAMPLE_PAGES).collect()
+    chosen = source.filter(F.col("page_id").isin([r.page_id for r in ids])).select("page_id", F.substring("html", 1, 200_000).alias("html"))
+    rows = chosen.groupBy("page_id").agg(F.min("html").alias("html")).collect() if ids else []
+    return [r.html for r in sorted(rows, key=lambda r: r.page_id) if r.html is not None]
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (blocks of the article joined by two line feeds; empty if none), n_chars.
 
@@ -362,6 +372,5 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     ship(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sample = source.filter("html IS NOT NULL").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE_PAGES).select(F.substring("html", 1, 200_000).alias("html"))
-    weights = pages.sparkSession.sparkContext.broadcast(train([r.html for r in sample.collect()]))
+    weights = pages.sparkSession.sparkContext.broadcast(train(_sample(source)))
     return source.mapInArrow(_extract(weights), "page_id bigint, url string, text string, n_chars bigint")
