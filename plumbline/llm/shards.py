@@ -26,7 +26,7 @@ OVERHEAD = 16
 BITS = 60  # of each half of the key
 FIRST, STEP = 12, 8  # bits that a round refines
 TOLERANCE = 0.002  # of a shard's bytes
-ROWS_PER_SLOT_BIN = 50_000
+ROWS_PER_SLOT_BIN = 5_000  # what one task sorts at most, on average
 
 
 def size_of(text: Column) -> Column:

@@ -40,6 +40,13 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert again == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_slots_do_not_depend_on_the_intervals_they_are_sorted_in(spark, monkeypatch):
+    frame = spark.createDataFrame(rows_of(900), SCHEMA)
+    whole = {(r.doc_id, r.shard, r.slot) for r in shards.digest(frame).collect()}
+    monkeypatch.setattr(shards, "ROWS_PER_SLOT_BIN", 3)
+    assert {(r.doc_id, r.shard, r.slot) for r in shards.digest(frame).collect()} == whole
+
+
 def test_shards_of_few_rows(spark):
     frame = spark.createDataFrame([(1, "a", "s"), (1, "a", "s")], SCHEMA)
     got = shards.sharded(frame)
