@@ -38,6 +38,8 @@ SIMILARITY = 75  # percent
 PRUNINGS = 2
 #: Differing sketch bits of a pair that is still tried, in standard deviations above the mean of a pair at the limit.
 SLACK = 4.9
+#: Longs that may be sent to all tasks (16 MB); what is larger is shuffled.
+SENT = 2_000_000
 
 
 def minmax(values: np.ndarray, starts: np.ndarray, permutations: int) -> np.ndarray:
@@ -145,8 +147,18 @@ def connect(links: DataFrame) -> DataFrame:
         labels = lower
 
 
+def _few(frame: DataFrame, column: str = "1") -> bool:
+    """Is the sum of ``column`` small enough for ``frame`` to be sent to all tasks?"""
+    return (frame.agg(F.expr(f"sum({column})")).head()[0] or 0) <= SENT
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+    """Pairs (a, b) whose full sets reach the similarity. Sets of few shingles in all are sent to the pairs; else both are
+    shuffled."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    own = sets.join(needed, "node", "left_semi")
+    if _few(own, "size(shingles)"):
+        sets = F.broadcast(cut(own))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -213,6 +225,7 @@ def near_duplicates(
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = cut(rows.join(cut(shared.select("band")), "band").dropDuplicates(["band", "node", "n"]))
     ids = cut(members.select(F.col("node").alias("doc_id")).distinct())
+    ids = F.broadcast(ids) if _few(ids) else ids  # so that texts are not shuffled to pick out a few
     sets = cut(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
     members = _linkable(members, sets)
 
