@@ -4,12 +4,16 @@ The tree's symbols are 64 classes of characters of the token sequence (words in
 behind the last): letters and digits have classes of their own, other bytes share some. A text's probability is the
 product over its bytes of P(class | context) and P(byte | class), so it is a distribution over texts.
 
-Contexts of up to DEPTH classes are counted over all training documents. A context is considered if it makes up at least
-LEAST_SHARE of all positions (which bounds the tree at DEPTH / LEAST_SHARE states whatever the input) and retained if its
-next-symbol distribution diverges from that of its parent, the context without the oldest symbol: its count times the
-Kullback-Leibler divergence must reach DIVERGENCE nats. Retained contexts keep their suffixes. Distributions are smoothed
-by their parent's (Dirichlet, MASS), the root's by one per class. Each position is scored by its longest retained
-context.
+Contexts of up to DEPTH classes are counted over all training documents. A context is considered if it occurs at least
+LEAST_COUNT times, whatever the size of the corpus, and retained if its next-symbol distribution diverges from that of its
+parent, the context without the oldest symbol: its count times the Kullback-Leibler divergence must reach DIVERGENCE nats.
+Retained contexts keep their suffixes. Distributions are smoothed by their parent's (Dirichlet, MASS), the root's by one
+per class. Each position is scored by its longest retained context.
+
+The states grow with the corpus. The top of the tree, contexts of up to TOP classes (64 ** TOP of them at most), is held
+by every task. The subtrees below each context of TOP classes are built where the counts of all their contexts meet, and
+stay a partitioned table. For scoring they are sent to the tasks in blocks of about BLOCK_BYTES in the order of their
+codes; a task gathers CHUNK positions, sorts them by context and takes one block after the other for those in its range.
 
 Unigram counts follow the corpus: words that make up at least FREQUENT of all tokens (1 / FREQUENT of them at most) are
 looked up in the tasks; tokens of rarer words are joined with the counts by a shuffle.
@@ -17,6 +21,7 @@ looked up in the tasks; tokens of rarer words are joined with the counts by a sh
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import cut, ship, text_slices
-from plumbline.llm.textnum import words
+from plumbline.llm.textnum import U, words
 
-DEPTH = 4
+DEPTH = 8
+TOP = 3
 CLASSES = 64
-LEAST_SHARE = 2e-5
+LEAST_COUNT = 4
 DIVERGENCE = 10.0
 MASS = 8.0
 FREQUENT = 1e-6
 ALPHA = 0.1  # of the base score, fixed by the contract
 END_HASH = np.int64(0xE2D)  # the end token among the word hashes
 _BITS, _MASK = 6, 63
-_FLUSH = 3_000_000
+_BELOW = _BITS * (DEPTH - TOP + 1)  # bits of a key behind its TOP latest classes
+_FLUSH = 2_000_000
+BLOCK_BYTES = 32_000_000
+CHUNK = 3_000_000
 
 
 def class_table() -> np.ndarray:
@@ -100,11 +109,11 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return classes, out, starts
 
 
-def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The DEPTH classes before each position, the latest in the highest bits; ends stand before a text's beginning."""
+def contexts(classes: np.ndarray, starts: np.ndarray, depth: int = 4) -> np.ndarray:
+    """The ``depth`` classes before each position, the latest in the highest bits; ends stand before a text's beginning."""
     position = np.arange(len(classes)) - np.repeat(starts[:-1], np.diff(starts))
     code = np.zeros(len(classes), np.int64)
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         before = np.zeros(len(classes), np.int64)
         before[k:] = classes[:-k]
         before[position < k] = 0
@@ -120,9 +129,10 @@ class Counter64:
         self.held = self.merged = 0
 
     def add(self, keys: np.ndarray) -> None:
-        if not len(keys):
-            return
-        found, n = np.unique(keys, return_counts=True)
+        if len(keys):
+            self.add_counts(*np.unique(keys, return_counts=True))
+
+    def add_counts(self, found: np.ndarray, n: np.ndarray) -> None:
         self.parts.append((found, n))
         self.held += len(found)
         if self.held > _FLUSH + 2 * self.merged:
@@ -144,14 +154,14 @@ class Counter64:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task: words (kind 0), contexts with their next class (kind 1), bytes (kind 2)."""
+    """Partial counts of a task: words (kind 0), contexts of TOP classes with their next class (kind 1), bytes (kind 2)."""
     word, gram = Counter64(), Counter64()
     byte, texts = np.zeros(256, np.int64), 0
     for batch in batches:
         for first, end, data, offsets in text_slices(batch):
             word.add(words(data, offsets)[0].view(np.int64))
             classes, raw, starts = symbols(data, offsets)
-            gram.add((contexts(classes, starts) << _BITS) | classes)
+            gram.add((contexts(classes, starts, TOP) << _BITS) | classes)
             byte += np.bincount(raw[classes > 1], minlength=256)
             texts += end - first
     parts = [(0, *word.result()), (0, np.array([END_HASH]), np.array([texts])), (1, *gram.result()), (2, np.arange(256), byte)]
@@ -162,14 +172,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """Retained contexts as a table from the last DEPTH classes to a state, and log10 probabilities by state and class."""
+    """The top: retained contexts as a table from the last TOP classes to a state, and log10 probabilities by state and class."""
 
     def __init__(self, states: dict[int, dict[int, np.ndarray]], byte_counts: np.ndarray):
         root = states.get(0, {}).get(0, np.zeros(CLASSES))
         rows = [(root + 1) / (root.sum() + CLASSES)]
         self.depths, self.codes = [0], [0]
         index: list[dict[int, int]] = [{0: 0}]
-        for depth in range(1, DEPTH + 1):
+        for depth in range(1, TOP + 1):
             index.append({})
             for code, n in sorted(states.get(depth, {}).items()):
                 parent = rows[index[depth - 1][code >> _BITS]]  # the oldest class has the lowest bits
@@ -190,36 +200,174 @@ class Tree:
 
     def table(self) -> np.ndarray:
         if self._table is None:
-            table = np.zeros(1 << (_BITS * DEPTH), np.int32)
+            table = np.zeros(1 << (_BITS * TOP), np.int32)
             for state, (depth, code) in enumerate(zip(self.depths, self.codes, strict=True)):
-                width = _BITS * (DEPTH - depth)
+                width = _BITS * (TOP - depth)
                 table[code << width : (code + 1) << width] = state
             self._table = table
         return self._table
 
-    def score(self, classes: np.ndarray, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text."""
-        each = self.log[self.table()[contexts(classes, starts)], classes] + np.where(classes > 1, self.emit[raw], 0.0)
-        return np.add.reduceat(each, starts[:-1])
+    def chances(self, keys: np.ndarray) -> np.ndarray:
+        """P(class | longest context of the top) of keys, DEPTH classes and the next one."""
+        return 10 ** self.log[self.table()[keys >> _BELOW], keys & _MASK]
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their counts as one compressed row per bucket, the TOP latest classes."""
+    if not len(keys):
+        return
+    bucket = keys >> _BELOW
+    edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(keys)]])
+    step = np.diff(keys, prepend=0)
+    step[edges[:-1]] = keys[edges[:-1]]
+    both = np.stack([step, n.astype(np.int64)])
+    for a in range(0, len(edges) - 1, 1000):
+        own = edges[a : a + 1001]
+        blobs = [zlib.compress(both[:, x:y].copy().view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x, y in zip(own[:-1], own[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[own[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
 
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
+    return np.cumsum(both[0]), both[1]
 
-def grow(counts: DataFrame) -> Tree:
-    """The tree from counts (kind, k, n) of contexts and bytes."""
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of contexts of DEPTH classes with the next class, packed by bucket."""
+    gram = Counter64()
+    for batch in batches:
+        for _, _, data, offsets in text_slices(batch):
+            classes, _, starts = symbols(data, offsets)
+            gram.add((contexts(classes, starts, DEPTH) << _BITS) | classes)
+            if gram.merged > _FLUSH:
+                yield from _packed(*gram.result())
+                gram = Counter64()
+    yield from _packed(*gram.result())
+
+
+def _retained(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The retained contexts longer than TOP of some whole buckets: a row per bucket and depth."""
+    levels = []
+    for depth in range(TOP, DEPTH + 1):
+        pair = (keys >> (_BITS * (DEPTH - depth + 1)) << _BITS) | (keys & _MASK)
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        pair, count = pair[first], np.add.reduceat(n[order], first)
+        code = pair >> _BITS
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        total = np.add.reduceat(count, begin)
+        state = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(pair)]])))
+        kept = np.zeros(len(begin), bool)
+        if levels:
+            above = levels[-1]
+            spot = np.searchsorted(above[0], (code >> _BITS << _BITS) | (pair & _MASK))
+            q = above[1][spot] / above[4][above[2][spot]]
+            kept = (total >= LEAST_COUNT) & (np.add.reduceat(count * np.log(count / total[state] / q), begin) >= DIVERGENCE)
+        levels.append((pair, count, state, code[begin], total, kept))
+    needed, rows = np.empty(0, np.int64), []
+    for depth in range(DEPTH, TOP, -1):
+        pair, count, state, code, _, kept = levels[depth - TOP]
+        kept = kept | np.isin(code, needed)
+        needed = np.unique(code[kept] >> _BITS)
+        own = kept[state]
+        pair, count, code = pair[own], count[own], code[kept]
+        if not len(code):
+            continue
+        bucket, at = np.unique(code >> (_BITS * (depth - TOP)), return_index=True)
+        pairs_at = np.searchsorted(pair >> _BITS, code[at])
+        for b, x, y, u, v in zip(bucket.tolist(), at, [*at[1:], len(code)], pairs_at, [*pairs_at[1:], len(pair)], strict=True):
+            rows.append((b, depth, int(y - x), int(v - u), zlib.compress(pair[u:v].tobytes() + count[u:v].astype(np.int64).tobytes(), 1)))
+    schema = pa.schema([("bucket", pa.int64()), ("depth", pa.int32()), ("states", pa.int64()), ("pairs", pa.int64()), ("blob", pa.binary())])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Retained contexts from packed counts that come by bucket; small buckets are taken several at a time."""
+    gram, last = Counter64(), None
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+            if bucket != last and gram.held > _FLUSH // 3:
+                yield from _retained(*gram.result())
+                gram = Counter64()
+            gram.add_counts(*_unpacked(blob.as_py()))
+            last = bucket
+    if gram.parts:
+        yield from _retained(*gram.result())
+
+
+def subtrees(docs: DataFrame) -> DataFrame:
+    """The states below the top: bucket, depth, states, pairs, blob (pairs of a context and a class, and their counts)."""
+    grams = docs.select("text").mapInArrow(_grams, "bucket bigint, blob binary")
+    states = grams.repartition("bucket").sortWithinPartitions("bucket")
+    return cut(states.mapInArrow(_subtrees, "bucket bigint, depth int, states bigint, pairs bigint, blob binary"))
+
+
+class Block:
+    """States of a range of buckets by depth: codes, sets of seen classes as bits, and their counts."""
+
+    def __init__(self, rows: list):
+        self.first, self.last = rows[0].bucket, rows[-1].bucket
+        self.levels = []
+        for depth in range(TOP + 1, DEPTH + 1):
+            parts = [np.frombuffer(zlib.decompress(r.blob), np.int64).reshape(2, -1) for r in rows if r.depth == depth]
+            if not parts:
+                break  # suffixes are kept: nothing is deeper
+            pair, count = np.concatenate(parts, 1)
+            code = pair >> _BITS
+            begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            seen = np.bitwise_or.reduceat(U(1) << (pair & _MASK).astype(U), begin)
+            self.levels.append((depth, code[begin], seen, begin, np.add.reduceat(count, begin), count))
+
+    def refine(self, keys: np.ndarray, p: np.ndarray) -> None:
+        """Turn P(class | top context) of sorted keys into P(class | longest retained context)."""
+        a, b = np.searchsorted(keys, [self.first << _BELOW, (self.last + 1) << _BELOW])
+        alive = np.arange(a, b)
+        for depth, code, seen, begin, total, count in self.levels:
+            want = keys[alive] >> (_BITS * (DEPTH - depth + 1))
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            good = code[at] == want
+            alive, at = alive[good], at[good]
+            bit = (keys[alive] & _MASK).astype(U)
+            has = (seen[at] >> bit) & U(1) > 0
+            before = np.bitwise_count(seen[at] & ((U(1) << bit) - U(1)))
+            n = np.where(has, count[np.minimum(begin[at] + before, len(count) - 1)], 0)
+            p[alive] = (n + MASS * p[alive]) / (total[at] + MASS)
+
+
+def blocks_of_states(states: DataFrame) -> Iterator[Block]:
+    """The states in blocks of about BLOCK_BYTES, whole buckets each, in their order; one at a time on the driver."""
+    rows, held = [], 0
+    for row in states.orderBy("bucket", "depth").toLocalIterator():
+        if rows and held >= BLOCK_BYTES and row.bucket != rows[-1].bucket:
+            yield Block(rows)
+            rows, held = [], 0
+        rows.append(row)
+        held += 32 * row.states + 8 * row.pairs
+    if rows:
+        yield Block(rows)
+
+
+def grow(counts: DataFrame, states: DataFrame | None = None) -> Tree:
+    """The top of the tree from counts (kind, k, n) of contexts and bytes; it keeps what ``states`` stand below."""
     grams = counts.filter("kind = 1").select(F.shiftright("k", _BITS).alias("code"), F.col("k").bitwiseAND(_MASK).alias("next"), "n")
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("code", _BITS * (DEPTH - d)).alias("context")) for d in range(DEPTH + 1)]))
+    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("code", _BITS * (TOP - d)).alias("context")) for d in range(TOP + 1)]))
     level = grams.select(levels.alias("l"), "next", "n").groupBy("l.depth", "l.context", "next").agg(F.sum("n").alias("n"))
     level = cut(level)
-    total = level.filter("depth = 0").agg(F.sum("n")).head()[0] or 0
     level = level.withColumn("all", F.sum("n").over(Window.partitionBy("depth", "context")))
-    level = cut(level.filter((F.col("all") >= LEAST_SHARE * total) | (F.col("depth") == 0)))
+    level = cut(level.filter((F.col("all") >= LEAST_COUNT) | (F.col("depth") == 0)))
     parent = level.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "next", (F.col("n") / F.col("all")).alias("q"))
     child = level.filter("depth > 0").withColumn("suffix", F.shiftright("context", _BITS))
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q")))
     kept = child.join(parent, ["depth", "suffix", "next"]).groupBy("depth", "context").agg(gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE)
+    kept = kept.select("depth", "context")
+    if states is not None:
+        kept = kept.union(states.select(F.lit(TOP), "bucket").distinct())
     up = F.explode(F.sequence(F.lit(0), "depth"))
     kept = kept.select("depth", "context", up.alias("back")).select((F.col("depth") - F.col("back")).alias("depth"), F.expr(f"shiftright(context, {_BITS} * back)").alias("context"))
     kept = kept.union(kept.sparkSession.createDataFrame([(0, 0)], "depth int, context bigint")).distinct()
-    rows = level.join(kept, ["depth", "context"], "left_semi").select("depth", "context", "next", "n").toPandas()  # at most DEPTH / LEAST_SHARE contexts
+    rows = level.join(kept, ["depth", "context"], "left_semi").select("depth", "context", "next", "n").toPandas()  # at most 64 ** TOP contexts of TOP classes
     states: dict[int, dict[int, np.ndarray]] = {}
     for (depth, context), own in rows.groupby(["depth", "context"]):
         n = np.zeros(CLASSES)
@@ -231,17 +379,30 @@ def grow(counts: DataFrame) -> Tree:
     return Tree(states, byte)
 
 
-def _score(tree, frequent):
+def _score(tree, blocks, frequent):
+    def finished(held: list) -> Iterator[pa.RecordBatch]:
+        for block in blocks:  # read, used and let go: a task holds one at a time
+            table: Block = block.load_from_path(block._path)
+            for _, _, keys, _, p, _, _ in held:
+                table.refine(keys, p)
+            del table
+        for arrays, names, _, back, p, emit, starts in held:
+            score = np.add.reduceat(np.log10(p)[back] + emit, starts[:-1])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(score)], names=[*names, "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Tree = tree.value
         known, log_known = frequent.value
         row = TaskContext.get().partitionId() << 40
+        held, size = [], 0
         for batch in batches:
             for first, end, data, offsets in text_slices(batch):
                 hashes, at = words(data, offsets)
                 hashes = hashes.view(np.int64)
                 counts = np.diff(at)
-                score = model.score(*symbols(data, offsets))
+                classes, raw, starts = symbols(data, offsets)
+                keys, back = np.unique((contexts(classes, starts, DEPTH) << _BITS) | classes, return_inverse=True)
+                emit = np.where(classes > 1, model.emit[raw], 0.0)
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     hit = known[spot] == hashes
@@ -251,20 +412,23 @@ def _score(tree, frequent):
                 sums = np.concatenate([[0.0], np.cumsum(part)])
                 hits = np.concatenate([[0], np.cumsum(hit)])
                 rare = hits[at] * -1 + at  # tokens left over before each text's first
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + end - first)),
-                        batch.column("doc_id").slice(first, end - first),
-                        batch.column("held_out").slice(first, end - first),
-                        pa.array(counts + 1),
-                        pa.array(hits[at[1:]] - hits[at[:-1]]),
-                        pa.array(sums[at[1:]] - sums[at[:-1]]),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(hashes[~hit])),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "hits", "part", "score", "rare"],
-                )
+                arrays = [
+                    pa.array(np.arange(row, row + end - first)),
+                    batch.column("doc_id").slice(first, end - first),
+                    batch.column("held_out").slice(first, end - first),
+                    pa.array(counts + 1),
+                    pa.array(hits[at[1:]] - hits[at[:-1]]),
+                    pa.array(sums[at[1:]] - sums[at[:-1]]),
+                    pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(hashes[~hit])),
+                ]
+                names = ["row", "doc_id", "held_out", "n_tokens", "hits", "part", "rare"]
+                held.append((arrays, names, keys, back.astype(np.int32), model.chances(keys), emit, starts))
                 row += end - first
+                size += len(classes)
+                if size >= CHUNK:
+                    yield from finished(held)
+                    held, size = [], 0
+        yield from finished(held)
 
     return run
 
@@ -290,9 +454,13 @@ def scored(docs: DataFrame) -> DataFrame:
     ends = tokens.filter(F.col("k") == int(END_HASH)).select("n").head()
     end_count = ends.n if ends else 0
     frequent = sc.broadcast((often["k"].to_numpy(np.int64), np.log10((often["n"].to_numpy(float) + ALPHA) / denominator)))
-    tree = sc.broadcast(grow(counts))
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, hits bigint, part double, score double, rare array<bigint>"
-    first = cut(source.mapInArrow(_score(tree, frequent), schema))
+    states = subtrees(source.filter("NOT held_out"))
+    tree = sc.broadcast(grow(counts, states))
+    blocks = [sc.broadcast(b) for b in blocks_of_states(states)]
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, hits bigint, part double, rare array<bigint>, score double"
+    first = cut(source.mapInArrow(_score(tree, blocks, frequent), schema))
+    for block in blocks:
+        block.unpersist()
     seldom = cut(tokens.filter((F.col("n") < floor) & (F.col("k") != int(END_HASH))).select("k", "n"))
     log = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / denominator)
     rest = first.select("row", F.explode("rare").alias("k")).join(seldom, "k", "left")

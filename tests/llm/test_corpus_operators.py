@@ -208,3 +208,52 @@ def test_pipeline_stages(spark):
     last = P.STAGES[-1][1](spark, docs, sf)
     assert ids(last) == ids(docs) and last.columns == [*docs.columns, "shard", "slot"]
     assert ids(P.run(spark, sf)) == ids(last)
+
+
+def brute_force_tree(texts, depth, least, divergence, mass):
+    """log10 P(classes) of a text by a suffix tree over plain tuples, and its contexts."""
+    seen = collections.defaultdict(collections.Counter)
+    sequences = {}
+    for t in texts:
+        classes = suffix_tree.symbols(*arrays(t))[0].tolist()
+        sequences[t] = [0] * depth + classes
+        for i in range(depth, depth + len(classes)):
+            for d in range(depth + 1):
+                seen[tuple(sequences[t][i - d : i])][sequences[t][i]] += texts[t]
+    kept = {()}
+    for c, own in seen.items():
+        n, above = own.total(), seen[c[1:]]
+        if c and n >= least and sum(k * math.log(k / n / (above[x] / above.total())) for x, k in own.items()) >= divergence:
+            kept |= {c[k:] for k in range(len(c))}
+
+    def chance(c, x):
+        own = seen[c]
+        return (own[x] + 1) / (own.total() + 64) if not c else (own[x] + mass * chance(c[1:], x)) / (own.total() + mass)
+
+    def score(t):
+        row = [0] * depth + suffix_tree.symbols(*arrays(t))[0].tolist()
+        contexts = (next(tuple(row[i - d : i]) for d in range(depth, -1, -1) if tuple(row[i - d : i]) in kept) for i in range(depth, len(row)))
+        return sum(math.log10(chance(c, x)) for c, x in zip(contexts, row[depth:], strict=True))
+
+    return score, kept
+
+
+@pytest.mark.parametrize("block", [1, 64_000_000])
+def test_score_equals_a_brute_force_tree(spark, monkeypatch, block):
+    draw = np.random.default_rng(4)
+    words = ["".join(draw.choice(list("etaoinshr"), 5)) for _ in range(40)]
+    rows = [(i, " ".join(draw.choice(words, 30))) for i in range(100)] + [(200 + i, "zebra tone falls") for i in range(9)] + [(300 + i, "the tone rings") for i in range(70)] + [(400, ""), (401, None)]
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
+    train = collections.Counter(t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 10)
+    score, kept = brute_force_tree(train, suffix_tree.DEPTH, suffix_tree.LEAST_COUNT, suffix_tree.DIVERGENCE, suffix_tree.MASS)
+    assert tuple(suffix_tree._CLASS[list(b"a tone ")]) in kept
+    got = {r.doc_id: r.score for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert all(math.isclose(got[i], score(t or ""), rel_tol=1e-9) for i, t in rows)
+
+
+def test_states_are_chosen_by_count_and_not_by_share(spark):
+    rows = [("the tone rings and again " * 400,)] * 60 + [("zebra tone falls",)] * 12  # 12 of 600,000 positions
+    states = suffix_tree.subtrees(spark.createDataFrame(rows, "text string"))
+    wanted = sum(int(c) << (6 * k) for k, c in enumerate(suffix_tree._CLASS[list(b"a tone ")]))
+    codes = {depth: set(code.tolist()) for b in suffix_tree.blocks_of_states(states) for depth, code, *_ in b.levels}
+    assert wanted in codes[7]
