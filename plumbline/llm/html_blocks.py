@@ -5,8 +5,10 @@ hashed into PATH_DIM entries, its words hashed into WORD_DIM, and a few measures
 whole sequence and labels every block as article or not, so a block is judged in the context of the document.
 
 The labeller is trained on the driver on a bounded sample: SAMPLE_PAGES pages with the smallest page_id hashes, the same
-with furniture of other kinds put in, and four times as many invented pages. Its labels come from a teacher who looks at a single
-block's path (article-like containers against menus, notices, adverts, forms, comments and so on).
+with furniture of other kinds put in, and invented pages. The labels of pages with a named article come from a teacher who
+looks at a single block's path (article-like containers against menus, notices, adverts, forms, comments and so on); a sample
+page in which the teacher finds no article teaches nothing. Invented pages whose article stands in a container of any name,
+in none, or below furniture words of wrappers are labelled by where the text was placed.
 """
 
 from __future__ import annotations
@@ -63,6 +65,8 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 @lru_cache(maxsize=4096)
 def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     """A path element's features: its tag, and the words in its class, id, role and itemprop."""
+    if tag in ("html", "body"):  # theirs describe the whole page, not a block
+        return (f"<{tag}>",)
     named = [w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _SPLIT.split(m[2] or m[3] or m[4] or "") if w]
     return (f"<{tag}>", *named)
 
@@ -139,8 +143,9 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_DIM, np.float32)
     for mark in path:
-        h = xxhash.xxh64_intdigest(mark)
-        v[h % PATH_DIM] += 1.0 if h >> 63 else -1.0
+        for seed in range(3):  # a name seldom shares more than one of its entries with a name of furniture
+            h = xxhash.xxh64_intdigest(mark, seed)
+            v[h % PATH_DIM] += 1.0 if h >> 63 else -1.0
     return np.clip(v, -2, 2)
 
 
@@ -163,8 +168,14 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
 
 def teacher(path: tuple[str, ...]) -> bool:
     """Is a block with this path part of the article?"""
+    outer = max((i for i, m in enumerate(path) if m == "<main>"), default=0)  # a page has one main part: what is around it says nothing
+    path = path[outer:]
+    own: set[int] = set()  # the names of <article> and <main> themselves
+    for i, m in enumerate(path):
+        if m[0] != "<" and (i - 1 in own or path[i - 1] in ("<article>", "<main>")):
+            own.add(i)
     tags = {m[1:-1] for m in path if m[0] == "<"}
-    named = {m for m in path if m[0] != "<"}
+    named = {m for i, m in enumerate(path) if m[0] != "<" and i not in own}
     if tags & FURNITURE_TAGS or named & set(FURNITURE_WORDS):
         return False
     return bool(tags & ARTICLE_TAGS or named & set(ARTICLE_WORDS))
@@ -234,8 +245,12 @@ def train(pages: list[str]) -> Weights:
     data = []
     for page in sources:
         blocks = blocks_of(page)[:TRAIN_BLOCKS]
-        if blocks:
-            data.append((vectors(blocks), np.array([teacher(b[1]) for b in blocks], np.float32)))
+        marks = [teacher(b[1]) for b in blocks]
+        if any(marks):
+            data.append((vectors(blocks), np.array(marks, np.float32)))
+    for _ in range(SAMPLE_PAGES * 8):
+        placed = blocks_of(_placed(draw))[:TRAIN_BLOCKS]
+        data.append((vectors([(t.replace(_HERE, ""), *rest) for t, *rest in placed]), np.array([_HERE in b[0] for b in placed], np.float32)))
     rng, size = np.random.default_rng(SEED), PATH_DIM + WORD_DIM + MEASURES
     w: Weights = {}
     for d in "fr":
@@ -331,6 +346,42 @@ def _invented(draw: random.Random) -> str:
     return f"<html><head><title>{_words(draw, 2, 5)}</title></head><body><nav><ul>{menu}</ul></nav><article>{''.join(parts)}</article><footer>{_words(draw, 2, 20)}</footer></body></html>"
 
 
+_HERE = "\ue000"  # stands in the article's texts of a placed page until it is labelled
+
+
+def _name(draw: random.Random) -> str:
+    name = draw.choice([_words(draw, 1, 1), "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(1, 8)))])
+    return draw.choice(["{}", "{}", f"{{}}{draw.randint(1, 99)}", f"{{}}-{_words(draw, 1, 1)}", "site-{}", "{}-box", "page_{}", "page{}"]).format(name)
+
+
+def _placed(draw: random.Random) -> str:
+    """An invented page whose article is known by its place: in a container of any name or in none, below wrappers whose
+    names may be those of furniture, with furniture around and in it or without."""
+    parts = [f"<h1>{_HERE}{_words(draw, 2, 9)}</h1>"] if draw.random() < 0.7 else []
+    for _ in range(draw.choice([1, 2, 3, 5, 8])):
+        kind = draw.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<pre>{}</pre>"])
+        parts.append(kind.format(_HERE + _words(draw, 1, draw.choice([6, 30, 90, 90, 2000 if draw.random() < 0.1 else 90]))))
+    if draw.random() < 0.3:
+        parts.insert(draw.randint(0, len(parts)), _furniture(draw))
+    furniture = draw.choice(FURNITURE_WORDS)
+    wrapped = draw.choice([f"has-{furniture}", f"{furniture}-{_words(draw, 1, 1)}", f"with {furniture}"])
+    tag, attribute = draw.choice(["div", "div", "section", "td"]), draw.choice(["id", "class"])
+    opened, closed = draw.choice([
+        ("", ""), ("", ""), (f"<{tag} {attribute}='{_name(draw)}'>", f"</{tag}>"), (f"<{tag} {attribute}='{_name(draw)}'>", f"</{tag}>"), ("<div>", "</div>"),
+        (f"<article class='{_name(draw)} {wrapped}'>", "</article>"), (f"<main id='{wrapped}'>", "</main>"), ("<article>", "</article>"),
+    ])
+    around = [_furniture(draw) for _ in range(draw.choice([0, 1, 2, 4]))]
+    menu = "".join(f'<li><a href="/x">{_words(draw, 1, 2)}</a></li>' for _ in range(draw.randint(2, 7)))
+    if around:
+        around.insert(0, f"<nav><ul>{menu}</ul></nav>")
+        around.append(f"<footer>{_words(draw, 2, 20)}</footer>")
+    spot = draw.randint(0, len(around))
+    page = "".join([*around[:spot], opened, *parts, closed, *around[spot:]])
+    if opened and draw.random() < 0.4:  # a wrapper of everything; in it the article has a container of its own
+        page = f"<div class='{draw.choice([_name(draw), wrapped])}'>{page}</div>"
+    return draw.choice(["{}", "<html><body>{}</body></html>", "<html><body>{}</body></html>"]).format(page)
+
+
 def _extract(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Weights = weights.value
@@ -367,7 +418,8 @@ def _sample(source: DataFrame) -> list[str]:
 def extracted(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (blocks of the article joined by two line feeds; empty if none), n_chars.
 
-    A null or empty html has no blocks. A page without an article-like container has what the labeller makes of it.
+    A null or empty html has no blocks. A page without an article-like container has what the labeller makes of it;
+    it is taught on such pages.
     Null ids and urls come back as they are, repeated rows as often as they come; other columns are not read.
     """
     ship(pages.sparkSession)

@@ -145,3 +145,20 @@ def test_held_out_accuracy():
             right += html_blocks.teacher(b[1]) == bool(good)
             total += 1
     assert right / total > 0.97
+
+
+ARTICLE = "<h1>Some head line</h1><p>the first paragraph of the text with words</p><p>and a second one that goes on for a while</p>"
+LAYOUTS = [
+    "<div id='c1'>{}</div>", "<div class='zq-main7 xk'>{}</div>", "{}", "<section class='lorem'>{}</section>", "<div class='has-sidebar'><article>{}</article></div>",
+    "<article class='post has-comments share-on'>{}</article>", "<div class='with-banner'><main>{}</main></div>", "<main id='skip-target'>{}</main>",
+]
+
+
+def test_articles_in_any_container(spark):
+    around = "<html><body class='{}'><nav><ul><li><a href='/x'>menu</a></li></ul></nav><div class='ad'>buy this now</div>{}<footer>&copy; all</footer></body></html>"
+    pages = [(i, around.format(b, x.format(ARTICLE))) for i, (x, b) in enumerate((x, b) for x in LAYOUTS for b in ("", "has-sidebar header-fixed"))]
+    frame = spark.createDataFrame([(i, "u", p) for i, p in [*pages, (100, "<p>" + "long " * 40_000), (101, around.format("", ""))]], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_blocks.extracted(frame).collect()}
+    want = "\n\n".join(re.findall(r">([^<]+)</", ARTICLE))
+    assert {i: got[i] for i, _ in pages if got[i] != want} == {}
+    assert got[100] == ("long " * 40_000).strip() and got[101] == ""
