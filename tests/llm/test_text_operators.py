@@ -162,3 +162,11 @@ def test_articles_in_any_container(spark):
     want = "\n\n".join(re.findall(r">([^<]+)</", ARTICLE))
     assert {i: got[i] for i, _ in pages if got[i] != want} == {}
     assert got[100] == ("long " * 40_000).strip() and got[101] == ""
+
+
+def test_silent_elements_and_formulas_stay_in_the_line():
+    texts = lambda page: [b[0] for b in html_blocks.blocks_of(page)]
+    assert texts('<article><p>one <svg class="i"/> two</p><p>three</p>') == ["one two", "three"]
+    assert texts("<p>one <svg><path d='m'/>x</svg> two <script>var a;</script>three</p><p>four</p>") == ["one two three", "four"]
+    assert texts("<p>if <math><mi>a</mi><mo>=</mo><mn>1</mn></math> then <math/>so</p><p>end</p>") == ["if a=1 then so", "end"]
+    assert texts("<p>a</p><title>t</title><svg-icon>b</svg-icon><p>c</p>") == ["a", "b", "c"]
