@@ -6,8 +6,9 @@ and the matches themselves (all extracts) have lengths, and running sums of thes
 Entropy: every candidate run of key characters is scanned by a window of WINDOW characters. The window's entropy is
 log2(W) - sum(f(n)) / W with f(n) = n log2 n over the counts n of its characters; when it moves by one, only the counts
 of the entering and of the leaving character change, so the sum is kept up by two differences of f. f is a table of
-integers (millionths), which keeps the sum exact. A candidate's class (hex, lower, mixed) sets the limit. Candidates on
-the allow list are suppressed, and so are those that overlap a span of the fixed patterns.
+integers (millionths), which keeps the sum exact. Spans of the fixed patterns are cut out of a candidate, and rulers off the
+ends of what remains; each piece of WINDOW characters or more is a candidate of its own. Its class (hex, lower, mixed) sets
+the limit, and pieces on the allow list are suppressed.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ ALLOWED = (
     r"^[A-Za-z]+$",  # a word without digits
     r"^[0-9_+/=-]+$",  # a number
     r"^(/?[a-z0-9_-]+/)+[a-z0-9_-]*$",  # a path
-    r"(.)\1{9}",  # a ruler
+    r"^(.)\1*$",  # a ruler
 )
+RULER = r"^([+/_=-])\1{9,}"
 
 
 def _matches(text: str, pattern: str, group: int = 0, plain: bool = True) -> str:
@@ -99,6 +101,24 @@ def _entropy_hit(own: str) -> str:
     return f"({least}) <= {bound}".replace("f[", f"{table}[")
 
 
+def _pieces() -> str:
+    """SQL: the candidates without the spans of ``base`` (sorted by start) and without rulers at their ends."""
+    kind = "array<struct<start:int,rank:int,kind:string,end:int,own:string>>"
+    touched = "b -> b.start < x.end AND x.start < b.end"
+    part = "struct(a.at AS start, x.rank AS rank, x.kind AS kind, b.start AS end, substring(x.own, a.at - x.start + 1, b.start - a.at) AS own)"
+    cut = f"""
+      aggregate(concat(filter(base, {touched}), array(struct(x.end AS start, 0 AS rank, '' AS kind, x.end AS end, '' AS own))),
+        struct(x.start AS at, CAST(array() AS {kind}) AS out),
+        (a, b) -> struct(greatest(a.at, b.end) AS at, CASE WHEN b.start - a.at >= {WINDOW} THEN concat(a.out, array({part})) ELSE a.out END AS out),
+        a -> a.out)"""
+    apart = f"flatten(transform(candidates, x -> CASE WHEN exists(base, {touched}) THEN {cut} ELSE array(x) END))"
+    lit = "'" + RULER.replace("\\", "\\\\") + "'"
+    head, tail = f"length(regexp_extract(x.own, {lit}, 0))", f"length(regexp_extract(reverse(x.own), {lit}, 0))"
+    bare = f"""struct(x.start + {head} AS start, x.rank AS rank, x.kind AS kind, x.end - {tail} AS end,
+      substring(x.own, {head} + 1, length(x.own) - {head} - {tail}) AS own)"""
+    return f"filter(transform({apart}, x -> CASE WHEN {head} + {tail} > 0 THEN {bare} ELSE x END), x -> length(x.own) >= {WINDOW})"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with spans, an array of struct(start, kind, end) in code points, by start and then kind.
 
@@ -124,7 +144,8 @@ def scan(docs: DataFrame) -> DataFrame:
         candidates=F.expr(_spans("p3", "entropy", WINDOW, rank["entropy"])),
     )
     allowed = " OR ".join("x.own RLIKE '" + a.replace("\\", "\\\\") + "'" for a in ALLOWED)
-    found = f"filter(candidates, x -> NOT ({allowed}) AND NOT exists(base, b -> b.start < x.end AND x.start < b.end) AND {_entropy_hit('x.own')})"
+    step = settle(step, [*own, "base"], pieces=F.expr(_pieces()))
+    found = f"filter(pieces, x -> NOT ({allowed}) AND {_entropy_hit('x.own')})"
     step = settle(step, [*own, "base"], added=F.expr(found))
     spans = F.expr("transform(array_sort(concat(base, added)), s -> struct(s.start AS start, s.kind AS kind, s.end AS end))")
     return step.select(*own, spans.alias("spans")).toDF(*docs.columns, unused("spans", docs))
