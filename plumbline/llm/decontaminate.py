@@ -12,6 +12,8 @@ nothing. Here the signature belongs to the item alone, and the documents answer
 
 The items' shingles are sent to the tasks in blocks of at most BLOCK_SHINGLES (24 bytes each); more items mean more
 passes over the documents, never a larger broadcast. Documents are not shuffled.
+
+An item is its item_id and its set of shingles, so items that share an item_id or have none are searched for one by one.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, ship, text_slices, unused
+from plumbline.llm.common import cut, ship, text_slices
 from plumbline.llm.textnum import U, distinct, shingles
 
 WIDTH = 5
@@ -37,7 +40,7 @@ _GATE = 20  # bits of the first filter
 class Block:
     """Some items' shingles: full sets as a sorted table, and the probes of each size class."""
 
-    def __init__(self, items: np.ndarray, values: np.ndarray, starts: np.ndarray):
+    def __init__(self, items: list[int | None], values: np.ndarray, starts: np.ndarray):
         self.items = items
         self.sizes = np.diff(starts)
         owner = np.repeat(np.arange(len(items)), self.sizes)
@@ -86,7 +89,8 @@ def _search(block, width: int):
                 for text in np.unique(np.searchsorted(starts, hits, side="right") - 1).tolist():
                     found, shared = table.contained(values[starts[text] : starts[text + 1]])
                     for item, n in zip(found.tolist(), shared.tolist(), strict=True):
-                        out.append((docs[first + text], int(table.items[item]), n, int(table.sizes[item])))
+                        if table.items[item] is not None:
+                            out.append((docs[first + text], table.items[item], n, int(table.sizes[item])))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             names = ["doc_id", "item_id", "n_shared", "n_item"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -94,14 +98,35 @@ def _search(block, width: int):
     return run
 
 
+def _leaking(blocks: list):
+    """For every text, whether it contains an item; of several blocks a task holds one at a time."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            leaks = np.zeros(len(texts), bool)
+            for block in blocks:
+                table: Block = block.value if len(blocks) == 1 else block.load_from_path(block._path)
+                for first, _, data, offsets in text_slices(batch):
+                    values, starts = shingles(data, offsets, WIDTH)
+                    hits = np.flatnonzero(table.suspects(values))
+                    for text in np.unique(np.searchsorted(starts, hits, side="right") - 1).tolist():
+                        leaks[first + text] |= len(table.contained(values[starts[text] : starts[text + 1]])[0]) > 0
+            yield pa.array(leaks)
+
+    return run
+
+
 def _item_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("item_id").to_pylist()
             for first, end, data, offsets in text_slices(batch):
                 values, starts = distinct(*shingles(data, offsets, width))
-                ids = np.array(batch.column("item_id").slice(first, end - first))
-                owner = np.repeat(ids, np.diff(starts))
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values.view(np.int64))], names=["item_id", "h"])
+                keys = [xxhash.xxh64_intdigest(repr(i).encode() + values[a:b].tobytes()) for i, a, b in zip(ids[first:end], starts[:-1], starts[1:], strict=True)]
+                sizes = np.diff(starts)
+                columns = [np.repeat(np.array(keys, U).view(np.int64), sizes), np.repeat([i or 0 for i in ids[first:end]], sizes).astype(np.int64), np.repeat([i is not None for i in ids[first:end]], sizes), values.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item", "item_id", "named", "h"])
 
     return run
 
@@ -112,35 +137,37 @@ def _blocks(items: DataFrame, width: int) -> Iterator[Block]:
     An item larger than a block would break the bound and fills a block of its own: test items are short by nature.
     """
     source = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    sets = source.filter("item_id IS NOT NULL").mapInArrow(_item_sets(width), "item_id bigint, h bigint")
-    sets = cut(sets.groupBy("item_id", "h").count().select("item_id", "h"))
-    sizes = sets.groupBy("item_id").agg(F.count("*").alias("n"))
+    sets = source.mapInArrow(_item_sets(width), "item bigint, item_id bigint, named boolean, h bigint")
+    sets = cut(sets.distinct())
+    sizes = sets.groupBy("item").agg(F.count("*").alias("n"))
     total = sets.count()
     if not total:
         return
     if total <= BLOCK_SHINGLES:
         blocks = [(None, sets)]
     else:  # running size over the items, by range of id, decides the block
-        running = F.sum("n").over(Window.orderBy("item_id"))
+        running = F.sum("n").over(Window.orderBy("item"))
         block = cut(sizes.withColumn("block", F.floor(running / BLOCK_SHINGLES)))
-        joined = cut(sets.join(block.select("item_id", "block"), "item_id"))
+        joined = cut(sets.join(block.select("item", "block"), "item"))
         numbers = [r.block for r in block.select("block").distinct().orderBy("block").collect()]
         blocks = [(b, joined.filter(F.col("block") == b)) for b in numbers]
     for _, rows in blocks:
-        table = rows.select("item_id", "h").toPandas()
-        ids, values = table["item_id"].to_numpy(), table["h"].to_numpy().view(U)
-        order = np.lexsort((values, ids))
-        ids, values = ids[order], values[order]
-        names, begin = np.unique(ids, return_index=True)
-        yield Block(names, values, np.concatenate([begin, [len(ids)]]))
+        table = rows.select("item", "item_id", "named", "h").toPandas()
+        items, values = table["item"].to_numpy(), table["h"].to_numpy().view(U)
+        order = np.lexsort((values, items))
+        items, values = items[order], values[order]
+        begin = np.unique(items, return_index=True)[1]
+        ids, named = table["item_id"].to_numpy()[order][begin], table["named"].to_numpy()[order][begin]
+        names = [i if own else None for i, own in zip(ids.tolist(), named.tolist(), strict=True)]
+        yield Block(names, values, np.concatenate([begin, [len(items)]]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs of a document and a benchmark item it contains: doc_id, item_id, n_shared, n_item (distinct shingles).
 
     An item is contained if at least 75 % of its distinct five-word shingles are in the document (A-Z as a-z). A null
-    or blank text contains nothing, and an item without words is in nothing. Items without item_id are not searched
-    for; documents without doc_id are searched and reported with a null doc_id. Repeated rows are reported once each;
+    or blank text contains nothing, and an item without words is in nothing. Items without item_id are not
+    reported; items that share an item_id with different texts are searched for and reported one by one; documents without doc_id are searched and reported with a null doc_id. Repeated rows are reported once each;
     repeated items count once. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -152,9 +179,13 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item, with their columns.
+    """The documents that contain no benchmark item, items without item_id included, with their columns.
 
-    Documents without doc_id can't be told apart: if one of them leaks, all of them go."""
-    leak = unused("leak_id", docs)
-    leaks = cut(contaminated(docs, items).select(F.col("doc_id").alias(leak)).distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col(leak)), "left_anti")
+    Every row is judged by its own text, so doc_id may be null or repeated."""
+    spark = docs.sparkSession
+    ship(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, WIDTH)]
+    if not blocks:
+        return docs
+    leaking = F.arrow_udf(_leaking(blocks), "boolean", F.ArrowUDFType.SCALAR_ITER)
+    return docs.filter(~leaking(docs["text"].cast("string")))

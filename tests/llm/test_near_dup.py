@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from plumbline.llm import decontaminate, near_dup
 
 
@@ -119,3 +121,16 @@ def test_many_items_go_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "start " + t + " end") for i, t in items], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+@pytest.mark.parametrize("block", [2_000_000, 10])
+def test_rows_are_judged_one_by_one_whatever_their_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", block)
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    items = spark.createDataFrame([(1, a), (1, b), (None, c), (2, d), (2, d)], "item_id bigint, text string")
+    docs = [(None, f"x {a} y"), (None, "clean one"), (None, None), (5, f"{b} end"), (5, "clean two"), (6, f"start {c}"), (7, d), (8, "clean three")]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(docs)], "doc_id bigint, text string, leaks int")
+    kept = decontaminate.decontaminated(frame, items)
+    assert kept.columns == frame.columns and sorted(r.leaks for r in kept.collect()) == [1, 2, 4, 7]
+    found = sorted(((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(frame, items).collect()), key=str)
+    assert found == sorted([(None, 1, 8, 8), (5, 1, 8, 8), (7, 2, 8, 8)], key=str)
