@@ -64,9 +64,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, failed & {POLICIES[CURRENT].mask} = 0 AS kept, failed FROM f"""
 
 
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN (SELECT * FROM s WHERE NOT same) USING (anchor_id)
+WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+# crc32 bit by bit: 3988292384 is the reversed polynomial.
+TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)::UBIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT)))) % 4 AS h
+  FROM t GROUP BY conv_id),
+g AS (SELECT c.conv_id, c.h, c.n, c.conv_id - c.conv_id % 20 AS lender, least(c.h, coalesce(l.n, 0)) AS given
+  FROM c LEFT JOIN c l ON l.conv_id = c.conv_id - c.conv_id % 20),
+b AS (SELECT g.conv_id, r AS pos, role, text FROM g JOIN t ON t.conv_id = g.lender AND r <= g.h
+  UNION ALL SELECT conv_id, r - h + given, role, text FROM g JOIN t USING (conv_id) WHERE r > h),
+s AS (SELECT g.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path
+  FROM g LEFT JOIN b USING (conv_id) GROUP BY g.conv_id),
+m AS (SELECT conv_id, path[:d] AS p, d AS depth, len(path) = d AS last FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM s)),
+n AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM m GROUP BY p, depth),
+v AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len({_words("p[depth].text")}) END AS tokens, p[:depth - 1] AS above FROM n),
+k AS (SELECT above AS p, depth - 1 AS depth, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (p, depth)),
+u AS (SELECT p[:d] AS p, d AS depth, sum(tokens) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN u USING (p, depth) LEFT JOIN n o ON w.depth > 0 AND o.depth = w.depth - 1 AND o.p = w.above"""
+
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": DECONTAMINATE,
     "op3_chat_format": CHAT,
     "op8_warc": WARC,
     "op10_quality_rules": _quality(),
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_prefix_trie": TRIE,
 }

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, html_blocks, mixing, near_dup, quality, secrets, shards, suffix_tree, warc
+from plumbline.llm import (
+    chat, decontaminate, hard_negatives, html_blocks, mixing, near_dup, prefix_trie, quality, secrets, shards, suffix_tree, toxicity, warc,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,10 +53,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.mined_labels(read(spark, sf_dir, "embeddings")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minmax_dedup, op2_decontaminate, op3_chat_format, op4_histogram_shards, op5_html_blocks, op6_secret_scan, op7_suffix_tree, op8_warc,
-        op9_pivotal_mix, op10_quality_rules,
+        op9_pivotal_mix, op10_quality_rules, op11_toxicity, op12_hard_negatives, op13_prefix_trie,
     )
 }
