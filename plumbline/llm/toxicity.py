@@ -32,8 +32,8 @@ DIM = 8
 NGRAMS = (3, 4, 5, 6)
 LONGEST = 40  # characters of a word that count for its bag; a longer run is split into several words
 WINDOW = 24
-TRAIN_TEXTS = 12_000
-TRAIN_CHARS = 20_000
+TRAIN_TEXTS = 10_000
+TRAIN_CHARS = 8_000
 STEPS = 240
 RATE = 0.1
 DECAY = 2e-6
@@ -59,6 +59,7 @@ class Bags:
     grams: np.ndarray
     starts: np.ndarray
     texts: int
+    hashes: np.ndarray  # of the distinct words
 
 
 def bags(texts: list[str]) -> Bags:
@@ -116,7 +117,39 @@ def bags(texts: list[str]) -> Bags:
     text = np.repeat(np.arange(len(texts)), windows)
     places = np.unique(window * np.int64(len(first) + 1) + word)
     window, word = places // (len(first) + 1), places % (len(first) + 1)
-    return Bags(word, window, text, np.concatenate(parts)[order].astype(np.int64), starts, len(texts))
+    return Bags(word, window, text, np.concatenate(parts)[order].astype(np.int32), starts, len(texts), hashes[place])
+
+
+def sliced(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about SLICE_CHARS characters, in order."""
+    first = chars = 0
+    for i, text in enumerate(texts):
+        if i > first and chars + len(text) > SLICE_CHARS:
+            yield texts[first:i]
+            first, chars = i, 0
+        chars += len(text)
+    if first < len(texts):
+        yield texts[first:]
+
+
+def joined(parts: list[Bags]) -> Bags:
+    """Bags of several runs of texts as one: a word has one number in all of them."""
+    all_hashes = np.concatenate([b.hashes for b in parts])
+    hashes, first, number = np.unique(all_hashes, return_index=True, return_inverse=True)
+    words = np.cumsum([0, *[len(b.hashes) for b in parts]])
+    windows = np.cumsum([0, *[len(b.text) for b in parts]])
+    texts = np.cumsum([0, *[b.texts for b in parts]])
+    grams = np.concatenate([b.grams for b in parts])
+    begins = np.concatenate([b.starts[:-1] + at for b, at in zip(parts, np.cumsum([0, *[len(b.grams) for b in parts]]))])
+    sizes = np.concatenate([np.diff(b.starts) for b in parts])[first]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    grams = grams[np.repeat(begins[first] - starts[:-1], sizes) + np.arange(starts[-1])]
+    return Bags(
+        np.concatenate([number[words[i] : words[i + 1]][b.word] for i, b in enumerate(parts)]),
+        np.concatenate([b.window + windows[i] for i, b in enumerate(parts)]),
+        np.concatenate([b.text + texts[i] for i, b in enumerate(parts)]),
+        grams, starts, int(texts[-1]), hashes,
+    )
 
 
 def window_logits(bag: Bags, per_bucket: np.ndarray, bias: float) -> np.ndarray:
@@ -167,8 +200,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
     if not len(labels) or labels.min() == labels.max():
         model.vectors[:] = 0
         return model
-    bag = bags(texts)
+    bag = joined([bags(some) for some in sliced(texts)])
     used, grams = np.unique(bag.grams, return_inverse=True)
+    grams = grams.astype(np.int32)
     if not len(bag.text):  # no words at all
         return model
     sizes = np.diff(bag.starts)
@@ -223,16 +257,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, n: int = TRAIN_TEXTS) -> t
 def _scores(per_bucket: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             first = 0
-            while first < len(texts):
-                end, chars = first, 0
-                while end < len(texts) and (end == first or chars + len(texts[end]) <= SLICE_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                top = _text_scores(texts[first:end], per_bucket, bias)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), batch.column("held_out").slice(first, end - first), pa.array(sigmoid(top))], names=["doc_id", "held_out", "score"])
-                first = end
+            for texts in sliced(batch.column("text").to_pylist()):
+                top = sigmoid(_text_scores(texts, per_bucket, bias))
+                ids, held = (batch.column(c).slice(first, len(texts)) for c in ("doc_id", "held_out"))
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(top)], names=["doc_id", "held_out", "score"])
+                first += len(texts)
 
     return run
 
@@ -264,6 +294,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     texts, y, weights = training_rows(docs, labels)
     model = fit(texts, y, weights)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), text_of(F.col("text").cast("string")).alias("text"))
+    source = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), text_of(F.col("text").cast("string")).alias("text")
+    )
     out = source.mapInArrow(_scores(model.per_bucket(), model.bias), "doc_id bigint, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
