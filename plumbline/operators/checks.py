@@ -608,8 +608,9 @@ def tally(table: Table, values: Values, checks: list[Check]) -> DataFrame:
 
 
 def tally_of(issue_rows: DataFrame) -> DataFrame:
-    """The same counts taken from listed issues."""
+    """The same counts taken from listed issues. A row whose key is NULL has no label either; only an absent column is a fact
+    about the table."""
     keys = ["source", "issue_type", "rule_or_check_name", "column", "severity", "recommendation"]
-    return issue_rows.groupBy(*keys, F.col("row_index").isNotNull().alias("row_level")).agg(
+    return issue_rows.groupBy(*keys, (F.col("issue_type") != "required_column").alias("row_level")).agg(
         F.count(F.lit(1)).alias("n")
     )

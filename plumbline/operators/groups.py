@@ -1,5 +1,9 @@
 """Equal-value groups: distinct counts, repeated rows, repeated values, values without a parent.
 
+Groups are found by hashes of cells, 16 bytes a row; what they name is then fetched through a Bloom filter and checked on the
+cells themselves, so that only rows that may belong to a group are shuffled with their cells. Rows are told apart by
+what they hold and how often, never by their key, which may be NULL or repeated.
+
 A single value or one set of row copies may hold a large part of the table, so a group is never
 brought to one task: sizes are counted with map-side partial aggregation, and when flagged rows have
 to be listed, large groups are split over several join keys. Any group above ``limit`` rows is split
@@ -12,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import storage_class
+from plumbline.operators.bloom import bloom, thinned
 from plumbline.sources.tables import ROW, ColumnInfo, Table
 
 PART_ROWS = 1_000_000
@@ -40,7 +46,7 @@ def hashable(info: ColumnInfo) -> Column:
     return written(info.cell) if isinstance(info.dtype, (T.ArrayType, T.StructType)) else info.cell
 
 
-def _row_fingerprint(columns: list[ColumnInfo]) -> list[Column]:
+def row_fingerprint(columns: list[ColumnInfo]) -> list[Column]:
     """Two independently seeded 64-bit hashes of a row. The null flags are part of the input because
     the hash skips NULLs, which would make (NULL, 'x') and ('x', NULL) equal."""
     parts: list[Column] = []
@@ -86,24 +92,16 @@ def distinct_counts(table: Table, columns: list[ColumnInfo] | None = None) -> Da
 # --- group sizes -----------------------------------------------------------------------------
 
 
-def row_copies(table: Table) -> DataFrame:
-    """(k0, k1, __row): every row with the fingerprint of its cells."""
-    return table.df.select(*_row_fingerprint(list(table.columns)), ROW)
-
-
-def value_rows(info: ColumnInfo, table: Table) -> DataFrame:
-    """(k0, k1, __row): two hashes of every non-null value of a column, 16 bytes however long the value."""
+def value_hashes(info: ColumnInfo) -> list[Column]:
+    """(k0, k1): two hashes of a value, 16 bytes however long it is."""
     value = hashable(info)
-    keys = [F.xxhash64(value).alias("k0"), F.xxhash64(F.lit(1), value).alias("k1")]
-    return table.df.where(info.cell.isNotNull()).select(*keys, ROW)
+    return [F.xxhash64(value).alias("k0"), F.xxhash64(F.lit(1), value).alias("k1")]
 
 
-def sizes(rows: DataFrame, first_row: bool = False) -> DataFrame:
+def sizes(rows: DataFrame) -> DataFrame:
+    """Every distinct row of ``rows`` with its number ``n``; row keys don't count."""
     keys = [k for k in rows.columns if k != ROW]
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    if first_row:
-        aggregates.append(F.min(ROW).alias("first_row"))
-    return rows.groupBy(*keys).agg(*aggregates)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def part_limit(n_rows: int, part_rows: int = PART_ROWS) -> int:
@@ -122,16 +120,16 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, n_rows: int, part_rows: int = PART_ROWS) -> DataFrame:
-    """Rows joined to the groups they belong to (``groups`` carries its size ``n``); no task receives
-    more than about ``part_limit`` rows of one group."""
-    keys = [k for k in rows.columns if k != ROW]
+def join_groups(rows: DataFrame, groups: DataFrame, n_rows: int, part_rows: int = PART_ROWS, keys: list[str] | None = None) -> DataFrame:
+    """Rows joined to the groups they belong to (``groups`` carries its size ``n``) by ``keys``, all columns but the row key
+    unless given; no task receives more than about ``part_limit`` rows of one group."""
+    keys = [k for k in rows.columns if k != ROW] if keys is None else keys
     limit = part_limit(n_rows, part_rows)
     if n_rows <= limit:
         return rows.join(groups, keys)
     groups = settled(groups)
     # Hashing the keys bounds what is broadcast. Both sides use the same hash, so keys that share one
-    # are merely split alike.
+    # are merely split alike. Rows are dealt out by their place, as their keys may all be equal.
     key_hash = F.xxhash64(*keys).alias("key_hash")
     large = (
         groups.where(F.col("n") > limit)
@@ -142,7 +140,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, n_rows: int, part_rows: int
     split_rows = (
         rows.withColumn("key_hash", key_hash)
         .join(F.broadcast(large), "key_hash", "left")
-        .withColumn("part", F.pmod(F.xxhash64(ROW), parts).cast("int"))
+        .withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
         .drop("key_hash", "parts")
     )
     split_groups = (
@@ -154,43 +152,91 @@ def join_groups(rows: DataFrame, groups: DataFrame, n_rows: int, part_rows: int
     return split_rows.join(split_groups, [*keys, "part"]).drop("part")
 
 
+def times(rows: DataFrame, n: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Every row as often as its column ``n`` says. A row for very many becomes a row for each ``part_rows`` of them, and these
+    are dealt out before they are written out."""
+    whole = F.floor((F.col(n) - 1) / part_rows).cast("int")
+    cut = rows.withColumn("part", F.explode(F.sequence(F.lit(0), whole)))
+    here = F.when(F.col("part") < whole, part_rows).otherwise(F.col(n) - whole.cast("bigint") * part_rows)
+    dealt = cut.withColumn(n, here).repartition(*[c for c in rows.columns if c != n], "part")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop("copy", "part", n)
+
+
 # --- flagged rows and their counts -----------------------------------------------------------
 
 
-def later_copies(table: Table, part_rows: int = PART_ROWS) -> DataFrame:
-    """(__row) of every row equal in all columns to an earlier one; the earliest copy is left out."""
-    rows = row_copies(table)
-    if table.row_key_is_fixed_width:
-        repeated = sizes(rows, first_row=True).where("n > 1")
-        copies = join_groups(rows, repeated, table.n_rows, part_rows)
-    else:
-        # A minimum over text or struct keys would make the first aggregation sort the whole table, so
-        # it is taken over the copies alone.
-        copied = join_groups(rows, sizes(rows).where("n > 1"), table.n_rows, part_rows)
-        copied = copied.select("k0", "k1", ROW)
-        copies = join_groups(copied, sizes(copied, first_row=True), table.n_rows, part_rows)
-    return copies.where(F.col(ROW) > F.col("first_row")).select(ROW)
+def _cells(columns: list[ColumnInfo]) -> list[Column]:
+    """The cells in a form that can be grouped."""
+    return [hashable(c).alias(f"v{i}") for i, c in enumerate(columns)]
+
+
+def copied_rows(table: Table, fingerprint=row_fingerprint) -> DataFrame:
+    """(k0, k1, v0.., __row) of rows that may have copies: rows whose fingerprint occurs more than once, and a few more that
+    the filter lets through."""
+    columns = list(table.columns)
+    hashes = fingerprint(columns)
+    repeated = sizes(table.df.select(*hashes)).where("n > 1")
+    return thinned(table.df.select(*hashes, *_cells(columns), ROW), bloom(settled(repeated)))
+
+
+def later_copies(table: Table, part_rows: int = PART_ROWS, fingerprint=row_fingerprint) -> DataFrame:
+    """(__row) of every row equal in all columns to an earlier one; the earliest copy is left out.
+
+    Rows are compared by their cells; fingerprints only choose what is compared. Copies that share a row key, or have none, are
+    counted: such a key is listed as often as it occurs, once less if it is the group's earliest (a NULL key comes last).
+    """
+    cells = [f"v{i}" for i in range(len(table.columns))]
+    rows = copied_rows(table, fingerprint)
+    if table.key_in_data:  # copies have the key in common
+        groups = rows.groupBy("k0", "k1", *cells).agg(F.count(F.lit(1)).alias("n"), F.first(ROW).alias(ROW))
+        return times(groups.where("n > 1").select(ROW, (F.col("n") - 1).alias("n")), "n", part_rows)
+    by_key = settled(rows.groupBy("k0", "k1", *cells, ROW).agg(F.count(F.lit(1)).alias("times")))
+    groups = by_key.groupBy("k0", "k1", *cells).agg(F.sum("times").alias("n"), F.min(ROW).alias("first_row"))
+    # Cells that meet under one fingerprint get numbers; two hashes of 64 bits make that a number 1 for all but never.
+    number = F.row_number().over(Window.partitionBy("k0", "k1").orderBy(*cells))
+    groups = settled(groups.where("n > 1").withColumn("variant", number))
+    told = groups.where("variant > 1").select("k0", "k1").distinct()
+    plain = groups.join(told, ["k0", "k1"], "left_anti").select("k0", "k1", "n", "first_row")
+    copies = join_groups(by_key.select("k0", "k1", "times", ROW), plain, table.n_rows, part_rows, ["k0", "k1"])
+    mixed = groups.join(told, ["k0", "k1"], "left_semi").select("k0", "k1", *[F.col(c).alias(f"w{c}") for c in cells], "n", "first_row")
+    same = (F.col("r.k0") == F.col("g.k0")) & (F.col("r.k1") == F.col("g.k1"))
+    for c in cells:
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"g.w{c}"))
+    apart = by_key.alias("r").join(mixed.alias("g"), same).select("r.times", f"r.{ROW}", "g.first_row")
+    found = copies.select("times", ROW, "first_row").unionAll(apart)
+    later = F.col("times") - F.when(F.col(ROW).eqNullSafe(F.col("first_row")), 1).otherwise(0)
+    return times(found.select(ROW, later.alias("n")).where("n > 0"), "n", part_rows)
 
 
 def later_copies_count(table: Table) -> DataFrame:
-    """One row ``n``: how many rows later_copies lists, without listing them."""
-    extra = F.sum(F.col("n") - 1)
-    return sizes(row_copies(table).drop(ROW)).where("n > 1").agg(F.coalesce(extra, F.lit(0)).alias("n"))
+    """One row ``n``: how many rows later_copies lists, by fingerprints alone."""
+    groups = sizes(table.df.select(*row_fingerprint(list(table.columns)))).where("n > 1")
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
+
+
+def compared_copies_count(table: Table, fingerprint=row_fingerprint) -> DataFrame:
+    """The same number by comparison of cells; only rows that may have copies are shuffled with them."""
+    cells = [f"v{i}" for i in range(len(table.columns))]
+    groups = sizes(copied_rows(table, fingerprint).select(*cells))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
 
 
 def repeated_values(table: Table, info: ColumnInfo, part_rows: int = PART_ROWS) -> DataFrame:
-    """(__row, k0) of every row whose value occurs more than once. Rows are found by hashes; only then are the values of
-    the flagged rows fetched, so that a column of long texts is not shuffled to find its few repeats."""
-    rows = value_rows(info, table)
+    """(__row, k0) of every row whose value occurs more than once. Values that are not of fixed width are counted by hashes;
+    only rows that may be flagged are shuffled with their values, and are counted again on these."""
+    present = table.df.where(info.cell.isNotNull())
     if _is_fixed_width(info.dtype):
-        rows = table.df.where(info.cell.isNotNull()).select(info.cell.alias("k0"), ROW)
+        rows = present.select(info.cell.alias("k0"), ROW)
         return join_groups(rows, sizes(rows).where("n > 1"), table.n_rows, part_rows).select(ROW, "k0")
-    flagged = join_groups(rows, sizes(rows).where("n > 1"), table.n_rows, part_rows).select(ROW).distinct()
-    return table.df.select(ROW, hashable(info).alias("k0")).where("k0 IS NOT NULL").join(flagged, ROW, "left_semi").select(ROW, "k0")
+    repeated = sizes(present.select(*value_hashes(info))).where("n > 1")
+    rows = thinned(present.select(*value_hashes(info), hashable(info).alias("v"), ROW), bloom(settled(repeated)))
+    groups = sizes(rows.select("k0", "k1", "v")).where("n > 1")
+    return join_groups(rows, groups, table.n_rows, part_rows, ["k0", "k1", "v"]).select(ROW, F.col("v").alias("k0"))
 
 
 def repeated_values_count(table: Table, info: ColumnInfo) -> DataFrame:
-    groups = sizes(value_rows(info, table).drop(ROW)).where("n > 1")
+    keys = [info.cell.alias("k0")] if _is_fixed_width(info.dtype) else value_hashes(info)
+    groups = sizes(table.df.where(info.cell.isNotNull()).select(*keys)).where("n > 1")
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 

@@ -46,10 +46,14 @@ class ColumnInfo:
 
 @dataclass(frozen=True)
 class Table:
-    """``df`` holds the row key as ``__row`` and the data columns as ``c0, c1, ...``."""
+    """``df`` holds the row key as ``__row`` and the data columns as ``c0, c1, ...``.
+
+    The row key is a label: rows may share one or have none. ``key_in_data`` says that it follows from the data columns.
+    """
 
     df: DataFrame
     columns: tuple[ColumnInfo, ...]
+    key_in_data: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -75,18 +79,13 @@ class Table:
             return F.concat_ws("#", *[F.coalesce(part, F.lit("\\N")) for part in safe])
         return F.col(ROW).cast("string")
 
-    @property
-    def row_key_is_fixed_width(self) -> bool:
-        dtype = self.df.schema[ROW].dataType
-        return not isinstance(dtype, (T.StructType, T.StringType, T.BinaryType, T.ArrayType))
-
     def kept(self) -> Table:
         """This table spread evenly over the cores and held in memory (or on disk), so that the passes of an analysis do
         not read and derive it again. For the caller to choose; else each pass reads just the columns it needs."""
         if self.df.is_cached:
             return self
         spread = self.df.repartition(self.spark.sparkContext.defaultParallelism)
-        return Table(spread.persist(StorageLevel.MEMORY_AND_DISK), self.columns)
+        return Table(spread.persist(StorageLevel.MEMORY_AND_DISK), self.columns, self.key_in_data)
 
     def release(self) -> None:
         self.df.unpersist()
@@ -146,7 +145,7 @@ def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_d
             cell = cell.cast("string")
         infos.append(info)
         cells.append(cell.alias(info.ref))
-    return Table(flat.select(ROW, *cells), tuple(infos))
+    return Table(flat.select(ROW, *cells), tuple(infos), bool(keys) and key_is_data)
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], row_key=None) -> Table:
