@@ -93,8 +93,7 @@ def first_values(table: Table, n: int = SAMPLES, head_rows: int = HEAD_ROWS) ->
     """First ``n`` non-null values of each column in row order, as text.
 
     The key of the last head row is found from the key column alone; it then filters the scan that
-    reads the other columns. Columns too sparse to fill up within the head are looked up one by one.
-    Every step is a bounded top-n, so neither a sort of the table nor a per-column window is needed.
+    reads the other columns. Columns too sparse to fill up within the head share one more scan.
     """
     head_keys = table.df.select(ROW).orderBy(ROW).limit(head_rows)
     last = head_keys.agg(F.max(ROW)).first()[0]
@@ -109,18 +108,24 @@ def first_values(table: Table, n: int = SAMPLES, head_rows: int = HEAD_ROWS) ->
         .collect()
     )
     found = {c.ref: [r[c.ref] for r in head if r[c.ref] is not None][:n] for c in table.columns}
-    if len(head) == table.n_rows:
-        return found
-
-    def top(c: ColumnInfo) -> list[str]:
-        present = table.df.select(ROW, _as_text(c).alias("v")).where("v IS NOT NULL")
-        return [r.v for r in present.orderBy(ROW).limit(n).collect()]
-
     sparse = [c for c in table.columns if len(found[c.ref]) < n]
-    found |= zip([c.ref for c in sparse], together(table.spark, *[lambda c=c: top(c) for c in sparse]))
+    if sparse and len(head) < table.n_rows:
+        found |= _first_of(table, sparse, n)
     return found
 
 
+def _first_of(table: Table, columns: list[ColumnInfo], n: int) -> dict[str, list[str]]:
+    """First ``n`` non-null values of some columns from one scan of these: cells are ranked by row within their column, and
+    Spark keeps ``n`` of each column and task before any are shuffled. Rows without a key come last."""
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), _as_text(c).alias("v")) for i, c in enumerate(columns)]))
+    order = Window.partitionBy("i").orderBy(F.col(ROW).asc_nulls_last(), "v")
+    ranked = table.df.select(ROW, cells).where("v IS NOT NULL").withColumn("rank", F.row_number().over(order))
+    out: dict[str, list[str]] = {c.ref: [] for c in columns}
+    for r in sorted(ranked.where(F.col("rank") <= n).select("i", "v", "rank").collect(), key=lambda r: r.rank):
+        out[columns[r.i].ref].append(r.v)
+    return out
+
+
 def _literal(value: Any, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StructType):
         return F.struct(*[F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in dtype.fields])
@@ -261,58 +266,93 @@ def medians(table: Table, counts: dict[str, int], limit: int = MEDIAN_ROWS) -> d
         row = table.df.agg(*[F.median(c.cell.cast("double")).alias(c.ref) for c in small]).first()
         out |= {c.ref: row[c.ref] for c in small}
     large = [c for c in numeric if c not in small]
+    if large:
+        values = table.df.select(*[c.cell.cast("double").alias(c.ref) for c in large])
+        out |= large_medians(values, {c.ref: counts[c.ref] for c in large}, limit)
+    return out
 
-    def middle(c: ColumnInfo) -> float:
-        return _large_median(table.df.select(c.cell.cast("double").alias("v")), counts[c.ref], limit)
 
-    return out | dict(zip([c.ref for c in large], together(table.spark, *[lambda c=c: middle(c) for c in large])))
+@dataclass
+class _Search:
+    """Where the value of a rank is looked for: strictly between two values (NULL: no end), among ``inside`` values."""
+
+    rank: int
+    inside: int
+    low: float | None = None
+    high: float | None = None
+    answer: float | None = None
+
+    def within(self, name: str) -> Column:
+        v = F.col(name)
+        kept = v.isNotNull()
+        if self.low is not None:
+            kept &= v > self.low
+        if self.high is not None:
+            kept &= v < self.high
+        return kept
+
+    def fractions(self) -> list[float]:
+        at = self.rank / self.inside
+        return [max(0.0, at - 1e-3), min(1.0, at + 1e-3)]
+
+    def narrow(self, low: float, high: float, below: int, at_low: int, between: int, at_high: int) -> None:
+        """Go on where the rank lies: below, on, between or above two values."""
+        rank, inside = self.rank, self.inside
+        if rank <= below:
+            self.high, self.inside = low, below
+        elif (rank := rank - below) <= at_low:
+            self.answer = low
+        elif (rank := rank - at_low) <= between:
+            self.low, self.high, self.inside = low, high, between
+        elif (rank := rank - between) <= at_high:
+            self.answer = high
+        else:
+            rank, self.low, self.inside = rank - at_high, high, inside - below - at_low - between - at_high
+        self.rank = rank
 
 
-def _large_median(values: DataFrame, n: int, limit: int) -> float:
-    values = values.where("v IS NOT NULL")
-    lower = _kth(values, (n + 1) // 2, n, limit)
-    if n % 2:
+def large_medians(values: DataFrame, counts: dict[str, int], limit: int) -> dict[str, float]:
+    """Exact medians of several columns of doubles; ``counts`` has their non-null values.
+
+    All columns go through the same rounds: approximate quantiles bracket each column's middle, exact counts on and around
+    the brackets say where to go on, until at most ``limit`` values of a column are left, which one shuffle ranks. The
+    number of jobs is that of the column that takes most rounds, whatever the number of columns.
+    """
+    searches = {c: _Search((n + 1) // 2, n) for c, n in counts.items()}
+    while wide := {c: s for c, s in searches.items() if s.answer is None and s.inside > limit}:
+        sketches = [F.percentile_approx(F.when(s.within(c), F.col(c)), s.fractions(), 10_000).alias(c) for c, s in wide.items()]
+        brackets = values.agg(*sketches).first()
+        exact = []
+        for c, s in wide.items():
+            v, (lo, hi) = F.when(s.within(c), F.col(c)), brackets[c]
+            for i, test in enumerate((v < lo, v == lo, (v > lo) & (v < hi), (v == hi) & (v > lo))):
+                exact.append(F.count_if(test).alias(f"{c}_{i}"))
+        row = values.agg(*exact).first()
+        for c, s in wide.items():
+            s.narrow(*brackets[c], *[row[f"{c}_{i}"] for i in range(4)])
+    rest = [(i, c, s) for i, (c, s) in enumerate(searches.items()) if s.answer is None]
+    if rest:
+        cells = [F.struct(F.lit(i).alias("i"), F.lit(s.rank).alias("rank"), F.when(s.within(c), F.col(c)).alias("v")) for i, c, s in rest]
+        sizes = values.select(F.inline(F.array(*cells))).where("v IS NOT NULL").groupBy("i", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+        running = F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        reached = sizes.withColumn("up_to", running).where("up_to >= rank").groupBy("i").agg(F.min("v").alias("v"))
+        names = list(searches)
+        for r in reached.collect():
+            searches[names[r.i]].answer = r.v
+    lower = {c: s.answer for c, s in searches.items()}
+    even = [c for c, n in counts.items() if n % 2 == 0]
+    if not even:
         return lower
-    v = F.col("v")
-    row = values.agg(
-        F.count_if(v <= lower).alias("up_to"), F.min(F.when(v > lower, v)).alias("next")
-    ).first()
-    upper = lower if row.up_to > n // 2 else row.next
-    return (lower + upper) / 2
-
-
-def _kth(values: DataFrame, rank: int, n: int, limit: int) -> float:
-    """The ``rank``-th smallest of ``n`` values. Approximate quantiles bracket it, exact counts on and
-    around the bracket decide whether an end of the bracket is the answer, and otherwise the search goes
-    on strictly inside it, until what is left fits one task."""
-    v = F.col("v")
-    scope, inside = values, n
-    while inside > limit:
-        at = rank / inside
-        fractions = [max(0.0, at - 1e-3), min(1.0, at + 1e-3)]
-        lo, hi = scope.agg(F.percentile_approx("v", fractions, 10_000)).first()[0]
-        c = scope.agg(
-            F.count_if(v < lo).alias("below"),
-            F.count_if(v == lo).alias("at_lo"),
-            F.count_if((v > lo) & (v < hi)).alias("between"),
-            F.count_if((v == hi) & (v > lo)).alias("at_hi"),
-        ).first()
-        if rank <= c.below:
-            scope, inside = scope.where(v < lo), c.below
-        elif rank <= c.below + c.at_lo:
-            return lo
-        elif rank <= c.below + c.at_lo + c.between:
-            rank -= c.below + c.at_lo
-            scope, inside = scope.where((v > lo) & (v < hi)), c.between
-        elif rank <= c.below + c.at_lo + c.between + c.at_hi:
-            return hi
-        else:
-            passed = c.below + c.at_lo + c.between + c.at_hi
-            rank -= passed
-            scope, inside = scope.where(v > hi), inside - passed
-    sizes = scope.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("up_to", running).where(F.col("up_to") >= rank).agg(F.min("v")).first()[0]
+    ends = []
+    for c in even:
+        ends += [F.count_if(F.col(c) <= lower[c]).alias(f"{c}_up"), F.min(F.when(F.col(c) > lower[c], F.col(c))).alias(f"{c}_next")]
+    row = values.agg(*ends).first()
+    upper = {c: lower[c] if row[f"{c}_up"] > counts[c] // 2 else row[f"{c}_next"] for c in even}
+    return lower | {c: (lower[c] + upper[c]) / 2 for c in even}
+
+
+def _large_median(values: DataFrame, n: int, limit: int) -> float:
+    return large_medians(values, {"v": n}, limit)["v"]
 
 
 # --- profile ---------------------------------------------------------------------------------
