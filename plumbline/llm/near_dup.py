@@ -13,8 +13,9 @@ How groups are kept linear: texts with equal sets are one node. Nodes with so
 many shingles of their own that no link is possible leave first. A band's nodes are not paired with each other; a node
 is tried against the one of each band that has the smallest share of own shingles (the one it meets in most bands
 first), and confirmed links merge components. After ``rounds`` of this, only pairs of nodes in one band whose components
-still differ are left; these are all tried if their counts allow a link and their sketches differ by no more than SLACK standard deviations
-above what a pair at the limit differs (5e-7 of such pairs do).
+still differ are left. A band's nodes are then dealt into blocks of about CELL, and every two blocks of a band meet in a task
+which lets go only the pairs whose counts allow a link and whose sketches differ by no more than SLACK standard deviations
+above what a pair at the limit differs (5e-7 of such pairs do); these are all tried.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, ship, text_slices, unused
+from plumbline.llm.common import cut, ship, text_slices
 from plumbline.llm.textnum import U, distinct, mix, randoms, shingles
+from plumbline.operators.bloom import bloom, marked, thinned
 
 WIDTH = 5
 PERMUTATIONS = 512
@@ -40,6 +42,9 @@ PRUNINGS = 2
 SLACK = 4.9
 #: Longs that may be sent to all tasks (16 MB); what is larger is shuffled.
 SENT = 2_000_000
+CELL = 512
+#: Rows of a partition of a table whose size is known.
+PART_ROWS = 250_000
 
 
 def minmax(values: np.ndarray, starts: np.ndarray, permutations: int) -> np.ndarray:
@@ -98,14 +103,14 @@ def _signatures(width: int, permutations: int, bands: int, per_band: int):
                 ends = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, end - first),
+                        *[batch.column(c).slice(first, end - first) for c in ("doc_id", "t0", "t1")],
                         pa.array(sizes),
                         pa.array(keys[:, 0].view(np.int64)),
                         pa.array(keys[:, 1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends * bands), pa.array(lists.view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends * longs), pa.array(sketches.view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                    names=["doc_id", "t0", "t1", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
@@ -118,7 +123,7 @@ def _sets(width: int):
                 values, starts = distinct(*shingles(data, offsets, width))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, end - first),
+                        batch.column("node").slice(first, end - first),
                         pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64))),
                     ],
                     names=["node", "shingles"],
@@ -127,24 +132,84 @@ def _sets(width: int):
     return run
 
 
+def _close(limit: int):
+    """Rows of cells, in order, to the pairs (a, b) of each cell that are worth trying."""
+
+    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, size = rows["cell"], len(rows["cell"])
+        at, step = np.arange(size), 0
+        while len(at):
+            step += 1
+            at = at[at + step < size]
+            at = at[cell[at] == cell[at + step]]
+            one, two = at, at + step
+            apart = (rows["node"][one] != rows["node"][two]) & (rows["component"][one] != rows["component"][two])
+            apart &= (rows["side"][one] != rows["side"][two]) | (rows["i"][one] == rows["j"][one])
+            one, two = one[apart], two[apart]
+            n, s = rows["n"], rows["s"]
+            likely = (100 + SIMILARITY) * np.minimum(s[one], s[two]) >= SIMILARITY * (n[one] + n[two])
+            likely &= 100 * np.minimum(n[one], n[two]) >= SIMILARITY * np.maximum(n[one], n[two])
+            one, two = one[likely], two[likely]
+            near = np.bitwise_count(rows["sketch"][one] ^ rows["sketch"][two]).sum(axis=1) <= limit
+            x, y = rows["node"][one[near]], rows["node"][two[near]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "i", "j", "side", "node", "component", "n", "s")}
+            lists = batch.column("sketch")
+            new["sketch"] = lists.flatten().to_numpy().view(U).reshape(len(batch), -1)
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            border = (held["band"][1:] != held["band"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])
+            held["cell"] = np.concatenate([[0], np.cumsum(border)])
+            last = int(np.searchsorted(held["cell"], held["cell"][-1]))  # the cell under way waits for the next batch
+            yield from pairs({c: v[:last] for c, v in held.items()})
+            held = {c: v[last:] for c, v in held.items() if c != "cell"}
+        if held is not None:
+            yield from pairs(held | {"cell": np.zeros(len(held["node"]), np.int64)})
+
+    return run
+
+
+def _pairs_left(members: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
+    """Pairs of nodes of one band and different components that may be similar enough. ``members`` carries the band's size."""
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    dealt = members.join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "component", "n", "s", "sketch")
+    cells = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return cells.mapInArrow(_close(limit), "a bigint, b bigint").distinct()
+
+
+def tidy(frame: DataFrame, n_rows: int) -> DataFrame:
+    """A table of a known size in no more partitions than its rows need, so that a small one isn't many small files."""
+    return frame.coalesce(max(1, -(-n_rows // PART_ROWS)))
+
+
 def connect(links: DataFrame) -> DataFrame:
     """Smallest reachable node of every node in ``links`` (a, b): columns node, component.
 
     Labels are lowered along links and then along themselves, so the rounds needed grow with the logarithm of a chain.
     Both sides of the large joins are cut tables, which lets Spark split a node with very many links.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    n = 2 * links.count()
+    both = cut(tidy(links.select("a", "b").union(links.select("b", "a")).distinct(), n))
+    labels = cut(tidy(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), n))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
-        lower = cut(labels.union(near).groupBy("node").agg(F.min("component").alias("component")))
+        before = labels.withColumn("before", F.col("component"))
+        lower = before.unionByName(near.withColumn("before", F.lit(None).cast("bigint"))).groupBy("node")
+        lower = cut(tidy(lower.agg(F.min("component").alias("component"), F.max("before").alias("before")), n))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        lower = lower.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-        lower = cut(lower)
-        before = labels.withColumnRenamed("component", "before")
-        if lower.join(before, "node").filter("component < before").isEmpty():
-            return lower
-        labels = lower
+        lower = lower.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"), "before")
+        lower = cut(tidy(lower, n))
+        if lower.filter("component < before").isEmpty():
+            return lower.drop("before")
+        labels = lower.drop("before")
 
 
 def _few(frame: DataFrame, column: str = "1") -> bool:
@@ -173,14 +238,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _can_link(n_a: str, s_a: str, n_b: str, s_b: str) -> str:
-    """SQL: may two sets of n shingles, of which s occur elsewhere as well, reach the similarity?
-
-    They share min(s) at most, and J >= t asks for (n_a + n_b) * t / (1 + t).
-    """
-    return f"(100 + {SIMILARITY}) * least({s_a}, {s_b}) >= {SIMILARITY} * ({n_a} + {n_b}) AND 100 * least({n_a}, {n_b}) >= {SIMILARITY} * greatest({n_a}, {n_b})"
-
-
 def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``members`` without nodes that can't have a link, with s (shingles that another candidate has too) and own (share
     of the others).
@@ -200,33 +257,40 @@ def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
     return kept.select("node", "n", "s", "own", "band", F.col("node").alias("component"))
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, bands: int = BANDS, per_band: int = PER_BAND, rounds: int = 2
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
-
-    A null or blank text has an empty set and is linked with nothing. Rows with the same doc_id count as one document
-    and are all returned. A row without doc_id can't be named: it is linked with nothing, its component_id is null and
-    it is kept. Other columns of ``docs`` are not read.
-    """
+def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t0, t1, n_shingles, k1, k2), and the sets' classes (k1, k2, n_shingles, component, the smallest doc_id
+    reachable, group) that have a doc_id. t0 and t1 are hashes of the text; components of one name differ in their group."""
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"), text.alias("text"))
     signed = cut(
         source.mapInArrow(
             _signatures(width, permutations, bands, per_band),
-            "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>",
+            "doc_id bigint, t0 bigint, t1 bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>",
         )
     )
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n_shingles"]
-    classes = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("node")))
-    nodes = usable.withColumnRenamed("doc_id", "node").join(classes, [*key, "node"])
-    rows = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    lowest = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "t0", "t1")).alias("low"))
+    # A node has the smallest doc_id of its class as its number; where several classes have the same, all but one get others.
+    first = lowest.groupBy("low.doc_id").agg(F.min(F.struct(*key)).alias("first"))
+    number = F.when(F.struct(*key) == F.col("first"), F.col("low.doc_id")).otherwise(F.xxhash64("low.doc_id", *key))
+    classes = cut(lowest.join(first, lowest["low.doc_id"] == first["doc_id"]).select(*key, "low", number.alias("node")))
+    named = classes.select(*key, "node", F.col("low.doc_id").alias("doc_id"), F.col("low.t0").alias("t0"), F.col("low.t1").alias("t1"))
+    chosen = usable.join(named, [*key, "doc_id", "t0", "t1"])
+    rows = chosen.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = cut(rows.join(cut(shared.select("band")), "band").dropDuplicates(["band", "node", "n"]))
-    ids = cut(members.select(F.col("node").alias("doc_id")).distinct())
-    ids = F.broadcast(ids) if _few(ids) else ids  # so that texts are not shuffled to pick out a few
-    sets = cut(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
+    hashes = [F.col("band").alias("k0"), F.xxhash64("band").alias("k1")]
+    likely = thinned(rows.select("node", "n", "band", *hashes), bloom(cut(shared.select("band")).select(*hashes))).drop("k0", "k1")
+    members = cut(likely.dropDuplicates(["band", "node", "n"]).join(cut(shared.select("band")), "band"))
+    ids = cut(members.select("node").distinct().join(named.select("node", "doc_id", "t0", "t1"), "node"))
+    at = ["doc_id", "t0", "t1"]
+    if _few(ids, "4"):  # so that texts are not shuffled to pick out a few
+        wanted = source.join(F.broadcast(ids), at)
+    else:
+        hashed = [F.xxhash64(*at).alias("k0"), F.xxhash64(F.lit(1), *at).alias("k1")]
+        wanted = thinned(source.select("*", *hashed), bloom(ids.select(*hashed))).join(ids, at)
+    sets = cut(wanted.select("node", "text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
     members = _linkable(members, sets)
 
     labels = tried = links = None
@@ -235,42 +299,53 @@ def near_duplicates(
             members = members.drop("component").join(labels, "node", "left")
             members = members.withColumn("component", F.coalesce("component", "node"))
         members = cut(members)
-        ends = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("own", "node")).alias("best"))
-        ends = cut(ends.filter("x < y").select("band", F.col("best.node").alias("center")))
+        best = F.min(F.struct("own", "node")).alias("best")
+        ends = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), best, F.count("*").alias("size"))
+        ends = cut(ends.filter("x < y").select("band", F.col("best.node").alias("center"), "size"))
         members = cut(members.join(ends, "band"))
         if turn < rounds:  # each node against the nodes of its bands that have the smallest share of own shingles
             pairs = members.filter("node <> center").select(F.col("center").alias("c"), "node")
             pairs = pairs.groupBy(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").agg(F.count("*").alias("bands"))
         else:  # all pairs of a band that are still apart and can share enough
-            own = usable.select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "bands").dropDuplicates(["node", "n_shingles"])
-            drawn = members.join(own.withColumnRenamed("n_shingles", "n"), ["node", "n"])
-            longs = range(permutations * 2 // 64)
-            columns = [F.col(c) for c in ("node", "n", "s", "component")] + [F.col("sketch")[i].alias(f"x{i}") for i in longs]
-            drawn = cut(drawn.select("band", "bands", *columns))
-            one, two = (drawn.select("band", *[F.col(c).alias(f"{c}_{side}") for c in drawn.columns if c != "band"]) for side in "ab")
-            near = "node_a < node_b AND component_a <> component_b AND " + _can_link("n_a", "s_a", "n_b", "s_b")
-            near += " AND " + " + ".join(f"bit_count(x{i}_a ^ x{i}_b)" for i in longs) + f" <= {sketch_limit(permutations * 2)}"
-            near += " AND array_min(array_intersect(bands_a, bands_b)) = band"  # a pair comes from the first of its bands only
-            pairs = one.join(two, "band").filter(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        members = members.drop("center")
+            wide = permutations * 2
+            sketches = chosen.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+            pairs = _pairs_left(members.select("band", "node", "component", "n", "s", "size"), cut(sketches), sketch_limit(wide))
+        members = members.drop("center", "size")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < rounds:
             best = Window.partitionBy("node").orderBy(F.col("bands").desc(), "a", "b")
             pairs = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("a", "b").distinct()
         pairs = cut(pairs.select("a", "b"))
-        if pairs.isEmpty():
+        n = pairs.count()
+        if not n:
             continue
+        pairs = tidy(pairs, n)
         tried = pairs if tried is None else tried.union(pairs)
-        found = cut(_confirmed(pairs, sets))
+        found = cut(tidy(_confirmed(pairs, sets), n))
         links = found if links is None else links.union(found)
         labels = connect(links)
-    named = classes if labels is None else classes.join(labels, "node", "left")
-    named = cut(named.select(*key, F.col("node" if labels is None else "component").alias("component"), "node"))
-    named = named.select(*key, F.coalesce("component", "node").alias("component"))
+    if labels is None:
+        named = classes.select(*key, F.col("low.doc_id").alias("component"), F.col("node").alias("group"))
+    else:
+        grouped = classes.join(labels, "node", "left").select(*key, F.col("low.doc_id").alias("doc_id"), F.coalesce("component", "node").alias("group"))
+        smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component"))
+        named = grouped.join(smallest, "group").select(*key, "component", "group")
+    return signed.drop("bands", "sketch"), cut(named)
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, bands: int = BANDS, per_band: int = PER_BAND, rounds: int = 2
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    A null or blank text has an empty set and is linked with nothing. Every row is a document of its own: rows that share a
+    doc_id and a set are in one component, with different sets each goes with its own. A row without doc_id can't be named: it
+    is linked with nothing, its component_id is null and it is kept. Other columns of ``docs`` are not read.
+    """
+    rows, named = _classes(docs, width, permutations, bands, per_band, rounds)
     return (
-        signed.drop("bands", "sketch")
-        .join(named, key, "left")
+        rows.join(named, ["k1", "k2", "n_shingles"], "left")
         .select(
             "doc_id",
             "n_shingles",
@@ -281,13 +356,35 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest doc_id stays, once.
+    """The documents without near copies: of each component one row stays, with the smallest doc_id.
 
-    Rows without doc_id all stay. Columns are those of ``docs``.
+    Rows are judged by doc_id and text. A row without doc_id goes if a row with one has its shingles, else one of those
+    with equal shingles stays. Rows without words all stay. Columns are those of ``docs``. Only rows that may go, or
+    occur more than once, are shuffled with their texts.
     """
-    rows = unused("rows", docs)
-    verdict = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(rows))
-    kept = docs.join(cut(verdict), "doc_id")
-    once = kept.filter(F.col(rows) == 1)
-    again = kept.filter(F.col(rows) > 1).dropDuplicates(["doc_id"])
-    return once.union(again).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    rows, named = _classes(docs, WIDTH, PERMUTATIONS, BANDS, PER_BAND, 2)
+    key, at = ["k1", "k2", "n_shingles"], ["doc_id", "t0", "t1"]
+    rows = rows.filter("n_shingles > 0").groupBy(*at, *key).agg(F.count("*").alias("times"))
+    judged = cut(rows.join(named, key, "left"))
+    text = F.struct("t0", "t1")
+    # Rows with the component's own doc_id, whose texts may still differ, and rows of classes that no doc_id is known of.
+    heads = judged.filter("doc_id = component").select(*at, "times", F.struct("group").cast("string").alias("group"))
+    bare = judged.filter("component IS NULL").select(*at, "times", F.struct(*key).cast("string").alias("group"))
+    both = heads.union(bare)
+    first = both.groupBy("group").agg(F.min(text).alias("first"))
+    ranked = both.join(first, "group").select(*at, "times", (text == F.col("first")).alias("stays"))
+    others = judged.filter("component IS NOT NULL AND NOT doc_id <=> component").select(*at, "times", F.lit(False).alias("stays"))
+    touched = cut(others.union(ranked.filter("times > 1 OR NOT stays")))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    doc, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    hashes = {"d": doc.cast("bigint"), "h0": F.xxhash64(text.cast("string")), "h1": F.xxhash64(F.lit(1), text.cast("string"))}
+    named_rows = docs.toDF(*own).withColumns(hashes)
+    print_ = lambda a, b, c: [F.xxhash64(a, b, c).alias("k0"), F.xxhash64(F.lit(1), a, b, c).alias("k1")]
+    marks = cut(bloom(touched.select(*print_("doc_id", "t0", "t1"))))
+    hit = marked(named_rows.select("*", *print_("d", "h0", "h1")), marks, "hit")
+    clear = hit.filter("NOT hit").select(*own)
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h0") == F.col("t0")) & (F.col("h1") == F.col("t1"))
+    maybe = hit.filter("hit").join(touched, same, "left")
+    once = maybe.filter("stays").dropDuplicates(["d", "h0", "h1"]).select(*own)
+    untouched = maybe.filter("stays IS NULL").select(*own)
+    return clear.union(once).union(untouched).toDF(*docs.columns)

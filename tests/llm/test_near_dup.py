@@ -68,6 +68,48 @@ def test_large_group_of_near_copies(spark):
     assert got == brute(rows)
 
 
+def test_one_doc_id_with_several_texts(spark):
+    t, u, v = "a b c d e f g h", "p q r s t u v w x y", "k l m n o p"
+    rows = [(3, t), (5, t), (5, u), (7, u), (7, u), (7, v), (9, "A b c d e f g h"), (None, u), (None, "z z z"), (None, "Z z  z"), (None, "z y x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()), key=str)
+    named = [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 5, False), (7, 7, True), (9, 3, False)]
+    assert got == sorted(named + [(None, None, True)] * 4, key=str)
+    kept = sorted(((r.doc_id, (r.text or "").lower().split()[0]) for r in near_dup.drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(3, "a"), (5, "p"), (7, "k"), (None, "z"), (None, "z")], key=str)
+
+
+def test_many_texts_of_one_doc_id_and_of_none(spark):
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    rows = [(1, t) for t in texts] + [(None, t) for t in texts] + [(2, texts[0]), (2, texts[0] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_duplicates(docs).filter("doc_id IS NOT NULL").collect()
+    assert all(r.component_id == 1 for r in got) and sum(r.kept for r in got) == 40
+    kept = near_dup.drop_near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((1, t) for t in texts)
+
+
+@pytest.mark.parametrize("cell", [3, 512])
+def test_pairs_of_cells_are_those_of_the_band(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_dup, "CELL", cell)
+    draw = random.Random(2)
+    rows = []
+    for band in range(30):
+        for node in draw.sample(range(60), draw.choice([2, 3, 20])):
+            rows.append((band, node, node % 7, 100 + node, 100 + node, 20))
+    sketches = {n: [draw.getrandbits(63) if n % 3 else 5 for _ in range(4)] for n in range(60)}
+    sizes = {b: sum(r[0] == b for r in rows) for b in range(30)}
+    members = spark.createDataFrame([(b, n, c, k, s, sizes[b]) for b, n, c, k, s, _ in rows], "band bigint, node bigint, component bigint, n bigint, s bigint, size bigint")
+    frame = spark.createDataFrame(list(sketches.items()), "node bigint, sketch array<bigint>")
+    got = sorted((r.a, r.b) for r in near_dup._pairs_left(members, frame, 90).collect())
+    nodes = {b: [r[1] for r in rows if r[0] == b] for b in range(30)}
+    bits = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(sketches[x], sketches[y]))
+    close = lambda x, y: 175 * min(100 + x, 100 + y) >= 75 * (200 + x + y) and 100 * (100 + min(x, y)) >= 75 * (100 + max(x, y))
+    want = {(x, y) for b in nodes for x in nodes[b] for y in nodes[b] if x < y and x % 7 != y % 7 and bits(x, y) <= 90 and close(x, y)}
+    assert got == sorted(want) and want
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = "a b c d e f g h"
     rows = [(2, text), (2, text), (1, text), (None, text), (5, None), (None, None)]
@@ -75,7 +117,7 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(2, 1, False), (2, 1, False), (1, 1, True), (None, None, True), (5, 5, True), (None, None, True)], key=str)
     kept = sorted((r.doc_id for r in near_dup.drop_near_duplicates(docs).collect()), key=str)
-    assert kept == sorted([1, 5, None, None], key=str)
+    assert kept == sorted([1, 5, None], key=str)  # the text without doc_id is a copy of text 1; rows without words stay
     again = spark.createDataFrame([(7, text), (7, text)], "doc_id bigint, text string")
     assert near_dup.drop_near_duplicates(again).count() == 1
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
