@@ -28,6 +28,16 @@ def bloom(keys: DataFrame) -> DataFrame:
     return keys.select(both).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
+def marked(rows: DataFrame, filter_: DataFrame, name: str) -> DataFrame:
+    """The rows with a flag ``name``: may their k0, k1 be in the filter?"""
+    hit = F.lit(True)
+    for i, k in enumerate(("k0", "k1")):
+        probe = F.broadcast(filter_.select(F.col("word").alias(f"word{i}"), F.col("bits").alias(f"bits{i}")))
+        rows = rows.join(probe, _word(k) == F.col(f"word{i}"), "left")
+        hit &= F.coalesce(F.col(f"bits{i}").bitwiseAND(_bit(k)) != 0, F.lit(False))
+    return rows.withColumn(name, hit).drop("word0", "word1", "bits0", "bits1")
+
+
 def thinned(rows: DataFrame, filter_: DataFrame) -> DataFrame:
     """The rows whose k0, k1 may be in the filter."""
     for i, k in enumerate(("k0", "k1")):
