@@ -220,8 +220,8 @@ def _few(frame: DataFrame, column: str = "1") -> bool:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity. Sets of few shingles in all are sent to the pairs; else both are
     shuffled."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    own = sets.join(needed, "node", "left_semi")
+    needed = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    own = sets.join(F.broadcast(needed) if _few(needed) else needed, "node", "left_semi")
     if _few(own, "size(shingles)"):
         sets = F.broadcast(cut(own))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -248,7 +248,7 @@ def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
     """
     left = cut(members.select("node", "n").distinct())
     for again in range(PRUNINGS):  # nodes that have left don't count as others any more
-        own = sets if not again else sets.join(left, "node", "left_semi")
+        own = sets if not again else sets.join(F.broadcast(left.select("node")) if _few(left) else left, "node", "left_semi")
         seen = own.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
         alone = cut(seen.filter("node = other").groupBy("node").agg(F.count("*").alias("alone")))
         shared = left.select("node", "n").join(alone, "node", "left").withColumn("s", F.col("n") - F.least("n", F.coalesce("alone", F.lit(0))))
@@ -278,11 +278,13 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
     classes = cut(lowest.join(first, lowest["low.doc_id"] == first["doc_id"]).select(*key, "low", number.alias("node")))
     named = classes.select(*key, "node", F.col("low.doc_id").alias("doc_id"), F.col("low.t0").alias("t0"), F.col("low.t1").alias("t1"))
     chosen = usable.join(named, [*key, "doc_id", "t0", "t1"])
-    rows = chosen.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    chosen = cut(chosen.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"))
+    rows = chosen.select("node", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    shared = cut(shared.select("band"))
     hashes = [F.col("band").alias("k0"), F.xxhash64("band").alias("k1")]
-    likely = thinned(rows.select("node", "n", "band", *hashes), bloom(cut(shared.select("band")).select(*hashes))).drop("k0", "k1")
-    members = cut(likely.dropDuplicates(["band", "node", "n"]).join(cut(shared.select("band")), "band"))
+    likely = thinned(rows.select("node", "n", "band", *hashes), bloom(shared.select(*hashes))).drop("k0", "k1")
+    members = cut(likely.dropDuplicates(["band", "node", "n"]).join(shared, "band"))
     ids = cut(members.select("node").distinct().join(named.select("node", "doc_id", "t0", "t1"), "node"))
     at = ["doc_id", "t0", "t1"]
     if _few(ids, "4"):  # so that texts are not shuffled to pick out a few
