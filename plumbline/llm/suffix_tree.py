@@ -21,11 +21,11 @@ looked up in the tasks; tokens of rarer words are joined with the counts by a sh
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,7 @@ END_HASH = np.int64(0xE2D)  # the end token among the word hashes
 _BITS, _MASK = 6, 63
 _BELOW = _BITS * (DEPTH - TOP + 1)  # bits of a key behind its TOP latest classes
 _FLUSH = 2_000_000
+GATHER = 6_000_000
 BLOCK_BYTES = 32_000_000
 CHUNK = 3_000_000
 
@@ -111,16 +112,39 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def contexts(classes: np.ndarray, starts: np.ndarray, depth: int = 4) -> np.ndarray:
     """The ``depth`` classes before each position, the latest in the highest bits; ends stand before a text's beginning."""
-    position = np.arange(len(classes)) - np.repeat(starts[:-1], np.diff(starts))
-    code = np.zeros(len(classes), np.int64)
-    for k in range(1, depth + 1):
-        before = np.zeros(len(classes), np.int64)
-        before[k:] = classes[:-k]
-        before[position < k] = 0
-        code = (code << _BITS) | before
+    n = len(classes)
+    runs, width = np.zeros(n, np.int64), 1
+    runs[1:] = classes[:-1]
+    code, done = np.zeros(n, np.int64), 0
+    while True:  # runs holds the ``width`` classes before each position; depth is put together from powers of two
+        if depth & width:
+            shifted = runs if not done else np.concatenate([np.zeros(min(done, n), np.int64), runs[: n - done] if n > done else runs[:0]])
+            code, done = (code << (_BITS * width)) | shifted, done + width
+        if done == depth:
+            break
+        wider = runs << (_BITS * width)
+        wider[width:] |= runs[:-width] if n > width else runs[:0]
+        runs, width = wider, width * 2
+    # Where a text begins, what lies before it is blotted out.
+    lengths = np.diff(starts)
+    for k in range(depth):
+        at = starts[:-1][lengths > k] + k
+        code[at] &= ~((1 << (_BITS * (depth - k))) - 1)
     return code
 
 
+def told_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.empty(len(keys), bool)
+    first[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=first[1:])
+    back = np.empty(len(keys), np.int32)
+    back[order] = np.cumsum(first, dtype=np.int32) - 1
+    return ranked[first], back
+
+
 class Counter64:
     """Counts of 64-bit keys, merged when enough have gathered."""
 
@@ -154,17 +178,15 @@ class Counter64:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task: words (kind 0), contexts of TOP classes with their next class (kind 1), bytes (kind 2)."""
-    word, gram = Counter64(), Counter64()
+    """Partial counts of a task: words (kind 0) and bytes (kind 2)."""
+    word = Counter64()
     byte, texts = np.zeros(256, np.int64), 0
     for batch in batches:
         for first, end, data, offsets in text_slices(batch):
             word.add(words(data, offsets)[0].view(np.int64))
-            classes, raw, starts = symbols(data, offsets)
-            gram.add((contexts(classes, starts, TOP) << _BITS) | classes)
-            byte += np.bincount(raw[classes > 1], minlength=256)
+            byte += np.bincount(_LOWER[data[~_BLANK[data]]], minlength=256)
             texts += end - first
-    parts = [(0, *word.result()), (0, np.array([END_HASH]), np.array([texts])), (1, *gram.result()), (2, np.arange(256), byte)]
+    parts = [(0, *word.result()), (0, np.array([END_HASH]), np.array([texts])), (2, np.arange(256), byte)]
     for kind, keys, n in parts:
         for a in range(0, len(keys), 200_000):
             own = keys[a : a + 200_000]
@@ -197,6 +219,7 @@ class Tree:
         emit[wide] = np.log10((byte_counts[wide] + 1) / (totals[_CLASS[wide]] + sizes[_CLASS[wide]]))
         self.emit = emit
         self._table: np.ndarray | None = None
+        self._chance: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
         if self._table is None:
@@ -209,7 +232,17 @@ class Tree:
 
     def chances(self, keys: np.ndarray) -> np.ndarray:
         """P(class | longest context of the top) of keys, DEPTH classes and the next one."""
-        return 10 ** self.log[self.table()[keys >> _BELOW], keys & _MASK]
+        if self._chance is None:
+            self._chance = 10**self.log
+        return self._chance[self.table()[keys >> _BELOW], keys & _MASK]
+
+
+def _pressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpressed(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -223,30 +256,41 @@ def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     both = np.stack([step, n.astype(np.int64)])
     for a in range(0, len(edges) - 1, 1000):
         own = edges[a : a + 1001]
-        blobs = [zlib.compress(both[:, x:y].copy().view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x, y in zip(own[:-1], own[1:], strict=True)]
+        press = zstandard.ZstdCompressor(level=1).compress
+        blobs = [press(both[:, x:y].copy().view(np.uint8).reshape(-1, 8).T.tobytes()) for x, y in zip(own[:-1], own[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[own[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
+    both = np.ascontiguousarray(np.frombuffer(_unpressed(blob), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
     return np.cumsum(both[0]), both[1]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of contexts of DEPTH classes with the next class, packed by bucket."""
-    gram = Counter64()
+    """A task's counts of contexts of DEPTH classes with the next class, packed by bucket for every GATHER positions."""
+    held, size = [], 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate(held)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return _packed(keys[first], np.diff(first, append=len(keys)))
+
     for batch in batches:
         for _, _, data, offsets in text_slices(batch):
             classes, _, starts = symbols(data, offsets)
-            gram.add((contexts(classes, starts, DEPTH) << _BITS) | classes)
-            if gram.merged > _FLUSH:
-                yield from _packed(*gram.result())
-                gram = Counter64()
-    yield from _packed(*gram.result())
+            held.append((contexts(classes, starts, DEPTH) << _BITS) | classes)
+            size += len(classes)
+            if size >= GATHER:
+                yield from counted()
+                held, size = [], 0
+    if held:
+        yield from counted()
 
 
 def _retained(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The retained contexts longer than TOP of some whole buckets: a row per bucket and depth."""
+    """The counts of some whole buckets, contexts of TOP classes, and the retained contexts longer than TOP: a row per bucket
+    and depth."""
     levels = []
     for depth in range(TOP, DEPTH + 1):
         pair = (keys >> (_BITS * (DEPTH - depth + 1)) << _BITS) | (keys & _MASK)
@@ -266,6 +310,10 @@ def _retained(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             kept = (total >= LEAST_COUNT) & (np.add.reduceat(count * np.log(count / total[state] / q), begin) >= DIVERGENCE)
         levels.append((pair, count, state, code[begin], total, kept))
     needed, rows = np.empty(0, np.int64), []
+    pair, count, _, code, _, _ = levels[0]
+    ends = np.searchsorted(pair >> _BITS, code, side="right")
+    for b, u, v in zip(code.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        rows.append((b, TOP, 1, v - u, _pressed(pair[u:v].tobytes() + count[u:v].astype(np.int64).tobytes())))
     for depth in range(DEPTH, TOP, -1):
         pair, count, state, code, _, kept = levels[depth - TOP]
         kept = kept | np.isin(code, needed)
@@ -277,7 +325,7 @@ def _retained(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         bucket, at = np.unique(code >> (_BITS * (depth - TOP)), return_index=True)
         pairs_at = np.searchsorted(pair >> _BITS, code[at])
         for b, x, y, u, v in zip(bucket.tolist(), at, [*at[1:], len(code)], pairs_at, [*pairs_at[1:], len(pair)], strict=True):
-            rows.append((b, depth, int(y - x), int(v - u), zlib.compress(pair[u:v].tobytes() + count[u:v].astype(np.int64).tobytes(), 1)))
+            rows.append((b, depth, int(y - x), int(v - u), _pressed(pair[u:v].tobytes() + count[u:v].astype(np.int64).tobytes())))
     schema = pa.schema([("bucket", pa.int64()), ("depth", pa.int32()), ("states", pa.int64()), ("pairs", pa.int64()), ("blob", pa.binary())])
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -311,7 +359,7 @@ class Block:
         self.first, self.last = rows[0].bucket, rows[-1].bucket
         self.levels = []
         for depth in range(TOP + 1, DEPTH + 1):
-            parts = [np.frombuffer(zlib.decompress(r.blob), np.int64).reshape(2, -1) for r in rows if r.depth == depth]
+            parts = [np.frombuffer(_unpressed(r.blob), np.int64).reshape(2, -1) for r in rows if r.depth == depth]
             if not parts:
                 break  # suffixes are kept: nothing is deeper
             pair, count = np.concatenate(parts, 1)
@@ -326,9 +374,13 @@ class Block:
         alive = np.arange(a, b)
         for depth, code, seen, begin, total, count in self.levels:
             want = keys[alive] >> (_BITS * (DEPTH - depth + 1))
-            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
-            good = code[at] == want
-            alive, at = alive[good], at[good]
+            if not len(want):
+                return
+            runs = np.concatenate([[0], np.flatnonzero(want[1:] != want[:-1]) + 1])  # keys of one context stand together
+            sizes = np.diff(runs, append=len(want))
+            at = np.minimum(np.searchsorted(code, want[runs]), len(code) - 1)
+            good = code[at] == want[runs]
+            alive, at = alive[np.repeat(good, sizes)], np.repeat(at[good], sizes[good])
             bit = (keys[alive] & _MASK).astype(U)
             has = (seen[at] >> bit) & U(1) > 0
             before = np.bitwise_count(seen[at] & ((U(1) << bit) - U(1)))
@@ -336,10 +388,18 @@ class Block:
             p[alive] = (n + MASS * p[alive]) / (total[at] + MASS)
 
 
+def _top_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (code, next, n) of contexts of TOP classes from the rows of their buckets."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            pair, count = np.frombuffer(_unpressed(blob.as_py()), np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair >> _BITS), pa.array(pair & _MASK), pa.array(count)], names=["code", "next", "n"])
+
+
 def blocks_of_states(states: DataFrame) -> Iterator[Block]:
     """The states in blocks of about BLOCK_BYTES, whole buckets each, in their order; one at a time on the driver."""
     rows, held = [], 0
-    for row in states.orderBy("bucket", "depth").toLocalIterator():
+    for row in states.filter(F.col("depth") > TOP).orderBy("bucket", "depth").toLocalIterator():
         if rows and held >= BLOCK_BYTES and row.bucket != rows[-1].bucket:
             yield Block(rows)
             rows, held = [], 0
@@ -349,9 +409,9 @@ def blocks_of_states(states: DataFrame) -> Iterator[Block]:
         yield Block(rows)
 
 
-def grow(counts: DataFrame, states: DataFrame | None = None) -> Tree:
-    """The top of the tree from counts (kind, k, n) of contexts and bytes; it keeps what ``states`` stand below."""
-    grams = counts.filter("kind = 1").select(F.shiftright("k", _BITS).alias("code"), F.col("k").bitwiseAND(_MASK).alias("next"), "n")
+def grow(counts: DataFrame, states: DataFrame) -> Tree:
+    """The top of the tree from the counts of ``states`` and those of bytes (kind, k, n); it keeps what states stand below."""
+    grams = states.filter(F.col("depth") == TOP).select("blob").mapInArrow(_top_counts, "code bigint, next bigint, n bigint")
     levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("code", _BITS * (TOP - d)).alias("context")) for d in range(TOP + 1)]))
     level = grams.select(levels.alias("l"), "next", "n").groupBy("l.depth", "l.context", "next").agg(F.sum("n").alias("n"))
     level = cut(level)
@@ -362,8 +422,7 @@ def grow(counts: DataFrame, states: DataFrame | None = None) -> Tree:
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q")))
     kept = child.join(parent, ["depth", "suffix", "next"]).groupBy("depth", "context").agg(gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE)
     kept = kept.select("depth", "context")
-    if states is not None:
-        kept = kept.union(states.select(F.lit(TOP), "bucket").distinct())
+    kept = kept.union(states.filter(F.col("depth") > TOP).select(F.lit(TOP), "bucket").distinct())
     up = F.explode(F.sequence(F.lit(0), "depth"))
     kept = kept.select("depth", "context", up.alias("back")).select((F.col("depth") - F.col("back")).alias("depth"), F.expr(f"shiftright(context, {_BITS} * back)").alias("context"))
     kept = kept.union(kept.sparkSession.createDataFrame([(0, 0)], "depth int, context bigint")).distinct()
@@ -401,7 +460,7 @@ def _score(tree, blocks, frequent):
                 hashes = hashes.view(np.int64)
                 counts = np.diff(at)
                 classes, raw, starts = symbols(data, offsets)
-                keys, back = np.unique((contexts(classes, starts, DEPTH) << _BITS) | classes, return_inverse=True)
+                keys, back = told_apart((contexts(classes, starts, DEPTH) << _BITS) | classes)
                 emit = np.where(classes > 1, model.emit[raw], 0.0)
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -422,7 +481,7 @@ def _score(tree, blocks, frequent):
                     pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(hashes[~hit])),
                 ]
                 names = ["row", "doc_id", "held_out", "n_tokens", "hits", "part", "rare"]
-                held.append((arrays, names, keys, back.astype(np.int32), model.chances(keys), emit, starts))
+                held.append((arrays, names, keys, back, model.chances(keys), emit, starts))
                 row += end - first
                 size += len(classes)
                 if size >= CHUNK:

@@ -147,11 +147,15 @@ def test_symbols_and_contexts():
     assert [i for i, c in enumerate(classes) if c == 0] == [4, 5, 6, 8, 11]
     codes = suffix_tree.contexts(classes, starts)
     assert codes[0] == codes[5] == codes[7] == 0 and codes[1] == int(classes[0]) << 18
+    text = np.searchsorted(starts, np.arange(12), side="right") - 1
+    for depth in range(1, 9):
+        plain = [sum(int(classes[i - k]) << 6 * (depth - k) for k in range(1, depth + 1) if i - k >= starts[text[i]]) for i in range(12)]
+        assert suffix_tree.contexts(classes, starts, depth).tolist() == plain
 
 
 def test_tree_is_a_distribution(spark):
-    partial = spark.createDataFrame([(t,) for _, t in DOCS], "text string").coalesce(1).mapInArrow(suffix_tree._count, "kind int, k bigint, n bigint")
-    tree = suffix_tree.grow(partial)
+    docs = spark.createDataFrame([(t,) for _, t in DOCS], "text string").coalesce(1)
+    tree = suffix_tree.grow(docs.mapInArrow(suffix_tree._count, "kind int, k bigint, n bigint"), suffix_tree.subtrees(docs))
     assert len(tree.codes) > 5 and np.allclose((10**tree.log).sum(1), 1)
     own = suffix_tree._CLASS.copy()
     own[65:91] = 0
