@@ -151,7 +151,10 @@ def _close(limit: int):
             likely &= 100 * np.minimum(n[one], n[two]) >= SIMILARITY * np.maximum(n[one], n[two])
             one, two = one[likely], two[likely]
             near = np.bitwise_count(rows["sketch"][one] ^ rows["sketch"][two]).sum(axis=1) <= limit
-            x, y = rows["node"][one[near]], rows["node"][two[near]]
+            one, two = one[near], two[near]
+            # A pair comes from the first of its bands only.
+            first = (rows["bands"][one] == rows["bands"][two]).argmax(axis=1) == rows["place"][one]
+            x, y = rows["node"][one[first]], rows["node"][two[first]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -160,9 +163,10 @@ def _close(limit: int):
         for batch in batches:
             if not len(batch):
                 continue
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "i", "j", "side", "node", "component", "n", "s")}
-            lists = batch.column("sketch")
-            new["sketch"] = lists.flatten().to_numpy().view(U).reshape(len(batch), -1)
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "place", "i", "j", "side", "node", "component", "n", "s")}
+            for c in ("sketch", "bands"):
+                new[c] = batch.column(c).flatten().to_numpy().reshape(len(batch), -1)
+            new["sketch"] = new["sketch"].view(U)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             border = (held["band"][1:] != held["band"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])
             held["cell"] = np.concatenate([[0], np.cumsum(border)])
@@ -176,13 +180,15 @@ def _close(limit: int):
 
 
 def _pairs_left(members: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """Pairs of nodes of one band and different components that may be similar enough. ``members`` carries the band's size."""
+    """Pairs of nodes of one band and different components that may be similar enough. ``members`` carries the band's size and
+    its place among a node's bands; ``sketches`` has half of every band's key, by which a pair knows the first it shares."""
     blocks = F.ceil(F.col("size") / CELL).cast("int")
     dealt = members.join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "component", "n", "s", "sketch")
+    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side")]
+    dealt = dealt.select("band", "place", *cell, "node", "component", "n", "s", "sketch", "bands")
     cells = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return cells.mapInArrow(_close(limit), "a bigint, b bigint").distinct()
+    return cells.mapInArrow(_close(limit), "a bigint, b bigint")
 
 
 def tidy(frame: DataFrame, n_rows: int) -> DataFrame:
@@ -254,7 +260,7 @@ def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
         shared = left.select("node", "n").join(alone, "node", "left").withColumn("s", F.col("n") - F.least("n", F.coalesce("alone", F.lit(0))))
         left = cut(shared.filter(f"100 * s >= {SIMILARITY} * n").select("node", "n", "s"))
     kept = members.join(left, ["node", "n"]).withColumn("own", 1 - F.col("s") / F.col("n"))
-    return kept.select("node", "n", "s", "own", "band", F.col("node").alias("component"))
+    return kept.select("node", "n", "s", "own", "place", "band", F.col("node").alias("component"))
 
 
 def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -279,11 +285,11 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
     named = classes.select(*key, "node", F.col("low.doc_id").alias("doc_id"), F.col("low.t0").alias("t0"), F.col("low.t1").alias("t1"))
     chosen = usable.join(named, [*key, "doc_id", "t0", "t1"])
     chosen = cut(chosen.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"))
-    rows = chosen.select("node", "n", F.explode("bands").alias("band"))
+    rows = chosen.select("node", "n", F.posexplode("bands").alias("place", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     shared = cut(shared.select("band"))
     hashes = [F.col("band").alias("k0"), F.xxhash64("band").alias("k1")]
-    likely = thinned(rows.select("node", "n", "band", *hashes), bloom(shared.select(*hashes))).drop("k0", "k1")
+    likely = thinned(rows.select("node", "n", "place", "band", *hashes), bloom(shared.select(*hashes))).drop("k0", "k1")
     members = cut(likely.dropDuplicates(["band", "node", "n"]).join(shared, "band"))
     ids = cut(members.select("node").distinct().join(named.select("node", "doc_id", "t0", "t1"), "node"))
     at = ["doc_id", "t0", "t1"]
@@ -310,8 +316,9 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
             pairs = pairs.groupBy(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").agg(F.count("*").alias("bands"))
         else:  # all pairs of a band that are still apart and can share enough
             wide = permutations * 2
-            sketches = chosen.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-            pairs = _pairs_left(members.select("band", "node", "component", "n", "s", "size"), cut(sketches), sketch_limit(wide))
+            halves = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")
+            sketches = chosen.select("node", "sketch", halves).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+            pairs = _pairs_left(members.select("band", "place", "node", "component", "n", "s", "size"), cut(sketches), sketch_limit(wide))
         members = members.drop("center", "size")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -324,7 +331,7 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
             continue
         pairs = tidy(pairs, n)
         tried = pairs if tried is None else tried.union(pairs)
-        found = cut(tidy(_confirmed(pairs, sets), n))
+        found = tidy(cut(_confirmed(pairs, sets)), n)
         links = found if links is None else links.union(found)
         labels = connect(links)
     if labels is None:

@@ -94,15 +94,19 @@ def test_many_texts_of_one_doc_id_and_of_none(spark):
 def test_pairs_of_cells_are_those_of_the_band(spark, monkeypatch, cell):
     monkeypatch.setattr(near_dup, "CELL", cell)
     draw = random.Random(2)
-    rows = []
+    rows = []  # band b is the only one at place b
     for band in range(30):
         for node in draw.sample(range(60), draw.choice([2, 3, 20])):
             rows.append((band, node, node % 7, 100 + node, 100 + node, 20))
     sketches = {n: [draw.getrandbits(63) if n % 3 else 5 for _ in range(4)] for n in range(60)}
     sizes = {b: sum(r[0] == b for r in rows) for b in range(30)}
-    members = spark.createDataFrame([(b, n, c, k, s, sizes[b]) for b, n, c, k, s, _ in rows], "band bigint, node bigint, component bigint, n bigint, s bigint, size bigint")
-    frame = spark.createDataFrame(list(sketches.items()), "node bigint, sketch array<bigint>")
-    got = sorted((r.a, r.b) for r in near_dup._pairs_left(members, frame, 90).collect())
+    held = {n: [1000 if any(r[:2] == (b, n) for r in rows) else n for b in range(30)] for n in range(60)}
+    fields = "band bigint, place int, node bigint, component bigint, n bigint, s bigint, size bigint"
+    members = spark.createDataFrame([(b, b, n, c, k, s, sizes[b]) for b, n, c, k, s, _ in rows], fields)
+    frame = spark.createDataFrame([(n, s, held[n]) for n, s in sketches.items()], "node bigint, sketch array<bigint>, bands array<int>")
+    found = [(r.a, r.b) for r in near_dup._pairs_left(members, frame, 90).collect()]
+    got = sorted(found)
+    assert len(found) == len(set(found))
     nodes = {b: [r[1] for r in rows if r[0] == b] for b in range(30)}
     bits = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(sketches[x], sketches[y]))
     close = lambda x, y: 175 * min(100 + x, 100 + y) >= 75 * (200 + x + y) and 100 * (100 + min(x, y)) >= 75 * (100 + max(x, y))
