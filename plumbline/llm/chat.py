@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import settle, text_of
+from plumbline.llm.common import cut_out, parts_of, running, settle, text_of
 
 HEAD, SEP, PART, END = "### ", ": ", "</part>", "</turn>\n"
 LOSS_ROLE = "assistant"
@@ -39,7 +39,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, and loss_spans, the code point ranges under the loss mask.
 
     Turns are sorted by turn (null first), then role and text, so ties and repeated rows have a fixed place. A null text
-    or role counts as empty. Rows with a null conv_id form one conversation. Other columns are not read.
+    or role counts as empty. Rows with a null conv_id form one conversation. Other columns are not read. A conversation is
+    one value, so it is put together in one task; its time grows with its length.
     """
     turn = F.struct(F.col("turn").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
     sorted_turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -82,11 +83,10 @@ def formatted(conversations: DataFrame) -> DataFrame:
         )
     )
     step = settle(step, ["conv_id"], formatted=whole, pieces=pieces)
-    spans = """
-        aggregate(pieces, struct(0 AS at, CAST(array() AS array<struct<start:int,end:int>>) AS found),
-            (a, p) -> struct(a.at + p.before + p.own + p.after AS at,
-                CASE WHEN p.loss THEN concat(a.found, array(struct(a.at + p.before AS start, a.at + p.before + p.own AS end))) ELSE a.found END AS found),
-            a -> a.found)"""
+    step = settle(step, ["conv_id", "formatted", "pieces"], lengths=F.expr("transform(pieces, p -> p.before + p.own + p.after)"))
+    step = settle(step, ["conv_id", "formatted", "pieces"], ends=F.expr(running("lengths")))
+    span = "struct(ends[i] - p.after - p.own AS start, ends[i] - p.after AS end)"
+    spans = f"filter(transform(pieces, (p, i) -> CASE WHEN p.loss THEN {span} END), s -> s IS NOT NULL)"
     return settle(step, ["conv_id", "formatted"], loss_spans=F.expr(spans))
 
 
@@ -105,8 +105,10 @@ def read_back(chats: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
-    return settle(step, ["conv_id", "formatted", "loss_spans"], turns=turns, loss_text=loss)
+    step = settle(step, ["conv_id", "formatted", "loss_spans"], turns=turns, parts=F.expr(parts_of("formatted")))
+    masked = f"transform(loss_spans, s -> CASE WHEN s.end > s.start THEN {cut_out('parts', 's.start', '(s.end - s.start)')} ELSE '' END)"
+    step = settle(step, ["conv_id", "formatted", "loss_spans", "turns"], masked=F.expr(masked))
+    return step.withColumn("loss_text", F.array_join(F.transform("masked", unescape), "")).drop("masked")
 
 
 def digest(conversations: DataFrame) -> DataFrame:

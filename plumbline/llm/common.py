@@ -81,6 +81,34 @@ def settle(frame: DataFrame, keep: list[str], **values: Column) -> DataFrame:
     return frame.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(row)))
 
 
+#: Entries that a running sum takes one by one, and characters of a part of a long text.
+CHUNK, PART = 256, 1024
+
+
+def running(x: str, dtype: str = "int") -> str:
+    """SQL: the running sums of an array column. Chunks are summed first, then each is gone through from its own start, so that
+    no array grows entry by entry over the whole length."""
+    none, zero = f"CAST(array() AS array<{dtype}>)", f"CAST(0 AS {dtype})"
+    chunks = f"transform(sequence(0, (size({x}) - 1) div {CHUNK}), k -> slice({x}, k * {CHUNK} + 1, {CHUNK}))"
+    heads = f"""
+      aggregate({chunks}, struct({zero} AS at, CAST(array() AS array<struct<at:{dtype},c:array<{dtype}>>>) AS out),
+        (a, c) -> struct(a.at + aggregate(c, {zero}, (s, v) -> s + v) AS at, concat(a.out, array(struct(a.at AS at, c AS c))) AS out), a -> a.out)"""
+    one = f"aggregate(h.c, struct(h.at AS at, {none} AS out), (a, v) -> struct(a.at + v AS at, concat(a.out, array(a.at + v)) AS out), a -> a.out)"
+    return f"CASE WHEN coalesce(size({x}), 0) <= 0 THEN {none} ELSE flatten(transform({heads}, h -> {one})) END"
+
+
+def parts_of(text: str) -> str:
+    """SQL: a text in parts of PART characters, for ``cut_out``."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{PART}}}', 0)"
+
+
+def cut_out(parts: str, start: str, size: str) -> str:
+    """SQL: ``size`` characters (one at least) from ``start`` on of a text given as its parts; a substring of the text itself
+    would count through all characters before it."""
+    some = f"slice({parts}, {start} div {PART} + 1, ({start} + {size} - 1) div {PART} - {start} div {PART} + 1)"
+    return f"substring(array_join({some}, ''), {start} % {PART} + 1, {size})"
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about SLICE_BYTES: (first row, end row, bytes of all texts, offsets of each)."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")

@@ -8,22 +8,27 @@ that every document keeps its expected number of copies. What stays open after a
 combined by a reduction tree: the open document of each of FAN blocks goes into one block of the next level, until one
 is left per source, which goes to the nearer side. A source's words so differ from its target by half a document at most.
 
-Blocks hold about BLOCK_ROWS rows of one source, chosen by a hash of doc_id, so a source with a third of all rows has as
-many more blocks. Draws are hashes of doc_id and level: another run, or a repeated task, draws the same.
+Rows equal in doc_id, source and text are one unit of several rows: the whole part of their common mass is given to as
+many of them, and what remains is the fraction of one document, so that a unit is never rounded as a lump.
+
+Blocks hold about BLOCK_ROWS units of one source, chosen by a hash, so a source with a third of all rows has as
+many more blocks. Draws are hashes of the unit and level: another run, or a repeated task, draws the same.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import cut, ship, text_of, words_of
 from plumbline.llm.textnum import U, mix
+from plumbline.operators.groups import times
 
 SHARE = 1.5  # of all sizes
 MOST = 2  # copies of a document
@@ -89,7 +94,7 @@ def _round(level: int, last: bool):
         draws = _draw(block["row"].to_numpy(), level)
         order = np.lexsort((block["row"].to_numpy(), draws))
         block, draws = block.iloc[order].reset_index(drop=True), draws[order]
-        p, size = block["p"].to_numpy(), (block["size"] * block["times"]).to_numpy().astype(float)
+        p, size = block["p"].to_numpy(), block["size"].to_numpy().astype(float)
         live = np.flatnonzero((p > 0) & (p < 1) & (size > 0))
         again = _draw(block["row"].to_numpy(), level + 1000)
         p = p.copy()
@@ -103,26 +108,38 @@ def _round(level: int, last: bool):
     return run
 
 
+UNIT = ["doc_id", "source", "t0", "t1", "size"]
+
+
+def _unit(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    text = text_of(text.cast("string"))
+    return [
+        doc_id.cast("bigint").alias("doc_id"), source.cast("string").alias("source"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"),
+        F.size(words_of(text)).cast("bigint").alias("size"),
+    ]
+
+
 def _decisions(docs: DataFrame) -> DataFrame:
-    """Copies of every distinct (doc_id, source, size): columns doc_id, source, size, times, source_size, target, copies."""
+    """Copies of every unit: its columns, times (its rows), source_size, target, whole (copies of each row) and extra (rows that
+    get one more)."""
     ship(docs.sparkSession)
-    words = F.size(words_of(text_of("text"))).cast("bigint")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
-    units = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")))
-    weighed = F.col("size") * F.col("times")
-    sizes = units.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum(weighed).alias("source_size"))
+    rows = docs.select(*_unit(F.col("doc_id"), F.col("source"), F.col("text")))
+    units = cut(rows.groupBy(*UNIT).agg(F.count("*").alias("times")))
+    sizes = units.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum(F.col("size") * F.col("times")).alias("source_size"))
     named = targets(sizes).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     named = cut(named.withColumnRenamed("source", "name"))
+    mass = F.when(F.col("size") > 0, (F.col("rate") - F.floor("rate")) * F.col("times")).otherwise(0.0)
     rate = units.join(named, F.col("source").eqNullSafe(F.col("name"))).select(
-        "doc_id", "source", "size", "times", "source_size", "target",
+        *UNIT, "times", "source_size", "target",
         F.floor("rate").cast("int").alias("whole"),
-        F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("p"),
+        F.floor(mass).cast("bigint").alias("extra"),
+        (mass - F.floor(mass)).alias("p"),
         F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("bigint").alias("blocks"),
     )
-    row = F.xxhash64("doc_id", "size")
+    row = F.xxhash64("doc_id", "t0", "size")
     block = F.pmod(F.shiftrightunsigned(row, 8), F.greatest("blocks", F.lit(1)))
     level_rows = rate.withColumns({"row": row, "block": block})
-    fixed = "doc_id bigint, source string, size bigint, times bigint, source_size bigint, target double, whole int, p double, row bigint, block bigint"
+    fixed = "doc_id bigint, source string, t0 bigint, t1 bigint, size bigint, times bigint, source_size bigint, target double, whole int, extra bigint, p double, row bigint, block bigint"
     level_rows = level_rows.select(*[c.split()[0] for c in fixed.split(", ")])
     most = named.agg(F.max(F.ceil(F.col("n_rows") / BLOCK_ROWS))).head()[0] or 1
     done = [level_rows.filter("p = 0")]
@@ -135,26 +152,36 @@ def _decisions(docs: DataFrame) -> DataFrame:
         most, level = -(-most // FAN), level + 1
         level_rows = rounded.filter("p > 0 AND p < 1").withColumn("block", F.floor(F.col("block") / FAN))
     settled = reduce(DataFrame.union, done)
-    return settled.withColumn("copies", F.col("whole") + F.col("p").cast("int")).drop("whole", "p", "row", "block")
+    return settled.withColumn("extra", F.col("extra") + F.col("p").cast("bigint")).drop("p", "row", "block")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (of its source), taken.
 
     Size is the number of words, a null text has none and takes nothing. A null source is a source of its own, the
-    last. Rows equal in doc_id, source and size are one unit and all get the same number of copies. Other columns are
-    not read; an empty table gives no rows.
+    last. Rows without doc_id, or with one that others have too, are rounded like any other. Other columns are not read; an empty table gives no rows.
     """
-    rows = _decisions(docs).withColumn("again", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    units = _decisions(docs)
+    parts = F.inline(F.array(
+        F.struct((F.col("whole") + 1).alias("copies"), F.col("extra").alias("n")),
+        F.struct(F.col("whole").alias("copies"), (F.col("times") - F.col("extra")).alias("n")),
+    ))
+    rows = units.select("doc_id", "size", "source_size", "target", parts).filter("n > 0")
+    taken = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "n")
+    return times(taken, "n")
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """The mix: every document as many times as it was taken, with the columns of ``docs``."""
+    """The mix: every document as many times as it was taken, with the columns of ``docs``.
+
+    Of rows equal in doc_id, source and text, those with one copy more are drawn by chance, so a source with n of them may
+    take the square root of n documents more or less.
+    """
     own = [f"c{i}" for i in range(len(docs.columns))]
-    key = {n: F.col(own[docs.columns.index(n)]) for n in ("doc_id", "source", "text")}
-    words = F.size(words_of(text_of(key["text"]))).cast("bigint")
-    taken = _decisions(docs).filter("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), "copies")
-    same = key["doc_id"].eqNullSafe(F.col("d")) & key["source"].eqNullSafe(F.col("s")) & (F.col("words") == F.col("n"))
-    rows = docs.toDF(*own).withColumn("words", words).join(cut(taken), same)
+    key = _unit(*[F.col(own[docs.columns.index(n)]) for n in ("doc_id", "source", "text")])
+    taken = _decisions(docs).filter("whole > 0 OR extra > 0").select(*[F.col(c).alias(f"u_{c}") for c in UNIT], "times", "whole", "extra")
+    rows = docs.toDF(*own).select(*own, *key)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"u_{c}")) for c in UNIT])
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(3)), F.col("times")) < F.col("extra")
+    rows = rows.join(cut(taken), same).withColumn("copies", F.col("whole") + drawn.cast("int")).filter("copies > 0")
     return rows.select(*own, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*own).toDF(*docs.columns)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import settle, text_of, unused
+from plumbline.llm.common import PART, cut_out, parts_of, running, settle, text_of, unused
 
 WINDOW = 20
 SCALE = 1_000_000
@@ -53,9 +53,7 @@ ALLOWED = (
 )
 RULER = r"^([+/_=-])\1{9,}"
 
-CHUNK = 256  # entries that a running sum takes one by one
 BLOCK = 64  # windows' first characters in a block
-PART = 1024  # characters of a part of a long candidate
 # Key characters have the codes 0 to 66; counts of twelve of them share a long.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PER_LONG = 12
@@ -76,18 +74,6 @@ def _lengths(column: str) -> str:
     return f"transform({column}.found, (m, i) -> length({column}.gaps[i]) + length(m))"
 
 
-def _running(x: str, dtype: str = "int") -> str:
-    """SQL: the running sums of an array column. Chunks are summed first, then each is gone through from its own start."""
-    none = f"CAST(array() AS array<{dtype}>)"
-    zero = f"CAST(0 AS {dtype})"
-    chunks = f"transform(sequence(0, (size({x}) - 1) div {CHUNK}), k -> slice({x}, k * {CHUNK} + 1, {CHUNK}))"
-    heads = f"""
-      aggregate({chunks}, struct({zero} AS at, CAST(array() AS array<struct<at:{dtype},c:array<{dtype}>>>) AS out),
-        (a, c) -> struct(a.at + aggregate(c, {zero}, (s, v) -> s + v) AS at, concat(a.out, array(struct(a.at AS at, c AS c))) AS out), a -> a.out)"""
-    one = f"aggregate(h.c, struct(h.at AS at, {none} AS out), (a, v) -> struct(a.at + v AS at, concat(a.out, array(a.at + v)) AS out), a -> a.out)"
-    return f"CASE WHEN coalesce(size({x}), 0) <= 0 THEN {none} ELSE flatten(transform({heads}, h -> {one})) END"
-
-
 def _spans(column: str, ends: str, kind: str, least: int, order: int) -> str:
     """SQL for the spans of one kind, those whose own text is long enough."""
     span = f"struct({ends}[i] - length(m) AS start, {order} AS rank, '{kind}' AS kind, {ends}[i] AS end)"
@@ -107,9 +93,7 @@ def _pieces() -> str:
     """SQL: the stretches of candidates outside base spans, with their text."""
     x = "candidates[CAST(shiftright(depth[i], 8) AS INT) - 1]"
     at, size = f"(events[i].pos - {x}.start)", "(events[i + 1].pos - events[i].pos)"
-    parts = f"slice({x}.parts, {at} div {PART} + 1, ({at} + {size} - 1) div {PART} - {at} div {PART} + 1)"
-    own = f"substring(array_join({parts}, ''), {at} % {PART} + 1, {size})"
-    piece = f"struct(events[i].pos AS start, events[i + 1].pos AS end, {own} AS own)"
+    piece = f"struct(events[i].pos AS start, events[i + 1].pos AS end, {cut_out(f'{x}.parts', at, size)} AS own)"
     inside = f"(depth[i] & 255) = 1 AND {size} >= {WINDOW}"
     none = "CAST(array() AS array<struct<start:int,end:int,own:string>>)"
     return f"""CASE WHEN events IS NULL THEN {none} ELSE
@@ -173,9 +157,9 @@ def scan(docs: DataFrame) -> DataFrame:
         p3=F.expr(_matches("t", CANDIDATE)),
     )
     step = settle(step, [*own, *found], **{f"l{i}": F.expr(_lengths(p)) for i, p in enumerate(found)})
-    step = settle(step, [*own, *found], **{f"e{i}": F.expr(_running(f"l{i}")) for i in range(4)})
+    step = settle(step, [*own, *found], **{f"e{i}": F.expr(running(f"l{i}")) for i in range(4)})
     kinds = [(k, least, i) for i, (k, least) in enumerate(zip(KINDS, (12, 18, 16)))]
-    parts = f"CASE WHEN length(m) <= {PART} THEN array(m) ELSE regexp_extract_all(m, '.{{1,{PART}}}', 0) END"
+    parts = f"CASE WHEN length(m) <= {PART} THEN array(m) ELSE {parts_of('m')} END"
     runs = f"transform(p3.found, (m, i) -> struct(e3[i] - length(m) AS start, e3[i] AS end, {parts} AS parts))"
     step = settle(
         step,
@@ -185,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     step = settle(step, [*own, "base", "candidates"], events=F.expr(_events()))
     step = settle(step, [*own, "base", "candidates", "events"], deltas=F.expr("transform(events, e -> e.d)"))
-    step = settle(step, [*own, "base", "candidates", "events"], depth=F.expr(_running("deltas", "bigint")))
+    step = settle(step, [*own, "base", "candidates", "events"], depth=F.expr(running("deltas", "bigint")))
     step = settle(step, [*own, "base"], pieces=F.expr(_pieces()))
     step = settle(step, [*own, "base"], pieces=F.expr(_bare()))
     allowed = " OR ".join("x.own RLIKE '" + a.replace("\\", "\\\\") + "'" for a in ALLOWED)
@@ -206,11 +190,10 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     own = [f"c{i}" for i in range(len(docs.columns))]
     step = out.toDF(*own, "spans").withColumn("t", text_of(own[docs.columns.index("text")]))
     ends = "array_sort(flatten(transform(spans, s -> array(struct(s.start AS pos, 1 AS d), struct(s.end AS pos, -1 AS d)))))"
-    step = settle(step, [*own, "t"], events=F.expr(ends), parts=F.expr(f"regexp_extract_all(t, '(?s).{{1,{PART}}}', 0)"))
+    step = settle(step, [*own, "t"], events=F.expr(ends), parts=F.expr(parts_of("t")))
     step = settle(step, [*own, "t", "events", "parts"], deltas=F.expr("transform(events, e -> e.d)"))
-    step = settle(step, [*own, "t", "events", "parts"], depth=F.expr(_running("deltas")))
-    cut = lambda a, b: f"substring(array_join(slice(parts, {a} div {PART} + 1, ({b} - 1) div {PART} - {a} div {PART} + 1), ''), {a} % {PART} + 1, {b} - {a})"
-    stretch = lambda a, b: f"CASE WHEN {b} > {a} THEN {cut(a, b)} ELSE '' END"
+    step = settle(step, [*own, "t", "events", "parts"], depth=F.expr(running("deltas")))
+    stretch = lambda a, b: f"CASE WHEN {b} > {a} THEN {cut_out('parts', a, f'({b} - {a})')} ELSE '' END"
     between = f"transform(filter(sequence(0, size(events) - 1), i -> i < size(events) - 1 AND depth[i] = 0), i -> {stretch('events[i].pos', 'events[i + 1].pos')})"
     ends = stretch("0", "events[0].pos"), stretch("element_at(events, -1).pos", "length(t)")
     lit = "'" + mark.replace("\\", "\\\\").replace("'", "\\'") + "'"

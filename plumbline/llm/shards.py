@@ -1,12 +1,13 @@
 """Shards of near equal bytes by histogram sort.
 
 Rows are ordered by a 120-bit key: 60 bits of a hash of the text, so that equal texts stand together, then 60 bits of a
-hash of doc_id, which splits a text that many documents share. The splitters between shards are found by counting: each
+hash of the whole row and a number that tells equal rows apart, which splits a text that many documents share. Equal rows
+can be swapped, so those that occur more than once are counted and written out again with their numbers. The splitters between shards are found by counting: each
 round counts exact bytes per key interval across all partitions, keeps for every splitter the interval its target falls
 into and refines only that one, until the splitter is within tolerance of its target or the key is used up. Then rows are
 exchanged once.
 
-Slots inside a shard follow the doc_id hash: a shard is cut into intervals of it small enough to be sorted by a task
+Slots inside a shard follow the row hash: a shard is cut into intervals of it small enough to be sorted by a task
 each, and counts of the intervals give where each begins.
 """
 
@@ -17,9 +18,11 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import cut, text_of, unused
+from plumbline.operators.bloom import bloom, marked
 
 SHARDS = 40
 OVERHEAD = 16
@@ -27,6 +30,7 @@ BITS = 60  # of each half of the key
 FIRST, STEP = 12, 8  # bits that a round refines
 TOLERANCE = 0.002  # of a shard's bytes
 ROWS_PER_SLOT_BIN = 5_000  # what one task sorts at most, on average
+SPREAD = 1_000  # equal rows written out by a task
 
 
 def size_of(text: Column) -> Column:
@@ -34,12 +38,35 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("bigint")
 
 
-def _keys(text: Column, doc_id: Column) -> tuple[Column, Column]:
+def _keys(text: Column) -> tuple[Column, Column]:
+    """The halves of the key of a row with its hash h0 and its number copy."""
     high = F.shiftrightunsigned(F.xxhash64(text_of(text)), 64 - BITS)
-    low = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(1)), 64 - BITS)
+    low = F.shiftrightunsigned(F.xxhash64("h0", "copy"), 64 - BITS)
     return high, low
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, columns c0, c1, ..., with h0, a hash of the whole row, and copy, a number among equal rows from 0."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    cells = []
+    for name, field in zip(own, docs.schema.fields, strict=True):
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+        cells += [F.to_json(F.struct(name)) if nested else F.col(name), F.col(name).isNull()]
+    hashed = docs.toDF(*own).select(*own, F.xxhash64(*cells).alias("k0"), F.xxhash64(F.lit(1), *cells).alias("k1"))
+    repeated = cut(hashed.groupBy("k0", "k1").agg(F.count("*").alias("n")).filter("n > 1").select("k0", "k1"))
+    if repeated.isEmpty():
+        return hashed.select(*own, F.col("k0").alias("h0"), F.lit(0).cast("bigint").alias("copy"))
+    split = marked(hashed, cut(bloom(repeated)), "hit")
+    once = split.filter("NOT hit").select(*own, F.col("k0").alias("h0"), F.lit(0).cast("bigint").alias("copy"))
+    groups = split.filter("hit").groupBy("k0", "k1").agg(F.count("*").alias("n"), F.first(F.struct(*own)).alias("row"))
+    # Numbers are dealt out in two steps, so that a row that occurs very often is not written out by one task.
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SPREAD)))
+    dealt = groups.select("k0", "n", "row", chunk.alias("chunk")).repartition("k0", "chunk")
+    last = F.least(F.col("n"), (F.col("chunk") + 1) * SPREAD) - 1
+    again = dealt.select("row", "k0", F.explode(F.sequence(F.col("chunk") * SPREAD, last)).alias("copy"))
+    return once.union(again.select("row.*", F.col("k0").alias("h0"), "copy"))
+
+
 def _prefix(used: int) -> tuple[Column, Column]:
     """The first ``used`` bits of the key: of the high half, and of the low half where the high one is used up."""
     high = F.shiftright("high", max(BITS - used, 0))
@@ -121,14 +148,14 @@ def _edge(interval: tuple[int, int, int], used: int, end: int) -> tuple[int, int
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with columns shard and slot (0, 1, ... in each shard), exchanged once.
 
-    Shard sizes differ from equal shares by the tolerance, or by a row where one row is larger than that. Rows of equal
-    text and doc_id have equal keys and can't be separated. A null text counts as empty, a null doc_id is a value like
-    any other. All columns are kept; names that clash get underscores behind them. An empty table gives no rows.
+    Shard sizes differ from equal shares by the tolerance, or by a row where one row is larger than that, equal rows and
+    rows without doc_id included. A null text counts as empty, a null doc_id is a value like any other. All columns are kept; names that clash get underscores behind them. An empty table gives no rows.
     """
     if docs.isEmpty():
         return docs.select("*", F.lit(0).alias(unused("shard", docs)), F.lit(0).cast("bigint").alias(unused("slot", docs)))
-    high, low = _keys(docs["text"], docs["doc_id"])
-    keys = cut(docs.select(high.alias("high"), low.alias("low"), size_of(docs["text"]).alias("size")))
+    rows, text = _numbered(docs), F.col(f"c{docs.columns.index('text')}")
+    high, low = _keys(text)
+    keys = cut(rows.select(high.alias("high"), low.alias("low"), size_of(text).alias("size")))
     edges = splitters(keys, shards)
     rows_in_all = keys.count()
     bins = 1
@@ -145,7 +172,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     counted = keys.groupBy(shard_of(F.col("high"), F.col("low")).alias("s"), F.shiftright("low", shift).alias("b")).agg(F.count("*").alias("n"))
     own = [f"c{i}" for i in range(len(docs.columns))]
-    placed = docs.toDF(*own).select(*own, *[k.alias(n) for k, n in zip(_keys(F.col(own[docs.columns.index("text")]), F.col(own[docs.columns.index("doc_id")])), ("high", "low"), strict=True)])
+    placed = rows.select(*own, high.alias("high"), low.alias("low"))
     placed = placed.select(*own, "high", "low", shard_of(F.col("high"), F.col("low")).alias("s"), F.shiftright("low", shift).alias("b"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = cut(counted.select("s", "b", before.alias("begin")))

@@ -47,6 +47,43 @@ def test_slots_do_not_depend_on_the_intervals_they_are_sorted_in(spark, monkeypa
     assert {(r.doc_id, r.shard, r.slot) for r in shards.digest(frame).collect()} == whole
 
 
+def test_equal_rows_and_rows_without_doc_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(shards, "SPREAD", 100)
+    rows = [(None, "the same text " * 20, "s0")] * 1000 + [(None, "the same text " * 20, f"t{i}") for i in range(500)] + [(7, "the same text " * 20, "s0")] * 500
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = shards.sharded(frame).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == 2000 and sorted(counts) == list(range(40)) and set(counts.values()) <= {49, 50, 51}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert collections.Counter((r.doc_id, r.source) for r in got) == collections.Counter((r[0], r[2]) for r in rows)
+    place = lambda out: collections.Counter((r.doc_id, r.source, r.shard, r.slot) for r in out)
+    assert place(shards.sharded(frame.repartition(3)).collect()) == place(got)
+
+
+def test_splitters_equal_a_full_sort(spark):
+    draw = np.random.default_rng(4)
+    high = draw.integers(0, 1 << 60, 3000)
+    high[:1200] = high[0]
+    rows = [(int(h), int(draw.integers(0, 1 << 60)), int(draw.integers(16, 900))) for h in high] + [(5, 9, 40_000)]
+    edges = shards.splitters(spark.createDataFrame(rows, "high bigint, low bigint, size bigint"), 40)
+    assert edges == sorted(edges) and len(edges) == 39
+    order = sorted(rows)
+    share = sum(r[2] for r in rows) / 40
+    for i, edge in enumerate(edges, 1):
+        below = sum(r[2] for r in order if r[:2] < edge)
+        reach, best = 0, None  # the nearest place where a full sort could cut
+        for r in [*order, (0, 0, 0)]:
+            best = reach if best is None or abs(reach - i * share) < abs(best - i * share) else best
+            reach += r[2]
+        assert abs(below - i * share) <= max(shards.TOLERANCE * share, abs(best - i * share) + 1e-6)
+
+
+def test_shards_of_rows_with_nested_columns(spark):
+    frame = spark.createDataFrame([(1, "a", {"k": 1}, [1])] * 3 + [(1, "a", {"k": 2}, None)], "doc_id bigint, text string, m map<string,int>, copy array<int>")
+    got = shards.sharded(frame, 2).collect()
+    assert len(got) == 4 and sum(r.m == {"k": 1} and r["copy"] == [1] for r in got) == 3
+
+
 def test_shards_of_few_rows(spark):
     frame = spark.createDataFrame([(1, "a", "s"), (1, "a", "s")], SCHEMA)
     got = shards.sharded(frame)
@@ -91,6 +128,19 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mixed(frame.limit(0)).count() == 0
 
 
+def test_rows_without_doc_id_and_equal_rows_are_rounded_one_by_one(spark):
+    ten = "one two three four five six seven eight nine "
+    rows = [(None, ten + str(i), "a") for i in range(300)] + [(None, ten + "x", "b")] * 200 + [(5, ten + "x", "b")] * 100 + [(i, ten + "y", "c") for i in range(10)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert collections.Counter(r.taken in (0, 10, 20) for r in mixing.mixed(frame).collect()) == {True: 610}
+    split = mixing.mixed(frame.where("source <> 'b'")).collect()
+    assert abs(sum(r.taken for r in split if r.source_size == 3000) - next(r.target for r in split if r.source_size == 3000)) <= 5
+    equal = mixing.mixed(frame.where("source = 'b' OR source = 'c'")).collect()
+    assert abs(sum(r.taken for r in equal if r.source_size == 3000) - next(r.target for r in equal if r.source_size == 3000)) <= 5
+    out = mixing.mix_sources(frame)
+    assert out.columns == ["doc_id", "text", "source"] and max(collections.Counter(out.where("doc_id < 5").select("doc_id").collect()).values()) <= 2
+
+
 def test_mix_through_several_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
     monkeypatch.setattr(mixing, "FAN", 3)

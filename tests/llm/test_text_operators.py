@@ -30,6 +30,16 @@ def test_chat_round_trip(spark):
     assert chat.digest(frame.limit(0)).count() == 0
 
 
+def test_a_very_long_conversation_takes_linear_time(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr("CAST(9 AS BIGINT) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('é<', id) AS text")
+    start = time.time()
+    got = chat.digest(rows).head()
+    assert time.time() - start < 60
+    loss = "".join(f"é<{i}" for i in range(1, n, 2))
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_adjacent_turns_of_a_role_share_a_block(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id bigint, turn bigint, role string, text string")
     row = chat.formatted(frame).head()
