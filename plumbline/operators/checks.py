@@ -516,7 +516,7 @@ def _group_hits(table: Table, check: Check, numbers: list[int], part_rows: int)
         hits = G.repeated_values(table, check.info, part_rows)
     else:
         hits = G.orphans(table, check.info, check.parent, check.key_type, part_rows)
-    flagged = Table(hits, table.columns)
+    flagged = Table(hits, table.columns, files=table.files)
     value = F.col("k0")
     if check.kind == "orphans" and check.info.dtype != hits.schema["k0"].dataType:
         value = value.try_cast(check.info.dtype)

@@ -385,7 +385,7 @@ def profile(
     if unknown := set(passes) - set(PASSES):
         raise ValueError(f"unknown passes: {sorted(unknown)}")
     if columns is not None:
-        table = Table(table.df, tuple(c for c in table.columns if c.name in set(columns)))
+        table = Table(table.df, tuple(c for c in table.columns if c.name in set(columns)), files=table.files)
     return _profile(table, detect and "samples" in passes, exact_distinct, median_limit, passes)
 
 

@@ -1,7 +1,7 @@
 """Result tables written as CSV or Parquet.
 
 Schema-sized tables become one sorted file each. The issue table can be as large as the data: it is
-written by all tasks, range-sorted for CSV, and folded into one file only when its known size is small.
+written by all tasks, for CSV in sorted files with fixed borders, and folded into one file only if asked for.
 """
 
 from __future__ import annotations
@@ -81,6 +81,29 @@ def sorted_issues(issues: DataFrame) -> DataFrame:
     return issues.select(*first, *rest).orderBy(*[F.asc_nulls_first(c) for c in order])
 
 
+def in_files(issues: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Issue rows dealt into sorted files whose borders depend on the rows alone.
+
+    Rows are counted by the first four hex digits of their id, which are spread evenly, and neighbouring counts are gathered
+    until a file is full. So a rerun, on however many tasks, gives the same files; a border by sampled quantiles would not.
+    Rows with equal ids stand in one file.
+    """
+    prefix = F.conv(F.substring("issue_id", 1, 4), 16, 10).cast("int")
+    counts = sorted((r.prefix, r.n) for r in issues.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect())
+    files, at, held = [], 0, 0
+    for p, n in counts:  # 65,536 at most
+        if held and held + n > rows_per_file:
+            at, held = at + 1, 0
+        files.append((p, at))
+        held += n
+    numbers = issues.sparkSession.createDataFrame(files, "prefix int, file int")
+    numbered = issues.withColumn("prefix", prefix).join(F.broadcast(numbers), "prefix").repartitionById(at + 1, F.col("file"))
+    first = ["issue_id", "source", "issue_type", "rule_or_check_name", "row_index", "column"]
+    columns = first + [c for c in ISSUE_COLUMNS if c not in first]
+    order = ["issue_id", "row_index", "column", *[c for c in columns if c not in ("issue_id", "row_index", "column")]]
+    return numbered.sortWithinPartitions(*[F.asc_nulls_first(c) for c in order]).select(*columns)
+
+
 def write_csv(frame: DataFrame, path: str, one_file: bool = True) -> None:
     """CSV with a header, also when there are no rows."""
     text = as_text(frame)
@@ -112,7 +135,8 @@ def export(
         paths.append(path)
         large = table in ("quality_issues", "grouped_measures")
         if file_format == "csv":
-            frame = sorted_issues(frame) if table == "quality_issues" else frame
+            if table == "quality_issues":
+                frame = sorted_issues(frame) if one_file else in_files(frame)
             write_csv(frame, path, one_file=one_file or not large)
         elif table == "quality_issues":
             frame.write.mode("overwrite").partitionBy("issue_type").parquet(path)

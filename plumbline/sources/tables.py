@@ -49,11 +49,13 @@ class Table:
     """``df`` holds the row key as ``__row`` and the data columns as ``c0, c1, ...``.
 
     The row key is a label: rows may share one or have none. ``key_in_data`` says that it follows from the data columns.
+    ``files`` are those that a row key counts in, if it is made of a file's number and a row of it.
     """
 
     df: DataFrame
     columns: tuple[ColumnInfo, ...]
     key_in_data: bool = False
+    files: tuple[str, ...] = ()
 
     @property
     def spark(self) -> SparkSession:
@@ -77,6 +79,8 @@ class Table:
         if isinstance(dtype, T.StructType):  # a # inside a part is escaped and a NULL part is marked
             safe = [F.regexp_replace(F.col(ROW)[f.name].cast("string"), r"([\\#])", r"\\$1") for f in dtype.fields]
             return F.concat_ws("#", *[F.coalesce(part, F.lit("\\N")) for part in safe])
+        if self.files:
+            return F.concat_ws("#", F.floor(F.col(ROW) / FILE_ROWS), F.col(ROW) % FILE_ROWS)
         return F.col(ROW).cast("string")
 
     def kept(self) -> Table:
@@ -85,7 +89,7 @@ class Table:
         if self.df.is_cached:
             return self
         spread = self.df.repartition(self.spark.sparkContext.defaultParallelism)
-        return Table(spread.persist(StorageLevel.MEMORY_AND_DISK), self.columns, self.key_in_data)
+        return Table(spread.persist(StorageLevel.MEMORY_AND_DISK), self.columns, self.key_in_data, self.files)
 
     def release(self) -> None:
         self.df.unpersist()
@@ -95,25 +99,45 @@ class Table:
         return self.df.select(*[c.cell.alias(c.name) for c in self.columns])
 
 
-def _file_row_key(df: DataFrame) -> Column:
-    """Position inside the data file, with the file path in front when there are several files."""
+#: Rows of one file that a key has room for.
+FILE_ROWS = 1 << 40
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def _file_rows(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``df`` with ``__row``, the position inside the data file; with several files, these are numbered in path order and the
+    number times FILE_ROWS is added, so that the key stays one BIGINT that sorts by file and row. Also returns the files.
+
+    The numbers go to all tasks, 16 bytes for a file.
+    """
+    index = F.col("_metadata.row_index")
     try:
-        df.select("_metadata.row_index")
+        df.select(index)
     except AnalysisException as e:
         raise ValueError(
             "This table has no file row numbers; pass row_key=<column or columns> that identify a row."
         ) from e
-    index = F.col("_metadata.row_index")
-    if len(df.inputFiles()) == 1:
-        return index
-    return F.struct(F.col("_metadata.file_path").alias("file"), index.alias("row"))
+    files = tuple(sorted(df.inputFiles()))
+    if len(files) == 1:
+        return df.select("*", index.alias(ROW)), ()
+    own = [f"s{i}" for i in range(len(df.columns))]
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "number bigint, path string")
+    numbers = numbers.select("number", F.xxhash64(_plain(F.col("path"))).alias("hash"))
+    placed = df.select("*", F.xxhash64(_plain(F.col("_metadata.file_path"))).alias(ROW), index.alias("__index")).toDF(*own, ROW, "__index")
+    known = placed.join(F.broadcast(numbers), F.col(ROW) == F.col("hash"), "left")
+    number = F.coalesce("number", F.raise_error(F.lit("a file of the table is not among its input files")).cast("bigint"))
+    return known.select(*own, (number * FILE_ROWS + F.col("__index")).alias(ROW)).toDF(*df.columns, ROW), files
 
 
 def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_data: bool = True) -> Table:
     """Prepare a DataFrame for analysis.
 
     ``row_key`` names the column(s) that identify a row; they are analysed like any other unless ``key_is_data`` is
-    false, as for a number that was added to tell rows apart. Without it the position in the source file is used.
+    false, as for a number that was added to tell rows apart. Without it the position in the source file is used, as ``file#row`` by
+    the file's number if there are several.
     Uniqueness of a key is not assumed silently: ``key_faults`` counts NULL and repeated keys. NaN becomes NULL here, once, so that both mean missing.
     """
     names = list(df.columns)
@@ -124,15 +148,16 @@ def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_d
     unknown = [k for k in keys if k not in names]
     if unknown:
         raise ValueError(f"row_key columns not in the table: {unknown}")
+    files: tuple[str, ...] = ()
     if not keys:
-        key = _file_row_key(df)
+        keyed, files = _file_rows(df)
     elif len(keys) == 1:
-        key = F.col(quote(keys[0]))
+        keyed = df.select("*", F.col(quote(keys[0])).alias(ROW))
     else:
-        key = F.struct(*[F.col(quote(k)) for k in keys])
+        keyed = df.select("*", F.struct(*[F.col(quote(k)) for k in keys]).alias(ROW))
 
     positional = [f"s{i}" for i in range(len(names))]
-    flat = df.select("*", key.alias(ROW)).toDF(*positional, ROW)
+    flat = keyed.toDF(*positional, ROW)
     infos, cells = [], []
     for ref, field in zip(positional, df.schema.fields):
         if field.name in keys and not key_is_data:
@@ -145,7 +170,7 @@ def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_d
             cell = cell.cast("string")
         infos.append(info)
         cells.append(cell.alias(info.ref))
-    return Table(flat.select(ROW, *cells), tuple(infos), bool(keys) and key_is_data)
+    return Table(flat.select(ROW, *cells), tuple(infos), bool(keys) and key_is_data, files)
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], row_key=None) -> Table:
