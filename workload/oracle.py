@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.operators.checks import QUALITY_ADVICE, QUALITY_SEVERITY, RULE_ADVICE
 from workload.views import DIRTY_ORDERS_DUCKDB, SALES_LINES, TABLES
 
 D = f"d AS ({DIRTY_ORDERS_DUCKDB})"
@@ -17,6 +16,25 @@ PHONE = r"^(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}$"
 CURRENCY = r"^[$€£¥]?\s?\d{1,3}([,.]\d{3})*([.,]\d{2})?$"
 PERCENT = r"^\d+(\.\d+)?%?$"
 
+# Severity and advice of each quality issue, and the advice of rules.
+SEVERITY = {
+    "MISSING_VALUE": "LOW", "BLANK_VALUE": "LOW", "DUPLICATE_ROW": "MEDIUM", "DUPLICATE_ID": "CRITICAL", "INVALID_EMAIL": "MEDIUM", "INVALID_DATE": "HIGH",
+    "INVALID_NUMERIC": "HIGH", "INVALID_CATEGORY": "MEDIUM", "OUT_OF_RANGE": "HIGH", "CONSISTENCY_VIOLATION": "HIGH",
+}
+ADVICE = {
+    "MISSING_VALUE": "Impute missing value or drop row if critical.",
+    "BLANK_VALUE": "Trim whitespace or treat as missing.",
+    "DUPLICATE_ROW": "Review and deduplicate exact row matches.",
+    "DUPLICATE_ID": "Investigate ID generation or deduplicate entities.",
+    "INVALID_EMAIL": "Correct email format or flag user for update.",
+    "INVALID_DATE": "Standardize date format or fix data entry issue.",
+    "INVALID_NUMERIC": "Remove non-numeric characters or correct data type.",
+    "INVALID_CATEGORY": "Map to an allowed category or expand allowed list.",
+    "OUT_OF_RANGE": "Verify value against domain bounds.",
+    "CONSISTENCY_VIOLATION": "Investigate contradictory data across columns.",
+}
+RULE_ADVICE = "Review business rule logic or correct data to meet business requirements."
+
 
 def _text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
@@ -29,8 +47,8 @@ def _issue(
     source: str, kind: str, name: str, column: str | None, expected: str, message: str, where: str,
     actual: str = "NULL", row: str = "CAST(row_key AS VARCHAR)", frm: str = "d", severity: str | None = None,
 ) -> str:
-    severity = severity or QUALITY_SEVERITY[kind]
-    advice = QUALITY_ADVICE[kind] if source == "quality_check" else RULE_ADVICE
+    severity = severity or SEVERITY[kind]
+    advice = ADVICE[kind] if source == "quality_check" else RULE_ADVICE
     return f"""SELECT {row} AS row_index, {_text(column)} AS "column", {_text(source)} AS source,
   {_text(kind)} AS issue_type, {_text(name)} AS rule_or_check_name, CAST({actual} AS VARCHAR) AS actual_value,
   {_text(expected)} AS expected_condition, {_text(severity)} AS severity, {_text(message)} AS message,
@@ -385,6 +403,99 @@ pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp * 1e0 / (tp + fp) ELSE 1e0 END AS
 SELECT issue_type, tp, fp, fn, round(p, 8) AS precision, round(r, 8) AS recall,
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0e0 END, 8) AS f1 FROM pr"""
 
+STORAGE = """CASE WHEN data_type = 'BIGINT' THEN 'int64' WHEN data_type = 'INTEGER' THEN 'int32' WHEN data_type = 'DOUBLE' THEN 'float64'
+  WHEN data_type = 'VARCHAR' THEN 'object' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime64[ns]' WHEN data_type = 'FLOAT[]' THEN 'array<float>' ELSE data_type END"""
+TITLE = "CASE dimension WHEN 'RULE_COMPLIANCE' THEN 'Rule_Compliance' ELSE upper(substr(dimension, 1, 1)) || lower(substr(dimension, 2)) END"
+
+
+def _reason(title: str = TITLE) -> str:
+    return f"""CASE WHEN issue_count = 0 THEN 'Perfect ' || {title} || ' score. No issues detected.' ELSE {title}
+  || printf(' score is %.1f because %d issues caused a defect rate of %.4f.', score, issue_count, defect_rate) END"""
+
+
+EVIDENCE = "row_issue_count || ' row-level and ' || (issue_count - row_issue_count) || ' dataset-level issues.'"
+REASONS = f"""WITH {DIMENSIONS}, plain AS (SELECT {DIMENSION} AS dimension, CAST(sum(n) AS BIGINT) AS issue_count, CAST(sum(CASE WHEN row_level THEN n ELSE 0 END) AS BIGINT) AS row_issue_count,
+  sum(n * CAST({PENALTY} AS DOUBLE)) AS row_penalty FROM t WHERE source = 'quality_check' GROUP BY 1),
+p AS (SELECT w.dimension, coalesce(issue_count, 0) AS issue_count, coalesce(row_issue_count, 0) AS row_issue_count, coalesce(row_penalty, 0e0) / n_rows AS defect_rate,
+  greatest(0e0, 100 - 100 * coalesce(row_penalty, 0e0) / n_rows) AS score FROM w LEFT JOIN plain USING (dimension), total)
+SELECT 'rules' AS "case", dimension, true AS is_applicable, round(score, 8) AS score, {_reason()} AS reason, {EVIDENCE} AS evidence FROM dims
+UNION ALL SELECT 'no rules', dimension, dimension <> 'RULE_COMPLIANCE', CASE WHEN dimension = 'RULE_COMPLIANCE' THEN 100 ELSE round(score, 8) END,
+  CASE WHEN dimension = 'RULE_COMPLIANCE' THEN {TITLE} || ' is not applicable (no business rules configured).' ELSE {_reason()} END, {EVIDENCE} FROM p
+UNION ALL SELECT 'empty', dimension, false, 100, 'Empty dataset', 'No data' FROM w"""
+
+REQUIRED = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, c AS "column", 'HIGH' AS severity, 'Required column ''' || c || ''' is missing from the dataset.' AS message,
+  sha256('business_rule|required_column|needs_' || c || '|DATASET|' || c) AS issue_id, (SELECT count(*) FROM {t}) AS n_rows
+FROM (VALUES ('doc_id'), ('text'), ('o_orderkey'), ('value')) v(c) WHERE c NOT IN (SELECT column_name FROM duckdb_columns() WHERE table_name = '{t}')"""
+    for t in TABLES
+)
+
+KEYED = """WITH l AS (SELECT CASE WHEN doc_id % 11 = 3 THEN NULL ELSE doc_id END AS k, quality FROM
+  (SELECT * FROM labels UNION ALL SELECT * FROM labels WHERE doc_id % 10 = 0 UNION ALL SELECT * FROM labels WHERE doc_id % 30 = 0)),
+g AS (SELECT k, quality, count(*) - 1 AS n FROM l GROUP BY k, quality HAVING count(*) > 1)
+SELECT coalesce(CAST(k AS VARCHAR), 'none') AS fact, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1
+UNION ALL SELECT x, (SELECT CAST(sum(n) AS BIGINT) FROM g) FROM (VALUES ('counted'), ('compared')) v(x)"""
+
+TEXTS_BY_KEY = """WITH t AS (SELECT CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id END AS k, role || turn AS said FROM conversations),
+r AS (SELECT said FROM t GROUP BY said HAVING count(*) > 1)
+SELECT CAST(k AS VARCHAR) AS row_index, said AS actual_value, count(*) AS n FROM t JOIN r USING (said) GROUP BY 1, 2"""
+
+CSV = """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey AS key, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS customer,
+  CASE WHEN o_orderkey % 9 <> 0 THEN round(o_totalprice, 2) END AS price, o_orderkey % 2 = 0 AS even,
+  CASE o_orderkey % 5 WHEN 0 THEN 'line' || chr(10) || 'break ' || o_orderkey WHEN 1 THEN 'say "' || o_orderkey || '", now' WHEN 2 THEN 'caf' || chr(233) || ' ' || o_orderkey ELSE o_orderpriority END AS note,
+  'bigint, bigint, double, boolean, string' AS types FROM orders"""
+LANDED = """WITH c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r, * FROM orders),
+i AS (SELECT r, 'customer' AS c, 'MISSING_VALUE' AS y, 'missing_value_check' AS n FROM c WHERE o_orderkey % 7 = 0 UNION ALL SELECT r, 'price', 'MISSING_VALUE', 'missing_value_check' FROM c WHERE o_orderkey % 9 = 0
+  UNION ALL SELECT r, 'price', 'OUT_OF_RANGE', 'range_check' FROM c WHERE o_orderkey % 9 <> 0 AND o_totalprice < 50000)
+SELECT CAST(r AS VARCHAR) AS row_index, c AS "column", y AS issue_type, sha256('quality_check|' || y || '|' || n || '|' || r || '|' || c) AS issue_id FROM i"""
+FILE_KEYS = """WITH r AS (SELECT row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS i, f
+  FROM (SELECT 1 AS f, o_orderkey AS k FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT 2, o_orderkey FROM orders WHERE o_orderkey % 50 = 0))
+SELECT f || '#' || i AS row_index, sha256('quality_check|DUPLICATE_ROW|duplicate_row_check|' || f || '#' || i || '|DATASET') AS issue_id FROM r"""
+ODD = """WITH i AS (SELECT o_orderkey AS k, 'customer''s é' AS c, 'Non-null value expected' AS e, 'MISSING_VALUE' AS y, 'missing_value_check' AS n FROM orders WHERE o_orderkey % 53 = 0
+  UNION ALL SELECT o_orderkey, 'a.b`c', '>= 1000', 'OUT_OF_RANGE', 'range_check' FROM orders WHERE o_totalprice < 1000)
+SELECT CAST(k AS VARCHAR) AS row_index, c AS "column", e AS expected_condition, sha256('quality_check|' || y || '|' || n || '|' || k || '|' || c) AS issue_id FROM i"""
+
+# A column's type by the test that its values must pass; the tests before it have to fail.
+CALLS = f"""calls AS (SELECT '555-' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS callback,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE 'no' END AS answered, o_orderkey * 1.2345678e0 + 1000.00123e0 AS weight, CAST(NULL AS VARCHAR) AS remark,
+  'x' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE '' END AS tag FROM orders),
+k AS (SELECT 'callback' AS column_name, 'object' AS storage_type, CASE WHEN avg(CAST(regexp_matches(callback, '{PHONE}') AS INT)) >= 0.7 THEN 'Phone' END AS detected_type, 'phone pattern match' AS evidence, 0.95e0 AS confidence,
+    'MISMATCH' AS status, 'Convert from object to Phone' AS recommended_action FROM calls
+  UNION ALL SELECT 'answered', 'object', CASE WHEN bool_and(lower(answered) IN ('yes', 'no')) THEN 'Boolean' END, 'boolean value set', 0.95, 'MISMATCH', 'Convert from object to Boolean' FROM calls
+  UNION ALL SELECT 'weight', 'float64', CASE WHEN bool_or(weight % 1 <> 0) AND avg(CAST(weight BETWEEN 0 AND 100 AS INT)) < 0.9 AND avg(CAST((weight * 100) % 1 = 0 AS INT)) < 0.8
+    AND count(DISTINCT weight) >= 0.05 * count(*) THEN 'Decimal' END, 'mostly numeric with decimals', 0.7, 'OK', 'No action needed' FROM calls
+  UNION ALL SELECT 'remark', 'object', CASE WHEN count(remark) = 0 THEN 'Unknown' END, 'All values are null', 0.0, 'AMBIGUOUS', 'Manual review required - low confidence detection' FROM calls
+  UNION ALL SELECT 'tag', 'object', CASE WHEN count(DISTINCT tag) = count(*) AND count(*) FILTER (regexp_matches(tag, '{NUM}')) = 0 THEN 'String' END, 'fallback for any string data', 0.7, 'OK', 'No action needed' FROM calls)"""
+
+SKETCHED = """SELECT 'o_custkey' AS column_name, count(*) AS n_rows, count(*) - count(o_custkey) AS null_count, CAST(min(o_custkey) AS DOUBLE) AS min_value, CAST(max(o_custkey) AS DOUBLE) AS max_value,
+  round(avg(CAST(o_custkey AS DOUBLE)), 4) AS mean_value, CAST(0 AS INT) AS max_length, true AS distinct_close, true AS median_close FROM orders
+UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), round(avg(o_totalprice), 4), 0, true, true FROM orders
+UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), NULL, NULL, NULL, CAST(max(length(o_orderpriority)) AS INT), true, NULL FROM orders"""
+
+MEASURES = f"""WITH k AS ({KPIS}), {D}, v AS (SELECT sum(Sales) AS sales, avg(Sales) AS mean, sum(Quantity) AS q, count(DISTINCT Order_ID) AS orders, count(DISTINCT Customer_ID) AS customers, sum(Discount) AS discount FROM d)
+SELECT kpi_name AS measure_name, kpi_name, calculation_logic, CASE status WHEN 'REQUIRES_REVIEW' THEN 'REVIEW_REQUIRED' ELSE status END AS status, required_columns,
+  CASE WHEN status = 'UNAVAILABLE' THEN '' ELSE available_columns END AS referenced_columns,
+  CASE WHEN status = 'UNAVAILABLE' THEN 'Measure skipped because required columns are missing.' ELSE 'Computed measure for ' || kpi_name || '.' END AS explanation,
+  CASE status WHEN 'UNAVAILABLE' THEN 'Missing requirements: ' || missing_requirements
+    WHEN 'REQUIRES_REVIEW' THEN 'WARNING: This KPI relies on columns with a high defect rate. Review data quality before reporting.' ELSE '' END AS warnings,
+  round(CASE kpi_name WHEN 'Total Sales' THEN sales WHEN 'Average Sales' THEN mean WHEN 'Total Quantity' THEN q WHEN 'Total Orders' THEN orders WHEN 'Distinct Customers' THEN customers
+    WHEN 'Average Order Value' THEN sales / orders WHEN 'Discount Rate' THEN discount / sales END, 4) AS value FROM k, v"""
+
+DEFAULTS = f"""WITH {D}, v AS (SELECT sum(Sales) AS sales, avg(Sales) AS mean, sum(Quantity) AS q, count(DISTINCT Order_ID) AS orders, count(*) - count(Email) AS email,
+  count(*) - count(Sales) AS nosales FROM d), a(metric, status, difference) AS (
+  SELECT 'Missing Values (Email)', 'MATCH', 0e0 FROM v WHERE email > 0 UNION ALL SELECT 'Missing Values (Sales)', 'MISMATCH', NULL FROM v WHERE nosales > 0
+  UNION ALL SELECT 'Duplicate Rows', 'MISMATCH', NULL FROM v WHERE (SELECT count(*) FROM (SELECT DISTINCT {", ".join(COLUMNS)} FROM d)) < (SELECT count(*) FROM d)
+  UNION ALL SELECT 'Total Sales', 'MATCH', 0e0 UNION ALL SELECT 'Average Sales', 'MATCH', 0e0
+  UNION ALL SELECT 'Total Quantity', CASE WHEN 1 <= greatest(1e-5 * greatest(abs(q), abs(q + 1)), 1e-5) THEN 'MATCH' ELSE 'MISMATCH' END, 1e0 FROM v
+  UNION ALL SELECT 'Total Orders', 'MATCH', 0e0 UNION ALL SELECT x, 'MISMATCH', NULL FROM (VALUES ('Distinct Customers'), ('Average Order Value'), ('Discount Rate')) u(x)
+  UNION ALL SELECT x, 'NOT_AVAILABLE', NULL FROM (VALUES ('Sales over Time'), ('Sales by Status')) u(x)
+  UNION ALL SELECT 'Not A Metric', 'MISMATCH', NULL)
+SELECT metric, difference, status AS match_status FROM a"""
+
+SUMMARY = f"""WITH {TALLY}, g AS (SELECT 'severity' AS g, severity AS k, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 2 UNION ALL SELECT 'type', issue_type, CAST(sum(n) AS BIGINT) FROM t GROUP BY 2
+  UNION ALL SELECT 'source', source, CAST(sum(n) AS BIGINT) FROM t GROUP BY 2 UNION ALL SELECT 'column', "column", CAST(sum(n) AS BIGINT) FROM t WHERE "column" IS NOT NULL GROUP BY 2)
+SELECT CAST((SELECT CAST(sum(n) AS BIGINT) FROM t) AS VARCHAR) AS total_issues, {", ".join(f"string_agg(k || ': ' || n, ' | ' ORDER BY k) FILTER (g = '{x}') AS issues_by_{x}" for x in ("severity", "type", "source", "column"))} FROM g"""
+
 COPIES_OF_LINES = """(SELECT rn, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
   l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate ORDER BY rn) AS copy
   FROM (SELECT *, row_number() OVER () - 1 AS rn FROM lineitem))"""
@@ -392,7 +503,8 @@ COPIES_OF_LINES = """(SELECT rn, row_number() OVER (PARTITION BY l_orderkey, l_p
 ORACLES = {
     "dataset_profile": " UNION ALL ".join(
         f"""SELECT '{t}' AS dataset_name, (SELECT count(*) FROM {t}) AS row_count, count(*) AS column_count,
-  string_agg(column_name, ', ' ORDER BY column_index) AS column_names FROM duckdb_columns() WHERE table_name = '{t}'"""
+  string_agg(column_name, ', ' ORDER BY column_index) AS column_names,
+  string_agg(column_name || ': ' || {STORAGE}, ', ' ORDER BY column_index) AS storage_types FROM duckdb_columns() WHERE table_name = '{t}'"""
         for t in TABLES
     ),
     "profile_counts": _per_column(COUNTS, SCHEMAS),
@@ -426,7 +538,22 @@ ORACLES = {
         "INVALID_CATEGORY", "invalid_category_check", "c_mktsegment", "Value should be one of: ['BUILDING']",
         "Value in 'c_mktsegment' is not one of the allowed categories.", "c_mktsegment <> 'BUILDING'", "c_mktsegment",
         "CAST(c_custkey AS VARCHAR)", "customer"),
-    "r_required": f"WITH {D} {_issues('required_column')}",
+    "r_required": REQUIRED,
+    "q_keyed_copies": KEYED,
+    "q_texts_by_key": TEXTS_BY_KEY,
+    "q_odd_names": ODD,
+    "csv_rows": CSV,
+    "csv_head": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey AS key FROM orders ORDER BY o_orderkey LIMIT 100""",
+    "csv_landed": LANDED,
+    "file_keys": FILE_KEYS,
+    "detect_more": f"WITH {CALLS} SELECT * FROM k",
+    "type_counts": f"""WITH {CALLS}, types AS ({TYPES_SQL}) SELECT detected_type, count(*) AS n
+  FROM (SELECT detected_type FROM types UNION ALL SELECT detected_type FROM k) GROUP BY 1""",
+    "sketched_profiles": SKETCHED,
+    "measure_rows": MEASURES,
+    "reconcile_defaults": DEFAULTS,
+    "score_reasons": REASONS,
+    "quality_summary": SUMMARY,
     "r_range": f"WITH {D} {_issues('range')}",
     "r_allowed": f"WITH {D} {_issues('allowed_values')}",
     "r_unique": f"WITH {D} {_issues('uniqueness')}",
@@ -478,7 +605,7 @@ SELECT CAST(k AS VARCHAR) AS row_index, n AS rule_or_check_name, c AS "column",
   round(dataset_penalty, 8) AS dataset_penalty, round(defect_rate, 8) AS defect_rate,
   row_issue_count || ' row-level and ' || (issue_count - row_issue_count) || ' dataset-level issues.' AS evidence FROM dims""",
     "score_overall": f"""WITH {OVERALL} SELECT round(score, 8) AS overall_score, {GRADE} AS grade, {STATUS} AS status,
-  {LETTER} AS letter_grade, n_rows AS total_rows, CAST(10 AS BIGINT) AS total_columns, CAST(issues AS BIGINT) AS total_issues,
+  {LETTER} AS letter_grade, n_rows AS total_rows, CAST({len(COLUMNS)} AS BIGINT) AS total_columns, CAST(issues AS BIGINT) AS total_issues,
   printf('Overall score is %.1f. Evaluated %d issues across %d rows.', score, CAST(issues AS BIGINT), n_rows) AS explanation FROM o, total""",
     "score_recommendations": f"""WITH {TALLY} SELECT CAST(row_number() OVER (ORDER BY n DESC, issue_type) AS INT) AS rank,
   '(' || n || ' issues) ' || r AS recommendation FROM (SELECT issue_type, CAST(sum(n) AS BIGINT) AS n, min(recommendation) AS r FROM t GROUP BY 1)
@@ -486,7 +613,8 @@ SELECT CAST(k AS VARCHAR) AS row_index, n AS rule_or_check_name, c AS "column",
     "readiness_row": f"""WITH {OVERALL} SELECT round(o.score, 8) AS overall_score, {GRADE.replace("score", "o.score")} AS grade,
   {STATUS.replace("score", "o.score")} AS status, {", ".join(
       f"round(max(dims.score) FILTER (dimension = '{x}'), 8) AS dim_{x}_score, true AS dim_{x}_applicable, "
-      f"round(max(row_penalty + dataset_penalty) FILTER (dimension = '{x}'), 8) AS dim_{x}_penalties"
+      f"round(max(row_penalty + dataset_penalty) FILTER (dimension = '{x}'), 8) AS dim_{x}_penalties, "
+      f"max({_reason().replace(', score, ', ', dims.score, ')}) FILTER (dimension = '{x}') AS dim_{x}_explanation"
       for x in ("COMPLETENESS", "VALIDITY", "CONSISTENCY", "UNIQUENESS", "RULE_COMPLIANCE"))} FROM dims, o GROUP BY o.score""",
     "column_metadata": METADATA,
     "kpi_defect_rates": f"""WITH {TALLY} SELECT "column", CAST(sum(n) AS BIGINT) AS issue_count,
@@ -506,7 +634,7 @@ SELECT CAST(k AS VARCHAR) AS row_index, n AS rule_or_check_name, c AS "column",
   FROM (VALUES ('INFO'), ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) v(severity) LEFT JOIN t USING (severity) GROUP BY 1""",
     "issue_search": f"""WITH {D}, {ALL} SELECT issue_id, row_index, "column", severity, actual_value FROM i
   WHERE contains(lower(actual_value), 'example.com') AND severity IN ('MEDIUM', 'HIGH') AND "column" = 'Email'""",
-    "headline": f"""WITH {OVERALL} SELECT n_rows AS total_rows, CAST(10 AS BIGINT) AS total_columns, round(score, 8) AS overall_score,
-  {LETTER} AS letter_grade, CAST(issues AS BIGINT) AS total_issues, CAST(9 AS BIGINT) AS kpis_available, CAST(10 AS BIGINT) AS measures FROM o, total""",
+    "headline": f"""WITH {OVERALL} SELECT n_rows AS total_rows, CAST({len(COLUMNS)} AS BIGINT) AS total_columns, round(score, 8) AS overall_score,
+  {LETTER} AS letter_grade, CAST(issues AS BIGINT) AS total_issues, CAST({len(KPI_ROWS)} AS BIGINT) AS kpis_available, CAST({len(KPI_ROWS) + 1} AS BIGINT) AS measures FROM o, total""",
     "eval_precision_recall": EVAL,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +16,14 @@ from plumbline.operators import kpi as K
 from plumbline.operators import measures as M
 from plumbline.operators import reconcile as R
 from plumbline.operators import score as S
+from plumbline.operators import sketches as K2
 from plumbline.operators.detect import detect_types, detections_frame
-from plumbline.operators.groups import distinct_counts, later_copies_count
-from plumbline.operators.evaluate import issue_set, precision_recall
+from plumbline.operators.groups import compared_copies_count, distinct_counts, later_copies_count
+from plumbline.operators.evaluate import precision_recall
 from plumbline.operators.profile import Profile
 from plumbline.plans.analyze import compiled_checks
 from plumbline.sinks import reports as W
+from plumbline.sources.csv import land_csv, load_csv
 from plumbline.sources.tables import Table, dataset_profile, key_faults
 from workload import views as V
 
@@ -124,7 +128,7 @@ def profile_samples(spark, sf):
 
 def dataset_profiles(spark, sf):
     frames = [dataset_profile(_table(spark, sf, n, None), n) for n in V.TABLES]
-    return reduce(DataFrame.unionByName, frames).drop("storage_types")
+    return reduce(DataFrame.unionByName, frames)
 
 
 def detect(spark, sf):
@@ -207,6 +211,27 @@ def repeated_keys(spark, sf):
     return found.union(faults.unpivot([], faults.columns, "fact", "n"))
 
 
+def keyed_copies(spark, sf):
+    """Copies of whole rows, key included, and rows without a key: what is listed, and what is counted."""
+    labels = V.read(spark, sf, "labels").select("doc_id", "quality")
+    key = F.expr("CASE WHEN doc_id % 11 = 3 THEN NULL ELSE doc_id END").alias("doc_id")
+    rows = labels.unionByName(labels.where("doc_id % 10 = 0")).unionByName(labels.where("doc_id % 30 = 0")).select(key, "quality")
+    table = as_table(rows, "doc_id")
+    listed = _issues(table, C.Settings(id_columns=["quality"]), "DUPLICATE_ROW", types={}, patterns={})
+    per_row = listed.groupBy(F.coalesce("row_index", F.lit("none")).alias("fact")).agg(F.count("*").alias("n"))
+    counted = later_copies_count(table).select(F.lit("counted").alias("fact"), F.col("n").cast("bigint").alias("n"))
+    compared = compared_copies_count(table).select(F.lit("compared").alias("fact"), F.col("n").cast("bigint").alias("n"))
+    return per_row.unionByName(counted).unionByName(compared)
+
+
+def repeated_texts_by_key(spark, sf):
+    """Repeated texts where keys are missing or shared: a row is listed for its own text only."""
+    rows = V.read(spark, sf, "conversations").selectExpr("CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id END AS conv_id", "role", "concat(role, turn) AS said")
+    table = as_table(rows, "conv_id")
+    issues = _issues(table, C.Settings(id_columns=["said"]), "DUPLICATE_ID", types={}, patterns={})
+    return issues.groupBy("row_index", "actual_value").agg(F.count("*").alias("n"))
+
+
 def nested_values(spark, sf):
     """Distinct values and repeated rows of arrays and structs that hold NULLs."""
     rows = V.read(spark, sf, "embeddings").selectExpr(
@@ -255,6 +280,128 @@ def conversation_checks(spark, sf):
     return issues.select("row_index", "column", "issue_type", "issue_id")
 
 
+def required_columns(spark, sf):
+    """Columns that rules demand of every table, absent ones, with the rows that lack them."""
+    wanted = ("doc_id", "text", "o_orderkey", "value")
+    rules = [{"name": f"needs_{c}", "type": "required_column", "column": c, "severity": "HIGH"} for c in wanted]
+    frames = []
+    for name in V.TABLES:
+        frame = V.read(spark, sf, name)
+        table = as_table(frame, frame.columns[0])
+        issues = _issues(table, C.Settings(rules=rules), "required_column", types={}, patterns={})
+        rows = table.df.agg(F.count(F.lit(1)).alias("n_rows"))
+        frames.append(issues.select(F.lit(name).alias("table_name"), "column", "severity", "message", "issue_id").join(rows, how="cross"))
+    return reduce(DataFrame.unionByName, frames)
+
+
+# --- files -----------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
+    return f"{shared}/files-{uuid.uuid4().hex}"
+
+
+def _orders_as_csv(spark, sf) -> str:
+    """Orders in key order as CSV files, with texts for missing values, line breaks and quotes in cells, and Latin-1 letters."""
+    rows = V.read(spark, sf, "orders").selectExpr(
+        "o_orderkey AS key", "CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE CAST(o_custkey AS STRING) END AS customer",
+        "CASE WHEN o_orderkey % 9 = 0 THEN '#N/A' ELSE CAST(o_totalprice AS STRING) END AS price",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'false' END AS even",
+        r"CASE o_orderkey % 5 WHEN 0 THEN concat('line\nbreak ', o_orderkey) WHEN 1 THEN concat('say \"', o_orderkey, '\", now') WHEN 2 THEN concat('caf\u00e9 ', o_orderkey) ELSE o_orderpriority END AS note",
+    )
+    path = _scratch(spark)
+    rows.repartitionByRange(5, "key").sortWithinPartitions("key").write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    return path
+
+
+def csv_rows(spark, sf):
+    """CSV files of orders read back: row numbers, inferred types, missing values, encoding."""
+    table = load_csv(spark, _orders_as_csv(spark, sf))
+    typed = F.lit(", ".join(c.dtype.simpleString() for c in table.columns)).alias("types")
+    cells = [c.cell.alias(c.name) for c in table.columns]
+    return table.df.select(F.col("__row").alias("row"), *cells, typed).withColumns({"price": F.round("price", 2), "customer": F.col("customer").cast("string")})
+
+
+def csv_head(spark, sf):
+    """The first hundred rows of the files."""
+    table = load_csv(spark, _orders_as_csv(spark, sf), sample_size=100)
+    return table.df.select(F.col("__row").alias("row"), F.col("c0").alias("key"))
+
+
+def csv_landed(spark, sf):
+    """Issues of the landed files: the text is parsed once, the passes read Parquet."""
+    path = _orders_as_csv(spark, sf)
+    table = land_csv(spark, path, f"{path}-landed")
+    issues = _issues(table, C.Settings(column_ranges={"price": (50_000, None)}), "MISSING_VALUE", "OUT_OF_RANGE", types={}, patterns={})
+    return issues.select("row_index", "column", "issue_type", "issue_id")
+
+
+def file_keys(spark, sf):
+    """Orders in several Parquet files, some rows in two of them: keys by file and row, later copies listed."""
+    orders = V.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    path = _scratch(spark)
+    names = []
+    for i, part in enumerate((orders, orders.where("o_orderkey % 20 = 0"), orders.where("o_orderkey % 50 = 0"))):
+        names.append(f"{path}/{i}")
+        part.coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(names[-1])
+    table = as_table(spark.read.parquet(*names))
+    listed = _issues(table, C.Settings(), "DUPLICATE_ROW", types={}, patterns={})
+    return listed.select("row_index", "issue_id")
+
+
+# --- names, types, sketches ------------------------------------------------------------------
+
+
+def odd_names(spark, sf):
+    """Column names with dots, quotes, blanks and accents in all checks."""
+    rows = V.read(spark, sf, "orders").selectExpr(
+        "o_orderkey AS `key.of \"row\"`", "CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_custkey END AS `customer's é`", "o_totalprice AS `a.b``c`"
+    )
+    table = as_table(rows, 'key.of "row"', key_is_data=False)
+    settings = C.Settings(column_ranges={"a.b`c": (1000, None)})
+    return _issues(table, settings, "MISSING_VALUE", "OUT_OF_RANGE", types={}, patterns={}).select("row_index", "column", "expected_condition", "issue_id")
+
+
+def _calls(spark, sf) -> Table:
+    rows = V.read(spark, sf, "orders").selectExpr(
+        "o_orderkey", "concat('555-', lpad(CAST(o_custkey % 1000 AS STRING), 3, '0'), '-', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')) AS callback",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE 'no' END AS answered", "o_orderkey * 1.2345678e0 + 1000.00123e0 AS weight",
+        "CAST(NULL AS STRING) AS remark", "concat('x', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE '' END) AS tag",
+    )
+    return as_table(rows, "o_orderkey", key_is_data=False)
+
+
+def detect_more(spark, sf):
+    """Phone, Boolean, Decimal, Unknown and String columns."""
+    return detections_frame(spark, detect_types(_calls(spark, sf)))
+
+
+def type_counts(spark, sf):
+    """How many columns of some tables have each type."""
+    tables = [_dirty(spark, sf), _calls(spark, sf), *[_table(spark, sf, n, PROFILED[n]) for n in ("pages", "events", "customer")]]
+    return X.count_by(reduce(DataFrame.unionByName, [detections_frame(spark, detect_types(t)) for t in tables]), "detected_type")
+
+
+def sketched_profiles(spark, sf):
+    """Sketches of orders by status, merged: exact figures, and whether the estimates keep within their bounds."""
+    orders = V.read(spark, sf, "orders").select("o_orderstatus", "o_custkey", "o_totalprice", "o_orderpriority")
+    table = as_table(orders.withColumn("k", F.lit(0)), "k", key_is_data=False)
+    parts = K2.sketches(table, ["o_orderstatus"])
+    rows = K2.sketched_profile(K2.merged(parts)).select("column_name", "n_rows", "null_count", "distinct_estimate", "min_value", "max_value", F.round("mean_value", 4).alias("mean_value"), "max_length", "q50")
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in orders.columns[1:]], *[F.count_if(F.lit(False)).alias("none")])
+    exact = exact.unpivot([], orders.columns[1:], "column_name", "true_distinct")
+    numbers = orders.select(F.expr("stack(2, 'o_custkey', CAST(o_custkey AS DOUBLE), 'o_totalprice', o_totalprice) AS (column_name, v)"))
+    middle = numbers.join(rows.select("column_name", "q50"), "column_name").groupBy("column_name")
+    middle = middle.agg(F.count_if(F.col("v") < F.col("q50")).alias("below"), F.count_if(F.col("v") <= F.col("q50")).alias("up_to"), F.count("v").alias("n"))
+    within = (F.col("below") <= (0.5 + K2.RANK_ERROR) * F.col("n")) & (F.col("up_to") >= (0.5 - K2.RANK_ERROR) * F.col("n"))
+    close = F.abs(F.col("distinct_estimate") - F.col("true_distinct")) <= K2.DISTINCT_ERROR * F.col("true_distinct")
+    return rows.join(exact, "column_name").join(middle, "column_name", "left").select(
+        "column_name", "n_rows", "null_count", "min_value", "max_value", "mean_value", F.coalesce("max_length", F.lit(0)).alias("max_length"), close.alias("distinct_close"), within.alias("median_close")
+    )
+
+
 # --- whole analysis --------------------------------------------------------------------------
 
 
@@ -335,8 +482,7 @@ def readiness_row(spark, sf):
     n, width = table.n_rows, len(table.columns)
     dimensions = S.score_dimensions(tally, n, width)
     row = W.readiness_row(S.score_overall(dimensions, n, width), dimensions)
-    kept = [c for c in row.columns if not c.endswith("_explanation")]
-    return row.select(*[F.round(c, 8).alias(c) if row.schema[c].dataType.typeName() == "double" else c for c in kept])
+    return row.select(*[F.round(c, 8).alias(c) if row.schema[c].dataType.typeName() == "double" else c for c in row.columns])
 
 
 def column_metadata(spark, sf):
@@ -418,6 +564,40 @@ def reconcile_metrics(spark, sf):
     return R.reconcile(claimed, actual).withColumn("difference", F.round("difference", 6))
 
 
+def measure_rows(spark, sf):
+    """The measure table: values and status of every KPI."""
+    rows = _report(spark, sf).measures
+    return W.as_text(rows.drop("value")).join(rows.select("measure_name", F.round("value", 4).alias("value")), "measure_name")
+
+
+def reconcile_defaults(spark, sf):
+    """All default metrics, KPI values among them, against claims from plain aggregates, one of them wrong."""
+    report = _report(spark, sf)
+    d = V.dirty_orders(spark, sf)
+    claims = d.agg(
+        F.count_if(F.col("Email").isNull()).cast("double").alias("Missing Values (Email)"),
+        F.sum("Sales").alias("Total Sales"), F.avg("Sales").alias("Average Sales"), (F.sum("Quantity") + 1).cast("double").alias("Total Quantity"),
+        F.count_distinct("Order_ID").cast("double").alias("Total Orders"), F.lit(0.0).alias("Not A Metric"),
+    )
+    rows = R.reconcile(claims.unpivot([], claims.columns, "metric", "claimed"), report.actual_metrics())
+    return rows.select("metric", F.round("difference", 2).alias("difference"), "match_status")
+
+
+def score_reasons(spark, sf):
+    """Explanations of the dimensions: with rules, without, and of a table without rows."""
+    table, tally = _tally(spark, sf)
+    n, width = table.n_rows, len(table.columns)
+    plain = tally.where("source = 'quality_check'")
+    cases = {"rules": (tally, n, True), "no rules": (plain, n, False), "empty": (tally, table.df.where("__row IS NULL").count(), True)}
+    frames = [S.score_dimensions(t, rows, width, rules_configured=configured).withColumn("case", F.lit(k)) for k, (t, rows, configured) in cases.items()]
+    return reduce(DataFrame.unionByName, frames).select("case", "dimension", "is_applicable", F.round("score", 8).alias("score"), "reason", "evidence")
+
+
+def quality_summary(spark, sf):
+    """The summary row: counts by severity, type, source and column as report text."""
+    return W.as_text(X.summary_wide(_tally(spark, sf)[1]))
+
+
 def reconcile_grouped(spark, sf):
     """Sales per region: the claim rounds each line to whole units."""
     table = _sales(spark, sf)
@@ -431,7 +611,7 @@ def reconcile_grouped(spark, sf):
 
 def eval_precision_recall(spark, sf):
     """Detected issues of dirty_orders against the faults that were injected, leaving out two kinds."""
-    detected = issue_set(C.issues(*_all_checks(spark, sf)))
+    detected = C.issues(*_all_checks(spark, sf))
     orders = V.read(spark, sf, "orders")
     k = F.col("o_orderkey")
     faults = [("Email", "MISSING_VALUE", k % 53 == 0), ("Sales", "MISSING_VALUE", k % 101 == 0),
@@ -470,7 +650,21 @@ QUERIES = {
     "q_nested_values": nested_values,
     "q_conversations": conversation_checks,
     "r_exact_values": exact_values,
-    "r_required": _business("required_column"),
+    "r_required": required_columns,
+    "q_keyed_copies": keyed_copies,
+    "q_texts_by_key": repeated_texts_by_key,
+    "q_odd_names": odd_names,
+    "csv_rows": csv_rows,
+    "csv_head": csv_head,
+    "csv_landed": csv_landed,
+    "file_keys": file_keys,
+    "detect_more": detect_more,
+    "type_counts": type_counts,
+    "sketched_profiles": sketched_profiles,
+    "measure_rows": measure_rows,
+    "reconcile_defaults": reconcile_defaults,
+    "score_reasons": score_reasons,
+    "quality_summary": quality_summary,
     "r_range": _business("range"),
     "r_allowed": _business("allowed_values"),
     "r_unique": _business("uniqueness"),
