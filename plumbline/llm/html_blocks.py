@@ -8,7 +8,8 @@ The labeller is trained on the driver on a bounded sample: SAMPLE_PAGES pages wi
 with furniture of other kinds put in, and invented pages. The labels of pages with a named article come from a teacher who
 looks at a single block's path (article-like containers against menus, notices, adverts, forms, comments and so on); a sample
 page in which the teacher finds no article teaches nothing. Invented pages whose article stands in a container of any name,
-in none, or below furniture words of wrappers are labelled by where the text was placed.
+in none, or below furniture words of wrappers, with furniture that no name gives away and in scripts without spaces too, are
+labelled by where the text was placed.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ EPOCHS, BATCH, RATE, SEED = 8, 25, 0.02, 5
 
 # Fixed values of HTML: elements without an end tag, without text of their own, and those that stay inside a line.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = "script|style|noscript|template|title|svg|iframe|object|textarea|select|canvas"
+SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "object", "textarea", "select", "canvas"}
+RAW = {"script", "style"}  # run to the end of the page if they are not closed; of the others only the tag is dropped then
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -55,11 +57,15 @@ FURNITURE_WORDS = (
 ).split()
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_WORDS = "article content main post entry story body text".split()
+_TELLING = {*FURNITURE_WORDS, *ARTICLE_WORDS}  # any other name says nothing and would share entries with these
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?/][^>]*>",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?/][^>]*>",
+    re.S,
 )
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
+#: Scripts that put no spaces between words: Thai to Khmer, and all from the East Asian ones on.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -67,11 +73,11 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 @lru_cache(maxsize=4096)
 def _marks(tag: str, attributes: str) -> tuple[str, ...]:
-    """A path element's features: its tag, and the words in its class, id, role and itemprop."""
+    """A path element's features: its tag, and the telling words in its class, id, role and itemprop."""
     if tag in ("html", "body"):  # theirs describe the whole page, not a block
         return (f"<{tag}>",)
     named = [w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _SPLIT.split(m[2] or m[3] or m[4] or "") if w]
-    return (f"<{tag}>", *named)
+    return (f"<{tag}>", *[w for w in named if w in _TELLING])
 
 
 def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
@@ -100,23 +106,34 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if links:
             linked += len(text)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, absent = 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text_piece(page[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() == "title":  # the other silent elements stand within a line
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if tag in SILENT and not m[1]:
+            if tag == "title":  # the other silent elements stand within a line
                 end_block()
+            if m[3].endswith("/") and tag == "svg":
+                continue
+            end = None if tag in absent else _END[tag].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                absent.add(tag)
+                at = len(page) if tag in RAW else at
+            continue
+        if tag in SILENT:
             continue
-        tag = tag.lower()
         if tag == "br":
             pieces.append(" ")
             continue
         if tag not in INLINE:
             end_block()
-        if m[2]:
+        if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -130,8 +147,8 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                         break
                     if stack[k][0] in stops:
                         break
-            if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, _marks(tag, m[4])))
+            if tag not in VOID and not m[3].endswith("/"):
+                stack.append((tag, _marks(tag, m[3])))
         if tag == "a":
             links = sum(t == "a" for t, _ in stack)
         elif links:
@@ -160,7 +177,8 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
     block = np.repeat(np.arange(len(blocks)), np.diff(at))
     sign = np.where(hashes >> U(63), 1.0, -1.0)
     bag = np.bincount(block * WORD_DIM + (hashes % U(WORD_DIM)).astype(np.int64), weights=sign, minlength=len(blocks) * WORD_DIM)
-    counts = np.maximum(np.diff(at), 1)
+    unspaced = np.array([len(_UNSPACED.findall(b[0])) if not b[0].isascii() else 0 for b in blocks])
+    counts = np.maximum(np.diff(at) + unspaced / 2, 1)  # about two characters make a word there
     bag = np.clip(bag.reshape(len(blocks), WORD_DIM) / np.sqrt(counts)[:, None] * 0.3, -1, 1)
     size = np.array([len(b[0]) for b in blocks], float)
     share = np.array([b[2] for b in blocks]) / np.maximum(size, 1)
@@ -305,10 +323,17 @@ def label(pages: list[list[tuple[str, tuple[str, ...], int]]], w: Weights) -> li
 
 
 _SYLLABLES = "an be co de en for ge ha in ka lo mi no or pa que ra si te un ver wa".split()
+#: First and last letters of scripts that invented pages are written in, and what stands between their words.
+_SCRIPTS = [(0x4E00, 0x9F00, ""), (0x3041, 0x3096, ""), (0x0E01, 0x0E2E, ""), (0xAC00, 0xD7A0, " "), (0x0430, 0x044F, " "), (0x05D0, 0x05EA, " "), (0x0627, 0x064A, " "), (0x0905, 0x0939, " ")]
 
 
 def _words(draw: random.Random, least: int, most: int) -> str:
-    return " ".join("".join(draw.choices(_SYLLABLES, k=draw.randint(1, 3))) for _ in range(draw.randint(least, most)))
+    n = draw.randint(least, most)
+    script = getattr(draw, "script", None)
+    if script:
+        first, last, space = script
+        return space.join("".join(chr(draw.randint(first, last)) for _ in range(draw.randint(2, 5) if space else 2)) for _ in range(n))
+    return " ".join("".join(draw.choices(_SYLLABLES, k=draw.randint(1, 3))) for _ in range(n))
 
 
 def _wrapped(draw: random.Random, text: str) -> str:
@@ -327,6 +352,27 @@ def _furniture(draw: random.Random) -> str:
     return f'<{tag} {attribute}="{name}">{inner}</{tag}>'
 
 
+def _unnamed(draw: random.Random, kind: int | None = None) -> str:
+    """Furniture that no name gives away: menus in any container or table, boxes of short lines, a lone line."""
+    tag, attribute = draw.choice(["div", "div", "section", "span", "p", "td"]), draw.choice(["id", "class"])
+    opened = draw.choice([f"<{tag}>", f"<{tag} {attribute}='{_name(draw)}'>"])
+    items = [_words(draw, 1, 2) for _ in range(draw.randint(3, 8))]
+    linked = [f"<a href='/{k}'>{t}</a>" for k, t in enumerate(items)]
+    kind = draw.randrange(6) if kind is None else kind
+    if kind == 0:
+        return opened + draw.choice([" | ", " \u00b7 ", " / ", " - "]).join(draw.choice([items, linked])) + f"</{tag}>"
+    if kind == 1:
+        return "<table><tr>" + "".join(f"<td>{t}</td>" for t in linked) + "</tr></table>"
+    if kind == 2:
+        lines = "".join(f"<li>{draw.choice(['{}', '<a href=x>{}</a>', '<a href=x>{}</a>']).format(_words(draw, 2, 7))}</li>" for _ in items)
+        return f"{opened}<{draw.choice(['h3', 'h4', 'b', 'p'])}>{_words(draw, 1, 3)}</h3><ul>{lines}</ul></{tag}>"
+    if kind == 3:
+        return opened + "".join(f"<p><a href=x>{_words(draw, 2, 8)}</a></p>" for _ in items) + f"</{tag}>"
+    if kind == 4:
+        return f"{opened}{draw.choice(['&copy; 2024 ', '\u00a9 ', 'Copyright ', ''])}{_words(draw, 1, 6)}</{tag}>"
+    return opened + "".join(f"<div>{_words(draw, 1, 3)}</div>" for _ in items) + f"</{tag}>"
+
+
 def _furnished(page: str, draw: random.Random) -> str:
     """A page with furniture before, in and behind its article, and now and then another container for it."""
     if draw.random() < 0.4:
@@ -359,11 +405,14 @@ def _name(draw: random.Random) -> str:
 
 def _placed(draw: random.Random) -> str:
     """An invented page whose article is known by its place: in a container of any name or in none, below wrappers whose
-    names may be those of furniture, with furniture around and in it or without."""
+    names may be those of furniture, with furniture around and in it or without, of any name as well; in several scripts."""
+    draw.script = draw.choice(_SCRIPTS) if draw.random() < 0.3 else None
     parts = [f"<h1>{_HERE}{_words(draw, 2, 9)}</h1>"] if draw.random() < 0.7 else []
     for _ in range(draw.choice([1, 2, 3, 5, 8])):
         kind = draw.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<pre>{}</pre>"])
         parts.append(kind.format(_HERE + _words(draw, 1, draw.choice([6, 30, 90, 90, 2000 if draw.random() < 0.1 else 90]))))
+    if draw.random() < 0.7:  # articles seldom end in a word or two
+        parts.append(draw.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>"]).format(_HERE + _words(draw, 15, 90)))
     if draw.random() < 0.3:
         parts.insert(draw.randint(0, len(parts)), _furniture(draw))
     furniture = draw.choice(FURNITURE_WORDS)
@@ -373,13 +422,19 @@ def _placed(draw: random.Random) -> str:
         ("", ""), ("", ""), (f"<{tag} {attribute}='{_name(draw)}'>", f"</{tag}>"), (f"<{tag} {attribute}='{_name(draw)}'>", f"</{tag}>"), ("<div>", "</div>"),
         (f"<article class='{_name(draw)} {wrapped}'>", "</article>"), (f"<main id='{wrapped}'>", "</main>"), ("<article>", "</article>"),
     ])
-    around = [_furniture(draw) for _ in range(draw.choice([0, 1, 2, 4]))]
+    if draw.random() < 0.15:
+        parts.insert(draw.randint(0, len(parts)), _unnamed(draw))
+    some = draw.choice([_furniture, _unnamed, lambda d: d.choice([_furniture, _unnamed])(d)])
+    around = [some(draw) for _ in range(draw.choice([0, 1, 2, 4]))]
     menu = "".join(f'<li><a href="/x">{_words(draw, 1, 2)}</a></li>' for _ in range(draw.randint(2, 7)))
-    if around:
+    if around and draw.random() < 0.6:
         around.insert(0, f"<nav><ul>{menu}</ul></nav>")
         around.append(f"<footer>{_words(draw, 2, 20)}</footer>")
     spot = draw.randint(0, len(around))
+    if draw.random() < 0.3:
+        around.append(_unnamed(draw, draw.choice([0, 4, 4])))
     page = "".join([*around[:spot], opened, *parts, closed, *around[spot:]])
+    draw.script = None
     if opened and draw.random() < 0.4:  # a wrapper of everything; in it the article has a container of its own
         page = f"<div class='{draw.choice([_name(draw), wrapped])}'>{page}</div>"
     return draw.choice(["{}", "<html><body>{}</body></html>", "<html><body>{}</body></html>"]).format(page)
