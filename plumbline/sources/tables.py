@@ -80,7 +80,7 @@ class Table:
             safe = [F.regexp_replace(F.col(ROW)[f.name].cast("string"), r"([\\#])", r"\\$1") for f in dtype.fields]
             return F.concat_ws("#", *[F.coalesce(part, F.lit("\\N")) for part in safe])
         if self.files:
-            return F.concat_ws("#", F.floor(F.col(ROW) / FILE_ROWS), F.col(ROW) % FILE_ROWS)
+            return F.concat_ws("#", F.shiftright(ROW, FILE_BITS), F.col(ROW).bitwiseAND(F.lit((1 << FILE_BITS) - 1)))
         return F.col(ROW).cast("string")
 
     def kept(self) -> Table:
@@ -99,8 +99,8 @@ class Table:
         return self.df.select(*[c.cell.alias(c.name) for c in self.columns])
 
 
-#: Rows of one file that a key has room for.
-FILE_ROWS = 1 << 40
+#: Bits of a key for the row in its file; the file's number stands above them.
+FILE_BITS = 40
 
 
 def _plain(path: Column) -> Column:
@@ -109,7 +109,7 @@ def _plain(path: Column) -> Column:
 
 def _file_rows(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     """``df`` with ``__row``, the position inside the data file; with several files, these are numbered in path order and the
-    number times FILE_ROWS is added, so that the key stays one BIGINT that sorts by file and row. Also returns the files.
+    number stands above FILE_BITS bits of the row, so that the key stays one BIGINT that sorts by file and row. Also returns the files.
 
     The numbers go to all tasks, 16 bytes for a file.
     """
@@ -129,7 +129,7 @@ def _file_rows(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     placed = df.select("*", F.xxhash64(_plain(F.col("_metadata.file_path"))).alias(ROW), index.alias("__index")).toDF(*own, ROW, "__index")
     known = placed.join(F.broadcast(numbers), F.col(ROW) == F.col("hash"), "left")
     number = F.coalesce("number", F.raise_error(F.lit("a file of the table is not among its input files")).cast("bigint"))
-    return known.select(*own, (number * FILE_ROWS + F.col("__index")).alias(ROW)).toDF(*df.columns, ROW), files
+    return known.select(*own, (F.shiftleft(number, FILE_BITS) + F.col("__index")).alias(ROW)).toDF(*df.columns, ROW), files
 
 
 def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_data: bool = True) -> Table:
