@@ -298,8 +298,11 @@ def required_columns(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
+    """A new folder that driver and executors share. Where the session names none, a local one if it has one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+    shared = shared or tempfile.mkdtemp(prefix="plumbline-")
     return f"{shared}/files-{uuid.uuid4().hex}"
 
 
