@@ -97,8 +97,10 @@ def first_values(table: Table, n: int = SAMPLES, head_rows: int = HEAD_ROWS) ->
     """
     head_keys = table.df.select(ROW).orderBy(ROW).limit(head_rows)
     last = head_keys.agg(F.max(ROW)).first()[0]
-    if last is None or not table.columns:
-        return {c.ref: [] for c in table.columns}
+    if not table.columns:
+        return {}
+    if last is None:  # no rows, or none of the first has a key
+        return _first_of(table, list(table.columns), n)
     texts = [_as_text(c).alias(c.ref) for c in table.columns]
     head = (
         table.df.where(F.col(ROW) <= _literal(last, table.df.schema[ROW].dataType))

@@ -52,6 +52,13 @@ def test_samples_where_keys_are_missing_or_repeated(spark):
     assert P.first_values(t)["c0"] == ["a", "b", "n", "n", "n"]
 
 
+def test_samples_where_most_keys_are_missing(spark):
+    rows = [(None, f"n{i:03}") for i in range(200)] + [(5, "b"), (3, "a")]
+    t = as_table(spark.createDataFrame(rows, "id bigint, v string"), "id", key_is_data=False)
+    assert P.first_values(t)["c0"] == ["a", "b", "n000", "n001", "n002"]
+    assert P.first_values(type(t)(t.df.limit(0), t.columns)) == {"c0": []}
+
+
 @pytest.fixture
 def sold(spark):
     cells = "id % 5 AS day", "CASE WHEN id % 11 = 0 THEN NULL ELSE pmod(xxhash64(id), 20000) / 100e0 END AS price", "concat('n', id % 3000) AS name", "id % 2 = 0 AS flag"
