@@ -13,19 +13,21 @@ from plumbline.sources.tables import DuplicateColumnError, dataset_profile
 
 
 def test_numeric_text_and_date_statistics(table):
+    whole, words = [-7, 12, 12, 40, 3], ["pear tree", "fig", "", None, "quince"]
+    days = [dt.datetime(2021, 3, d) for d in (9, 2, 27, 14, 2)]
     t = table(
         "n bigint, one int, s string, d timestamp_ntz, empty string, x double",
-        n=[1, 2, 3, 4, 5], one=[42, None, None, None, None], s=["apple", "banana", "cherry", None, ""],
-        d=[dt.datetime(2024, 1, i) for i in range(1, 6)], empty=[None] * 5, x=[1.0, float("nan"), -0.0, 0.0, None],
+        n=whole, one=[None, None, -8, None, None], s=words, d=days, empty=[None] * 5, x=[7.5, float("nan"), -0.0, 0.0, None],
     )
     p = profile(t)
     n, one, s, d, empty, x = p.columns
-    assert (n.min_value, n.max_value, n.mean_value, n.median_value) == (1, 5, 3, 3)
-    assert n.std_value == pytest.approx(1.5811, abs=1e-4) and n.unique_percentage == 100
-    assert (one.std_value, one.null_count, one.median_value) == (0.0, 4, 42)
-    assert (s.min_length, s.max_length, s.unique_count, s.null_percentage) == (0, 6, 4, 20)
-    assert s.avg_length == pytest.approx(17 / 4) and s.sample_values == ["apple", "banana", "cherry", ""]
-    assert (d.min_date, d.max_date) == (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5))
+    assert (n.min_value, n.max_value, n.mean_value, n.median_value) == (min(whole), max(whole), statistics.fmean(whole), statistics.median(whole))
+    assert n.std_value == pytest.approx(statistics.stdev(whole)) and n.unique_percentage == pytest.approx(100 * len(set(whole)) / len(whole))
+    assert (one.std_value, one.null_count, one.median_value) == (0.0, 4, -8)
+    sizes = [len(w) for w in words if w is not None]
+    assert (s.min_length, s.max_length, s.unique_count, s.null_percentage) == (min(sizes), max(sizes), len(sizes), 20)
+    assert s.avg_length == pytest.approx(statistics.fmean(sizes)) and s.sample_values == ["pear tree", "fig", "", "quince"]
+    assert (d.min_date, d.max_date) == (min(days), max(days))
     assert (empty.null_percentage, empty.unique_percentage, empty.sample_values) == (100, 0, [])
     assert (x.null_count, x.unique_count) == (2, 2)  # NaN is missing; the two zeros are one value
     assert p.df.count() == 6
