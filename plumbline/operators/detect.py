@@ -112,6 +112,7 @@ def confidence_of(detected: str) -> float:
 
 
 def status_and_action(storage: str, detected: str, confidence: float) -> tuple[str, str]:
+    # The three statuses and their sentences.
     if confidence < 0.7:
         return "AMBIGUOUS", "Manual review required - low confidence detection"
     if any(part in storage.lower() for part in FITTING_STORAGE.get(detected, ())):

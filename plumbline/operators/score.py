@@ -111,6 +111,7 @@ def score_dimensions(
     applicable = F.lit(not empty) & F.col("used")
     raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("defect_rate") * 100.0))
     title = F.col("title")
+    # The sentences of the explanations, here and in the functions below.
     reason = (
         F.when(F.lit(empty), F.lit("Empty dataset"))
         .when(~F.col("used"), F.format_string("%s is not applicable (no business rules configured).", title))
