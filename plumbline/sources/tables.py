@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import quote, storage_class, storage_type
 
@@ -107,11 +108,12 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _file_rows(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+def _file_rows(df: DataFrame, folders: bool = False) -> tuple[DataFrame, tuple[str, ...]]:
     """``df`` with ``__row``, the position inside the data file; with several files, these are numbered in path order and the
     number stands above FILE_BITS bits of the row, so that the key stays one BIGINT that sorts by file and row. Also returns the files.
+    With ``folders`` the files of a folder, in path order, are parts of one, and the folders stand for files.
 
-    The numbers go to all tasks, 16 bytes for a file.
+    The numbers go to all tasks, 24 bytes for a file.
     """
     index = F.col("_metadata.row_index")
     try:
@@ -124,20 +126,33 @@ def _file_rows(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     if len(files) == 1:
         return df.select("*", index.alias(ROW)), ()
     own = [f"s{i}" for i in range(len(df.columns))]
-    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "number bigint, path string")
-    numbers = numbers.select("number", F.xxhash64(_plain(F.col("path"))).alias("hash"))
+    whole = tuple(sorted({f.rpartition("/")[0] for f in files})) if folders else files
+    number_of = {f: i for i, f in enumerate(whole)}
+    numbers = [(number_of[f.rpartition("/")[0] if folders else f], f) for f in files]
+    numbers = df.sparkSession.createDataFrame(numbers, "number bigint, path string")
+    numbers = numbers.select("number", "path", F.xxhash64(_plain(F.col("path"))).alias("hash"))
+    if folders:  # a part begins after the rows of the parts before it; a file without rows has no place
+        sizes = df.select(F.xxhash64(_plain(F.col("_metadata.file_path"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("number").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+        numbers = numbers.join(sizes, "hash").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    else:
+        numbers = numbers.withColumn("start", F.lit(0).cast("bigint"))
+    numbers = numbers.select("number", "start", "hash")
     placed = df.select("*", F.xxhash64(_plain(F.col("_metadata.file_path"))).alias(ROW), index.alias("__index")).toDF(*own, ROW, "__index")
     known = placed.join(F.broadcast(numbers), F.col(ROW) == F.col("hash"), "left")
     number = F.coalesce("number", F.raise_error(F.lit("a file of the table is not among its input files")).cast("bigint"))
-    return known.select(*own, (F.shiftleft(number, FILE_BITS) + F.col("__index")).alias(ROW)).toDF(*df.columns, ROW), files
+    row = F.shiftleft(number, FILE_BITS) + F.col("start") + F.col("__index")
+    if len(whole) == 1:
+        row, whole = F.when(number.isNotNull(), F.col("start") + F.col("__index")), ()
+    return known.select(*own, row.alias(ROW)).toDF(*df.columns, ROW), whole
 
 
-def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_data: bool = True) -> Table:
+def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_data: bool = True, folders: bool = False) -> Table:
     """Prepare a DataFrame for analysis.
 
     ``row_key`` names the column(s) that identify a row; they are analysed like any other unless ``key_is_data`` is
     false, as for a number that was added to tell rows apart. Without it the position in the source file is used, as ``file#row`` by
-    the file's number if there are several.
+    the file's number if there are several; with ``folders`` the folders of files count as files, as Spark writes a table in parts.
     Uniqueness of a key is not assumed silently: ``key_faults`` counts NULL and repeated keys. NaN becomes NULL here, once, so that both mean missing.
     """
     names = list(df.columns)
@@ -150,7 +165,7 @@ def as_table(df: DataFrame, row_key: str | Sequence[str] | None = None, key_is_d
         raise ValueError(f"row_key columns not in the table: {unknown}")
     files: tuple[str, ...] = ()
     if not keys:
-        keyed, files = _file_rows(df)
+        keyed, files = _file_rows(df, folders)
     elif len(keys) == 1:
         keyed = df.select("*", F.col(quote(keys[0])).alias(ROW))
     else:

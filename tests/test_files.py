@@ -70,6 +70,38 @@ def test_rows_of_several_files_have_one_number(spark, tmp_path):
     assert {r["row_index"] for r in issues.collect()} == {f"2#{i}" for i in range(30)} | {f"1#{i}" for i in range(20, 50)}
 
 
+def test_parts_of_a_folder_count_as_one_file(spark, tmp_path):
+    for name, start, n in (("b", 0, 90), ("a", 300, 40), ("c", 50, 40), ("d", 0, 0)):
+        spark.range(start, start + n, 1, 7).where("id % 100 >= 12").write.parquet(str(tmp_path / name))
+    frame = spark.read.parquet(*[str(tmp_path / n) for n in "bacd"])
+    assert len(frame.inputFiles()) > 12
+    t = as_table(frame, folders=True)
+    assert len(t.files) == 4
+    rows = sorted((r[0], r[1]) for r in t.df.select(t.row_label, "c0").collect())
+    whole = [[v for v in range(a, b) if v % 100 >= 12] for a, b in ((300, 340), (0, 90), (50, 90))]
+    assert rows == sorted((f"{f}#{i}", v) for f, own in enumerate(whole) for i, v in enumerate(own))
+    one = as_table(spark.read.parquet(str(tmp_path / "b")), folders=True)
+    assert not one.files and sorted((r[0], r[1]) for r in one.df.select("__row", "c0").collect()) == list(enumerate(range(12, 90)))
+
+
+def test_file_keys_sorts_in_many_tasks(spark, tmp_path, monkeypatch):
+    from workload import queries
+
+    keys = [(k * 7919 % 1000, k % 13) for k in range(1000)] + [(40, 99), (40, 99), (None, 1)]
+    spark.createDataFrame(keys, "o_orderkey bigint, o_custkey bigint").repartition(3).write.parquet(str(tmp_path / "in" / "orders.parquet"))
+    monkeypatch.setattr(queries, "_scratch", lambda spark: str(tmp_path / "out"))
+    monkeypatch.setattr(queries.V, "read", lambda spark, sf, name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.row_index for r in queries.file_keys(spark, str(tmp_path / "in")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out" / "0").glob("*.parquet"))) > 2  # not all rows through one task
+    twentieth, fiftieth = (sum(k is not None and k % d == 0 for k, _ in keys) for d in (20, 50))
+    later = {f"1#{i}" for i in range(twentieth)} | {f"2#{i}" for i in range(fiftieth)}
+    assert later <= got and len(got - later) == 1 and next(iter(got - later)).startswith("0#")
+
+
 def test_one_file_and_frames_without_files(spark, tmp_path):
     spark.range(20).coalesce(1).write.parquet(str(tmp_path / "one"))
     t = as_table(spark.read.parquet(str(tmp_path / "one")))
