@@ -44,11 +44,13 @@ FREQUENT = 1e-6
 ALPHA = 0.1  # of the base score, fixed by the contract
 END_HASH = np.int64(0xE2D)  # the end token among the word hashes
 _BITS, _MASK = 6, 63
+_KEY = _BITS * (DEPTH + 1)  # bits of a key, DEPTH classes and the next one
 _BELOW = _BITS * (DEPTH - TOP + 1)  # bits of a key behind its TOP latest classes
 _FLUSH = 2_000_000
 GATHER = 6_000_000
 BLOCK_BYTES = 32_000_000
 CHUNK = 3_000_000
+PIECE = 1 << 15
 
 
 def class_table() -> np.ndarray:
@@ -133,9 +135,31 @@ def contexts(classes: np.ndarray, starts: np.ndarray, depth: int = 4) -> np.ndar
     return code
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The places of keys of _KEY bits in the keys' order, equal ones by place. Numbers sort several times faster than places by
+    their numbers: so the place goes into the bits behind a key, and what a key has more bits than that is sorted by after it."""
+    n = len(keys)
+    places = max(n - 1, 1).bit_length()
+    low = max(0, _KEY + places - 63)
+    if 2 * places + low > 63:
+        return np.argsort(keys, kind="stable")
+    at, mask = np.arange(n), (1 << places) - 1
+    packed = ((keys >> low) << places) | at
+    packed.sort()
+    order = packed & mask
+    packed >>= places
+    if low:
+        border = np.zeros(n, bool)
+        np.not_equal(packed[1:], packed[:-1], out=border[1:])
+        packed = (((np.cumsum(border) << low) | (keys[order] & ((1 << low) - 1))) << places) | at
+        packed.sort()
+        order = order[packed & mask]
+    return order
+
+
 def told_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and each key's place among them."""
-    order = np.argsort(keys)
+    order = order_of(keys)
     ranked = keys[order]
     first = np.empty(len(keys), bool)
     first[:1] = True
@@ -251,13 +275,14 @@ def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         return
     bucket = keys >> _BELOW
     edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(keys)]])
-    step = np.diff(keys, prepend=0)
-    step[edges[:-1]] = keys[edges[:-1]]
-    both = np.stack([step, n.astype(np.int64)])
     for a in range(0, len(edges) - 1, 1000):
         own = edges[a : a + 1001]
+        low, high = own[0], own[-1]
+        step = np.diff(keys[low:high], prepend=0)
+        step[own[:-1] - low] = keys[own[:-1]]
+        both = np.stack([step, n[low:high].astype(np.int64)])
         press = zstandard.ZstdCompressor(level=1).compress
-        blobs = [press(both[:, x:y].copy().view(np.uint8).reshape(-1, 8).T.tobytes()) for x, y in zip(own[:-1], own[1:], strict=True)]
+        blobs = [press(both[:, x:y].copy().view(np.uint8).reshape(-1, 8).T.tobytes()) for x, y in zip(own[:-1] - low, own[1:] - low, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[own[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
@@ -353,11 +378,12 @@ def subtrees(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """States of a range of buckets by depth: codes, sets of seen classes as bits, and their counts."""
+    """States of a range of buckets by depth: sets of seen classes as bits, and their counts; sets of the classes that lead on to
+    a longer context, as bits, and where those contexts begin in the next depth. ``code`` has the shortest contexts."""
 
     def __init__(self, rows: list):
         self.first, self.last = rows[0].bucket, rows[-1].bucket
-        self.levels = []
+        self.levels, self.code, above = [], np.empty(0, np.int64), None
         for depth in range(TOP + 1, DEPTH + 1):
             parts = [np.frombuffer(_unpressed(r.blob), np.int64).reshape(2, -1) for r in rows if r.depth == depth]
             if not parts:
@@ -366,26 +392,49 @@ class Block:
             code = pair >> _BITS
             begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             seen = np.bitwise_or.reduceat(U(1) << (pair & _MASK).astype(U), begin)
-            self.levels.append((depth, code[begin], seen, begin, np.add.reduceat(count, begin), count))
+            code = code[begin]
+            if above is None:
+                self.code = code
+            else:
+                parent = code >> _BITS
+                first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+                spot = np.searchsorted(above, parent[first])
+                _, _, _, _, _, longer, start = self.levels[-1]
+                longer[spot] = np.bitwise_or.reduceat(U(1) << (code & _MASK).astype(U), first)
+                start[spot] = first
+            self.levels.append((depth, seen, begin, np.add.reduceat(count, begin), count, np.zeros(len(code), U), np.zeros(len(code), np.int64)))
+            above = code
 
     def refine(self, keys: np.ndarray, p: np.ndarray) -> None:
         """Turn P(class | top context) of sorted keys into P(class | longest retained context)."""
         a, b = np.searchsorted(keys, [self.first << _BELOW, (self.last + 1) << _BELOW])
-        alive = np.arange(a, b)
-        for depth, code, seen, begin, total, count in self.levels:
-            want = keys[alive] >> (_BITS * (DEPTH - depth + 1))
-            if not len(want):
+        for x in range(a, b if self.levels else a, PIECE):  # what a piece needs meanwhile stays in the processor's cache
+            self._refine(keys, p, x, min(x + PIECE, b))
+
+    def _refine(self, keys: np.ndarray, p: np.ndarray, a: int, b: int) -> None:
+        want = keys[a:b] >> (_BITS * (DEPTH - TOP))
+        runs = np.concatenate([[0], np.flatnonzero(want[1:] != want[:-1]) + 1])  # keys of one context stand together
+        sizes = np.diff(runs, append=len(want))
+        at = np.minimum(np.searchsorted(self.code, want[runs]), len(self.code) - 1)
+        good = self.code[at] == want[runs]
+        own = np.flatnonzero(np.repeat(good, sizes))
+        at, alive, key = np.repeat(at[good], sizes[good]), own + a, keys[a:b][own]
+        bit, q = U(1) << (key & _MASK).astype(U), p[alive]
+        for depth, seen, begin, total, count, longer, start in self.levels:
+            if not len(at):
+                return
+            known = seen[at]
+            place = begin[at] + np.bitwise_count(known & (bit - U(1)))
+            n = np.where(known & bit != 0, count[np.minimum(place, len(count) - 1)], 0)
+            q = (n + MASS * q) / (total[at] + MASS)
+            p[alive] = q
+            if depth == DEPTH:
                 return
-            runs = np.concatenate([[0], np.flatnonzero(want[1:] != want[:-1]) + 1])  # keys of one context stand together
-            sizes = np.diff(runs, append=len(want))
-            at = np.minimum(np.searchsorted(code, want[runs]), len(code) - 1)
-            good = code[at] == want[runs]
-            alive, at = alive[np.repeat(good, sizes)], np.repeat(at[good], sizes[good])
-            bit = (keys[alive] & _MASK).astype(U)
-            has = (seen[at] >> bit) & U(1) > 0
-            before = np.bitwise_count(seen[at] & ((U(1) << bit) - U(1)))
-            n = np.where(has, count[np.minimum(begin[at] + before, len(count) - 1)], 0)
-            p[alive] = (n + MASS * p[alive]) / (total[at] + MASS)
+            known = longer[at]
+            oldest = U(1) << ((key >> (_BITS * (DEPTH - depth))) & _MASK).astype(U)
+            own = np.flatnonzero(known & oldest)
+            at = start[at[own]] + np.bitwise_count(known[own] & (oldest[own] - U(1)))
+            alive, key, bit, q = alive[own], key[own], bit[own], q[own]
 
 
 def _top_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,6 +203,47 @@ def test_symbols_and_contexts():
         assert suffix_tree.contexts(classes, starts, depth).tolist() == plain
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 700, 5000])
+def test_places_of_keys_in_order(n):
+    draw = np.random.default_rng(n)
+    for most in (3, 1 << 14, 1 << suffix_tree._KEY):
+        keys = draw.integers(0, most, n) | (most >> 1)
+        assert suffix_tree.order_of(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+        found, back = suffix_tree.told_apart(keys)
+        want = np.unique(keys, return_inverse=True)
+        assert found.tolist() == want[0].tolist() and back.tolist() == want[1].tolist()
+    many = draw.integers(0, 1 << suffix_tree._KEY, 300_000 if n == 5000 else n)  # a key's bits and a place's don't fit in 63
+    assert (suffix_tree.order_of(many) == np.argsort(many, kind="stable")).all()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 15])
+def test_pieces_of_keys_get_the_same_chances(monkeypatch, piece):
+    texts = arrays(*["the cat sat on the mat and ran; the end " * 3, "a cat on a mat", "zebra tone falls", "tone"] * 40)
+    classes, _, starts = suffix_tree.symbols(*texts)
+    keys = np.sort((suffix_tree.contexts(classes, starts, suffix_tree.DEPTH) << 6) | classes)
+    packed = list(suffix_tree._packed(*np.unique(keys, return_counts=True)))
+    rows = [r for b in suffix_tree._subtrees(iter(packed)) for r in b.to_pylist() if r["depth"] > suffix_tree.TOP]
+    Row = collections.namedtuple("Row", rows[0])
+    block = suffix_tree.Block(sorted((Row(**r) for r in rows), key=lambda r: (r.bucket, r.depth)))
+    p = np.full(len(keys), 0.25)
+    monkeypatch.setattr(suffix_tree, "PIECE", piece)
+    block.refine(keys, p)
+    states = {}
+    for r in rows:
+        pair, n = np.frombuffer(suffix_tree._unpressed(r["blob"]), np.int64).reshape(2, -1)
+        for x, k in zip(pair.tolist(), n.tolist(), strict=True):
+            states.setdefault((r["depth"], x >> 6), {})[x & 63] = k
+    assert len({d for d, _ in states}) > 3
+    for key, got in zip(keys.tolist(), p.tolist(), strict=True):
+        want = 0.25
+        for depth in range(suffix_tree.TOP + 1, suffix_tree.DEPTH + 1):
+            own = states.get((depth, key >> 6 * (suffix_tree.DEPTH - depth + 1)))
+            if own is None:
+                break
+            want = (own.get(key & 63, 0) + suffix_tree.MASS * want) / (sum(own.values()) + suffix_tree.MASS)
+        assert math.isclose(got, want, rel_tol=1e-12)
+
+
 def test_tree_is_a_distribution(spark):
     docs = spark.createDataFrame([(t,) for _, t in DOCS], "text string").coalesce(1)
     tree = suffix_tree.grow(docs.mapInArrow(suffix_tree._count, "kind int, k bigint, n bigint"), suffix_tree.subtrees(docs))
