@@ -223,10 +223,11 @@ def _few(frame: DataFrame, column: str = "1") -> bool:
     return (frame.agg(F.expr(f"sum({column})")).head()[0] or 0) <= SENT
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity. Sets of few shingles in all are sent to the pairs; else both are
     shuffled."""
-    needed = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = cut(tidy(needed, 2 * n_pairs))
     own = sets.join(F.broadcast(needed) if _few(needed) else needed, "node", "left_semi")
     if _few(own, "size(shingles)"):
         sets = F.broadcast(cut(own))
@@ -244,7 +245,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _linkable(members: DataFrame, sets: DataFrame, n_nodes: int) -> DataFrame:
     """``members`` without nodes that can't have a link, with s (shingles that another candidate has too) and own (share
     of the others).
 
@@ -252,13 +253,13 @@ def _linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
     be similar enough to it; such nodes would be tried against all others of a large group in vain. Shingles of one node
     are counted without joining back: of a shingle counted once, the smallest node is the only one.
     """
-    left = cut(members.select("node", "n").distinct())
+    left = cut(tidy(members.select("node", "n").distinct(), n_nodes))
     for again in range(PRUNINGS):  # nodes that have left don't count as others any more
         own = sets if not again else sets.join(F.broadcast(left.select("node")) if _few(left) else left, "node", "left_semi")
         seen = own.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-        alone = cut(seen.filter("node = other").groupBy("node").agg(F.count("*").alias("alone")))
+        alone = cut(tidy(seen.filter("node = other").groupBy("node").agg(F.count("*").alias("alone")), n_nodes))
         shared = left.select("node", "n").join(alone, "node", "left").withColumn("s", F.col("n") - F.least("n", F.coalesce("alone", F.lit(0))))
-        left = cut(shared.filter(f"100 * s >= {SIMILARITY} * n").select("node", "n", "s"))
+        left = cut(tidy(shared.filter(f"100 * s >= {SIMILARITY} * n").select("node", "n", "s"), n_nodes))
     kept = members.join(left, ["node", "n"]).withColumn("own", 1 - F.col("s") / F.col("n"))
     return kept.select("node", "n", "s", "own", "place", "band", F.col("node").alias("component"))
 
@@ -276,12 +277,14 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         )
     )
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    n_rows = usable.count()  # more than any table of one row per node; a task or file per shuffle partition is the driver's to keep
     key = ["k1", "k2", "n_shingles"]
     lowest = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "t0", "t1")).alias("low"))
     # A node has the smallest doc_id of its class as its number; where several classes have the same, all but one get others.
     first = lowest.groupBy("low.doc_id").agg(F.min(F.struct(*key)).alias("first"))
     number = F.when(F.struct(*key) == F.col("first"), F.col("low.doc_id")).otherwise(F.xxhash64("low.doc_id", *key))
-    classes = cut(lowest.join(first, lowest["low.doc_id"] == first["doc_id"]).select(*key, "low", number.alias("node")))
+    classes = lowest.join(first, lowest["low.doc_id"] == first["doc_id"]).select(*key, "low", number.alias("node"))
+    classes = cut(tidy(classes, n_rows))
     named = classes.select(*key, "node", F.col("low.doc_id").alias("doc_id"), F.col("low.t0").alias("t0"), F.col("low.t1").alias("t1"))
     chosen = usable.join(named, [*key, "doc_id", "t0", "t1"])
     chosen = cut(chosen.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"))
@@ -291,7 +294,8 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
     hashes = [F.col("band").alias("k0"), F.xxhash64("band").alias("k1")]
     likely = thinned(rows.select("node", "n", "place", "band", *hashes), bloom(shared.select(*hashes))).drop("k0", "k1")
     members = cut(likely.dropDuplicates(["band", "node", "n"]).join(shared, "band"))
-    ids = cut(members.select("node").distinct().join(named.select("node", "doc_id", "t0", "t1"), "node"))
+    ids = cut(tidy(members.select("node").distinct().join(named.select("node", "doc_id", "t0", "t1"), "node"), n_rows))
+    n_nodes = ids.count()
     at = ["doc_id", "t0", "t1"]
     if _few(ids, "4"):  # so that texts are not shuffled to pick out a few
         wanted = source.join(F.broadcast(ids), at)
@@ -299,18 +303,21 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         hashed = [F.xxhash64(*at).alias("k0"), F.xxhash64(F.lit(1), *at).alias("k1")]
         wanted = thinned(source.select("*", *hashed), bloom(ids.select(*hashed))).join(ids, at)
     sets = cut(wanted.select("node", "text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
-    members = _linkable(members, sets)
+    members = _linkable(members, sets, n_nodes)
 
     labels = tried = links = None
+    n_members = 0
     for turn in range(rounds + 1):
         if labels is not None:  # bands whose nodes are not all connected yet
             members = members.drop("component").join(labels, "node", "left")
             members = members.withColumn("component", F.coalesce("component", "node"))
-        members = cut(members)
+        members = cut(members if labels is None else tidy(members, n_members))
+        if labels is None:
+            n_members = members.count()
         best = F.min(F.struct("own", "node")).alias("best")
         ends = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), best, F.count("*").alias("size"))
-        ends = cut(ends.filter("x < y").select("band", F.col("best.node").alias("center"), "size"))
-        members = cut(members.join(ends, "band"))
+        ends = cut(tidy(ends.filter("x < y").select("band", F.col("best.node").alias("center"), "size"), n_members))
+        members = cut(tidy(members.join(ends, "band"), n_members))
         if turn < rounds:  # each node against the nodes of its bands that have the smallest share of own shingles
             pairs = members.filter("node <> center").select(F.col("center").alias("c"), "node")
             pairs = pairs.groupBy(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").agg(F.count("*").alias("bands"))
@@ -325,13 +332,14 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         if turn < rounds:
             best = Window.partitionBy("node").orderBy(F.col("bands").desc(), "a", "b")
             pairs = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("a", "b").distinct()
+            pairs = tidy(pairs, n_nodes)
         pairs = cut(pairs.select("a", "b"))
         n = pairs.count()
         if not n:
             continue
         pairs = tidy(pairs, n)
         tried = pairs if tried is None else tried.union(pairs)
-        found = tidy(cut(_confirmed(pairs, sets)), n)
+        found = tidy(cut(_confirmed(pairs, n, sets)), n)
         links = found if links is None else links.union(found)
         labels = connect(links)
     if labels is None:
@@ -340,7 +348,7 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         grouped = classes.join(labels, "node", "left").select(*key, F.col("low.doc_id").alias("doc_id"), F.coalesce("component", "node").alias("group"))
         smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component"))
         named = grouped.join(smallest, "group").select(*key, "component", "group")
-    return signed.drop("bands", "sketch"), cut(named)
+    return signed.drop("bands", "sketch"), cut(tidy(named, n_rows))
 
 
 def near_duplicates(

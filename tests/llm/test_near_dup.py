@@ -68,6 +68,24 @@ def test_large_group_of_near_copies(spark):
     assert got == brute(rows)
 
 
+def test_small_tables_are_kept_in_few_parts(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    parts, cut = [], near_dup.cut
+    monkeypatch.setattr(near_dup, "cut", lambda frame: (kept := cut(frame), parts.append(kept.rdd.getNumPartitions()))[0])
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)
+    assert len(parts) > 20 and sum(n >= 16 for n in parts) <= 6
+
+
 def test_one_doc_id_with_several_texts(spark):
     t, u, v = "a b c d e f g h", "p q r s t u v w x y", "k l m n o p"
     rows = [(3, t), (5, t), (5, u), (7, u), (7, u), (7, v), (9, "A b c d e f g h"), (None, u), (None, "z z z"), (None, "Z z  z"), (None, "z y x")]
