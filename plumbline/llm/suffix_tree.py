@@ -378,12 +378,12 @@ def subtrees(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """States of a range of buckets by depth: sets of seen classes as bits, and their counts; sets of the classes that lead on to
-    a longer context, as bits, and where those contexts begin in the next depth. ``code`` has the shortest contexts."""
+    """States of a range of buckets by depth: codes, sets of seen classes as bits, and their counts; sets of the classes that lead
+    on to a longer context, as bits, and where those contexts begin in the next depth."""
 
     def __init__(self, rows: list):
         self.first, self.last = rows[0].bucket, rows[-1].bucket
-        self.levels, self.code, above = [], np.empty(0, np.int64), None
+        self.levels = []
         for depth in range(TOP + 1, DEPTH + 1):
             parts = [np.frombuffer(_unpressed(r.blob), np.int64).reshape(2, -1) for r in rows if r.depth == depth]
             if not parts:
@@ -393,17 +393,14 @@ class Block:
             begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             seen = np.bitwise_or.reduceat(U(1) << (pair & _MASK).astype(U), begin)
             code = code[begin]
-            if above is None:
-                self.code = code
-            else:
+            if self.levels:
+                _, above, _, _, _, _, longer, start = self.levels[-1]
                 parent = code >> _BITS
                 first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
                 spot = np.searchsorted(above, parent[first])
-                _, _, _, _, _, longer, start = self.levels[-1]
                 longer[spot] = np.bitwise_or.reduceat(U(1) << (code & _MASK).astype(U), first)
                 start[spot] = first
-            self.levels.append((depth, seen, begin, np.add.reduceat(count, begin), count, np.zeros(len(code), U), np.zeros(len(code), np.int64)))
-            above = code
+            self.levels.append((depth, code, seen, begin, np.add.reduceat(count, begin), count, np.zeros(len(code), U), np.zeros(len(code), np.int64)))
 
     def refine(self, keys: np.ndarray, p: np.ndarray) -> None:
         """Turn P(class | top context) of sorted keys into P(class | longest retained context)."""
@@ -415,12 +412,13 @@ class Block:
         want = keys[a:b] >> (_BITS * (DEPTH - TOP))
         runs = np.concatenate([[0], np.flatnonzero(want[1:] != want[:-1]) + 1])  # keys of one context stand together
         sizes = np.diff(runs, append=len(want))
-        at = np.minimum(np.searchsorted(self.code, want[runs]), len(self.code) - 1)
-        good = self.code[at] == want[runs]
+        code = self.levels[0][1]
+        at = np.minimum(np.searchsorted(code, want[runs]), len(code) - 1)
+        good = code[at] == want[runs]
         own = np.flatnonzero(np.repeat(good, sizes))
         at, alive, key = np.repeat(at[good], sizes[good]), own + a, keys[a:b][own]
         bit, q = U(1) << (key & _MASK).astype(U), p[alive]
-        for depth, seen, begin, total, count, longer, start in self.levels:
+        for depth, _, seen, begin, total, count, longer, start in self.levels:
             if not len(at):
                 return
             known = seen[at]
@@ -453,7 +451,7 @@ def blocks_of_states(states: DataFrame) -> Iterator[Block]:
             yield Block(rows)
             rows, held = [], 0
         rows.append(row)
-        held += 32 * row.states + 8 * row.pairs
+        held += 48 * row.states + 8 * row.pairs
     if rows:
         yield Block(rows)
 
