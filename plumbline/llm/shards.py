@@ -58,13 +58,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
         return hashed.select(*own, F.col("k0").alias("h0"), F.lit(0).cast("bigint").alias("copy"))
     split = marked(hashed, cut(bloom(repeated)), "hit")
     once = split.filter("NOT hit").select(*own, F.col("k0").alias("h0"), F.lit(0).cast("bigint").alias("copy"))
-    groups = split.filter("hit").groupBy("k0", "k1").agg(F.count("*").alias("n"), F.first(F.struct(*own)).alias("row"))
+    groups = split.filter("hit").groupBy("k0", "k1").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in own])
     # Numbers are dealt out in two steps, so that a row that occurs very often is not written out by one task.
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SPREAD)))
-    dealt = groups.select("k0", "n", "row", chunk.alias("chunk")).repartition("k0", "chunk")
+    dealt = groups.select("k0", "n", *own, chunk.alias("chunk")).repartition("k0", "chunk")
     last = F.least(F.col("n"), (F.col("chunk") + 1) * SPREAD) - 1
-    again = dealt.select("row", "k0", F.explode(F.sequence(F.col("chunk") * SPREAD, last)).alias("copy"))
-    return once.union(again.select("row.*", F.col("k0").alias("h0"), "copy"))
+    again = dealt.select(*own, F.col("k0").alias("h0"), F.explode(F.sequence(F.col("chunk") * SPREAD, last)).alias("copy"))
+    return once.union(again)
 
 
 def _prefix(used: int) -> tuple[Column, Column]:
