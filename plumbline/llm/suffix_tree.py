@@ -21,7 +21,7 @@ looked up in the tasks; tokens of rarer words are joined with the counts by a sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,42 +73,27 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN = np.where(_BLANK, 32, _LOWER).astype(np.uint8)
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes and bytes (lower case; 32 for a space, 0 for an end) of the token sequences, and where each text's begin."""
-    n, texts = len(data), len(offsets) - 1
-    solid = ~_BLANK[data] if n else np.zeros(0, bool)
-    border = np.zeros(n + 1, bool)
-    border[offsets] = True
-    border[1:n] |= solid[1:] != solid[:-1]
-    border[[0, n]] = True
-    edges = np.flatnonzero(border)
-    begin, end = edges[:-1], edges[1:]
-    own = solid[begin] if n else np.zeros(len(begin), bool)
-    begin, end = begin[own], end[own]
-    at = np.searchsorted(begin, offsets)
-    counts = np.diff(at)
-    empty_before = np.concatenate([[0], np.cumsum(counts == 0)])
-    lengths = end - begin
-    text_of_word = np.repeat(np.arange(texts), counts)
-    shift = np.arange(len(begin)) + empty_before[text_of_word]  # separators and lone ends before each word
-    closed = np.cumsum(lengths)
-    total = int(lengths.sum()) + len(begin) + int(empty_before[-1])
-    out = np.zeros(total, np.uint8)
-    out[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)] = _LOWER[data[solid]] if n else 0
-    separators = closed + shift
-    last = np.zeros(len(begin), bool)
-    last[at[1:][counts > 0] - 1] = True
-    out[separators] = np.where(last, 0, 32)
-    classes = _CLASS[out]
-    ends = separators[last]
-    classes[ends] = 0
+    texts = len(offsets) - 1
     starts = np.zeros(texts + 1, np.int64)
-    words_before = np.concatenate([[0], closed])[at] + at + empty_before
-    starts[:] = words_before
-    lone = starts[:-1][counts == 0]
-    classes[lone] = 0
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.uint8), starts
+    closed = np.insert(data, offsets[1:], 32)  # every text ends in a blank
+    begin = offsets[:-1] + np.arange(texts)
+    solid = ~_BLANK[closed]
+    kept = solid.copy()
+    kept[1:] |= solid[:-1]  # words, and the first blank behind each
+    lone = ~np.logical_or.reduceat(kept, begin)
+    kept[offsets[1:][lone] + np.flatnonzero(lone)] = True
+    np.cumsum(np.add.reduceat(kept.view(np.uint8), begin, dtype=np.int64), out=starts[1:])
+    out = _PLAIN[closed[kept]]
+    classes = _CLASS[out]
+    out[starts[1:] - 1] = 0
+    classes[starts[1:] - 1] = 0
     return classes, out, starts
 
 
@@ -157,8 +142,26 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def told_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and each key's place among them."""
+def near_order(keys: np.ndarray) -> np.ndarray:
+    """The places of keys in the order of their TOP + 1 latest classes, and of a hash of the whole key below it: so one sort is
+    enough. Equal keys stand together unless another one shares their classes and hash."""
+    n = len(keys)
+    places = max(n - 1, 1).bit_length()
+    high = _BITS * (TOP + 1)
+    spread = 63 - places - high
+    if spread < 1 or _KEY + places <= 63:
+        return order_of(keys)
+    packed = (keys.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - spread)
+    packed |= (keys >> (_KEY - high)).view(U) << U(spread)
+    packed <<= U(places)
+    packed |= np.arange(n, dtype=U)
+    packed.sort()
+    packed &= U((1 << places) - 1)
+    return packed.view(np.int64)
+
+
+def told_apart(keys: np.ndarray, order_of: Callable[[np.ndarray], np.ndarray] = order_of) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them. In ``near_order`` a few may come more than once."""
     order = order_of(keys)
     ranked = keys[order]
     first = np.empty(len(keys), bool)
@@ -261,12 +264,20 @@ class Tree:
         return self._chance[self.table()[keys >> _BELOW], keys & _MASK]
 
 
+_press, _unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # making one takes longer than a small blob
+
+
 def _pressed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _press.compress(data)
 
 
 def _unpressed(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
+    return _unpress.decompress(blob)
+
+
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """A row for each byte of the numbers: most high ones are zero, which packs well."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T)
 
 
 def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -280,15 +291,15 @@ def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         low, high = own[0], own[-1]
         step = np.diff(keys[low:high], prepend=0)
         step[own[:-1] - low] = keys[own[:-1]]
-        both = np.stack([step, n[low:high].astype(np.int64)])
-        press = zstandard.ZstdCompressor(level=1).compress
-        blobs = [press(both[:, x:y].copy().view(np.uint8).reshape(-1, 8).T.tobytes()) for x, y in zip(own[:-1] - low, own[1:] - low, strict=True)]
+        step, count = _planes(step), _planes(n[low:high].astype(np.uint32))
+        blobs = [_pressed(step[:, x:y].tobytes() + count[:, x:y].tobytes()) for x, y in zip(own[:-1] - low, own[1:] - low, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[own[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.ascontiguousarray(np.frombuffer(_unpressed(blob), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
-    return np.cumsum(both[0]), both[1]
+    planes = np.frombuffer(_unpressed(blob), np.uint8).reshape(12, -1)
+    step, n = (np.ascontiguousarray(x.T).view(t).ravel() for x, t in ((planes[:8], np.int64), (planes[8:], np.uint32)))
+    return np.cumsum(step), n.astype(np.int64)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,26 +324,53 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted()
 
 
+def _shorter(pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pairs (context, next class) and their counts without the contexts' oldest class, and where each pair went."""
+    code = pair >> (2 * _BITS)
+    border = np.zeros(len(pair), bool)
+    np.not_equal(code[1:], code[:-1], out=border[1:])
+    want = (np.cumsum(border) << _BITS) | (pair & _MASK)
+    places = max(len(pair) - 1, 1).bit_length()
+    if 2 * places + _BITS <= 63:  # the place goes into the bits behind, as numbers sort faster than places by their numbers
+        want = (want << places) | np.arange(len(pair))
+        want.sort()
+        order = want & ((1 << places) - 1)
+        want >>= places
+    else:
+        order = np.argsort(want, kind="stable")
+        want = want[order]
+    first = np.ones(len(pair), bool)
+    np.not_equal(want[1:], want[:-1], out=first[1:])
+    back = np.empty(len(pair), np.int64)
+    back[order] = np.cumsum(first) - 1
+    begin = np.flatnonzero(first)
+    found = order[begin]
+    return (code[found] << _BITS) | (pair[found] & _MASK), np.add.reduceat(count[order], begin), back
+
+
 def _retained(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The counts of some whole buckets, contexts of TOP classes, and the retained contexts longer than TOP: a row per bucket
     and depth."""
+    counts = [(keys, n, None)]  # by depth, the deepest last; where each pair of the next depth went
+    for _ in range(TOP, DEPTH):
+        *above, back = _shorter(*counts[0][:2])
+        counts[0] = (*counts[0][:2], back)
+        counts.insert(0, (*above, None))
     levels = []
-    for depth in range(TOP, DEPTH + 1):
-        pair = (keys >> (_BITS * (DEPTH - depth + 1)) << _BITS) | (keys & _MASK)
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        pair, count = pair[first], np.add.reduceat(n[order], first)
+    for pair, count, spot in counts:
         code = pair >> _BITS
         begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         total = np.add.reduceat(count, begin)
-        state = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(pair)]])))
+        state = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(pair)))
         kept = np.zeros(len(begin), bool)
-        if levels:
+        often = total >= LEAST_COUNT
+        if levels and often.any():
             above = levels[-1]
-            spot = np.searchsorted(above[0], (code >> _BITS << _BITS) | (pair & _MASK))
+            own = often[state]
+            spot, some = spot[own], count[own]
             q = above[1][spot] / above[4][above[2][spot]]
-            kept = (total >= LEAST_COUNT) & (np.add.reduceat(count * np.log(count / total[state] / q), begin) >= DIVERGENCE)
+            sizes = np.diff(begin, append=len(pair))[often]
+            kept[often] = np.add.reduceat(some * np.log(some / total[state[own]] / q), np.cumsum(sizes) - sizes) >= DIVERGENCE
         levels.append((pair, count, state, code[begin], total, kept))
     needed, rows = np.empty(0, np.int64), []
     pair, count, _, code, _, _ = levels[0]
@@ -403,7 +441,7 @@ class Block:
             self.levels.append((depth, code, seen, begin, np.add.reduceat(count, begin), count, np.zeros(len(code), U), np.zeros(len(code), np.int64)))
 
     def refine(self, keys: np.ndarray, p: np.ndarray) -> None:
-        """Turn P(class | top context) of sorted keys into P(class | longest retained context)."""
+        """Turn P(class | top context) of keys in order, or in ``near_order``, into P(class | longest retained context)."""
         a, b = np.searchsorted(keys, [self.first << _BELOW, (self.last + 1) << _BELOW])
         for x in range(a, b if self.levels else a, PIECE):  # what a piece needs meanwhile stays in the processor's cache
             self._refine(keys, p, x, min(x + PIECE, b))
@@ -507,7 +545,7 @@ def _score(tree, blocks, frequent):
                 hashes = hashes.view(np.int64)
                 counts = np.diff(at)
                 classes, raw, starts = symbols(data, offsets)
-                keys, back = told_apart((contexts(classes, starts, DEPTH) << _BITS) | classes)
+                keys, back = told_apart((contexts(classes, starts, DEPTH) << _BITS) | classes, near_order)
                 emit = np.where(classes > 1, model.emit[raw], 0.0)
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)

@@ -216,6 +216,39 @@ def test_places_of_keys_in_order(n):
     assert (suffix_tree.order_of(many) == np.argsort(many, kind="stable")).all()
 
 
+@pytest.mark.parametrize("places", [1, 5000, 1 << 17])
+def test_keys_are_gathered_by_one_sort(places):
+    draw = np.random.default_rng(places)
+    keys = draw.integers(0, 1 << suffix_tree._KEY, places // 3 + 1)[draw.integers(0, places // 3 + 1, places)]
+    order = suffix_tree.near_order(keys)
+    assert np.sort(order).tolist() == list(range(places))
+    high = keys[order] >> suffix_tree._BITS * (suffix_tree.DEPTH - suffix_tree.TOP)
+    assert (np.diff(high) >= 0).all()
+    found, back = suffix_tree.told_apart(keys, suffix_tree.near_order)
+    assert (found[back] == keys).all() and len(found) < 1.01 * len(np.unique(keys))
+
+
+def test_counts_go_through_their_byte_planes():
+    draw = np.random.default_rng(3)
+    keys = np.unique(draw.integers(0, 1 << suffix_tree._KEY, 5000))
+    n = draw.integers(1, 1 << 31, len(keys))
+    rows = [r for b in suffix_tree._packed(keys, n) for r in b.to_pylist()]
+    back = [suffix_tree._unpacked(r["blob"]) for r in rows]
+    assert np.concatenate([k for k, _ in back]).tolist() == keys.tolist() and np.concatenate([c for _, c in back]).tolist() == n.tolist()
+    assert all((k >> suffix_tree._BELOW == r["bucket"]).all() for r, (k, _) in zip(rows, back, strict=True))
+
+
+def test_shorter_contexts_take_over_the_counts():
+    draw = np.random.default_rng(5)
+    pairs, count = np.unique(draw.integers(0, 4, (3000, 4)) @ (1 << 6 * np.arange(4)), return_counts=True)
+    want = collections.Counter()
+    for x, c in zip(pairs.tolist(), count.tolist(), strict=True):
+        want[x >> 12 << 6 | x & 63] += c
+    found, n, back = suffix_tree._shorter(pairs, count)
+    assert found.tolist() == sorted(want) and n.tolist() == [want[x] for x in sorted(want)]
+    assert found[back].tolist() == [x >> 12 << 6 | x & 63 for x in pairs.tolist()]
+
+
 @pytest.mark.parametrize("piece", [1, 7, 1 << 15])
 def test_pieces_of_keys_get_the_same_chances(monkeypatch, piece):
     texts = arrays(*["the cat sat on the mat and ran; the end " * 3, "a cat on a mat", "zebra tone falls", "tone"] * 40)
