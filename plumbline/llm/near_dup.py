@@ -45,6 +45,12 @@ SENT = 2_000_000
 CELL = 512
 #: Rows of a partition of a table whose size is known.
 PART_ROWS = 250_000
+#: The same where a row holds lists.
+WIDE_ROWS = 20_000
+#: Rows of a table of a known size that is sent to all tasks rather than shuffled, about a megabyte.
+SMALL = 30_000
+#: Partitions of a Bloom filter's words.
+FILTER_PARTS = 16
 
 
 def minmax(values: np.ndarray, starts: np.ndarray, permutations: int) -> np.ndarray:
@@ -191,9 +197,15 @@ def _pairs_left(members: DataFrame, sketches: DataFrame, limit: int) -> DataFram
     return cells.mapInArrow(_close(limit), "a bigint, b bigint")
 
 
-def tidy(frame: DataFrame, n_rows: int) -> DataFrame:
-    """A table of a known size in no more partitions than its rows need, so that a small one isn't many small files."""
-    return frame.coalesce(max(1, -(-n_rows // PART_ROWS)))
+def tidy(frame: DataFrame, n_rows: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """A table of a known size in no more partitions than its rows need, so that a small one isn't many small files and tasks:
+    the driver keeps something of each."""
+    return frame.coalesce(max(1, -(-n_rows // part_rows)))
+
+
+def small(frame: DataFrame, n_rows: int) -> DataFrame:
+    """A table of a known size for a join: a small one is sent at once, without two shuffles to find out that it is small."""
+    return F.broadcast(frame) if n_rows <= SMALL else frame
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -206,12 +218,12 @@ def connect(links: DataFrame) -> DataFrame:
     both = cut(tidy(links.select("a", "b").union(links.select("b", "a")).distinct(), n))
     labels = cut(tidy(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), n))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
+        near = both.join(small(labels, n), both["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
         before = labels.withColumn("before", F.col("component"))
         lower = before.unionByName(near.withColumn("before", F.lit(None).cast("bigint"))).groupBy("node")
         lower = cut(tidy(lower.agg(F.min("component").alias("component"), F.max("before").alias("before")), n))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        lower = lower.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"), "before")
+        lower = lower.join(small(jump, n), "component", "left").select("node", F.coalesce("further", "component").alias("component"), "before")
         lower = cut(tidy(lower, n))
         if lower.filter("component < before").isEmpty():
             return lower.drop("before")
@@ -258,15 +270,16 @@ def _linkable(members: DataFrame, sets: DataFrame, n_nodes: int) -> DataFrame:
         own = sets if not again else sets.join(F.broadcast(left.select("node")) if _few(left) else left, "node", "left_semi")
         seen = own.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
         alone = cut(tidy(seen.filter("node = other").groupBy("node").agg(F.count("*").alias("alone")), n_nodes))
-        shared = left.select("node", "n").join(alone, "node", "left").withColumn("s", F.col("n") - F.least("n", F.coalesce("alone", F.lit(0))))
+        shared = left.select("node", "n").join(small(alone, n_nodes), "node", "left").withColumn("s", F.col("n") - F.least("n", F.coalesce("alone", F.lit(0))))
         left = cut(tidy(shared.filter(f"100 * s >= {SIMILARITY} * n").select("node", "n", "s"), n_nodes))
-    kept = members.join(left, ["node", "n"]).withColumn("own", 1 - F.col("s") / F.col("n"))
+    kept = members.join(small(left, n_nodes), ["node", "n"]).withColumn("own", 1 - F.col("s") / F.col("n"))
     return kept.select("node", "n", "s", "own", "place", "band", F.col("node").alias("component"))
 
 
-def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, t0, t1, n_shingles, k1, k2), and the sets' classes (k1, k2, n_shingles, component, the smallest doc_id
-    reachable, group) that have a doc_id. t0 and t1 are hashes of the text; components of one name differ in their group."""
+def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, t0, t1, n_shingles, k1, k2), the sets' classes (k1, k2, n_shingles, component, the smallest doc_id
+    reachable, group) that have a doc_id, and the number of rows. t0 and t1 are hashes of the text; components of one name
+    differ in their group."""
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"), text.alias("text"))
@@ -276,24 +289,25 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
             "doc_id bigint, t0 bigint, t1 bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>",
         )
     )
+    n_rows = signed.count()  # more than any table of one row per node; a task or file per shuffle partition is the driver's to keep
+    signed = tidy(signed, n_rows, WIDE_ROWS)
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    n_rows = usable.count()  # more than any table of one row per node; a task or file per shuffle partition is the driver's to keep
     key = ["k1", "k2", "n_shingles"]
-    lowest = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "t0", "t1")).alias("low"))
+    lowest = tidy(usable.groupBy(*key).agg(F.min(F.struct("doc_id", "t0", "t1")).alias("low")), n_rows)
     # A node has the smallest doc_id of its class as its number; where several classes have the same, all but one get others.
-    first = lowest.groupBy("low.doc_id").agg(F.min(F.struct(*key)).alias("first"))
+    first = tidy(lowest.groupBy("low.doc_id").agg(F.min(F.struct(*key)).alias("first")), n_rows)
     number = F.when(F.struct(*key) == F.col("first"), F.col("low.doc_id")).otherwise(F.xxhash64("low.doc_id", *key))
     classes = lowest.join(first, lowest["low.doc_id"] == first["doc_id"]).select(*key, "low", number.alias("node"))
     classes = cut(tidy(classes, n_rows))
     named = classes.select(*key, "node", F.col("low.doc_id").alias("doc_id"), F.col("low.t0").alias("t0"), F.col("low.t1").alias("t1"))
     chosen = usable.join(named, [*key, "doc_id", "t0", "t1"])
-    chosen = cut(chosen.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"))
+    chosen = cut(tidy(chosen.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"), n_rows, WIDE_ROWS))
     rows = chosen.select("node", "n", F.posexplode("bands").alias("place", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    shared = cut(shared.select("band"))
+    shared = cut(tidy(shared.select("band"), n_rows * bands // 2))
     hashes = [F.col("band").alias("k0"), F.xxhash64("band").alias("k1")]
-    likely = thinned(rows.select("node", "n", "place", "band", *hashes), bloom(shared.select(*hashes))).drop("k0", "k1")
-    members = cut(likely.dropDuplicates(["band", "node", "n"]).join(shared, "band"))
+    likely = thinned(rows.select("node", "n", "place", "band", *hashes), bloom(shared.select(*hashes)).coalesce(FILTER_PARTS)).drop("k0", "k1")
+    members = cut(tidy(likely.dropDuplicates(["band", "node", "n"]), n_rows * bands).join(shared, "band"))
     ids = cut(tidy(members.select("node").distinct().join(named.select("node", "doc_id", "t0", "t1"), "node"), n_rows))
     n_nodes = ids.count()
     at = ["doc_id", "t0", "t1"]
@@ -301,15 +315,16 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         wanted = source.join(F.broadcast(ids), at)
     else:
         hashed = [F.xxhash64(*at).alias("k0"), F.xxhash64(F.lit(1), *at).alias("k1")]
-        wanted = thinned(source.select("*", *hashed), bloom(ids.select(*hashed))).join(ids, at)
+        wanted = thinned(source.select("*", *hashed), bloom(ids.select(*hashed)).coalesce(FILTER_PARTS)).join(ids, at)
     sets = cut(wanted.select("node", "text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
+    sets = tidy(sets, n_nodes, WIDE_ROWS)
     members = _linkable(members, sets, n_nodes)
 
     labels = tried = links = None
     n_members = 0
     for turn in range(rounds + 1):
         if labels is not None:  # bands whose nodes are not all connected yet
-            members = members.drop("component").join(labels, "node", "left")
+            members = members.drop("component").join(small(labels, n_nodes), "node", "left")
             members = members.withColumn("component", F.coalesce("component", "node"))
         members = cut(members if labels is None else tidy(members, n_members))
         if labels is None:
@@ -317,10 +332,11 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         best = F.min(F.struct("own", "node")).alias("best")
         ends = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), best, F.count("*").alias("size"))
         ends = cut(tidy(ends.filter("x < y").select("band", F.col("best.node").alias("center"), "size"), n_members))
-        members = cut(tidy(members.join(ends, "band"), n_members))
+        members = cut(tidy(members.join(small(ends, n_members), "band"), n_members))
         if turn < rounds:  # each node against the nodes of its bands that have the smallest share of own shingles
             pairs = members.filter("node <> center").select(F.col("center").alias("c"), "node")
             pairs = pairs.groupBy(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), "node").agg(F.count("*").alias("bands"))
+            pairs = tidy(pairs, n_members)
         else:  # all pairs of a band that are still apart and can share enough
             wide = permutations * 2
             halves = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")
@@ -331,8 +347,8 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < rounds:
             best = Window.partitionBy("node").orderBy(F.col("bands").desc(), "a", "b")
-            pairs = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("a", "b").distinct()
-            pairs = tidy(pairs, n_nodes)
+            pairs = tidy(pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("a", "b"), n_nodes)
+            pairs = tidy(pairs.distinct(), n_nodes)
         pairs = cut(pairs.select("a", "b"))
         n = pairs.count()
         if not n:
@@ -348,7 +364,7 @@ def _classes(docs: DataFrame, width: int, permutations: int, bands: int, per_ban
         grouped = classes.join(labels, "node", "left").select(*key, F.col("low.doc_id").alias("doc_id"), F.coalesce("component", "node").alias("group"))
         smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component"))
         named = grouped.join(smallest, "group").select(*key, "component", "group")
-    return signed.drop("bands", "sketch"), cut(tidy(named, n_rows))
+    return signed.drop("bands", "sketch"), cut(tidy(named, n_rows)), n_rows
 
 
 def near_duplicates(
@@ -360,7 +376,7 @@ def near_duplicates(
     doc_id and a set are in one component, with different sets each goes with its own. A row without doc_id can't be named: it
     is linked with nothing, its component_id is null and it is kept. Other columns of ``docs`` are not read.
     """
-    rows, named = _classes(docs, width, permutations, bands, per_band, rounds)
+    rows, named, _ = _classes(docs, width, permutations, bands, per_band, rounds)
     return (
         rows.join(named, ["k1", "k2", "n_shingles"], "left")
         .select(
@@ -379,25 +395,25 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     with equal shingles stays. Rows without words all stay. Columns are those of ``docs``. Only rows that may go, or
     occur more than once, are shuffled with their texts.
     """
-    rows, named = _classes(docs, WIDTH, PERMUTATIONS, BANDS, PER_BAND, 2)
+    rows, named, n_rows = _classes(docs, WIDTH, PERMUTATIONS, BANDS, PER_BAND, 2)
     key, at = ["k1", "k2", "n_shingles"], ["doc_id", "t0", "t1"]
-    rows = rows.filter("n_shingles > 0").groupBy(*at, *key).agg(F.count("*").alias("times"))
-    judged = cut(rows.join(named, key, "left"))
+    rows = tidy(rows.filter("n_shingles > 0").groupBy(*at, *key).agg(F.count("*").alias("times")), n_rows)
+    judged = cut(tidy(rows.join(named, key, "left"), n_rows))
     text = F.struct("t0", "t1")
     # Rows with the component's own doc_id, whose texts may still differ, and rows of classes that no doc_id is known of.
     heads = judged.filter("doc_id = component").select(*at, "times", F.struct("group").cast("string").alias("group"))
     bare = judged.filter("component IS NULL").select(*at, "times", F.struct(*key).cast("string").alias("group"))
     both = heads.union(bare)
-    first = both.groupBy("group").agg(F.min(text).alias("first"))
+    first = tidy(both.groupBy("group").agg(F.min(text).alias("first")), n_rows)
     ranked = both.join(first, "group").select(*at, "times", (text == F.col("first")).alias("stays"))
     others = judged.filter("component IS NOT NULL AND NOT doc_id <=> component").select(*at, "times", F.lit(False).alias("stays"))
-    touched = cut(others.union(ranked.filter("times > 1 OR NOT stays")))
+    touched = cut(tidy(others.union(ranked.filter("times > 1 OR NOT stays")), n_rows))
     own = [f"c{i}" for i in range(len(docs.columns))]
     doc, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
     hashes = {"d": doc.cast("bigint"), "h0": F.xxhash64(text.cast("string")), "h1": F.xxhash64(F.lit(1), text.cast("string"))}
     named_rows = docs.toDF(*own).withColumns(hashes)
     print_ = lambda a, b, c: [F.xxhash64(a, b, c).alias("k0"), F.xxhash64(F.lit(1), a, b, c).alias("k1")]
-    marks = cut(bloom(touched.select(*print_("doc_id", "t0", "t1"))))
+    marks = cut(bloom(touched.select(*print_("doc_id", "t0", "t1"))).coalesce(FILTER_PARTS))
     hit = marked(named_rows.select("*", *print_("d", "h0", "h1")), marks, "hit")
     clear = hit.filter("NOT hit").select(*own)
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h0") == F.col("t0")) & (F.col("h1") == F.col("t1"))

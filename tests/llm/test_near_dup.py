@@ -198,3 +198,25 @@ def test_rows_are_judged_one_by_one_whatever_their_ids(spark, monkeypatch, block
     assert kept.columns == frame.columns and sorted(r.leaks for r in kept.collect()) == [1, 2, 4, 7]
     found = sorted(((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(frame, items).collect()), key=str)
     assert found == sorted([(None, 1, 8, 8), (5, 1, 8, 8), (7, 2, 8, 8)], key=str)
+
+
+def test_small_tables_take_few_tasks(spark):
+    draw = random.Random(8)
+    base = [[f"w{draw.randrange(5000)}" for _ in range(60)] for _ in range(60)]
+    rows = [(10 * i + k, " ".join(b if not k else [*b[:-k], *["x"] * k])) for i, b in enumerate(base) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("few", "tasks of a small table")
+    try:
+        kept = sorted(r.doc_id for r in near_dup.drop_near_duplicates(docs).collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kept == [10 * i for i in range(60)]
+    track = sc.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup("few")]
+    stages = {s: track.getStageInfo(s) for j in jobs for s in j.stageIds}
+    assert sum(i.numCompletedTasks for i in stages.values() if i) < 1500
